@@ -28,8 +28,10 @@ from folio.llm._graph import components
 BANDS, ROWS = 32, 4
 #: log2 of the ring's size. Places that two shingles share only cost a needless confirmation.
 RING_BITS = 21
-#: Star rounds over candidate groups before what is still unconnected in a group is compared directly.
-STAR_ROUNDS = 3
+#: Bands for groups that stay unconnected after the star rounds: (1 - 0.8**8)**96 < 3e-8.
+FINE_BANDS, FINE_ROWS = 96, 8
+#: Star rounds over candidate groups, for either kind of band.
+STAR_ROUNDS = 2
 
 _ring: dict[tuple[int, int], np.ndarray] = {}
 
@@ -114,6 +116,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return tx.kept_safe(full.mapInArrow(_confirm(percent), "u long, v long"))
 
 
+def grouped(entries: DataFrame) -> DataFrame:
+    """Of (doc, n_shingles, band): those whose band another document has too, with the band's smallest document."""
+    shared = entries.groupBy("band").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head < tail").select("band", "head")
+    return tx.kept_safe(entries.join(shared, "band").select("band", "head", "doc", "n_shingles"))
+
+
 def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of the groups that the links leave in more than one component, with their component."""
     label = components(links).select(F.col("node").alias("doc"), "component")
@@ -122,50 +130,65 @@ def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
     return tx.kept_safe(named.join(split, "band"))
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, ring_bits: int = RING_BITS) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, class_id.
+def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Confirms pairs of members that are not connected yet; (members still open, links, pairs tried).
 
-    class_id is the smallest doc_id with the same shingle set, component_id the smallest doc_id
-    reachable over links of Jaccard similarity of percent/100 or more.
-
-    Work inside a candidate group is linear: every member meets the group's smallest, and later
-    rounds only pair members that are not connected yet, so a group of copies of any size never
-    becomes all its pairs.  Groups and classes are found by aggregates that combine before the
-    shuffle; the joins back to them are plain sort-merge joins that AQE splits on hot keys.
+    In a star round a group's members meet one head, another each round, so a round is linear in
+    the members.  With last, what is still unconnected inside a group is then compared.
     """
-    tx.small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = tx.kept_safe(docs.mapInArrow(_sign(shingle_words, bands, rows, ring_bits), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"))
-    usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = tx.kept_safe(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")))
-
-    entries = classes.select(F.col("class_id").alias("doc"), "n_shingles", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head < tail").select("band", "head")
-    members = tx.kept_safe(entries.join(shared, "band").select("band", "head", "doc", "n_shingles"))
-    size_of = classes.select(F.col("class_id").alias("u"), F.col("n_shingles").alias("nu"))
     fits = f"100 * least(n_shingles, nu) >= {percent} * greatest(n_shingles, nu)"
-
-    pairs = members.where("doc <> head").groupBy(F.col("head").alias("u"), F.col("doc").alias("v")).agg(F.first("n_shingles").alias("n_shingles"))
-    pairs = tx.kept_safe(pairs.join(size_of, "u").where(fits).select("u", "v"))
-    tried, links = pairs, confirmed(pairs, docs, shingle_words, percent)
     named = open_members(members, links)
-    for step in range(STAR_ROUNDS + 1):
+    for step in range(STAR_ROUNDS + last):
         if named.isEmpty():
             break
-        if step < STAR_ROUNDS:
-            # A new head per group, another each round: those not yet connected to it are tried.
+        star = step < STAR_ROUNDS
+        if star:
             order = F.struct(F.xxhash64("doc", F.lit(step)).alias("h"), F.col("doc").alias("u"), F.col("n_shingles").alias("nu"), F.col("component").alias("cu"))
             heads = named.groupBy("band").agg(F.min(order).alias("head")).select("band", "head.u", "head.nu", "head.cu")
         else:
             heads = named.select("band", F.col("doc").alias("u"), F.col("n_shingles").alias("nu"), F.col("component").alias("cu"))
-        cross = named.join(heads, "band").where("component <> cu" if step < STAR_ROUNDS else "component < cu").where(fits)
+        cross = named.join(heads, "band").where("component <> cu" if star else "component < cu").where(fits)
         cross = cross.select(F.least("u", "doc").alias("u"), F.greatest("u", "doc").alias("v")).distinct()
         fresh = tx.kept_safe(cross.join(tried, ["u", "v"], "left_anti"))
         if fresh.isEmpty():
             continue
         tried = tried.unionByName(fresh)
-        links = tx.kept_safe(links.unionByName(confirmed(fresh, docs, shingle_words, percent)))
-        named = open_members(named.drop("component"), links)
+        links = tx.kept_safe(links.unionByName(confirmed(fresh, docs, width, percent)))
+        named = open_members(members, links)
+    return named, links, tried
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, ring_bits: int = RING_BITS) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, class_id.
+
+    class_id is the smallest doc_id with the same shingle set, component_id the smallest doc_id
+    reachable over links of Jaccard similarity of percent/100 or more.
+
+    Work inside a candidate group is linear: every member meets a head, and later rounds only pair
+    members that are not connected yet, so a group of copies of any size never becomes all its
+    pairs.  Groups that share passages but are not near-duplicates are parted by sharper bands
+    before what is left of them is compared.  Groups and classes are found by aggregates that combine before the
+    shuffle; the joins back to them are plain sort-merge joins that AQE splits on hot keys.
+    """
+    tx.small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = tx.kept_safe(docs.mapInArrow(_sign(shingle_words, bands, rows, ring_bits), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"))
+    usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = tx.kept_safe(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")))
+
+    members = grouped(classes.select(F.col("class_id").alias("doc"), "n_shingles", F.explode("bands").alias("band")))
+    size_of = classes.select(F.col("class_id").alias("u"), F.col("n_shingles").alias("nu"))
+    # First every document meets the smallest head of all its groups: one pair for each.
+    pairs = members.where("doc <> head").groupBy(F.col("doc").alias("v")).agg(F.min("head").alias("u"), F.first("n_shingles").alias("n_shingles"))
+    pairs = tx.kept_safe(pairs.join(size_of, "u").where(f"100 * least(n_shingles, nu) >= {percent} * greatest(n_shingles, nu)").select("u", "v"))
+    links = confirmed(pairs, docs, shingle_words, percent)
+    left, links, pairs = settle(members, links, pairs, docs, shingle_words, percent, last=False)
+    if not left.isEmpty():
+        # What is still open shares too little for most of it to be a link: sharper bands part it.
+        ids = tx.kept_safe(left.select(F.col("doc").alias("doc_id")).distinct())
+        again = tx.pick(docs, ids, "doc_id").mapInArrow(_sign(shingle_words, FINE_BANDS, FINE_ROWS, ring_bits), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+        again = again.select(F.col("doc_id").alias("doc"), "n_shingles", F.explode("bands").alias("band")).distinct()
+        _, links, pairs = settle(grouped(again), links, pairs, docs, shingle_words, percent, last=True)
 
     label = components(links).select(F.col("node").alias("class_id"), "component")
     named = classes.select("fp1", "fp2", "n_shingles", "class_id").join(label, "class_id", "left")
