@@ -59,6 +59,12 @@ class Words(NamedTuple):
     ends: np.ndarray
     hashes: np.ndarray
     ptr: np.ndarray
+    total: np.ndarray
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of other byte spans of the chunk."""
+        h = (self.total[ends] - self.total[starts]) * powers(len(self.total))[1][starts]
+        return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +89,14 @@ def chunks(off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> Words:
+def words(data: np.ndarray, off: np.ndarray, lower: bool = False, gaps: np.ndarray = SPACE) -> Words:
+    """Runs of bytes that are not gaps, none of them over the bound of a text."""
     if lower:
         data = LOWER[data]
     n = len(data)
     solid = np.empty(n + 2, bool)
     solid[0] = solid[-1] = False
-    np.logical_not(SPACE[data], out=solid[1:-1])
+    np.logical_not(gaps[data], out=solid[1:-1])
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     inner = solid[1:]
@@ -99,9 +106,8 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> Words:
     up, down = powers(n + 1)
     total = np.zeros(n + 1, U64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    h = mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
-    return Words(data, starts, ends, h, np.searchsorted(starts, off))
+    w = Words(data, starts, ends, starts, np.searchsorted(starts, off), total)
+    return w._replace(hashes=w.spans(starts, ends))
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:

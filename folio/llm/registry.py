@@ -15,5 +15,64 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash,)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.toxicity import severity
+
+    return severity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.sharding import assign
+
+    return assign(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.chat import digests, format_chats
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql(f"SELECT -1L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '{said}' AS text FROM range(2)")
+    return digests(format_chats(turns.unionByName(own)))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.mixing import mixture
+
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folio.llm.tokens import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")), limit=4096)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_licenses, op4_sharding, op5_quality, op6_chat, op7_mixing, op8_tokens, op9_decontamination, op10_langid)}
 ORACLE_SQL: dict[str, str] = {}
