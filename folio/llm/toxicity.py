@@ -3,7 +3,7 @@
 Features are the presence of hashed words and word beginnings.  All ordered thresholds share one
 weight vector: P(grade > k) = sigmoid(w.x - b_k), with b rising in k; the weights carry an L1
 penalty, so most are zero.  Labels only say toxic or not; grades 1 to 3 of toxic rows are the
-terciles of how many features that the labels show to be toxic they hold.  Output is the expected
+terciles of how many telling features (screened by odds and chi-square on the labels) they hold.  Output is the expected
 severity, sum over k of P(grade > k).
 
 Defined results: null or wordless text has severity 0 and is not toxic; without both kinds of
@@ -28,10 +28,12 @@ BITS = 20
 MAX_TRAIN = 8000
 GRADES = 3
 PREFIXES = (4, 5)
-L1, STEPS = 2e-4, 150
-#: A text is toxic when a grade of 1 or more is likelier than not.
-CUT = 0.5
-MIN_DOCS = 3
+L1, STEPS = 2e-5, 500
+#: A feature takes part if toxic rows have it more often, by this log odds ratio and chi-square (one degree of freedom).
+MIN_ODDS, MIN_CHI2 = 1.0, 15.0
+#: A text is toxic when P(grade > 0) exceeds a cut set on the labelled sample: half as much again as
+#: all but this share of clean rows reach, within these bounds.
+CLEAN_ABOVE, CUT_BOUNDS = 5e-4, (0.2, 0.5)
 GAPS = tx.SPACE.copy()
 GAPS[[b for b in range(128) if not chr(b).isalnum()]] = True
 
@@ -39,6 +41,7 @@ GAPS[[b for b in range(128) if not chr(b).isalnum()]] = True
 class Model(NamedTuple):
     weights: np.ndarray
     bounds: np.ndarray
+    cut: float
 
 
 def features(data: np.ndarray, off: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -73,53 +76,61 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def grades(toxic: np.ndarray, row: np.ndarray, col: np.ndarray, n_cols: int) -> np.ndarray:
-    """0 for clean rows; toxic rows by terciles of their number of features with strong toxic odds."""
-    yes = np.bincount(col, toxic[row], n_cols)
-    no = np.bincount(col, 1 - toxic[row], n_cols)
-    odds = np.log((yes + 0.1) / (toxic.sum() + 0.2)) - np.log((no + 0.1) / ((1 - toxic).sum() + 0.2))
-    count = np.bincount(row, (odds[col] > 3) & (yes[col] >= 3), len(toxic))
+def odds(toxic: np.ndarray, row: np.ndarray, col: np.ndarray, n_cols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds ratio and chi-square of each feature's presence in toxic against clean rows."""
+    n, t = float(len(toxic)), float(toxic.sum())
+    yes, both = np.bincount(col, toxic[row], n_cols), np.bincount(col, minlength=n_cols)
+    no = both - yes
+    ratio = np.log((yes + 0.5) / (t - yes + 0.5)) - np.log((no + 0.5) / (n - t - no + 0.5))
+    chi2 = n * (yes * (n - t - no) - no * (t - yes)) ** 2 / np.maximum(t * (n - t) * both * (n - both), 1)
+    return ratio, chi2
+
+
+def grades(toxic: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """0 for clean rows; toxic rows by terciles of their number of features that take part."""
+    count = np.bincount(row, minlength=len(toxic))
     cuts = np.quantile(count[toxic == 1], [k / GRADES for k in range(1, GRADES)])
     return np.where(toxic == 1, 1 + (count[:, None] > cuts).sum(axis=1), 0)
 
 
 def fit(toxic: np.ndarray, bags: list[np.ndarray]) -> Model | None:
-    """Accelerated proximal gradient on the cumulative-link loss with an L1 penalty; None if a label is missing."""
+    """Proximal gradient, scaled by coordinate, on the cumulative-link loss with an L1 penalty; None if a label is missing."""
     toxic = toxic.astype(float)
     if not 0 < toxic.sum() < len(toxic):
         return None
     row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     ids, col = np.unique(np.concatenate(bags), return_inverse=True)
-    often = np.bincount(col, minlength=len(ids)) >= MIN_DOCS
-    row, col = row[often[col]], (np.cumsum(often) - 1)[col[often[col]]]
-    ids = ids[often]
-    y = grades(toxic, row, col, len(ids))
+    ratio, chi2 = odds(toxic, row, col, len(ids))
+    telling = (ratio >= MIN_ODDS) & (chi2 >= MIN_CHI2)
+    row, col = row[telling[col]], (np.cumsum(telling) - 1)[col[telling[col]]]
+    ids = ids[telling]
+    y = grades(toxic, row)
     n, k = len(y), GRADES
     above = (y[:, None] > np.arange(k)).astype(float)
-    weight = np.where(toxic == 1, n / (2 * toxic.sum()), n / (2 * (n - toxic.sum())))[:, None] / n
     w, b = np.zeros(len(ids)), np.linspace(1.0, 3.0, k)
     gw, gb = np.full(len(ids), 1e-8), np.full(k, 1e-8)
     for _ in range(STEPS):
         s = np.bincount(row, w[col], n)
-        err = (_sigmoid(s[:, None] - b) - above) * weight
+        err = (_sigmoid(s[:, None] - b) - above) / n
         g = np.bincount(col, err.sum(axis=1)[row], len(ids))
         h = -err.sum(axis=0)
         gw, gb = gw + g * g, gb + h * h
         step = 0.5 / np.sqrt(gw)
         w = w - step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * L1, 0)
+        w = np.maximum(w - step * L1, 0)  # telling features only speak for a higher grade
         b = np.sort(b - 0.5 / np.sqrt(gb) * h)
     dense = np.zeros(1 << BITS, np.float32)
     dense[ids] = w
-    return Model(dense, b)
+    p = _sigmoid(np.bincount(row, w[col], n) - b[0])
+    return Model(dense, b, float(np.clip(1.5 * np.quantile(p[toxic == 0], 1 - CLEAN_ABOVE), *CUT_BOUNDS)))
 
 
 def _score(model: Model):
     at = np.flatnonzero(model.weights)
-    small = (at, model.weights[at], model.bounds)
+    small = (at, model.weights[at], model.bounds, model.cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values, bounds = small
+        at, values, bounds, cut = small
         dense = np.zeros(1 << BITS)
         dense[at] = values
         marked = dense != 0
@@ -134,7 +145,7 @@ def _score(model: Model):
                 words.append(np.diff(solid[edge]) > 0)
             s = np.concatenate(sums) if sums else np.zeros(0)
             p = _sigmoid(s[:, None] - bounds) * (np.concatenate(words) if words else np.zeros(0))[:, None]
-            cols = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p > CUT).sum(axis=1).astype(np.int32))]
+            cols = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p > cut).sum(axis=1).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, *range(2, batch.num_columns))), *cols], [*(batch.schema.names[k] for k in (0, *range(2, batch.num_columns))), "severity", "p_toxic", "grade"])
 
     return run
@@ -157,7 +168,7 @@ def severity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade"), F.lit(False).alias("toxic"))
     out = rows.mapInArrow(_score(model), "doc_id long, severity double, p_toxic double, grade int")
-    return out.withColumn("toxic", F.col("p_toxic") > CUT)
+    return out.withColumn("toxic", F.col("p_toxic") > model.cut)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -168,4 +179,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     names = docs.columns
     renamed = docs.select(F.struct(*names).alias("row")).select(F.lit(0).cast("long").alias("none"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("t"), "row")
     schema = f"none long, row {renamed.schema['row'].dataType.simpleString()}, severity double, p_toxic double, grade int"
-    return renamed.mapInArrow(_score(model), schema).where(F.col("p_toxic") <= CUT).select("row.*")
+    return renamed.mapInArrow(_score(model), schema).where(F.col("p_toxic") <= model.cut).select("row.*")
