@@ -6,6 +6,7 @@ chunk of texts at a time, without a Python object per word.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -138,13 +139,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
-def kept_safe(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder that spark.checkpoint.dir names; sets a folder only where none is named."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of this machine only where none is named, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-checkpoint-"))
+    return sc.getCheckpointDir()
+
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-checkpoint-"))
+def kept_safe(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
