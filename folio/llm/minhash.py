@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 from folio.llm import _text as tx
 from folio.llm._graph import components
 
-#: 32 bands of 4 rows: a pair at similarity 0.8 is missed with probability (1 - 0.8**4)**32 < 5e-8.
-BANDS, ROWS = 32, 4
+#: 56 bands of 7 rows: a pair at similarity 0.8 is missed with probability (1 - 0.8**7)**56 < 2e-6, one
+#: that shares a fifth of its shingles (a passage, say) is a candidate with probability under 0.001.
+BANDS, ROWS = 56, 7
 #: log2 of the ring's size. Places that two shingles share only cost a needless confirmation.
 RING_BITS = 21
-#: Bands for groups that stay unconnected after the star rounds: (1 - 0.8**8)**96 < 3e-8.
-FINE_BANDS, FINE_ROWS = 96, 8
-#: Star rounds over candidate groups, for either kind of band.
+#: Star rounds over candidate groups before what is still unconnected in a group is compared directly.
 STAR_ROUNDS = 2
 
 _ring: dict[tuple[int, int], np.ndarray] = {}
@@ -47,8 +46,8 @@ def ring(bits: int, width: int) -> np.ndarray:
 def signature(shingles: np.ndarray, bits: int, width: int) -> np.ndarray:
     view, out = ring(bits, width), np.full(width, 1 << bits, np.uint32)
     place = (tx.mix(shingles) >> tx.U64(64 - bits)).astype(np.int64)
-    for i in range(0, len(place), 4096):
-        np.minimum(out, view[place[i : i + 4096]].min(axis=0), out=out)
+    for i in range(0, len(place), 1024):
+        np.minimum(out, view[place[i : i + 1024]].min(axis=0), out=out)
     return out
 
 
@@ -116,10 +115,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return tx.kept_safe(full.mapInArrow(_confirm(percent), "u long, v long"))
 
 
-def grouped(entries: DataFrame) -> DataFrame:
-    """Of (doc, n_shingles, band): those whose band another document has too, with the band's smallest document."""
+def grouped(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Of (doc, band): those whose band another document has too, with the band's smallest document and the size (doc, n_shingles)."""
     shared = entries.groupBy("band").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head < tail").select("band", "head")
-    return tx.kept_safe(entries.join(shared, "band").select("band", "head", "doc", "n_shingles"))
+    return tx.kept_safe(entries.join(shared, "band").join(sizes, "doc").select("band", "head", "doc", "n_shingles"))
 
 
 def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -130,15 +129,15 @@ def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
     return tx.kept_safe(named.join(split, "band"))
 
 
-def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Confirms pairs of members that are not connected yet; (members still open, links, pairs tried).
+def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """links and those among members that connect what was not connected yet.
 
     In a star round a group's members meet one head, another each round, so a round is linear in
-    the members.  With last, what is still unconnected inside a group is then compared.
+    the members.  What is still unconnected inside a group is compared last.
     """
     fits = f"100 * least(n_shingles, nu) >= {percent} * greatest(n_shingles, nu)"
     named = open_members(members, links)
-    for step in range(STAR_ROUNDS + last):
+    for step in range(STAR_ROUNDS + 1):
         if named.isEmpty():
             break
         star = step < STAR_ROUNDS
@@ -155,7 +154,7 @@ def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFra
         tried = tried.unionByName(fresh)
         links = tx.kept_safe(links.unionByName(confirmed(fresh, docs, width, percent)))
         named = open_members(members, links)
-    return named, links, tried
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, ring_bits: int = RING_BITS) -> DataFrame:
@@ -166,8 +165,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     Work inside a candidate group is linear: every member meets a head, and later rounds only pair
     members that are not connected yet, so a group of copies of any size never becomes all its
-    pairs.  Groups that share passages but are not near-duplicates are parted by sharper bands
-    before what is left of them is compared.  Groups and classes are found by aggregates that combine before the
+    pairs.  Groups and classes are found by aggregates that combine before the
     shuffle; the joins back to them are plain sort-merge joins that AQE splits on hot keys.
     """
     tx.small_batches(docs.sparkSession)
@@ -176,19 +174,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = tx.kept_safe(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")))
 
-    members = grouped(classes.select(F.col("class_id").alias("doc"), "n_shingles", F.explode("bands").alias("band")))
+    doc = F.col("class_id").alias("doc")
+    members = grouped(classes.select(doc, F.explode("bands").alias("band")), classes.select(doc, "n_shingles"))
     size_of = classes.select(F.col("class_id").alias("u"), F.col("n_shingles").alias("nu"))
     # First every document meets the smallest head of all its groups: one pair for each.
     pairs = members.where("doc <> head").groupBy(F.col("doc").alias("v")).agg(F.min("head").alias("u"), F.first("n_shingles").alias("n_shingles"))
     pairs = tx.kept_safe(pairs.join(size_of, "u").where(f"100 * least(n_shingles, nu) >= {percent} * greatest(n_shingles, nu)").select("u", "v"))
     links = confirmed(pairs, docs, shingle_words, percent)
-    left, links, pairs = settle(members, links, pairs, docs, shingle_words, percent, last=False)
-    if not left.isEmpty():
-        # What is still open shares too little for most of it to be a link: sharper bands part it.
-        ids = tx.kept_safe(left.select(F.col("doc").alias("doc_id")).distinct())
-        again = tx.pick(docs, ids, "doc_id").mapInArrow(_sign(shingle_words, FINE_BANDS, FINE_ROWS, ring_bits), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
-        again = again.select(F.col("doc_id").alias("doc"), "n_shingles", F.explode("bands").alias("band")).distinct()
-        _, links, pairs = settle(grouped(again), links, pairs, docs, shingle_words, percent, last=True)
+    links = settle(members, links, pairs, docs, shingle_words, percent)
 
     label = components(links).select(F.col("node").alias("class_id"), "component")
     named = classes.select("fp1", "fp2", "n_shingles", "class_id").join(label, "class_id", "left")
