@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from folio.plans import block_queries, catalogue_queries, job_queries  # noqa: F401  (they register)
+from folio.plans.spec import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "chapter_report"
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
