@@ -159,8 +159,8 @@ def n6_coalesce_edits(b):
     return streams.coalesce_edits(rows, "6 hours").withColumn("started", F.unix_millis("burst_start"))
 
 
-def _streamed(b, rows_of, transform, key: list[str], newest: str | None):
-    """Runs a stream over a written copy of the rows with availableNow; the last row per key if it updates."""
+def _streamed(b, rows_of, transform, key: list[str] | None = None):
+    """Runs a stream over a written copy of the rows to its end; with a key, what its last micro-batch said of it."""
     from folio.streaming.session import shared_folder, use_state_store
 
     use_state_store(b.spark)
@@ -169,28 +169,29 @@ def _streamed(b, rows_of, transform, key: list[str], newest: str | None):
     source = b.spark.readStream.schema(rows_of.schema).parquet(f"{at}/in")
 
     def keep(batch, n: int) -> None:
-        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/b={n}")
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
 
-    writer = transform(source).writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").outputMode("update" if newest else "append")
+    writer = transform(source).writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").outputMode("update" if key else "append")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return b.spark.read.parquet(f"{at}/out")
+    out = b.spark.read.parquet(f"{at}/out")
+    return out.join(out.groupBy(*key).agg(F.max("batch").alias("batch")), [*key, "batch"]) if key else out
 
 
 @query("job_id bigint, seq bigint, phase string, progress_current bigint, progress_total bigint", _STATE)
 def n2_stream_job_state(b):
     rows = b.b_events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return _streamed(b, rows, streams.stream_job_state, ["job_id"], "seq")
+    return _streamed(b, rows, streams.stream_job_state, ["job_id"])
 
 
 @query("job_id bigint, place bigint, seq bigint, label string", f"SELECT * FROM ({_FEED}) f WHERE place <= 16")
 def n3_stream_status_feed(b):
     rows = b.b_events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return _streamed(b, rows, streams.stream_status_feed, ["job_id"], "seq")
+    return _streamed(b, rows, streams.stream_status_feed, ["job_id"])
 
 
 @query("page_id bigint, status string, last_error string", f"SELECT page_id, status, last_error FROM ({_OUTCOME}) o WHERE status <> 'open'")
 def n8_stream_attempts(b):
-    return _streamed(b, b.b_attempts, streams.stream_attempts, ["page_id"], None)
+    return _streamed(b, b.b_attempts, streams.stream_attempts)
 
 
 @query("response_id bigint, text string, n_events bigint", "SELECT conv_id AS response_id, trim(string_agg(text, '' ORDER BY turn)) AS text, count(*) + 1 AS n_events FROM conversations GROUP BY 1")
@@ -199,14 +200,14 @@ def n7_stream_assemble_response(b):
     from folio.plans.block_queries import _sse
 
     rows = parse_sse(_sse(b)).select("response_id", "pos", "type", "delta")
-    return _streamed(b, rows, streams.stream_assemble_response, ["response_id"], None)
+    return _streamed(b, rows, streams.stream_assemble_response)
 
 
 @query("job_id bigint, at bigint, level string, message string", "SELECT job_id, epoch_us(ts) // 1000 AS at, 'INFO' AS level, phase AS message FROM b_events")
 def n1_stream_log(b):
     rows = b.b_events
     line = F.concat(F.lit("["), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("] [INFO] "), "phase", F.lit(" "), F.to_json(F.struct("job_id")))
-    out = _streamed(b, rows.select(line.alias("value")), log_rows, ["job_id"], None)
+    out = _streamed(b, rows.select(line.alias("value")), log_rows)
     return out.select(F.try_variant_get(F.try_parse_json("detail_json"), "$.job_id", "bigint").alias("job_id"), F.unix_millis("ts").alias("at"), "level", "message")
 
 

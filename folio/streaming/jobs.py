@@ -1,8 +1,10 @@
 """Streams of job events, response deltas, attempts, edits and page results.
 
 Event time is ts, order is seq.  Rows later than the watermark are dropped by the stateful
-operators; state of a key that has been silent for TTL goes.  Every stream has a batch twin in
-folio.operators with which tests compare it.
+operators.  With ttl_ms (or patience_ms) state that has been silent for so long goes, for which
+the stream must run on processing time and so never ends by itself; without, a stream can be run
+to its end with availableNow.  Every stream has a batch twin in folio.operators with which tests
+compare it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from folio.functions.labels import job_label
 from folio.operators.jobs import CARRIED, FEED, MAX_ATTEMPTS, refresh_events
 
 WATERMARK = "10 minutes"
+#: For streams that run on: a week.
 TTL_MS = 7 * 24 * 3600 * 1000
 EDIT_GAP = "400 milliseconds"
 EVENT = "job_id long, seq int, ts timestamp, phase string, progress_current int, progress_total int"
@@ -28,15 +31,29 @@ def _sorted(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
 
+def _mode(limit_ms: int | None) -> str:
+    return "ProcessingTime" if limit_ms else "None"
+
+
+class _Kept(StatefulProcessor):
+    """Base of processors whose state may have a time to live."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl = ttl_ms
+
+    def close(self) -> None:
+        pass
+
+
 def _or_none(v):
     return None if v is None or v is pd.NaT or v != v else v
 
 
-class JobState(StatefulProcessor):
+class JobState(_Kept):
     """Newest event per job with nullable fields carried forward."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", _STATE, TTL_MS)
+        self.state = handle.getValueState("job", _STATE, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = _sorted(rows, "seq")
@@ -52,20 +69,17 @@ class JobState(StatefulProcessor):
         self.state.update(tuple(now))
         yield pd.DataFrame({"job_id": [key[0]], "seq": [now[0]], "ts": [now[1]], "phase": [now[2]], "progress_current": pd.array([now[3]], "Int32"), "progress_total": pd.array([now[4]], "Int32")})
 
-    def close(self) -> None:
-        pass
-
 
-def stream_job_state(events: DataFrame) -> DataFrame:
+def stream_job_state(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Update stream of each job's latest state (twin: latest_job_state)."""
-    return events.withWatermark("ts", WATERMARK).groupBy("job_id").transformWithStateInPandas(JobState(), EVENT, "Update", "ProcessingTime")
+    return events.withWatermark("ts", WATERMARK).groupBy("job_id").transformWithStateInPandas(JobState(ttl_ms), EVENT, "Update", _mode(ttl_ms))
 
 
-class StatusFeed(StatefulProcessor):
+class StatusFeed(_Kept):
     """Labels that differ from the one before, newest first, at most FEED."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.feed = handle.getListState("feed", "seq int, label string", TTL_MS)
+        self.feed = handle.getListState("feed", "seq int, label string", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         feed = [tuple(x) for x in self.feed.get()] if self.feed.exists() else []
@@ -77,22 +91,20 @@ class StatusFeed(StatefulProcessor):
             self.feed.put(feed)
         yield pd.DataFrame({"job_id": key[0], "place": range(1, len(feed) + 1), "seq": [s for s, _ in feed[::-1]], "label": [t for _, t in feed[::-1]]})
 
-    def close(self) -> None:
-        pass
 
-
-def stream_status_feed(events: DataFrame) -> DataFrame:
+def stream_status_feed(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Update stream of each job's feed (twin: status_feed)."""
     none = F.lit(None).cast("int")
     has = lambda c: F.col(c) if c in events.columns else none
     rows = events.withWatermark("ts", WATERMARK).select("job_id", "seq", job_label(F.col("phase"), F.lit(None).cast("string"), *[has(c) for c in CARRIED[2:]]).alias("label"))
-    return rows.groupBy("job_id").transformWithStateInPandas(StatusFeed(), "job_id long, place int, seq int, label string", "Update", "ProcessingTime")
+    return rows.groupBy("job_id").transformWithStateInPandas(StatusFeed(ttl_ms), "job_id long, place int, seq int, label string", "Update", _mode(ttl_ms))
 
 
-class Response(StatefulProcessor):
+class Response(_Kept):
     """Deltas of a response until its end; silent responses are given up by a timer."""
 
-    def __init__(self, patience_ms: int):
+    def __init__(self, patience_ms: int | None):
+        super().__init__(None)
         self.patience = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -116,7 +128,8 @@ class Response(StatefulProcessor):
             yield pd.DataFrame({"response_id": [key[0]], "text": [text.strip()], "n_events": [n], "error": [None if text.strip() else "Model returned an empty response."]})
         else:
             self.count.update((n, ended))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+            if self.patience:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.count.exists():
@@ -125,23 +138,21 @@ class Response(StatefulProcessor):
             self.count.clear()
             yield pd.DataFrame({"response_id": [key[0]], "text": [""], "n_events": [n], "error": ["abandoned"]})
 
-    def close(self) -> None:
-        pass
-
 
-def stream_assemble_response(events: DataFrame, patience_ms: int = 600_000) -> DataFrame:
+def stream_assemble_response(events: DataFrame, patience_ms: int | None = None) -> DataFrame:
     """(response_id, pos from 0, type, delta) -> finished responses (twin: assemble_response)."""
-    return events.groupBy("response_id").transformWithStateInPandas(Response(patience_ms), "response_id long, text string, n_events int, error string", "Append", "ProcessingTime")
+    return events.groupBy("response_id").transformWithStateInPandas(Response(patience_ms), "response_id long, text string, n_events int, error string", "Append", _mode(patience_ms))
 
 
-class Attempts(StatefulProcessor):
+class Attempts(_Kept):
     """A page's outcome, once: at its first success or when its last attempt has failed."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, ttl_ms: int | None = None):
+        super().__init__(ttl_ms)
         self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n int, last int, message string, done boolean", TTL_MS)
+        self.seen = handle.getValueState("seen", "n int, last int, message string, done boolean", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, last, message, done = self.seen.get() if self.seen.exists() else (0, 0, None, False)
@@ -156,13 +167,10 @@ class Attempts(StatefulProcessor):
         if out:
             yield pd.DataFrame([out], columns=["page_id", "status", "last_error"])
 
-    def close(self) -> None:
-        pass
-
 
-def stream_attempts(attempts: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
+def stream_attempts(attempts: DataFrame, most: int = MAX_ATTEMPTS, ttl_ms: int | None = None) -> DataFrame:
     """(page_id, attempt, ok, message) -> settled pages (twin: attempt_outcome)."""
-    return attempts.groupBy("page_id").transformWithStateInPandas(Attempts(most), "page_id long, status string, last_error string", "Append", "ProcessingTime")
+    return attempts.groupBy("page_id").transformWithStateInPandas(Attempts(most, ttl_ms), "page_id long, status string, last_error string", "Append", _mode(ttl_ms))
 
 
 def coalesce_edits(edits: DataFrame, gap: str = EDIT_GAP) -> DataFrame:
