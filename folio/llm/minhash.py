@@ -115,37 +115,84 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return tx.kept_safe(full.mapInArrow(_confirm(percent), "u long, v long"))
 
 
+def _places(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, s in zip(batch.column(0).cast(pa.int64()).to_pylist(), shingle_sets(batch.column(1), width)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), d, np.int64)), pa.array(s.view(np.int64))], ["doc", "shingle"])
+
+    return run
+
+
 def grouped(entries: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Of (doc, band): those whose band another document has too, with the band's smallest document and the size (doc, n_shingles)."""
-    shared = entries.groupBy("band").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head < tail").select("band", "head")
-    return tx.kept_safe(entries.join(shared, "band").join(sizes, "doc").select("band", "head", "doc", "n_shingles"))
+    """Of (doc, band) those whose band another document has too: band, doc, n_shingles, weight.
+
+    A document's weight is the size of all its groups together; the text that others are versions
+    of has the largest, as each version leaves some groups.
+    """
+    shared = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    found = tx.kept_safe(entries.join(shared, "band"))
+    weight = found.groupBy("doc").agg(F.sum("size").alias("weight")).join(sizes, "doc")
+    return tx.kept_safe(found.select("band", "doc").join(weight, "doc"))
+
+
+def first_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """One pair (u, v) for each document that is not the heaviest of all its groups: with the heaviest head it meets."""
+    best = F.max(F.struct("weight", (-F.col("doc")).alias("d"), "n_shingles"))
+    heads = members.groupBy("band").agg(best.alias("h")).select("band", F.col("h.weight").alias("wu"), (-F.col("h.d")).alias("u"), F.col("h.n_shingles").alias("nu"))
+    met = members.join(heads, "band").where("doc <> u").where(_fits(percent))
+    top = met.groupBy(F.col("doc").alias("v")).agg(F.max(F.struct("wu", (-F.col("u")).alias("d"))).alias("h"))
+    return top.select((-F.col("h.d")).alias("u"), "v")
+
+
+def _fits(percent: int) -> str:
+    return f"100 * least(n_shingles, nu) >= {percent} * greatest(n_shingles, nu)"
 
 
 def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of the groups that the links leave in more than one component, with their component."""
     label = components(links).select(F.col("node").alias("doc"), "component")
-    named = members.join(label, "doc", "left").select("band", "doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
+    named = members.drop("component").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     return tx.kept_safe(named.join(split, "band"))
 
 
+def linkable(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """members with reach, the number of a document's shingles that any other member has; those whose reach is too small go.
+
+    What two documents share is at most the smaller reach, so a document with more shingles of its
+    own than the threshold allows has no link, and no pair of it is ever looked at.
+    """
+    ids = tx.kept_safe(members.select(F.col("doc").alias("doc_id")).distinct())
+    places = tx.pick(docs, ids, "doc_id").mapInArrow(_places(width), "doc long, shingle long")
+    own = places.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc = other").groupBy("doc").agg(F.count("*").alias("own"))
+    rows = members.join(own, "doc", "left").withColumn("reach", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own")
+    return tx.kept_safe(rows.where(f"100 * reach >= {percent} * n_shingles"))
+
+
 def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """links and those among members that connect what was not connected yet.
 
     In a star round a group's members meet one head, another each round, so a round is linear in
     the members.  What is still unconnected inside a group is compared last.
     """
-    fits = f"100 * least(n_shingles, nu) >= {percent} * greatest(n_shingles, nu)"
     named = open_members(members, links)
+    if named.isEmpty():
+        return links
+    members = linkable(named, docs, width, percent)
+    named = open_members(members, links)
+    shared = "least(reach, ru)"
+    fits = f"100 * {shared} >= {percent} * (n_shingles + nu - {shared})"
     for step in range(STAR_ROUNDS + 1):
         if named.isEmpty():
             break
         star = step < STAR_ROUNDS
+        mine = [F.col("doc").alias("u"), F.col("n_shingles").alias("nu"), F.col("component").alias("cu"), F.col("reach").alias("ru")]
         if star:
-            order = F.struct(F.xxhash64("doc", F.lit(step)).alias("h"), F.col("doc").alias("u"), F.col("n_shingles").alias("nu"), F.col("component").alias("cu"))
-            heads = named.groupBy("band").agg(F.min(order).alias("head")).select("band", "head.u", "head.nu", "head.cu")
+            order = F.struct(F.xxhash64("doc", F.lit(step)).alias("h"), *mine)
+            heads = named.groupBy("band").agg(F.min(order).alias("head")).select("band", "head.u", "head.nu", "head.cu", "head.ru")
         else:
-            heads = named.select("band", F.col("doc").alias("u"), F.col("n_shingles").alias("nu"), F.col("component").alias("cu"))
+            heads = named.select("band", *mine)
         cross = named.join(heads, "band").where("component <> cu" if star else "component < cu").where(fits)
         cross = cross.select(F.least("u", "doc").alias("u"), F.greatest("u", "doc").alias("v")).distinct()
         fresh = tx.kept_safe(cross.join(tried, ["u", "v"], "left_anti"))
@@ -163,9 +210,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     class_id is the smallest doc_id with the same shingle set, component_id the smallest doc_id
     reachable over links of Jaccard similarity of percent/100 or more.
 
-    Work inside a candidate group is linear: every member meets a head, and later rounds only pair
-    members that are not connected yet, so a group of copies of any size never becomes all its
-    pairs.  Groups and classes are found by aggregates that combine before the
+    Work inside a candidate group is linear: every member meets a head (the text that the others
+    are versions of), members with too many shingles of their own leave, and later rounds only
+    pair members that are not connected yet, so a group of versions never becomes all its pairs.
+    Groups and classes are found by aggregates that combine before the
     shuffle; the joins back to them are plain sort-merge joins that AQE splits on hot keys.
     """
     tx.small_batches(docs.sparkSession)
@@ -176,10 +224,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     doc = F.col("class_id").alias("doc")
     members = grouped(classes.select(doc, F.explode("bands").alias("band")), classes.select(doc, "n_shingles"))
-    size_of = classes.select(F.col("class_id").alias("u"), F.col("n_shingles").alias("nu"))
-    # First every document meets the smallest head of all its groups: one pair for each.
-    pairs = members.where("doc <> head").groupBy(F.col("doc").alias("v")).agg(F.min("head").alias("u"), F.first("n_shingles").alias("n_shingles"))
-    pairs = tx.kept_safe(pairs.join(size_of, "u").where(f"100 * least(n_shingles, nu) >= {percent} * greatest(n_shingles, nu)").select("u", "v"))
+    pairs = first_pairs(members, percent)
+    pairs = tx.kept_safe(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     links = confirmed(pairs, docs, shingle_words, percent)
     links = settle(members, links, pairs, docs, shingle_words, percent)
 

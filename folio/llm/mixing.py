@@ -14,11 +14,9 @@ and a hash; extra columns are kept by `mix_rows`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm._text import kept_safe
@@ -105,9 +103,8 @@ def _land(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 _ROW = "row_id long, doc_id long, source string, size long, tie long, p double, spread long"
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumn("_size", size)
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def copies(rows: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -155,8 +152,7 @@ def _fly_n(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """Narrow rows with a row_id that no other row has: doc_id's order, repeated rows counted on."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("crc"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("crc"))
     return kept_safe(rows.withColumn("row_id", F.monotonically_increasing_id()))
 
 
@@ -171,10 +167,13 @@ def mix_rows(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHT
 
     Rows of one doc_id, source and size are alike to the method; they share their copies evenly.
     """
-    key = ["_d", "_s", "_z"]
-    taken = copies(_numbered(docs), seed, weights).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_s"), F.col("size").alias("_z")).agg(F.sum("n_copies").alias("_c"), F.count("*").alias("_n"))
-    rows = _sized(docs).withColumn("_d", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))).withColumn("_z", F.col("_size"))
-    both = rows.join(taken, key)
-    once = both.where("_n = 1").withColumn("_k", F.col("_c"))
-    again = both.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns)))).withColumn("_k", F.floor(F.col("_c") * F.col("_r") / F.col("_n")) - F.floor(F.col("_c") * (F.col("_r") - 1) / F.col("_n"))).drop("_r")
-    return once.unionByName(again).withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_k"), F.lit(1))))).where("_i <= _k").select(*docs.columns)
+    key = ["d", "s", "z"]
+    as_key = lambda doc_id, source, size: [F.coalesce(doc_id.cast("long").cast("string"), F.lit("")).alias("d"), F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("")).alias("s"), size.alias("z")]
+    mix = copies(_numbered(docs), seed, weights)
+    taken = mix.select(*as_key(F.col("doc_id"), F.col("source"), F.col("size")), "n_copies").groupBy(*key).agg(F.sum("n_copies").alias("c"), F.count("*").alias("n"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *as_key(F.col("doc_id"), F.col("source"), _size()))
+    both = rows.join(taken.where("c > 0"), key)
+    once = both.where("n = 1").select("row", F.col("c").alias("k"))
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row")))
+    again = both.where("n > 1").withColumn("r", turn).select("row", (F.floor(F.col("c") * F.col("r") / F.col("n")) - F.floor(F.col("c") * (F.col("r") - 1) / F.col("n"))).alias("k"))
+    return once.unionByName(again).where("k > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k").cast("long")))).select("row.*")

@@ -65,10 +65,10 @@ def _place(seed: int):
     return place
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _measures() -> list:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD_BYTES
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
-    return docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_size", size).withColumn("_crc", crc)
+    return [F.col("doc_id").cast("long").alias("_id"), size.alias("_size"), crc.alias("_crc")]
 
 
 def _shard(place: str, shards: int):
@@ -80,13 +80,12 @@ def assign(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
 
     The text is read for its size and checksum where it lies and never shuffled.
     """
-    rows = _sized(docs.select("doc_id", "text")).select("_id", "_size", "_crc")
-    at = numbered(rows, "_id", "_crc", "_size").withColumn("_place", _place(seed)("row_no", "n_rows"))
+    at = numbered(docs.select(*_measures()), "_id", "_crc", "_size").withColumn("_place", _place(seed)("row_no", "n_rows"))
     return at.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"), *_shard("_place", shards), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
     """docs with shard and slot (columns of those names are replaced); every row, repeated ones too, has a slot of its own."""
-    names = [c for c in docs.columns if c not in ("shard", "slot", "row_no", "n_rows")]
-    at = numbered(_sized(docs.select(*names)), "_id", "_crc", "_size").withColumn("_place", _place(seed)("row_no", "n_rows"))
-    return at.select(*names, *_shard("_place", shards))
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    at = numbered(docs.select(F.struct(*names).alias("row"), *_measures()), "_id", "_crc", "_size").withColumn("_place", _place(seed)("row_no", "n_rows"))
+    return at.select("row.*", *_shard("_place", shards))
