@@ -24,7 +24,8 @@ WATERMARK = "10 minutes"
 TTL_MS = 7 * 24 * 3600 * 1000
 EDIT_GAP = "400 milliseconds"
 EVENT = "job_id long, seq int, ts timestamp, phase string, progress_current int, progress_total int"
-_STATE = "seq int, ts timestamp, phase string, progress_current int, progress_total int"
+#: Each nullable field with the seq of the event that brought it, so that late events within a job change nothing newer.
+_STATE = "seq int, ts timestamp, phase string, progress_current int, current_seq int, progress_total int, total_seq int"
 
 
 def _sorted(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
@@ -57,17 +58,16 @@ class JobState(_Kept):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = _sorted(rows, "seq")
-        now = list(self.state.get()) if self.state.exists() else [-1, None, None, None, None]
+        now = list(self.state.get()) if self.state.exists() else [-1, None, None, None, -1, None, -1]
         for r in new.itertuples():
-            newer = r.seq > now[0]
-            if newer:
+            if r.seq > now[0]:
                 now[:3] = [int(r.seq), r.ts, r.phase]
-            for k, c in ((3, "progress_current"), (4, "progress_total")):
+            for k, c in ((3, "progress_current"), (5, "progress_total")):
                 v = _or_none(getattr(r, c))
-                if v is not None and (newer or now[k] is None):
-                    now[k] = int(v)
+                if v is not None and r.seq > now[k + 1]:
+                    now[k : k + 2] = [int(v), int(r.seq)]
         self.state.update(tuple(now))
-        yield pd.DataFrame({"job_id": [key[0]], "seq": [now[0]], "ts": [now[1]], "phase": [now[2]], "progress_current": pd.array([now[3]], "Int32"), "progress_total": pd.array([now[4]], "Int32")})
+        yield pd.DataFrame({"job_id": [key[0]], "seq": [now[0]], "ts": [now[1]], "phase": [now[2]], "progress_current": pd.array([now[3]], "Int32"), "progress_total": pd.array([now[5]], "Int32")})
 
 
 def stream_job_state(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
