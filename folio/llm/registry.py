@@ -75,4 +75,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_licenses, op4_sharding, op5_quality, op6_chat, op7_mixing, op8_tokens, op9_decontamination, op10_langid)}
-ORACLE_SQL: dict[str, str] = {}
+# The same escape without look-ahead: control strings never overlap, so taking one whole is alike.
+_ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(/?(?:INST\]|SYS\]|TURN\]|s>)|\+\]|:\])', '\1\\\2', 'g')"
+_BY = "PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text"
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat": f"""
+WITH said AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+clean AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM said),
+placed AS (SELECT *, length({_ESCAPED.format("text")}) AS n, length({_ESCAPED.format("role")}) AS m, lag(role) OVER ({_BY}) AS before, lead(role) OVER ({_BY}) AS after FROM clean),
+read_ AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS learned,
+  sum(n + CASE WHEN before IS DISTINCT FROM role THEN CASE role WHEN 'system' THEN 5 WHEN 'user' THEN 6 WHEN 'assistant' THEN 3 ELSE 9 + m END ELSE 3 END
+    + CASE WHEN after IS DISTINCT FROM role THEN CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 7 WHEN 'assistant' THEN 4 ELSE 7 END ELSE 0 END) AS formatted_chars
+  FROM placed GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars FROM read_""",
+}
