@@ -29,6 +29,8 @@ from folio.llm._graph import components
 BANDS, ROWS = 56, 7
 #: log2 of the ring's size. Places that two shingles share only cost a needless confirmation.
 RING_BITS = 21
+#: A shingle that so many open members have at most is rare.
+RARE = 8
 #: Star rounds over candidate groups before what is still unconnected in a group is compared directly.
 STAR_ROUNDS = 2
 
@@ -157,17 +159,28 @@ def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
     return tx.kept_safe(named.join(split, "band"))
 
 
-def linkable(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """members with reach, the number of a document's shingles that any other member has; those whose reach is too small go.
+def linkable(members: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members with reach, without those that cannot reach; pairs that share rare shingles and may link).
 
-    What two documents share is at most the smaller reach, so a document with more shingles of its
-    own than the threshold allows has no link, and no pair of it is ever looked at.
+    A shingle is rare if at most RARE members have it, and a member's reach is the number of its
+    shingles that are not.  Two members that share no rare shingle share at most the smaller
+    reach; those that do share some are found by the shingle itself, in groups of at most RARE.
+    So members changed in too many places leave, and no pair of them is ever looked at.
     """
-    ids = tx.kept_safe(members.select(F.col("doc").alias("doc_id")).distinct())
-    places = tx.pick(docs, ids, "doc_id").mapInArrow(_places(width), "doc long, shingle long")
-    own = places.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc = other").groupBy("doc").agg(F.count("*").alias("own"))
-    rows = members.join(own, "doc", "left").withColumn("reach", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own")
-    return tx.kept_safe(rows.where(f"100 * reach >= {percent} * n_shingles"))
+    about = members.select("doc", "n_shingles", "component").distinct()
+    ids = tx.kept_safe(about.select(F.col("doc").alias("doc_id")))
+    places = tx.pick(docs, ids, "doc_id").mapInArrow(_places(width), "doc long, shingle long").distinct()
+    rare = places.join(places.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "shingle")
+    rare = tx.kept_safe(rare)
+    own = rare.groupBy("doc").agg(F.count("*").alias("own"))
+    about = tx.kept_safe(about.join(own, "doc", "left").withColumn("reach", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"))
+    some = rare.where("n > 1").select("doc", "shingle")
+    pairs = some.select("shingle", F.col("doc").alias("u")).join(some.select("shingle", F.col("doc").alias("v")), "shingle").where("u < v").groupBy("u", "v").agg(F.count("*").alias("met"))
+    side = lambda k: about.select(F.col("doc").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("reach").alias(f"r{k}"), F.col("component").alias(f"c{k}"))
+    may = f"100 * (least(ru, rv) + met) >= {percent} * (nu + nv - least(ru, rv) - met)"
+    pairs = pairs.join(side("u"), "u").join(side("v"), "v").where("cu <> cv").where(may).select("u", "v")
+    kept = members.join(about.select("doc", "reach"), "doc").where(f"100 * reach >= {percent} * n_shingles")
+    return tx.kept_safe(kept), tx.kept_safe(pairs)
 
 
 def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -179,7 +192,10 @@ def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFra
     named = open_members(members, links)
     if named.isEmpty():
         return links
-    members = linkable(named, docs, width, percent)
+    members, fresh = linkable(named, docs, width, percent)
+    fresh = tx.kept_safe(fresh.join(tried, ["u", "v"], "left_anti"))
+    tried = tried.unionByName(fresh)
+    links = tx.kept_safe(links.unionByName(confirmed(fresh, docs, width, percent)))
     named = open_members(members, links)
     shared = "least(reach, ru)"
     fits = f"100 * {shared} >= {percent} * (n_shingles + nu - {shared})"
