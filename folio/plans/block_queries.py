@@ -241,14 +241,19 @@ def k11_vertical_fit(b):
 
 
 _QA = f"SELECT *, greatest(1.0, greatest(1.0, rw - pad * 2 - 2) - 20) AS iw, greatest(1.0, greatest(1.0, rh - pad * 2 - 2) - 20) AS ih FROM (SELECT *, {_PAD} AS pad FROM ({_RECT}) r) r2"
-_FITS = "greatest(1, ceil(length(ko) / greatest(1, floor(ih / greatest(f, f * 1.18))))) * (f * 1.15) <= iw"
+_FITS = "greatest(1, ceil(length(ko) / greatest(1, floor(ih / greatest(f, f * 1.18e0))))) * (f * 1.15e0) <= iw"
 
 
-@query("block_id string, font_px bigint, overflow boolean, padding bigint", f"""SELECT block_id, font_px, NOT {_FITS.replace('f *', 'font_px *').replace('greatest(f,', 'greatest(font_px,')} AS overflow, pad AS padding FROM (
-SELECT q0.*, coalesce((SELECT max(f) FROM (SELECT unnest(generate_series(2, 256)) AS f) s WHERE f <= greatest(2, floor(least(256.0, greatest(greatest(2.0, iw), greatest(ih, floor(20 * least(800.0 / width, 1200.0 / height))))))) AND {_FITS}), 2) AS font_px
-FROM (SELECT *, CAST(page_id AS VARCHAR) || '-' || CAST(id AS VARCHAR) AS block_id FROM ({_QA}) r3) q0) q""")
+def _bisection() -> str:
+    sql = f"SELECT CAST(page_id AS VARCHAR) || '-' || CAST(id AS VARCHAR) AS block_id, ko, iw, ih, pad, CAST(2 AS BIGINT) AS lo, CAST(greatest(2, floor(least(256.0, greatest(greatest(2.0, iw), greatest(ih, floor(20 * least(800.0 / width, 1200.0 / height))))))) AS BIGINT) AS hi, CAST(2 AS BIGINT) AS best FROM ({_QA}) r3"
+    for _ in range(8):
+        sql = f"SELECT block_id, ko, iw, ih, pad, CASE WHEN lo <= hi AND ok THEN f + 1 ELSE lo END AS lo, CASE WHEN lo <= hi AND NOT ok THEN f - 1 ELSE hi END AS hi, CASE WHEN lo <= hi AND ok THEN f ELSE best END AS best FROM (SELECT *, {_FITS} AS ok FROM (SELECT *, (lo + hi) // 2 AS f FROM ({sql}) a) b) c"
+    return f"SELECT block_id, best AS font_px, NOT {_FITS.replace('f *', 'best *').replace('greatest(f,', 'greatest(best,')} AS overflow, pad AS padding FROM ({sql}) q"
+
+
+@query("block_id string, font_px bigint, overflow boolean, padding bigint", _bisection())
 def k12_layout_vertical(b):
-    """Fit is monotone in the font here, so the bisection must find the largest of all fonts."""
+    """Fit is not monotone in the font (columns are whole), so the SQL takes the same eight steps."""
     return layout.layout_qa(_qa_blocks(b, "vertical"), 800, 1200)
 
 
