@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch that carries whole texts, and bytes of text handled at once in a task.
 TEXT_BATCH_ROWS = 1000
 CHUNK_BYTES = 1 << 20
+#: Rows of a few numbers each that one task takes on: rounds over small tables need few tasks and files.
+ROWS_PER_TASK = 200_000
 #: A broadcast is only made of at most so many 8-byte ids, after counting them.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -153,6 +155,12 @@ def kept_safe(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """kept_safe() of a table of a few numbers a row, read again in as many tasks as its rows fill."""
+    kept = kept_safe(df)
+    return kept.coalesce(kept.count() // ROWS_PER_TASK + 1)
+
+
 def pick(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of docs whose key is (or, with left_anti, is not) among ids (one column, that key).
 

@@ -114,7 +114,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     sets = tx.kept_safe(tx.pick(docs, ids, "doc_id").mapInArrow(_sets(width), "doc_id long, shingles binary"))
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "uv")
     full = pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv")
-    return tx.kept_safe(full.mapInArrow(_confirm(percent), "u long, v long"))
+    return tx.narrow(full.mapInArrow(_confirm(percent), "u long, v long"))
 
 
 def _places(width: int):
@@ -133,9 +133,9 @@ def grouped(entries: DataFrame, sizes: DataFrame) -> DataFrame:
     of has the largest, as each version leaves some groups.
     """
     shared = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    found = tx.kept_safe(entries.join(shared, "band"))
+    found = tx.narrow(entries.join(shared, "band"))
     weight = found.groupBy("doc").agg(F.sum("size").alias("weight")).join(sizes, "doc")
-    return tx.kept_safe(found.select("band", "doc").join(weight, "doc"))
+    return tx.narrow(found.select("band", "doc").join(weight, "doc"))
 
 
 def first_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -156,7 +156,7 @@ def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
     label = components(links).select(F.col("node").alias("doc"), "component")
     named = members.drop("component").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    return tx.kept_safe(named.join(split, "band"))
+    return tx.narrow(named.join(split, "band"))
 
 
 def linkable(members: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -168,19 +168,18 @@ def linkable(members: DataFrame, docs: DataFrame, width: int, percent: int) -> t
     So members changed in too many places leave, and no pair of them is ever looked at.
     """
     about = members.select("doc", "n_shingles", "component").distinct()
-    ids = tx.kept_safe(about.select(F.col("doc").alias("doc_id")))
+    ids = tx.narrow(about.select(F.col("doc").alias("doc_id")))
     places = tx.pick(docs, ids, "doc_id").mapInArrow(_places(width), "doc long, shingle long").distinct()
-    rare = places.join(places.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "shingle")
-    rare = tx.kept_safe(rare)
-    own = rare.groupBy("doc").agg(F.count("*").alias("own"))
-    about = tx.kept_safe(about.join(own, "doc", "left").withColumn("reach", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"))
-    some = rare.where("n > 1").select("doc", "shingle")
+    counts = places.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
+    some = tx.narrow(places.join(counts.where(F.col("n").between(2, RARE)).select("shingle"), "shingle"))
+    own = counts.where("n = 1").select("doc").unionByName(some.select("doc")).groupBy("doc").agg(F.count("*").alias("own"))
+    about = tx.narrow(about.join(own, "doc", "left").withColumn("reach", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"))
     pairs = some.select("shingle", F.col("doc").alias("u")).join(some.select("shingle", F.col("doc").alias("v")), "shingle").where("u < v").groupBy("u", "v").agg(F.count("*").alias("met"))
     side = lambda k: about.select(F.col("doc").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("reach").alias(f"r{k}"), F.col("component").alias(f"c{k}"))
     may = f"100 * (least(ru, rv) + met) >= {percent} * (nu + nv - least(ru, rv) - met)"
     pairs = pairs.join(side("u"), "u").join(side("v"), "v").where("cu <> cv").where(may).select("u", "v")
     kept = members.join(about.select("doc", "reach"), "doc").where(f"100 * reach >= {percent} * n_shingles")
-    return tx.kept_safe(kept), tx.kept_safe(pairs)
+    return tx.narrow(kept), tx.narrow(pairs)
 
 
 def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -193,9 +192,9 @@ def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFra
     if named.isEmpty():
         return links
     members, fresh = linkable(named, docs, width, percent)
-    fresh = tx.kept_safe(fresh.join(tried, ["u", "v"], "left_anti"))
+    fresh = tx.narrow(fresh.join(tried, ["u", "v"], "left_anti"))
     tried = tried.unionByName(fresh)
-    links = tx.kept_safe(links.unionByName(confirmed(fresh, docs, width, percent)))
+    links = tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))
     named = open_members(members, links)
     shared = "least(reach, ru)"
     fits = f"100 * {shared} >= {percent} * (n_shingles + nu - {shared})"
@@ -211,11 +210,11 @@ def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFra
             heads = named.select("band", *mine)
         cross = named.join(heads, "band").where("component <> cu" if star else "component < cu").where(fits)
         cross = cross.select(F.least("u", "doc").alias("u"), F.greatest("u", "doc").alias("v")).distinct()
-        fresh = tx.kept_safe(cross.join(tried, ["u", "v"], "left_anti"))
+        fresh = tx.narrow(cross.join(tried, ["u", "v"], "left_anti"))
         if fresh.isEmpty():
             continue
         tried = tried.unionByName(fresh)
-        links = tx.kept_safe(links.unionByName(confirmed(fresh, docs, width, percent)))
+        links = tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))
         named = open_members(members, links)
     return links
 
@@ -241,7 +240,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     doc = F.col("class_id").alias("doc")
     members = grouped(classes.select(doc, F.explode("bands").alias("band")), classes.select(doc, "n_shingles"))
     pairs = first_pairs(members, percent)
-    pairs = tx.kept_safe(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    pairs = tx.narrow(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     links = confirmed(pairs, docs, shingle_words, percent)
     links = settle(members, links, pairs, docs, shingle_words, percent)
 
