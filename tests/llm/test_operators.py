@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, shard string, _size int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,11 +140,13 @@ def test_severity(spark, docs, empty, labels):
     low, high = (np.mean([got[k].severity for k in range(0, 600, 5) if k % 4 == n]) for n in (0, 3))
     assert 0 < low < high <= 3
     assert {r.doc_id for r in drop_toxic(d, m).collect()} == {k for k, r in got.items() if not r.toxic}
-    odd = spark.createDataFrame([(1, None, 1), (None, "grumph blarg snotling vexor", 2), (2, "", 3), (2, "", 3), (3, "...", 4)], "doc_id long, text string, row int")
-    out = severity(odd, m).collect()
+    # Odd rows beside the labelled ones that the model is fitted on.
+    odd = spark.createDataFrame([(9001, None, 1), (None, "grumph blarg snotling vexor", 2), (9002, "", 3), (9002, "", 3), (9003, "...", 4)], "doc_id long, text string, row int")
+    both = odd.unionByName(d.withColumn("row", F.lit(0)))
+    out = [r for r in severity(both, m).collect() if r.doc_id is None or r.doc_id > 9000]
     assert len(out) == 5 and [r.severity for r in out if r.doc_id is not None] == [0.0] * 4 and [r.toxic for r in out if r.doc_id is None] == [True]
-    kept = drop_toxic(odd, m)
-    assert kept.columns == odd.columns and kept.count() == 4
+    kept = drop_toxic(both, m)
+    assert kept.columns == odd.columns and kept.where("row > 0").count() == 4
     assert severity(empty, m).count() == 0 and drop_toxic(empty, m).count() == 0
     one = m.where("toxic = 0")
     assert severity(docs, one).where("toxic").count() == 0 and drop_toxic(docs, one).count() == docs.count()
@@ -327,7 +330,7 @@ def test_tokens_match_the_library(spark, docs, empty):
     assert token_counts(docs, path).count() == docs.count() and token_counts(empty, path).count() == 0
 
 
-BENCH = [(1, "Anna bought 12 apples and gave 5 apples to her brother before walking 3 km back home with Anna alone"), (2, "plain words of an item that has nothing special in it but is long enough to count here"), (3, None), (4, ""), (5, "one two three"), (None, "no id at all for this item of the benchmark table here")]
+BENCH = [(1, "yesterday Anna bought 12 apples and gave 5 apples to her brother before walking 3 km back home with Anna alone"), (2, "plain words of an item that has nothing special in it but is long enough to count here"), (3, None), (4, ""), (5, "one two three"), (None, "no id at all for this item of the benchmark table here")]
 
 
 def test_decontamination(spark, docs, empty):
@@ -337,8 +340,8 @@ def test_decontamination(spark, docs, empty):
     pad = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "velit"]) + rng.choice("abcdef") for _ in range(50))
     data = [
         (1, f"{pad()} {BENCH[0][1]} {pad()}"),  # as it is
-        (2, f"{pad()} Greg bought 40 apples and gave 17 apples to her brother before walking 9 km back home with Greg alone {pad()}"),  # other values
-        (3, f"{pad()} said Greg bought 40 apples and gave 17 apples to her brother before walking 9 km back home with Dora alone {pad()}"),  # slots that disagree
+        (2, f"{pad()} yesterday Greg bought 40 apples and gave 17 apples to her brother before walking 9 km back home with Greg alone {pad()}"),  # other values
+        (3, f"{pad()} yesterday Greg bought 40 apples and gave 17 apples to her brother before walking 9 km back home with Dora alone {pad()}"),  # slots that disagree
         (4, pad()), (5, None), (6, ""), (7, BENCH[1][1].upper()), (8, "plain words of an item"), (9, "7 8 9 10 11 12 13 14 15 16"), (None, BENCH[1][1]),
     ]
     d = spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, item_id int")
@@ -372,4 +375,4 @@ def test_language(spark, docs, empty):
     held = [r for r in got if r.held_out and r.doc_id < 900]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98
     assert {r.lang_pred for r in identify(docs).collect()} == {"en", "und"}
-    assert identify(empty).count() == 0 and {r.lang_pred for r in identify(docs.withColumn("lang", docs.lang.substr(99, 1).cast("int").cast("string"))).collect()} == {"und"}
+    assert identify(empty).count() == 0 and {r.lang_pred for r in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
