@@ -32,13 +32,12 @@ def _records(b):
 
 
 def _json_replies(b, route: str):
-    """JSON replies of the items: plain, fenced with a trailing comma, or with broken quotes, by page."""
-    i = b.b_items.where("page_id % 3 = " + {"plain": "0", "comma": "1", "broken": "2"}[route])
+    """JSON replies of every page's items in one form: plain, fenced with a trailing comma, or with broken quotes."""
     s = lambda c: F.col(c).cast("string")
     box = F.concat(F.lit('"bbox": {"x": '), s("x"), F.lit(', "y": '), s("y"), F.lit(', "w": '), s("w"), F.lit(', "h": '), s("h"), F.lit("}"))
     key = '"id: ' if route == "broken" else '"id": '
     item = F.concat(F.lit("{" + key), s("item_ord"), F.lit(', "type": "'), F.col("type"), F.lit('", '), box, F.lit(', "jp": "'), F.col("jp"), F.lit('", "ko": "'), F.col("ko"), F.lit('"}'))
-    rows = i.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_ord", item.alias("t")))), lambda x: x["t"]), ",\n").alias("t"))
+    rows = b.b_items.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_ord", item.alias("t")))), lambda x: x["t"]), ",\n").alias("t"))
     wrap = {"plain": F.concat(F.lit('{"items": ['), F.col("t"), F.lit("]}")), "comma": F.concat(F.lit("Sure:\n```json\n["), F.col("t"), F.lit(",]\n```\n")), "broken": F.concat(F.lit('{"items": ['), F.col("t"), F.lit(",]}"))}
     return rows.select("page_id", wrap[route].alias("text"))
 
@@ -74,14 +73,15 @@ def c5_normalize_items(b):
 
 @query(_ITEM_COLS, f"SELECT * FROM ({_ITEMS}) i")
 def c6_parse_replies(b):
-    """Every form of reply in one table: clean JSON, fenced with trailing commas, and broken."""
-    texts = _json_replies(b, "plain").unionByName(_json_replies(b, "comma")).unionByName(_json_replies(b, "broken"))
+    """Every form of reply in one table, by page: clean JSON, fenced with trailing commas, and broken."""
+    plain, comma, broken = [_json_replies(b, route).where(f"page_id % 3 = {k}") for k, route in enumerate(("plain", "comma", "broken"))]
+    texts = plain.unionByName(comma).unionByName(broken)
     return _flat(rep.parse_replies(texts, "page_id")[0])
 
 
 @query("page_id bigint, error string", "SELECT DISTINCT page_id, 'Failed to find a parseable structured payload in the model output.' AS error FROM b_items WHERE page_id % 3 = 0")
 def c6_parse_errors(b):
-    return rep.parse_replies(b("SELECT DISTINCT page_id, 'no answer here' AS text FROM b_items WHERE page_id % 3 = 0"), "page_id")[1]
+    return rep.parse_replies(b("SELECT DISTINCT page_id, 'no answer here' AS text FROM b_items"), "page_id")[1]
 
 
 @query("conv_id bigint, turn bigint, answer string", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN trim(text) || chr(10) || role ELSE trim(text) END AS answer FROM conversations")
