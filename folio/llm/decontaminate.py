@@ -6,7 +6,8 @@ benchmark's items; along each alignment of a document with an item the values in
 map one to one, so the same question with other values is found and a mere likeness is not.
 
 A document is contaminated by an item when consistent windows cover 80 % of the item's words, or
-RUN words of it.  Windows of mostly placeholders prove nothing and are not used.
+RUN words of it.  Windows of mostly placeholders prove nothing unless their values agree too, so
+they are joined with their values.
 
 Defined results: null or short texts match nothing; items shorter than a window are one window of
 their own length if they have WINDOW - 2 words, else nothing; repeated rows share their doc_id's
@@ -16,6 +17,8 @@ benchmark matches nothing; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,38 +49,55 @@ def _word_hash(w: Column) -> Column:
     return F.xxhash64(F.when(w < "\u0004", F.substring(w, 1, 1)).otherwise(w))
 
 
-def template_windows(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, pos (0-based), template (hash of WINDOW canonical words), slots (their values, null if none)."""
+def template_windows(rows: DataFrame, key: str, text: str = "text", short: tuple[int, ...] = ()) -> DataFrame:
+    """key, pos (0-based), width, template (hash of the canonical words), slots (their values, null if none).
+
+    Windows have WINDOW words, and all of them also each width in short.  The template of a window
+    with fewer than MIN_LITERALS literals holds the values of its slots as well.
+    """
     words = rows.where(F.col(text).isNotNull()).select(F.col(key), canonical(F.col(text).cast("string")).alias("w"))
     words = words.select(key, "w", F.transform("w", _word_hash).alias("h"), F.exists("w", lambda x: x < "\u0004").alias("some"))
     w, h = F.col("w"), F.col("h")
 
-    def window(i: Column) -> Column:
-        hashes = [F.get(h, i + k) for k in range(WINDOW)]
-        slots = F.filter(F.slice(w, i + 1, WINDOW), lambda x: x < "\u0004")
-        return F.struct(i.alias("pos"), F.xxhash64(*hashes).alias("template"), F.when(F.col("some"), slots).alias("slots"))
+    def windows(width: int) -> Column:
+        def window(i: Column) -> Column:
+            hashes = [F.get(h, i + k) for k in range(width)]
+            slots = F.filter(F.slice(w, i + 1, width), lambda x: x < "\u0004")
+            return F.struct(i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(*hashes).alias("template"), F.when(F.col("some"), slots).alias("slots"))
+
+        starts = F.sequence(F.lit(0), F.size("w") - width) if not short else F.slice(F.sequence(F.lit(0), F.size("w")), 1, F.greatest(F.size("w") - width + 1, F.lit(0)))
+        return F.transform(starts, window)
+
+    spans = words.where(F.size("w") >= min((WINDOW, *short))).select(key, F.explode(F.concat(*map(windows, (WINDOW, *short))) if short else windows(WINDOW)).alias("x"))
+    spans = spans.select(key, "x.pos", "x.width", "x.template", "x.slots")
+    return spans.withColumn("template", F.when(_by_value(), F.xxhash64("template", "slots")).otherwise(F.col("template")))
+
 
-    spans = words.where(F.size("w") >= WINDOW).select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), window)).alias("x"))
-    spans = spans.select(key, "x.pos", "x.template", "x.slots")
-    return spans.where(F.col("slots").isNull() | (F.size("slots") <= WINDOW - MIN_LITERALS))
+def _by_value() -> Column:
+    return F.coalesce(F.size("slots") > F.col("width") - MIN_LITERALS, F.lit(False)) & F.col("slots").isNotNull()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, covered_words, item_words, coverage: every item that a document holds, one row each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     length = items.select("item_id", F.size(canonical(F.col("text"))).alias("item_words")).groupBy("item_id").agg(F.max("item_words").alias("item_words"))
-    known = kept_safe(template_windows(items, "item_id").select("item_id", F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots")))
+    # Windows narrower than WINDOW stand only for items of just that length.
+    short = tuple(sorted(r[0] for r in items.select(F.size(canonical(F.col("text"))).alias("n")).where(F.col("n").between(WINDOW - 2, WINDOW - 1)).distinct().collect()))
+    windows = [template_windows(items, "item_id")] + [template_windows(items.where(F.size(canonical(F.col("text"))) == n), "item_id", short=(n,)) for n in short]
+    known = reduce(DataFrame.unionByName, windows).select("item_id", F.col("pos").alias("item_pos"), F.col("width").alias("item_width"), "template", F.col("slots").alias("item_slots"))
+    known = kept_safe(known)
     small = known.count() <= MAX_BROADCAST_WINDOWS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    hits = template_windows(rows, "doc_id").join(F.broadcast(known) if small else known, "template")
-    hits = hits.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots")
+    hits = template_windows(rows, "doc_id", short=short).join(F.broadcast(known) if small else known, "template").where("width = item_width")
+    hits = hits.where(~_by_value() | F.col("slots").eqNullSafe(F.col("item_slots")))
+    hits = hits.select("doc_id", "item_id", "item_pos", "width", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots")
     hits = kept_safe(hits.distinct())
     # Along one alignment, each value of a slot must stand for one value and the other way round.
     values = hits.where("slots IS NOT NULL AND size(slots) = size(item_slots)").select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("slots", "item_slots")).alias("v")).select("doc_id", "item_id", "shift", "v.slots", "v.item_slots").distinct()
     one = ["doc_id", "item_id", "shift"]
     bad = values.groupBy(*one, "slots").count().select(*one, "count").unionByName(values.groupBy(*one, "item_slots").count().select(*one, "count")).where("count > 1").select(*one).distinct()
-    good = hits.join(bad, one, "left_anti").select("doc_id", "item_id", "item_pos").distinct()
-    reach = F.array_distinct(F.flatten(F.transform(F.collect_list("item_pos"), lambda p: F.sequence(p, p + WINDOW - 1))))
+    good = hits.join(bad, one, "left_anti").select("doc_id", "item_id", "item_pos", "width").distinct()
+    reach = F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("item_pos", "width")), lambda x: F.sequence(x["item_pos"], x["item_pos"] + x["width"] - 1))))
     found = good.groupBy("doc_id", "item_id").agg(F.size(reach).alias("covered_words")).join(length, "item_id")
     found = found.where(f"100 * covered_words >= {MIN_COVERAGE} * item_words OR covered_words >= {RUN}")
     return found.select("doc_id", "item_id", "covered_words", "item_words", F.round(F.col("covered_words") / F.col("item_words"), 6).alias("coverage"))

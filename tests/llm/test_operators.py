@@ -358,6 +358,15 @@ def test_decontamination(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_decontamination_short_and_dense_items(spark):
+    from folio.llm.decontaminate import leaks
+
+    items = [(1, "one two three"), (2, "take 4 big steps"), (3, "Compute 12 + 7 * 15 - 3 + 28 exactly"), (4, "Sort 9, 4, 7, 1, 3, 8 and 2 in ascending order")]
+    docs = [(k, f"lorem ipsum. {t} and so on") for k, t in items] + [(10, "1 2 3 4 5 6 7"), (11, "lorem. Compute 12 + 7 * 15 - 3 + 29 exactly"), (12, "one two"), (13, "one two four")]
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.coverage) for r in found} == {(k, k, 1.0) for k, _ in items}
+
+
 def test_language(spark, docs, empty):
     from folio.llm.langid import identify
 
