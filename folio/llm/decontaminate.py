@@ -2,8 +2,9 @@
 
 Numbers, names (capitalised words inside a sentence) and units (after a number) become typed
 placeholders; windows of five canonical words are joined by hash with the windows of the
-benchmark's items; along each alignment of a document with an item the values in the slots must
-map one to one, so the same question with other values is found and a mere likeness is not.
+benchmark's items; along each alignment of a document with an item a slot's value must stand for
+one value throughout, so the same question with other values is found; windows that contradict
+this do not count, unless they hold the item's own values.
 
 A document is contaminated by an item when consistent windows cover 80 % of the item's words, or
 RUN words of it.  Windows of mostly placeholders prove nothing unless their values agree too, so
@@ -17,8 +18,6 @@ benchmark matches nothing; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +37,7 @@ _NUM, _NAME, _UNIT = "\u0001", "\u0002", "\u0003"
 
 def canonical(text: Column) -> Column:
     """Lower-case words without punctuation; a word that fills a slot begins with its slot's mark."""
-    t = F.regexp_replace(text, "[\u0001-\u0003]+", " ")
+    t = F.regexp_replace(text, "[\u0001-\u0003\\s&&[^ ]][\u0001-\u0003\\s]*| [\u0001-\u0003\\s]+", " ")
     t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})", _NAME)
     t = F.regexp_replace(F.lower(t), rf"(?<![\p{{L}}\p{{N}}])(?=\p{{N}})([\p{{N}}.,]*\p{{N}})(?![\p{{L}}\p{{N}}])(?:( ?)({UNITS})(?![\p{{L}}\p{{N}}]))?", f"{_NUM}$1 {_UNIT}$3")
     t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{_NUM}-{_UNIT}\s]+| ?{_UNIT}(?![\p{{L}}])", "")
@@ -80,11 +79,16 @@ def _by_value() -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, covered_words, item_words, coverage: every item that a document holds, one row each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    length = items.select("item_id", F.size(canonical(F.col("text"))).alias("item_words")).groupBy("item_id").agg(F.max("item_words").alias("item_words"))
+    items = items.select("item_id", "text", F.size(canonical(F.col("text"))).alias("item_words"))
+    length = items.groupBy("item_id").agg(F.max("item_words").alias("item_words"))
     # Windows narrower than WINDOW stand only for items of just that length.
-    short = tuple(sorted(r[0] for r in items.select(F.size(canonical(F.col("text"))).alias("n")).where(F.col("n").between(WINDOW - 2, WINDOW - 1)).distinct().collect()))
-    windows = [template_windows(items, "item_id")] + [template_windows(items.where(F.size(canonical(F.col("text"))) == n), "item_id", short=(n,)) for n in short]
-    known = reduce(DataFrame.unionByName, windows).select("item_id", F.col("pos").alias("item_pos"), F.col("width").alias("item_width"), "template", F.col("slots").alias("item_slots"))
+    short = tuple(sorted(r[0] for r in items.select("item_words").where(F.col("item_words").between(WINDOW - 2, WINDOW - 1)).distinct().collect()))
+    # In a document, what stands before an item can make its first word a name; so items are read both ways.
+    key = F.struct("item_id", "item_words").alias("item")
+    alone = template_windows(items.select(key, "text"), "item", short=short)
+    after = template_windows(items.select(key, F.concat(F.lit("a "), "text").alias("text")), "item", short=short).withColumn("pos", F.col("pos") - 1).where("pos >= 0")
+    known = alone.unionByName(after).where(f"width = {WINDOW} OR width = item.item_words")
+    known = known.select("item.item_id", F.col("pos").alias("item_pos"), F.col("width").alias("item_width"), "template", F.col("slots").alias("item_slots")).distinct()
     known = kept_safe(known)
     small = known.count() <= MAX_BROADCAST_WINDOWS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
@@ -92,11 +96,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hits.where(~_by_value() | F.col("slots").eqNullSafe(F.col("item_slots")))
     hits = hits.select("doc_id", "item_id", "item_pos", "width", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots")
     hits = kept_safe(hits.distinct())
-    # Along one alignment, each value of a slot must stand for one value and the other way round.
-    values = hits.where("slots IS NOT NULL AND size(slots) = size(item_slots)").select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("slots", "item_slots")).alias("v")).select("doc_id", "item_id", "shift", "v.slots", "v.item_slots").distinct()
+    # Along one alignment, each value of an item's slot must stand for one value.
     one = ["doc_id", "item_id", "shift"]
-    bad = values.groupBy(*one, "slots").count().select(*one, "count").unionByName(values.groupBy(*one, "item_slots").count().select(*one, "count")).where("count > 1").select(*one).distinct()
-    good = hits.join(bad, one, "left_anti").select("doc_id", "item_id", "item_pos", "width").distinct()
+    values = hits.where("slots IS NOT NULL AND size(slots) = size(item_slots)").select(*one, F.explode(F.arrays_zip("slots", "item_slots")).alias("v")).select(*one, "v.slots", "v.item_slots").distinct()
+    bad = values.groupBy(*one, "item_slots").count().where("count > 1").groupBy(*one).agg(F.collect_set("item_slots").alias("bad"))
+    fits = F.col("bad").isNull() | F.col("slots").isNull() | F.col("slots").eqNullSafe(F.col("item_slots")) | ~F.coalesce(F.arrays_overlap("item_slots", "bad"), F.lit(False))
+    good = hits.join(bad, one, "left").where(fits).select("doc_id", "item_id", "item_pos", "width").distinct()
     reach = F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("item_pos", "width")), lambda x: F.sequence(x["item_pos"], x["item_pos"] + x["width"] - 1))))
     found = good.groupBy("doc_id", "item_id").agg(F.size(reach).alias("covered_words")).join(length, "item_id")
     found = found.where(f"100 * covered_words >= {MIN_COVERAGE} * item_words OR covered_words >= {RUN}")

@@ -367,6 +367,23 @@ def test_decontamination_short_and_dense_items(spark):
     assert {(r.doc_id, r.item_id, r.coverage) for r in found} == {(k, k, 1.0) for k, _ in items}
 
 
+def test_decontamination_slots_and_lines(spark):
+    from folio.llm.decontaminate import leaks
+
+    tail = "after that they all sat down by the river and talked about the weather and the long road home until it was dark and nobody wanted to leave before"
+    items = [(1, f"yesterday Anna bought apples for her brother and {tail} Anna left"), (2, "she gave 12 apples to some old friend and kept 5 apples for later days"), (3, "then we met Boris at home"), (4, "Name the longest river here")]
+    docs = [
+        (1, f"lorem. {items[0][1].replace('Anna left', 'Dora left')}"),  # one of two values changed
+        (2, "lorem. she gave 8 apples to some old friend and kept 8 apples for later days"),  # two values made equal
+        (3, "lorem. then we met\n  Boris at home"),  # wrapped before a name
+        (4, "lorem ipsum\nName the longest river here"), (5, "lorem ipsum Name the longest river here"), (6, "Name the longest river here"),  # first word
+        (7, "they met Boris"),
+    ]
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 4)}
+    assert all(r.coverage == 1 for r in found if r.doc_id != 1)
+
+
 def test_language(spark, docs, empty):
     from folio.llm.langid import identify
 
