@@ -50,8 +50,7 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, counts[at]
 
 
-def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, n = ngrams(text)
+def vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.log1p(n) * idf[at]
     return at, x / max(float(np.sqrt(x @ x)), 1e-12)
 
@@ -67,11 +66,19 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], ["bucket", "n"])
 
 
-def train(texts: list[str], langs: list[str], idf: np.ndarray) -> tuple[list[str], np.ndarray, float]:
-    """Languages, weights (buckets x languages) and temperature; every fifth text is held back for the last."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets and counts of whole texts, as bytes."""
+    for batch in batches:
+        bags = [ngrams(text) for text in batch.column(2).to_pylist()]
+        at, n = (pa.array([x[k].astype(np.int32).tobytes() for x in bags], pa.binary()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at, n], ["doc_id", "lang", "buckets", "counts"])
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], idf: np.ndarray) -> tuple[list[str], np.ndarray, float]:
+    """Languages, weights (buckets x languages) and temperature, from buckets and counts; every fifth text is held back for the last."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
-    docs = [vector(t, idf) for t in texts]
+    docs = [vector(at, n, idf) for at, n in bags]
     z = np.zeros((1 << BITS, len(names)))
     g2 = np.zeros_like(z)
 
@@ -113,7 +120,7 @@ def _predict(names: list[str], w: np.ndarray, temperature: float, idf: np.ndarra
                     lang.append(UNKNOWN)
                     score.append(0.0)
                     continue
-                at, x = vector(text, idf)
+                at, x = vector(*ngrams(text), idf)
                 s = (x @ w[at]) / temperature
                 p = np.exp(s - s.max())
                 k = int(p.argmax())
@@ -131,8 +138,8 @@ def held_out_fold(doc_id: Column) -> Column:
 def identify(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score; one row per row of docs (doc_id, text, lang).
 
-    Only the document frequencies (one number per bucket) and at most max_train texts reach the
-    driver, and of the weights each task gets buckets x languages numbers.
+    Only the document frequencies (one number per bucket) and the bucket counts of at
+    most max_train whole texts reach the driver, and of the weights each task gets buckets x languages numbers.
     """
     tx.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_fold(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -143,8 +150,10 @@ def identify(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     real = total[total.bucket >= 0]
     idf[real.bucket.to_numpy()] = np.log((1.0 + n) / (1.0 + real.n.to_numpy()))
     picked = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_train)
-    sample = tx.pick(known, picked, "doc_id").select("doc_id", F.left("text", F.lit(20_000)).alias("text"), "lang").limit(2 * max_train).toPandas()
-    sample = sample.sort_values(["doc_id", "lang", "text"], kind="stable").head(max_train)
+    counts = tx.pick(known, picked, "doc_id").select("doc_id", "lang", "text").mapInArrow(_counts, "doc_id long, lang string, buckets binary, counts binary")
+    sample = counts.groupBy("doc_id").agg(F.min(F.struct("lang", "buckets", "counts")).alias("x")).select("doc_id", "x.*").toPandas()
+    sample = sample.sort_values("doc_id", kind="stable", na_position="last")
     sample = sample.iloc[np.random.Generator(np.random.PCG64(3)).permutation(len(sample))]
-    model = train(sample.text.tolist(), sample.lang.tolist(), idf) if len(sample) else ([], np.zeros((1 << BITS, 0), np.float32), 1.0)
+    bags = [(np.frombuffer(at, np.int32), np.frombuffer(n, np.int32)) for at, n in zip(sample.buckets, sample.counts)]
+    model = train(bags, sample.lang.tolist(), idf) if bags else ([], np.zeros((1 << BITS, 0), np.float32), 1.0)
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(*model, idf), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -402,3 +402,19 @@ def test_language(spark, docs, empty):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98
     assert {r.lang_pred for r in identify(docs).collect()} == {"en", "und"}
     assert identify(empty).count() == 0 and {r.lang_pred for r in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_language_trains_on_whole_texts(spark, monkeypatch):
+    from folio.llm import langid
+
+    seen = []
+    real = langid.train
+    monkeypatch.setattr(langid, "train", lambda bags, langs, idf: seen.append((bags, langs)) or real(bags, langs, idf))
+    text = "ba " * 8_000 + "né tê " * 3_000
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(k, text, "ee") for k in ids] + [(ids[0], "other text", "oo")]
+    langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count()
+    (bags, langs), = seen
+    assert langs == ["ee"] * len(ids)
+    whole = langid.ngrams(text)
+    assert all(np.array_equal(at, whole[0]) and np.array_equal(n, whole[1]) for at, n in bags)
