@@ -177,20 +177,43 @@ def response_text(raw: Column) -> Column:
     return F.coalesce(blank_to_null(_text(v, "$.output_text")), blank_to_null(_text(v, "$.choices[0].message.content")), join(parts), join(outputs), F.lit(""))
 
 
+def nested_output(v: Column) -> Column:
+    """Answer text of an event that is no delta: its text, its first choice's message, or its outputs' parts; trimmed as a whole."""
+    none = F.expr("cast(array() as array<variant>)")
+    listed = lambda x, path: F.coalesce(F.try_variant_get(x, path, "array<variant>"), none)
+    chat = F.try_variant_get(v, "$.choices[0].message.content", "array<variant>")
+    parts = F.transform(chat, lambda p: F.coalesce(_text(p, "$.text"), F.lit("")))
+    texts = lambda o: F.filter(F.transform(listed(o, "$.content"), lambda p: _text(p, "$.text")), lambda x: x.isNotNull())
+    outputs = F.flatten(F.transform(listed(v, "$.output"), lambda o: F.when(_text(o, "$.content").isNotNull(), F.array(_text(o, "$.content"))).otherwise(texts(o))))
+    return js_trim(F.coalesce(_text(v, "$.output_text"), _text(v, "$.choices[0].message.content"), F.array_join(parts, "\n"), F.array_join(outputs, "\n"), F.lit("")))
+
+
+ENDS = ("response.completed", "response.incomplete")
+
+
 def parse_sse(bodies: DataFrame, key: str = "response_id", text: str = "body") -> DataFrame:
-    """(key, body) -> (key, pos, type, delta, response): events of an event stream that are JSON, in order."""
+    """(key, body) -> (key, pos from 0 without gaps, type, delta, response, nested): events of an event stream that are JSON, in order."""
     blocks = F.split(F.regexp_replace(text, r"\r\n", "\n"), r"\n\n")
     data = lambda b: js_trim(F.array_join(F.transform(F.filter(F.split(b, "\n"), lambda x: x.startswith("data:")), lambda x: js_trim(F.substring(x, F.lit(6), F.length(x)))), "\n"))
-    rows = bodies.select(key, F.posexplode(F.transform(blocks, data)).alias("pos", "data")).where("data <> '' AND data <> '[DONE]'")
-    v = F.when(strict(F.col("data")), F.try_parse_json(F.col("data")))
-    rows = rows.withColumn("v", v).where("v IS NOT NULL")
-    return rows.select(key, "pos", _text(F.col("v"), "$.type").alias("type"), _text(F.col("v"), "$.delta").alias("delta"), F.to_json(F.try_variant_get("v", "$.response", "variant")).alias("response"))
+    kept = lambda d: (d != "") & (d != "[DONE]") & strict(d) & F.try_parse_json(d).isNotNull()
+    rows = bodies.select(key, F.posexplode(F.filter(F.transform(blocks, data), kept)).alias("pos", "data")).withColumn("v", F.try_parse_json("data"))
+    v = F.col("v")
+    rows = rows.select(key, "pos", _text(v, "$.type").alias("type"), _text(v, "$.delta").alias("delta"), F.to_json(F.try_variant_get("v", "$.response", "variant")).alias("response"), nested_output(v).alias("nested"))
+    said = F.coalesce((F.col("type") == "response.output_text.delta") & F.col("delta").isNotNull(), F.lit(False)) | F.coalesce(F.col("type").isin(*ENDS) & ~F.col("response").isin("null", "false", "0", '""'), F.lit(False))
+    return rows.withColumn("nested", F.when(~said, F.nullif(F.col("nested"), F.lit(""))))
+
+
+def event_text(events: DataFrame) -> Column:
+    """The part of the answer that an event of parse_sse carries."""
+    nested = F.col("nested") if "nested" in events.columns else F.lit(None).cast("string")
+    return F.coalesce(F.when(F.col("type") == "response.output_text.delta", F.col("delta")), nested)
 
 
 def assemble_response(events: DataFrame, key: str = "response_id") -> DataFrame:
-    """(key, pos, type, delta, response) -> (key, text, n_events, response, error), deltas joined in order of pos."""
-    delta = F.when(F.col("type") == "response.output_text.delta", F.struct("pos", F.coalesce("delta", F.lit("")).alias("d")))
-    ended = F.col("type").isin("response.completed", "response.incomplete")
+    """(key, pos, type, delta, response, nested) -> (key, text, n_events, response, error), parts joined in order of pos."""
+    part = event_text(events)
+    delta = F.when(part.isNotNull(), F.struct("pos", part.alias("d")))
+    ended = F.col("type").isin(*ENDS)
     out = events.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(delta)), lambda x: x["d"]), "").alias("joined"), F.count("*").alias("n_events"), F.max_by(F.when(ended, F.col("response")), F.when(ended, F.col("pos"))).alias("response"))
     said = F.coalesce(blank_to_null(F.col("joined")), F.nullif(response_text(F.col("response")), F.lit("")))
     return out.select(key, F.coalesce(said, F.lit("")).alias("text"), "n_events", "response", F.when(said.isNull(), F.lit("Model returned an empty response.")).alias("error"))

@@ -199,7 +199,7 @@ def n7_stream_assemble_response(b):
     from folio.operators.replies import parse_sse
     from folio.plans.block_queries import _sse
 
-    rows = parse_sse(_sse(b)).select("response_id", "pos", "type", "delta")
+    rows = parse_sse(_sse(b)).select("response_id", "pos", "type", "delta", "response", "nested")
     return _streamed(b, rows, streams.stream_assemble_response)
 
 

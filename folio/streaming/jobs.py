@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from folio.functions.labels import job_label
 from folio.operators.jobs import CARRIED, FEED, MAX_ATTEMPTS, refresh_events
+from folio.operators.replies import ENDS, event_text, response_text
 
 WATERMARK = "10 minutes"
 #: For streams that run on: a week.
@@ -110,38 +111,43 @@ class Response(_Kept):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.parts = handle.getListState("parts", "pos int, delta string")
-        self.count = handle.getValueState("count", "n int, ended int")
+        self.count = handle.getValueState("count", "n int, ended int, final string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = _sorted(rows, "pos")
-        n, ended = self.count.get() if self.count.exists() else (0, -1)
-        fresh = [(int(r.pos), r.delta) for r in new.itertuples() if r.type == "response.output_text.delta" and r.delta]
+        n, ended, final = self.count.get() if self.count.exists() else (0, -1, None)
+        fresh = [(int(r.pos), r.part) for r in new.itertuples() if _or_none(r.part)]
         if fresh:
             self.parts.appendList(fresh)
         n += len(new)
-        ends = new[new.type.isin(["response.completed", "response.incomplete"])]
-        ended = int(ends.pos.max()) if len(ends) else ended
+        for r in new[new.type.isin(ENDS)].itertuples():
+            if r.pos > ended:
+                ended = int(r.pos)
+                final = _or_none(r.final)
         if 0 <= ended < n:  # every event up to the end is here
             text = "".join(d for _, d in sorted(tuple(x) for x in self.parts.get())) if self.parts.exists() else ""
+            text = text if text.strip() else final or ""
             self.parts.clear()
             self.count.clear()
             yield pd.DataFrame({"response_id": [key[0]], "text": [text.strip()], "n_events": [n], "error": [None if text.strip() else "Model returned an empty response."]})
         else:
-            self.count.update((n, ended))
+            self.count.update((n, ended, final))
             if self.patience:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.count.exists():
-            n, _ = self.count.get()
+            n, _, _ = self.count.get()
             self.parts.clear()
             self.count.clear()
             yield pd.DataFrame({"response_id": [key[0]], "text": [""], "n_events": [n], "error": ["abandoned"]})
 
 
 def stream_assemble_response(events: DataFrame, patience_ms: int | None = None) -> DataFrame:
-    """(response_id, pos from 0, type, delta) -> finished responses (twin: assemble_response)."""
-    return events.groupBy("response_id").transformWithStateInPandas(Response(patience_ms), "response_id long, text string, n_events int, error string", "Append", _mode(patience_ms))
+    """(response_id, pos from 0 without gaps, type, delta, response, nested) -> finished responses (twin: assemble_response)."""
+    final = response_text(F.col("response")) if "response" in events.columns else F.lit(None).cast("string")
+    rows = events.select("response_id", "pos", "type", event_text(events).alias("part"), F.when(F.col("type").isin(*ENDS), final).alias("final"))
+    return rows.groupBy("response_id").transformWithStateInPandas(Response(patience_ms), "response_id long, text string, n_events int, error string", "Append", _mode(patience_ms))
 
 
 class Attempts(_Kept):

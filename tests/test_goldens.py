@@ -113,6 +113,30 @@ def test_responses(spark):
     assert (got[1].text, got[1].n_events) == ("id: 1\nko: 테스트", 3) and got[2].text == "late" and set(got) == {1, 2}
 
 
+def test_responses_streamed(spark, tmp_path):
+    from folio.streaming.jobs import stream_assemble_response
+
+    delta, end = 'data: {"type": "response.output_text.delta", "delta": "%s"}\n\n', 'data: {"type": "response.completed", "response": {%s}}\n\n'
+    bodies = [
+        (1, ": keep-alive\n\n" + delta % "a " + "data: oops\n\n" + delta % "b" + "data: [DONE]\n\n" + end % ""),
+        (2, end % '"output_text": "late"'),
+        (3, delta % "a" + 'data: {"type": "x", "output": [{"content": [{"text": " b "}]}, {"content": "c"}]}\n\n' + end % ""),
+    ]
+    events = rep.parse_sse(spark.createDataFrame(bodies, "response_id long, body string"))
+    assert [r.pos for r in events.where("response_id = 1").orderBy("pos").collect()] == [0, 1, 2]
+    events.write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    out = stream_assemble_response(source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c")
+    with_rocks = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(with_rocks, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out.trigger(availableNow=True).start().awaitTermination(100)
+    finally:
+        spark.conf.unset(with_rocks)
+    both = [{r.response_id: (r.text, r.n_events, r.error) for r in x.collect()} for x in (rep.assemble_response(events), spark.read.parquet(f"{tmp_path}/out"))]
+    assert both[0] == both[1] == {1: ("a b", 3, None), 2: ("late", 1, None), 3: ("ab \nc", 3, None)}
+
+
 def test_catalogue(spark):
     works = spark.createDataFrame([(1, "원피스", 0), (2, "NARUTO", 1)], "work_id int, title string, work_ord int")
     chapters = spark.createDataFrame([(1, 1, "1화", 0), (2, 1, "특별편", 1), (3, 2, "first", 0)], "chapter_id int, work_id int, title string, chapter_ord int")
