@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that carries whole texts, and bytes of text handled at once in a task.
-TEXT_BATCH_ROWS = 1000
+#: Bytes of text handled at once in a task. Spark itself bounds the bytes of an Arrow batch.
 CHUNK_BYTES = 1 << 20
 #: Rows of a few numbers each that one task takes on: rounds over small tables need few tasks and files.
 ROWS_PER_TASK = 200_000
@@ -134,18 +133,14 @@ def char_counts(data: np.ndarray) -> np.ndarray:
     return (data & 0xC0) != 0x80
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small, so that a task's memory stays bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of this machine only where none is named, as in tests."""
+    """The folder that spark.checkpoint.dir names; where none is named, as in tests, a new one, but on one machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folio-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -161,6 +156,14 @@ def narrow(df: DataFrame) -> DataFrame:
     return kept.coalesce(kept.count() // ROWS_PER_TASK + 1)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until it is none of the columns, which Spark compares without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def pick(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of docs whose key is (or, with left_anti, is not) among ids (one column, that key).
 

@@ -141,7 +141,6 @@ def identify(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     Only the document frequencies (one number per bucket) and the bucket counts of at
     most max_train whole texts reach the driver, and of the weights each task gets buckets x languages numbers.
     """
-    tx.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_fold(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = rows.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL")
     total = known.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()

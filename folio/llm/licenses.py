@@ -163,6 +163,5 @@ def _scan(templates: dict[str, str]):
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per row of docs: its best license (null if none), coverage, place in words, and all licenses found."""
-    tx.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan(templates or TEMPLATES), SCHEMA)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import _text as tx
@@ -29,10 +29,6 @@ from folio.llm._graph import components
 BANDS, ROWS = 56, 7
 #: log2 of the ring's size. Places that two shingles share only cost a needless confirmation.
 RING_BITS = 21
-#: A shingle that so many open members have at most is rare.
-RARE = 8
-#: Star rounds over candidate groups before what is still unconnected in a group is compared directly.
-STAR_ROUNDS = 2
 
 _ring: dict[tuple[int, int], np.ndarray] = {}
 
@@ -108,20 +104,36 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose full shingle sets are similar enough, checkpointed."""
+def with_sets(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(u, v) with the full shingle sets of both, read again from the texts."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     sets = tx.kept_safe(tx.pick(docs, ids, "doc_id").mapInArrow(_sets(width), "doc_id long, shingles binary"))
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "uv")
-    full = pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv")
-    return tx.narrow(full.mapInArrow(_confirm(percent), "u long, v long"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) whose full shingle sets are similar enough, checkpointed."""
+    return tx.narrow(with_sets(pairs, docs, width).mapInArrow(_confirm(percent), "u long, v long"))
+
 
+def _against():
+    """(head, doc, sets of both) -> shared shingles of the two and the doc's own, those that the head lacks."""
 
-def _places(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, s in zip(batch.column(0).cast(pa.int64()).to_pylist(), shingle_sets(batch.column(1), width)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), d, np.int64)), pa.array(s.view(np.int64))], ["doc", "shingle"])
+            n, n_head, inter, own = [], [], [], []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                head, doc = np.frombuffer(x.as_buffer(), tx.U64), np.frombuffer(y.as_buffer(), tx.U64)
+                rest = np.setdiff1d(doc, head, assume_unique=True)
+                n.append(len(doc))
+                n_head.append(len(head))
+                inter.append(len(doc) - len(rest))
+                own.append(rest.view(np.int64))
+            ptr = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ptr, np.concatenate([*own, np.zeros(0, np.int64)]))
+            ints = (pa.array(x, pa.int64()) for x in (n, n_head, inter))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ints, lists], ["head", "doc", "n", "n_head", "shared", "own"])
 
     return run
 
@@ -151,72 +163,96 @@ def _fits(percent: int) -> str:
     return f"100 * least(n_shingles, nu) >= {percent} * greatest(n_shingles, nu)"
 
 
-def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the groups that the links leave in more than one component, with their component."""
-    label = components(links).select(F.col("node").alias("doc"), "component")
-    named = members.drop("component").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    return tx.narrow(named.join(split, "band"))
+def labels(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("doc"), "component")
+
+
+def named(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with doc's component, itself where it has no link."""
+    return rows.drop("component").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
 
+def still_open(rows: DataFrame, group: str) -> DataFrame:
+    """Rows of the groups that hold more than one component."""
+    split = rows.groupBy(group).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(group)
+    return tx.narrow(rows.join(split, group))
 
-def linkable(members: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(members with reach, without those that cannot reach; pairs that share rare shingles and may link).
 
-    A shingle is rare if at most RARE members have it, and a member's reach is the number of its
-    shingles that are not.  Two members that share no rare shingle share at most the smaller
-    reach; those that do share some are found by the shingle itself, in groups of at most RARE.
-    So members changed in too many places leave, and no pair of them is ever looked at.
+def needed(percent: int, n: str, other: str) -> str:
+    """SQL: shingles that sets of these sizes share at least if they are similar enough."""
+    return f"({percent} * ({n} + {other}) + {99 + percent}) div {100 + percent}"
+
+
+def telling(met: DataFrame, percent: int) -> DataFrame:
+    """(head, shingle, doc, n, shared, most, component): the few own shingles by which a member's links can be found.
+
+    Two members share of the head's shingles at most what either shares with it, so a link needs
+    some of the members' own shingles in common: for a member at least `least` of the `most` that
+    another member of the group has too.  Among the rarest most - least + 1 of each there is then
+    one that both have; members that have too few own shingles in common with anyone leave.
     """
-    about = members.select("doc", "n_shingles", "component").distinct()
-    ids = tx.narrow(about.select(F.col("doc").alias("doc_id")))
-    places = tx.pick(docs, ids, "doc_id").mapInArrow(_places(width), "doc long, shingle long").distinct()
-    counts = places.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
-    some = tx.narrow(places.join(counts.where(F.col("n").between(2, RARE)).select("shingle"), "shingle"))
-    own = counts.where("n = 1").select("doc").unionByName(some.select("doc")).groupBy("doc").agg(F.count("*").alias("own"))
-    about = tx.narrow(about.join(own, "doc", "left").withColumn("reach", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"))
-    pairs = some.select("shingle", F.col("doc").alias("u")).join(some.select("shingle", F.col("doc").alias("v")), "shingle").where("u < v").groupBy("u", "v").agg(F.count("*").alias("met"))
-    side = lambda k: about.select(F.col("doc").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("reach").alias(f"r{k}"), F.col("component").alias(f"c{k}"))
-    may = f"100 * (least(ru, rv) + met) >= {percent} * (nu + nv - least(ru, rv) - met)"
-    pairs = pairs.join(side("u"), "u").join(side("v"), "v").where("cu <> cv").where(may).select("u", "v")
-    kept = members.join(about.select("doc", "reach"), "doc").where(f"100 * reach >= {percent} * n_shingles")
-    return tx.narrow(kept), tx.narrow(pairs)
+    tokens = met.select("head", "doc", F.explode("own").alias("shingle"))
+    common = tokens.groupBy("head", "shingle").agg(F.count("*").alias("df")).where("df > 1")
+    tokens = tx.narrow(tokens.join(common, ["head", "shingle"]))
+    most = tokens.groupBy("head", "doc").agg(F.count("*").alias("most"))
+    fewest = met.groupBy("head").agg(F.min("n").alias("fewest"))
+    other = f"greatest(fewest, ({percent} * n + 99) div 100)"
+    about = met.drop("own").join(most, ["head", "doc"]).join(fewest, "head").withColumn("least", F.expr(f"greatest(1, {needed(percent, 'n', other)} - shared)"))
+    about = tx.narrow(about.where("most >= least").select("head", "doc", "n", "shared", "most", "least", "component"))
+    place = F.row_number().over(Window.partitionBy("head", "doc").orderBy("df", "shingle"))
+    return tx.narrow(tokens.join(about, ["head", "doc"]).withColumn("place", place).where("place <= most - least + 1").drop("df", "place", "least"))
+
+
+def stars(index: DataFrame) -> DataFrame:
+    """One pair (u, v) for each member that shares telling shingles: with the first member of most of its shingles' groups."""
+    first = index.groupBy("head", "shingle").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("u"))).alias("f")).select("head", "shingle", "f.u")
+    met = index.join(first, ["head", "shingle"]).where("doc <> u").groupBy("doc", "u").agg(F.count("*").alias("c"))
+    return met.groupBy("doc").agg(F.max(F.struct("c", (-F.col("u")).alias("d"))).alias("b")).select((-F.col("b.d")).alias("u"), F.col("doc").alias("v"))
+
+
+def _sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select("head", *more, F.col("doc").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "shared", "most", "component") if c in rows.columns]) for k in "uv")
+
+
+def crossing(index: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u < v) of different components that may be linked: by a telling shingle, or because the head contains most of both."""
+    left, right = _sides(index, "shingle")
+    may = f"least(shared_u, shared_v) + least(most_u, most_v) >= {needed(percent, 'n_u', 'n_v')}"
+    by_own = left.join(right, ["head", "shingle"]).where("u < v AND component_u <> component_v").where(may).select("u", "v")
+    within = met.where(f"100 * shared >= {percent} * n AND n < n_head")
+    left, right = _sides(within)
+    inside = left.join(right, "head").where("u < v AND component_u <> component_v").where(f"least(shared_u, shared_v) >= {needed(percent, 'n_u', 'n_v')}").select("u", "v")
+    return by_own.unionByName(inside).distinct()
 
 
 def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """links and those among members that connect what was not connected yet.
 
-    In a star round a group's members meet one head, another each round, so a round is linear in
-    the members.  What is still unconnected inside a group is compared last.
+    Members of a candidate group are described by what they share with its head (the text that
+    the others are versions of), so two of them are only looked at together when they share
+    shingles that the head lacks, or when the head contains most of both.
     """
-    named = open_members(members, links)
-    if named.isEmpty():
+    rest = still_open(named(members, labels(links)), "band")
+    if rest.isEmpty():
         return links
-    members, fresh = linkable(named, docs, width, percent)
-    fresh = tx.narrow(fresh.join(tried, ["u", "v"], "left_anti"))
-    tried = tried.unionByName(fresh)
-    links = tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))
-    named = open_members(members, links)
-    shared = "least(reach, ru)"
-    fits = f"100 * {shared} >= {percent} * (n_shingles + nu - {shared})"
-    for step in range(STAR_ROUNDS + 1):
-        if named.isEmpty():
-            break
-        star = step < STAR_ROUNDS
-        mine = [F.col("doc").alias("u"), F.col("n_shingles").alias("nu"), F.col("component").alias("cu"), F.col("reach").alias("ru")]
-        if star:
-            order = F.struct(F.xxhash64("doc", F.lit(step)).alias("h"), *mine)
-            heads = named.groupBy("band").agg(F.min(order).alias("head")).select("band", "head.u", "head.nu", "head.cu", "head.ru")
-        else:
-            heads = named.select("band", *mine)
-        cross = named.join(heads, "band").where("component <> cu" if star else "component < cu").where(fits)
-        cross = cross.select(F.least("u", "doc").alias("u"), F.greatest("u", "doc").alias("v")).distinct()
-        fresh = tx.narrow(cross.join(tried, ["u", "v"], "left_anti"))
-        if fresh.isEmpty():
-            continue
+    heads = rest.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc")).alias("d"))).alias("h")).select("band", (-F.col("h.d")).alias("u"))
+    pairs = tx.narrow(rest.select("band", F.col("doc").alias("v")).join(heads, "band").select("u", "v").distinct())
+    schema = "head long, doc long, n long, n_head long, shared long, own array<long>"
+    met = tx.kept_safe(with_sets(pairs, docs, width).mapInArrow(_against(), schema))
+    near = met.where(f"doc <> head AND 100 * shared >= {percent} * (n + n_head - shared)").select(F.least("head", "doc").alias("u"), F.greatest("head", "doc").alias("v"))
+    links = tx.narrow(links.unionByName(near).distinct())
+    met = named(met, labels(links))
+    index = telling(still_open(met, "head"), percent)
+    if not index.isEmpty():
+        fresh = tx.narrow(stars(index).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(fresh)
         links = tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))
-        named = open_members(members, links)
-    return links
+        label = labels(links)
+        index, met = named(index, label), named(met, label)
+    fresh = tx.narrow(crossing(index, met.drop("own"), percent).join(tried, ["u", "v"], "left_anti"))
+    if fresh.isEmpty():
+        return links
+    return tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, ring_bits: int = RING_BITS) -> DataFrame:
@@ -225,13 +261,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     class_id is the smallest doc_id with the same shingle set, component_id the smallest doc_id
     reachable over links of Jaccard similarity of percent/100 or more.
 
-    Work inside a candidate group is linear: every member meets a head (the text that the others
-    are versions of), members with too many shingles of their own leave, and later rounds only
-    pair members that are not connected yet, so a group of versions never becomes all its pairs.
-    Groups and classes are found by aggregates that combine before the
-    shuffle; the joins back to them are plain sort-merge joins that AQE splits on hot keys.
+    In a candidate group every member meets its head; two others are only compared when they share
+    shingles that the head lacks (see `telling`), so a group of versions never becomes all its
+    pairs.  Groups and classes are found by aggregates that combine before the shuffle; the joins
+    back to them are plain sort-merge joins that AQE splits on hot keys.
     """
-    tx.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = tx.kept_safe(docs.mapInArrow(_sign(shingle_words, bands, rows, ring_bits), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"))
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")

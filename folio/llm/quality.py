@@ -104,7 +104,6 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): the counts, base_failed, kept, and the shares behind the verdict."""
-    tx.small_batches(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run, SCHEMA)
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     fine = F.col("line_share") <= LINE_LIMIT

@@ -145,7 +145,6 @@ def _count(path: str):
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; one row per row of docs. The model file must be at that path on every executor."""
-    tx.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(_count(model_path), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -153,7 +153,6 @@ def _score(model: Model):
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     """Model from at most max_train labelled documents, the first in a fixed hash order of their ids."""
-    tx.small_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(max_train)  # bounded: broadcast below
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
