@@ -5,12 +5,18 @@ different pre-token of a batch is held once as a row of symbol ids in one flat a
 round every sequence merges its best-ranked pair (the leftmost of equals) at the same time.  What
 survives is counted; a symbol outside the vocabulary counts its UTF-8 bytes.
 
+A pre-token of over LONG characters (an unspaced script, base64) would need a round for nearly
+every merge.  Long ones are swept instead: all their pairs lie in buckets by rank, and the bucket
+of the lowest rank is merged at once in all of them, which costs little more than sorting.
+
 Defined results: null counts as empty; empty text has 0 tokens; strings of special tokens inside
-a text are ordinary text; nothing is truncated.
+a text are ordinary text; nothing is truncated, however long; every row stands alone, so repeated
+rows repeat the result; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -24,6 +30,8 @@ from folio.llm import _text as tx
 MARK = "▁"
 #: Pre-tokens remembered by a worker, so that memory stays bounded.
 MEMO = 400_000
+#: Characters from which a pre-token is swept.
+LONG = 192
 NONE = np.int64(1 << 40)
 
 
@@ -55,6 +63,8 @@ class Vocabulary:
                     merges[a << 32 | b] = (rank_of[model.get_score(i)], ids[p])
         keys = np.array(sorted(merges), np.int64)
         self.keys, self.rank, self.to = keys, np.array([merges[k][0] for k in keys.tolist()], np.int64), np.array([merges[k][1] for k in keys.tolist()], np.int64)
+        #: Places this many characters apart cannot meet in one piece, whatever is merged between them.
+        self.apart = 3 * max((len(p) for p in ids), default=1)
         self.memo: dict[str, int] = {}
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +82,7 @@ class Vocabulary:
         done = np.zeros(len(rows), np.int64)
 
         def settle(ids: np.ndarray, of: np.ndarray) -> None:
-            cp = np.maximum(ids - size, 0)
-            outside = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
-            np.add.at(done, of, np.where(ids < size, self.cost[np.minimum(ids, size - 1)], outside))
+            np.add.at(done, of, self.costs(ids))
 
         def ranked(ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             rank, at = np.full(len(ids), NONE), np.zeros(len(ids), np.int64)
@@ -109,6 +117,89 @@ class Vocabulary:
                 rank[inner], at[inner] = np.where(seq[inner] == seq[inner + 1], r, NONE), a
         return done
 
+    def costs(self, ids: np.ndarray) -> np.ndarray:
+        """Tokens that each symbol stands for: one, or its UTF-8 bytes outside the vocabulary."""
+        cp = np.maximum(ids - self.size, 0)
+        outside = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
+        return np.where(ids < self.size, self.cost[np.minimum(ids, self.size - 1)], outside)
+
+    def swept(self, row: str) -> int:
+        """Token count of one long pre-token, rank by rank over its linked symbols."""
+        sym = np.fromiter((self.chars.get(c, self.size + ord(c)) for c in row), np.int64, len(row))
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, NONE)  # of the pair that begins at a symbol
+        target = np.zeros(n, np.int64)
+        buckets: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def place(at: np.ndarray) -> None:
+            """Ranks the pairs that begin at these symbols anew and puts them into their buckets."""
+            last = after[at] >= n
+            rank[at[last]] = NONE
+            at = at[~last]
+            r, k = self.pair(sym[at], sym[after[at]])
+            rank[at], target[at] = r, self.to[k]
+            hit = r < NONE
+            at, r = at[hit], r[hit]
+            order = np.argsort(r, kind="stable")
+            at, r = at[order], r[order]
+            edges = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1], [True]])) if len(r) else np.zeros(1, int)
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if (key := int(r[i])) not in buckets:
+                    buckets[key] = []
+                    heapq.heappush(ranks, key)
+                buckets[key].append(at[i:j])
+
+        place(np.arange(n))
+        while ranks:
+            best = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(buckets.pop(best)))
+            at = at[rank[at] == best]
+            if not len(at):
+                continue
+            chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+            k = np.arange(len(at))
+            first = np.maximum.accumulate(np.where(chained, 0, k))
+            at, late = self.at_once(at[(k - first) % 2 == 0], best, sym, after, before, target)
+            if len(late):
+                buckets[best] = [late]
+                heapq.heappush(ranks, best)
+            gone = after[at]
+            sym[at] = target[at]
+            sym[gone] = -1
+            rank[gone] = NONE
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left = before[at]
+            place(np.unique(np.concatenate([at, left[left >= 0]])))
+        return int(self.costs(sym[sym >= 0]).sum())
+
+    def at_once(self, at: np.ndarray, best: int, sym: np.ndarray, after: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Splits places of one rank into those that can be merged together and those that must wait.
+
+        A merge may give a neighbour a pair of a better rank, which then goes first.  Up to such a
+        merge, from the left, all of its neighbourhood are alike to one after the other.
+        """
+        n, made = len(sym), target[at]
+        left, right = before[at], after[after[at]]
+        inner = right < n
+        better = np.zeros(len(at), bool)
+        better[inner] = self.pair(made[inner], sym[right[inner]])[0] <= best
+        inner = left >= 0
+        better[inner] |= self.pair(sym[left[inner]], made[inner])[0] <= best
+        if len(at) > 1:
+            better[1:] |= (right[:-1] == at[1:]) & (self.pair(made[:-1], made[1:])[0] <= best)
+        if not better.any():
+            return at, at[:0]
+        hood = np.cumsum(np.concatenate([[False], at[1:] - at[:-1] > self.apart]))
+        before_it = np.cumsum(better) - better
+        lead = np.concatenate([[True], hood[1:] != hood[:-1]])
+        base = np.maximum.accumulate(np.where(lead, before_it, 0))
+        now = before_it == base
+        return at[now], at[~now]
+
     def counts(self, texts: list[str | None]) -> list[int]:
         cut = [_PRE.findall(MARK + t.replace(" ", MARK)) if t else () for t in texts]
         memo = self.memo
@@ -116,6 +207,8 @@ class Vocabulary:
         if len(memo) + len(new) > MEMO:
             memo.clear()
             new = list({w for ws in cut for w in ws})
+        memo.update((w, self.swept(w)) for w in new if len(w) > LONG)
+        new = [w for w in new if len(w) <= LONG]
         for i in range(0, len(new), 20_000):
             part = sorted(new[i : i + 20_000], key=len)
             memo.update(zip(part, self.merged(part).tolist()))
