@@ -4,19 +4,23 @@ Words that are unique to both a template and a stretch of text are anchors; the
 increasing run of anchors fixes the alignment and the gaps between them are aligned the same way.
 Coverage is the share of a template's words that the alignment meets.
 
-Each text is read in stretches of twice the template's length, laid every template length, so any
-occurrence lies whole in one of them and repeated notices stay separate; stretches that hold too
-few of the template's different words cannot reach the coverage and are passed over.
+Each text is read in stretches of SPAN template lengths, laid every template length, so that any
+occurrence as dense as MIN_DENSITY lies whole in one of them.  A stretch is aligned if it holds
+enough of the template's words, each counted as often as the template has it: no alignment can
+match more.  Where a stretch holds several copies, which leaves no word unique, the text from each
+of the template's first words on is aligned by itself.  Of places that overlap the best one stays.
 
 Defined results: null or wordless text holds no license; of equal coverages the longer template
-wins, then the earlier place; every row stands alone, repeated rows repeat the result; extra
-columns are ignored.
+wins, then the earlier place; every row stands alone, repeated rows repeat the result; a very long
+text is read whole, about 1 MB at a time with shorter ones; an empty table gives an empty one;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from folio.llm import _text as tx
 MIN_COVERAGE = 0.8
 #: Share of the words of the aligned stretch that must be the template's.
 MIN_DENSITY = 0.6
+#: Template lengths that a stretch needs to hold any occurrence so dense, wherever it begins.
+SPAN = 1 + ceil(1 / MIN_DENSITY)
 GAPS = tx.SPACE.copy()
 GAPS[[b for b in range(128) if not chr(b).isalnum()]] = True
 
@@ -41,6 +47,11 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
@@ -115,30 +126,50 @@ class Matcher:
         doc = np.repeat(np.arange(len(off) - 1), np.diff(w.ptr))
         found: list[list[tuple]] = [[] for _ in range(len(off) - 1)]
         for n, template in enumerate(self.ids):
-            size, need = len(template), len(np.unique(template))
-            mine = np.zeros(len(self.vocab) + 1, bool)
-            mine[template] = True
-            hit = np.flatnonzero(mine[ids])
+            size = len(template)
+            often = np.bincount(template, minlength=len(self.vocab) + 1)
+            hit = np.flatnonzero(often[ids])
             block = (hit - w.ptr[doc[hit]]) // size
-            # (text, stretch, word): a word of block k lies in the stretches that begin at blocks k and k - 1
-            key = np.concatenate([doc[hit] << 40 | (block + 1) << 12, doc[hit] << 40 | block << 12]) | np.tile(ids[hit], 2)
-            stretch, several = np.unique(np.unique(key) >> 12, return_counts=True)
-            taken = -1
-            for s in stretch[several >= np.ceil(MIN_COVERAGE * need)].tolist():
-                d, first = s >> 28, max(0, (s & ((1 << 28) - 1)) - 1) * size
-                lo = int(w.ptr[d]) + first
-                hi = min(int(w.ptr[d + 1]), lo + 2 * size)
-                pairs = align(template.tolist(), ids[lo:hi].tolist())
-                if not pairs:
-                    continue
-                begin, end = lo + pairs[0][1], lo + pairs[-1][1] + 1
-                if len(pairs) >= MIN_COVERAGE * size and len(pairs) >= MIN_DENSITY * (end - begin) and begin >= taken:
-                    found[d].append((len(pairs) / size, n, len(pairs), begin - int(w.ptr[d]), end - int(w.ptr[d])))
-                    taken = end
+            # (text, stretch, word): a word of block k lies in the stretches that begin at blocks k - SPAN + 1 to k
+            key = np.concatenate([doc[hit] << 40 | (block + SPAN - k) << 12 for k in range(1, SPAN + 1)]) | np.tile(ids[hit], SPAN)
+            key, count = np.unique(key, return_counts=True)
+            stretch, first = np.unique(key >> 12, return_index=True)
+            bound = np.add.reduceat(np.minimum(count, often[key & 0xFFF]), first) if len(key) else first
+            places: dict[int, set[tuple]] = {}
+            for s in stretch[bound >= MIN_COVERAGE * size].tolist():
+                d, begin = s >> 28, ((s & ((1 << 28) - 1)) - SPAN + 1) * size
+                lo, hi = int(w.ptr[d]) + max(0, begin), min(int(w.ptr[d + 1]), int(w.ptr[d]) + begin + SPAN * size)
+                for place in self.places(template.tolist(), ids[lo:hi].tolist()):
+                    places.setdefault(d, set()).add((-place[0], lo + place[1], lo + place[2]))
+            for d, options in places.items():
+                taken: list[tuple[int, int]] = []
+                for matched, begin, end in sorted(options):
+                    at = bisect_left(taken, (begin, begin))
+                    if (at == 0 or taken[at - 1][1] <= begin) and (at == len(taken) or taken[at][0] >= end):
+                        taken.insert(at, (begin, end))
+                        found[d].append((-matched / size, n, -matched, begin - int(w.ptr[d]), end - int(w.ptr[d])))
         for rows in found:
             rows.sort(key=lambda r: (-r[0], r[1], r[3]))
         return found
 
+    @staticmethod
+    def places(template: list[int], text: list[int]) -> list[tuple[int, int, int]]:
+        """(matched words, first word, end word) of the good alignments in a stretch."""
+
+        def aligned(lo: int, hi: int) -> tuple[int, int, int] | None:
+            pairs = align(template, text[lo:hi])
+            if len(pairs) >= MIN_COVERAGE * len(template) and len(pairs) >= MIN_DENSITY * (pairs[-1][1] + 1 - pairs[0][1]):
+                return len(pairs), lo + pairs[0][1], lo + pairs[-1][1] + 1
+
+        if place := aligned(0, len(text)):
+            return [place]
+        most = int(len(template) / MIN_DENSITY) + 1
+        out = []
+        for word in dict.fromkeys(template[: len(template) - ceil(MIN_COVERAGE * len(template)) + 1]):
+            at = [k for k, x in enumerate(text) if x == word]
+            out += [aligned(i, min(j, i + most)) for i, j in zip(at, [*at[1:], len(text)])]
+        return [place for place in out if place]
+
 
 SCHEMA = "doc_id long, license_id string, coverage double, matched_words long, word_start long, word_end long, n_found long, licenses array<string>"
 
