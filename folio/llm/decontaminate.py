@@ -32,48 +32,57 @@ MIN_LITERALS = 3
 MAX_BROADCAST_WINDOWS = 200_000
 # Unit words that follow a number.
 UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|oz|l|ml|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|mph|kmh|percent|dollars|euros|cents|miles|feet|inches|degrees|meters|metres|liters|litres|grams|kilograms|kilometers"
-_NUM, _NAME, _UNIT = "\u0001", "\u0002", "\u0003"
+_NUM, _NAME, _UNIT, _APART = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def canonical(text: Column) -> Column:
-    """Lower-case words without punctuation; a word that fills a slot begins with its slot's mark."""
-    t = F.regexp_replace(text, "[\u0001-\u0003\\s&&[^ ]][\u0001-\u0003\\s]*| [\u0001-\u0003\\s]+", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})", _NAME)
-    t = F.regexp_replace(F.lower(t), rf"(?<![\p{{L}}\p{{N}}])(?=\p{{N}})([\p{{N}}.,]*\p{{N}})(?![\p{{L}}\p{{N}}])(?:( ?)({UNITS})(?![\p{{L}}\p{{N}}]))?", f"{_NUM}$1 {_UNIT}$3")
-    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{_NUM}-{_UNIT}\s]+| ?{_UNIT}(?![\p{{L}}])", "")
-    return F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " ")
-
+    """Lower-case words without punctuation; a word that fills a slot begins with its slot's mark.
 
-def _word_hash(w: Column) -> Column:
-    return F.xxhash64(F.when(w < "\u0004", F.substring(w, 1, 1)).otherwise(w))
+    Every pattern begins with what is rare or fails at once, since it is tried at every character.
+    """
+    t = F.regexp_replace(text, f"[{_NUM}-{_UNIT}]", " ")
+    t = F.regexp_replace(t, r"([\p{Ll},;:])\s+(?=\p{Lu}\p{Ll})", f"$1 {_NAME}")
+    t = F.regexp_replace(F.lower(t), rf"(\p{{N}}(?<![\p{{L}}\p{{N}}].)(?:[\p{{N}}.,]*\p{{N}})?)(?![\p{{L}}\p{{N}}])(?:\s?({UNITS})(?![\p{{L}}\p{{N}}]))?", f"{_NUM}$1 {_UNIT}$2")
+    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{_NUM}-{_UNIT}\s]+| ?{_UNIT}(?![\p{{L}}])", "")
+    return F.split(F.trim(t, F.lit(" \t\n\r\f\v")), r"\s+")
 
 
 def template_windows(rows: DataFrame, key: str, text: str = "text", short: tuple[int, ...] = ()) -> DataFrame:
-    """key, pos (0-based), width, template (hash of the canonical words), slots (their values, null if none).
+    """key, pos (0-based), width, template, and slots: the values that fill the window's slots, joined; null if none.
 
-    Windows have WINDOW words, and all of them also each width in short.  The template of a window
-    with fewer than MIN_LITERALS literals holds the values of its slots as well.
+    Windows have WINDOW words, and all of them also each width in short.  The template is a hash of
+    the words with slots as their kinds; of the words themselves if fewer than MIN_LITERALS are literals.
+    Rows carry no words: windows are cut by position and hashed in generated code.
     """
+    widths = (WINDOW, *short)
     words = rows.where(F.col(text).isNotNull()).select(F.col(key), canonical(F.col(text).cast("string")).alias("w"))
-    words = words.select(key, "w", F.transform("w", _word_hash).alias("h"), F.exists("w", lambda x: x < "\u0004").alias("some"))
-    w, h = F.col("w"), F.col("h")
+    # Short texts go by a null, not by a filter: Spark would push that below the words and cut them twice.
+    starts = F.when(F.size("w") >= min(widths), F.sequence(F.lit(0), F.size("w") - min(widths)))
+    spans = words.select(key, "w", F.explode(starts).alias("pos"))
+    if short:
+        spans = spans.select("*", F.explode(F.array(*map(F.lit, widths))).alias("width")).where("pos + width <= size(w)")
+    else:
+        spans = spans.withColumn("width", F.lit(WINDOW))
+
+    def made(width: int) -> tuple[Column, Column]:
+        w = [F.get("w", F.col("pos") + k) for k in range(width)]
+        slots = sum((F.when(x < "\u0004", 1).otherwise(0) for x in w), F.lit(0))
+        template = F.when(slots > width - MIN_LITERALS, F.xxhash64(*w)).otherwise(F.xxhash64(*[F.when(x < "\u0004", F.substring(x, 1, 1)).otherwise(x) for x in w]))
+        return template, F.nullif(F.concat_ws(_APART, *[F.when(x < "\u0004", x) for x in w]), F.lit(""))
 
-    def windows(width: int) -> Column:
-        def window(i: Column) -> Column:
-            hashes = [F.get(h, i + k) for k in range(width)]
-            slots = F.filter(F.slice(w, i + 1, width), lambda x: x < "\u0004")
-            return F.struct(i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(*hashes).alias("template"), F.when(F.col("some"), slots).alias("slots"))
+    template, slots = made(WINDOW)
+    for width in short:
+        one = made(width)
+        template, slots = (F.when(F.col("width") == width, x).otherwise(y) for x, y in zip(one, (template, slots)))
+    return spans.select(key, "pos", "width", template.alias("template"), slots.alias("slots"))
 
-        starts = F.sequence(F.lit(0), F.size("w") - width) if not short else F.slice(F.sequence(F.lit(0), F.size("w")), 1, F.greatest(F.size("w") - width + 1, F.lit(0)))
-        return F.transform(starts, window)
 
-    spans = words.where(F.size("w") >= min((WINDOW, *short))).select(key, F.explode(F.concat(*map(windows, (WINDOW, *short))) if short else windows(WINDOW)).alias("x"))
-    spans = spans.select(key, "x.pos", "x.width", "x.template", "x.slots")
-    return spans.withColumn("template", F.when(_by_value(), F.xxhash64("template", "slots")).otherwise(F.col("template")))
+def _values(slots: str) -> Column:
+    return F.split(slots, _APART)
 
 
 def _by_value() -> Column:
-    return F.coalesce(F.size("slots") > F.col("width") - MIN_LITERALS, F.lit(False)) & F.col("slots").isNotNull()
+    return F.coalesce(F.size(_values("slots")) > F.col("width") - MIN_LITERALS, F.lit(False))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -92,9 +101,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = kept_safe(known)
     small = known.count() <= MAX_BROADCAST_WINDOWS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    hits = template_windows(rows, "doc_id", short=short).join(F.broadcast(known) if small else known, "template").where("width = item_width")
-    hits = hits.where(~_by_value() | F.col("slots").eqNullSafe(F.col("item_slots")))
-    hits = hits.select("doc_id", "item_id", "item_pos", "width", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots")
+    hits = template_windows(rows, "doc_id", short=short).join(F.broadcast(known) if small else known, "template")
+    hits = hits.where(F.col("width") == F.col("item_width")).where(~_by_value() | F.col("slots").eqNullSafe(F.col("item_slots")))
+    hits = hits.select("doc_id", "item_id", "item_pos", "width", (F.col("pos") - F.col("item_pos")).alias("shift"), _values("slots").alias("slots"), _values("item_slots").alias("item_slots"))
     hits = kept_safe(hits.distinct())
     # Along one alignment, each value of an item's slot must stand for one value.
     one = ["doc_id", "item_id", "shift"]
