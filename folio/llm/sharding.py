@@ -5,21 +5,25 @@ Feistel network on the next even number of bits, walking the cycle until it is b
 the place found gives shard (place mod shards) and slot (place div shards).  So any row's place
 can be computed from its number, and shards differ by one row at most.
 
-Defined results: null text has no bytes; null ids sort first; repeated rows get numbers (and so
-places) of their own; an empty table gives an empty one; extra columns are kept by `shard_rows`.
+Defined results: null text has no bytes; null ids sort first; of one id, rows are ordered by
+checksum, size and a hash of the row, so places do not depend on how the table is laid out; repeated
+rows get numbers (and so places) of their own; a very long text is one row like any other; an empty
+table gives an empty one; extra columns are ignored by `assign` and kept by `shard_rows`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm._text import kept_safe, mix
 
 ROUNDS = 6
 OVERHEAD_BYTES = 8
+#: Bytes that a partition of rows to be numbered should hold, and bytes of a narrow row.
+PARTITION_BYTES, NARROW = 1 << 27, 64
 
 
 def permute(x: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -38,23 +42,28 @@ def permute(x: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
+def numbered(rows: DataFrame, *order: str, row_bytes: Column | None = None) -> DataFrame:
     """rows with row_no, 0 to n - 1 in the given order, and n_rows.
 
-    Sorted by range over all partitions; the row counts of the partitions (one small row each)
-    give every partition's first number.  Rows equal in all order columns are spread by a tie
-    number, so no value has to fit one partition.
+    Sorted by range over as many partitions as the rows fill (row_bytes each, NARROW if not given);
+    the row counts of the partitions, one small row each, give every partition's first number.
+    Rows equal in all order columns must be alike; a tie number spreads them, so no value has to
+    fit one partition.
     """
+    spark = rows.sparkSession
+    filled = rows.agg(F.sum(F.lit(NARROW) if row_bytes is None else row_bytes)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), filled // PARTITION_BYTES + 1)
     tied = rows.withColumn("_tie", F.monotonically_increasing_id())
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    laid = kept_safe(tied.repartitionByRange(int(parts), *order, "_tie").sortWithinPartitions(*order, "_tie").withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = {r[0]: r[1] for r in laid.groupBy(part.alias("p")).count().collect()}  # one row per partition
-    first, total = {}, 0
-    for p in sorted(counts):
-        first[p], total = total, total + counts[p]
-    base = F.lit(0).cast("long") if not first else F.element_at(F.array(*[F.lit(first.get(p, 0)).cast("long") for p in range(max(first) + 1)]), part.cast("int") + 1)
-    return laid.withColumn("row_no", base + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).withColumn("n_rows", F.lit(total).cast("long")).drop("_tie", "_at")
+    laid = kept_safe(tied.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie").withColumn("_at", F.monotonically_increasing_id()))
+    laid = laid.withColumn("_part", F.shiftright("_at", 33))
+    counts = sorted((r[0], r[1]) for r in laid.groupBy("_part").count().collect())
+    first, total = [], 0
+    for part, n in counts:
+        first.append((part, total))
+        total += n
+    base = F.broadcast(spark.createDataFrame(first, "_part long, _base long"))
+    out = laid.join(base, "_part").withColumn("row_no", F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.withColumn("n_rows", F.lit(total).cast("long")).drop("_tie", "_at", "_part", "_base")
 
 
 def _place(seed: int):
@@ -87,5 +96,6 @@ def assign(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
 def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
     """docs with shard and slot (columns of those names are replaced); every row, repeated ones too, has a slot of its own."""
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    at = numbered(docs.select(F.struct(*names).alias("row"), *_measures()), "_id", "_crc", "_size").withColumn("_place", _place(seed)("row_no", "n_rows"))
+    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(F.struct(*names)).alias("_mark"), *_measures())
+    at = numbered(rows, "_id", "_crc", "_size", "_mark", row_bytes=F.col("_size") + NARROW).withColumn("_place", _place(seed)("row_no", "n_rows"))
     return at.select("row.*", *_shard("_place", shards))
