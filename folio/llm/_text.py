@@ -123,6 +123,25 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def rolling(h: np.ndarray):
+    """Function of a width that gives the hash of each run of so many neighbouring hashes, rolled over one running sum."""
+    up, down = powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, U64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+
+    def of(width: int) -> np.ndarray:
+        n = max(0, len(h) - width + 1)
+        return mix((total[width : width + n] - total[:n]) * down[:n] + U64(width))
+
+    return of
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def whole(h: np.ndarray) -> np.ndarray:
     """One hash for a whole (short) sequence."""
     return mix(np.array([(h * WEIGHTS[: len(h)]).sum(dtype=U64) + U64(len(h))], U64))

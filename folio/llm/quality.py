@@ -4,8 +4,9 @@ Rolling hashes of several window lengths mark the words that lie in a window see
 same text; the share of characters in marked words, and in repeated lines, gives the verdict.
 
 Defined results: null text counts as empty; a text without words has zero counts and fails the
-base rule (under 10 words); ties and repeated rows need no order, every row stands alone; extra
-columns are ignored.
+base rule (under 10 words); ties and repeated rows need no order, every row stands alone; a very
+long text is read whole, as a chunk of its own; an empty table gives an empty one; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -80,11 +81,12 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     share = lambda x: x / np.maximum(out["word_chars"], 1)
     out["line_share"] = share(np.bincount(doc[again], (sums[last] - sums[first])[again], docs))
 
+    rolled = tx.rolling(w.hashes)
     busy = np.ones(docs, bool)  # a text without a repeated window of 5 words has none of more
     for width in REPEAT_LIMITS:
         at, doc = _starts(w.ptr, width)
         at, doc = at[busy[doc]], doc[busy[doc]]
-        twice, again = _runs(tx.mix(tx.windows(w.hashes, width)[at] + doc.astype(tx.U64) * tx.WEIGHTS[2]))
+        twice, again = _runs(tx.mix(rolled(width)[at] + doc.astype(tx.U64) * tx.WEIGHTS[2]))
         if width == BASE_WINDOW:
             out["n_repeat_words"] = total(_covered(twice, at, width, len(w.starts)))
             busy = out["n_repeat_words"] > 0
