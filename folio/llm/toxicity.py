@@ -7,8 +7,10 @@ terciles of how many telling features (screened by odds and chi-square on the la
 severity, sum over k of P(grade > k).
 
 Defined results: null or wordless text has severity 0 and is not toxic; without both kinds of
-label nothing is toxic; a doc_id labelled more than once is toxic if one label says so; extra
-columns are ignored by `severity` and kept by `drop_toxic`.
+label nothing is toxic; a doc_id labelled more than once is toxic if one label says so; of several
+texts of a labelled doc_id the first in byte order is learned from; every row stands alone, so
+repeated rows repeat the result; a very long text is read whole, as a chunk of its own; an empty
+table gives an empty one; extra columns are ignored by `severity` and kept by `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in tx.chunks(off):
             d, f = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
             rows += [x.astype(np.int32).tobytes() for x in np.split(f, np.searchsorted(d, np.arange(1, j - i)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["toxic", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["toxic", "features", "doc_id"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -156,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(max_train)  # bounded: broadcast below
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    sample = rows.select("doc_id", F.col("toxic"), "text").dropDuplicates(["doc_id"]).select("toxic", "text").mapInArrow(_extract, "toxic int, features binary").toPandas()
+    once = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    sample = once.select("toxic", "text", "doc_id").mapInArrow(_extract, "toxic int, features binary, doc_id long").toPandas().sort_values("doc_id")
     return fit(sample.toxic.to_numpy(), [np.frombuffer(x, np.int32).astype(np.int64) for x in sample.features]) if len(sample) else None
 
 
