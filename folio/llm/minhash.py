@@ -7,9 +7,10 @@ sets.
 
 Defined results: a text that is null or has no word has an empty set and links with nothing;
 one with fewer words than a shingle has the whole sequence as its only shingle; exact copies
-share a class before any candidate search; repeated rows of one doc_id are one document; rows
-without doc_id are returned with null component_id and kept = true.  Extra columns of the input
-are ignored.
+share a class before any candidate search; repeated rows of one doc_id are one document, with all
+its links if the texts differ; rows without doc_id are returned with null component_id and kept =
+true; of ties the smallest doc_id counts; a very long text is shingled whole, as a chunk of its
+own; an empty table gives an empty one; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def _sign(width: int, bands: int, rows: int, bits: int):
     scale = tx.WEIGHTS[:rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.pieces(batches):
             n, fp, keys = [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
@@ -289,13 +290,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Repeated rows of one doc_id with the same text leave one; rows without doc_id or without words all stay.
+    Rows that share a doc_id but not their text are documents of their own, known by a hash of
+    both.  Repeated rows of one doc_id and text leave one, by a hash of the row; rows without
+    doc_id or without words all stay.
     """
-    found = tx.kept_safe(near_duplicates(docs, **options))
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    again = tx.kept_safe(found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    rest = tx.pick(docs, gone, "doc_id", "left_anti")
+    node = tx.free("_node", docs.columns)
+    id_, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    texts = docs.select(id_.alias("doc_id"), F.xxhash64(text).alias("h")).where("doc_id IS NOT NULL").groupBy("doc_id")
+    several = tx.kept_safe(texts.agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("n > 1"))
+    mixed, again = several.where("lo <> hi").select("doc_id"), several.where("lo = hi").select("doc_id")
+    nodes = docs.withColumn(node, id_)
+    if not mixed.isEmpty():
+        odd = tx.pick(nodes, mixed, "doc_id").withColumn(node, F.xxhash64(id_, text))
+        nodes = tx.pick(nodes, mixed, "doc_id", "left_anti").unionByName(odd)
+        more = odd.where(F.col(node).isNotNull()).groupBy(node).count().where("count > 1").select(F.col(node).alias("doc_id"))
+        again = tx.kept_safe(again.unionByName(more))
+    found = tx.kept_safe(near_duplicates(nodes.select(F.col(node).alias("doc_id"), text.alias("text")), **options))
+    gone = tx.kept_safe(found.where("NOT kept").select(F.col("doc_id").alias(node)).distinct())
+    rest = tx.pick(nodes, gone, node, "left_anti")
+    again = tx.kept_safe(found.where("kept AND n_shingles > 0").join(again, "doc_id", "left_semi").select(F.col("doc_id").alias(node)).distinct())
     if again.isEmpty():
-        return rest
-    once = tx.pick(rest, again, "doc_id").dropDuplicates(["doc_id", "text"])
-    return tx.pick(rest, again, "doc_id", "left_anti").unionByName(once)
+        return rest.drop(node)
+    row = F.struct(*docs.columns)
+    once = tx.pick(rest, again, node).groupBy(node).agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    return tx.pick(rest, again, node, "left_anti").drop(node).unionByName(once)

@@ -108,6 +108,20 @@ def test_keep_one_of_each(docs, empty):
     assert keep_one_of_each(empty).count() == 0
 
 
+def test_keep_one_of_each_by_row(spark):
+    """Two texts of one doc_id are two documents; what repeats whole leaves one; a column named _node is kept."""
+    from folio.llm.minhash import keep_one_of_each
+
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    data = [(1, a, 0), (5, a + " end", 1), (5, b, 2), (7, b, 3), (8, c, 4), (8, c, 5), (None, a, 6), (9, None, 7), (9, None, 7)]
+    out = keep_one_of_each(spark.createDataFrame(data, "doc_id int, text string, _node int"))
+    assert out.columns == ["doc_id", "text", "_node"]
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(map(str, (x for x in left if x[1] != b))) == sorted(map(str, [(1, a), (8, c), (None, a), (9, None), (9, None)]))
+    assert sum(t == b for _, t in left) == 1
+
+
 def test_components(spark):
     from folio.llm._graph import components
 
