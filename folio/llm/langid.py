@@ -7,7 +7,9 @@ calibrates the probabilities.
 
 Defined results: text that is null or has no letter gives `und` with score 0; with no training
 rows at all every text gives `und`; with one language everything else gives it with score 1; ties
-go to the language that sorts first; extra columns are ignored.
+go to the language that sorts first; of a training doc_id's rows the first by language and counts
+is learned from; every row is predicted by itself, so repeated rows repeat the result; a very long
+text is read whole; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
