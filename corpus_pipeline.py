@@ -4,7 +4,16 @@ Toxic documents go, one document of each near-duplicate group stays, contaminate
 sources are mixed to target weights (a document can go, or come up to three times), and the rows
 are dealt to shards.  Every stage but the last returns the columns of documents; the last adds
 shard and slot.  `run` writes what a stage returns as Parquet beside the checkpoints and reads it
-again as the next one's input.
+again as the next one's input; the copies of one run lie in one folder, pipeline-<id>, and are the
+caller's to remove.
+
+Defined results, stage by stage as the operators have them: rows with null or empty text are never
+toxic, near-duplicate or contaminated, and have no words, so the mix leaves them out or takes them
+up to three times like any row of their source; rows without doc_id pass every filter but toxicity
+and are mixed and dealt like others; repeated rows of one doc_id and text leave one; rows that share
+a doc_id but not the text are documents of their own; ties fall by doc_id, then by a hash of the
+row; very long texts are read whole by every stage; an empty table gives an empty one; columns
+beside those of documents are carried to the end, but for shard and slot, which are replaced.
 """
 
 from __future__ import annotations
