@@ -14,12 +14,13 @@ IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "webp")
 MIME_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"}
 DEFAULT_MIME = "image/png"
 PREVIEW_CHARS = 240
-_BLANK = r"[\s\x{FEFF}\x{A0}]"
+# What script engines take for white space.
+BLANK = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def js_trim(c: Column) -> Column:
     """Trims every Unicode space and the byte order mark, as script engines do."""
-    return F.regexp_replace(c, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.trim(c, F.lit(BLANK))
 
 
 def blank_to_null(c: Column) -> Column:

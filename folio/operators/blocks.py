@@ -49,15 +49,25 @@ def visible_text(blocks: DataFrame) -> DataFrame:
 
 
 def edit_blocks(blocks: DataFrame, patches: DataFrame) -> DataFrame:
-    """blocks with the patches (block_id, translated_text, render_direction, bbox; null: as it was) of the same block_id; the last patch_ord wins."""
-    last = patches.groupBy("block_id").agg(F.max_by(F.struct(F.col("translated_text").alias("t"), F.col("render_direction").alias("d"), F.col("bbox").alias("b")), "patch_ord").alias("p"))
+    """blocks with the patches (block_id, patch_ord and any block columns; null: as it was) of the same block_id.
+
+    Of several patches of one block the last one of each column wins.  A box is clamped and goes to
+    the layout box where there is one; a patch of render_bbox sets the layout box itself.
+    """
+    set_ = [c for c in patches.columns if c in blocks.columns and c not in ("block_id", "page_id", "block_ord")]
+    last = patches.groupBy("block_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("patch_ord"))).alias(f"_{c}") for c in set_])
     rows = blocks.join(last, "block_id", "left")
-    source, layout = apply_bbox_edit(F.col("bbox"), F.col("render_bbox"), F.col("p.b"))
-    edited = F.col("p.b").isNotNull()
-    return rows.withColumns({
-        "new_bbox": F.when(edited, source).otherwise(F.col("bbox")), "new_layout": F.when(edited, layout).otherwise(F.col("render_bbox")),
-        "translated_text": F.coalesce("p.t", "translated_text"), "render_direction": render_direction(F.coalesce("p.d", "render_direction")),
-    }).drop("bbox", "render_bbox", "p").withColumnsRenamed({"new_bbox": "bbox", "new_layout": "render_bbox"})
+    new = {c: F.coalesce(f"_{c}", c) for c in set_ if c not in ("bbox", "render_bbox", "render_direction")}
+    if "render_direction" in blocks.columns:
+        new["render_direction"] = render_direction(F.coalesce("_render_direction", "render_direction") if "render_direction" in set_ else F.col("render_direction"))
+    layout = F.coalesce(clamp_bbox(F.col("_render_bbox")), "render_bbox") if "render_bbox" in set_ else F.col("render_bbox")
+    if "render_bbox" in set_:
+        new["render_bbox"] = layout
+    if "bbox" in set_:
+        source, moved = apply_bbox_edit(F.col("bbox"), layout, F.col("_bbox"))
+        edited = F.col("_bbox").isNotNull()
+        new |= {"bbox": F.when(edited, source).otherwise(F.col("bbox")), "render_bbox": F.when(edited, moved).otherwise(layout)}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in blocks.columns])
 
 
 def delete_blocks(blocks: DataFrame, ids: DataFrame) -> DataFrame:
@@ -65,10 +75,10 @@ def delete_blocks(blocks: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def duplicate_blocks(blocks: DataFrame, ids: DataFrame) -> DataFrame:
-    """blocks and shifted copies of those in ids, each copy after the page's last block."""
+    """blocks and shifted copies of those in ids, each copy after the page's last block and named by its place there, so no id repeats."""
     last = blocks.groupBy("page_id").agg(F.max("block_ord").alias("last"))
     chosen = blocks.join(ids.select("block_id").distinct(), "block_id").join(last, "page_id")
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("block_ord", "block_id"))
     shift = F.lit(COPY_SHIFT)
-    copies = chosen.withColumns({"block_ord": F.col("last") + n, "block_id": F.concat("block_id", F.lit("-copy")), "bbox": offset_bbox(F.col("bbox"), shift, shift), "render_bbox": offset_bbox(F.col("render_bbox"), shift, shift)})
+    copies = chosen.withColumns({"block_ord": F.col("last") + n, "block_id": F.concat("block_id", F.lit("-copy-"), (F.col("last") + n).cast("string")), "bbox": offset_bbox(F.col("bbox"), shift, shift), "render_bbox": offset_bbox(F.col("render_bbox"), shift, shift)})
     return blocks.unionByName(copies.select(*blocks.columns))

@@ -1,21 +1,18 @@
-"""Model replies to typed records.
+"""Model replies to typed records, in Spark expressions only.
 
-Clean replies never leave the JVM: strict JSON is read as VARIANT and clean line records are split
-and matched one record at a time.  Only rows that neither can read go to the Arrow branch, which
-knows the repairs.  Every reply ends up as records or as one error row.
+A reply is one row from text to records: strict JSON is read as VARIANT; what looks like JSON but is
+broken is cut into objects, and each known field is found in its object by that field's own rule;
+replies in lines are cut into records at blank lines and ids.  Every reply ends up as records or as
+one error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.geometry import bbox
 from folio.functions.text import blank_to_null, js_number, js_trim
-from folio.operators import lenient
 
 # Accepted keys, in order of preference.
 KO_KEYS = ("ko", "korean", "translation", "translated", "text_ko")
@@ -26,9 +23,16 @@ DEFAULT_TYPE = "dialogue"
 ITEM = "struct<type:string,x:double,y:double,w:double,h:double,jp:string,ko:string>"
 NO_PAYLOAD, NOT_JSON = "Failed to find a parseable structured payload in the model output.", "Failed to parse model output as JSON."
 _START = r"(?m)^\s*\"?id\"?\s*:"
-#: One record of the clean grammar: eight keys, a line each, in this order, numbers plain.
-_RECORD = r"^id:[ \t]*[A-Za-z0-9_-]+\ntype:[ \t]*([^\"',}\n]+)\nx:[ \t]*([0-9]+(?:\.[0-9]+)?)\ny:[ \t]*([0-9]+(?:\.[0-9]+)?)\nw:[ \t]*([0-9]+(?:\.[0-9]+)?)\nh:[ \t]*([0-9]+(?:\.[0-9]+)?)\njp:[ \t]*([^\"'\n]*)\nko:[ \t]*([^\"'\n]*)$"
-_COORDINATE = r"[\"']?[xywh][\"']?\s*:\s*[0-9.]"
+#: An object with a key that is no field's value: such a reply is JSON, however broken, and not lines.
+_JSON_LIKE = r"(?<!:\s{0,4})\{\s*[\"']?[A-Za-z_]+[\"']?\s*:"
+_FENCE = r"(?i)```(?:json)?"
+#: An object begins at a brace with a key behind it, unless the brace is a field's value.
+_OBJECT = r"(?<=[\[,}])\s*(?=\{\s*[\"']?[A-Za-z_]+[\"']?\s*:?)"
+_ANY_KEY = "|".join(("id", "type", *BOX_KEYS, *JP_KEYS, *KO_KEYS, *(k for pair in SIDE_KEYS.values() for k in pair)))
+#: Where a broken text value ends: before the next field, the end of its object, or the end of its line.
+_ENDS = rf"[\"']?\s*(?=,?\s*(?:\n|$)|,?\s*\}}\s*(?:[,\]}}]|$)|,\s*[\"']?(?:{_ANY_KEY})[\"']?\s*:)"
+#: A text value: between quotes of its own, or, where those are torn, up to what ends it.
+_VALUE = rf"(?:\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+')(?=\s*(?:[,}}\]\n]|$))|.*?{_ENDS}"
 
 
 def extract_payload(text: Column) -> Column:
@@ -43,12 +47,20 @@ def extract_payload(text: Column) -> Column:
     return F.when(t.startswith("{") | t.startswith("["), t).otherwise(F.coalesce(fenced, between("{", "}"), between("[", "]")))
 
 
-def strict(c: Column) -> Column:
-    """Whether a text is one JSON value and nothing else, without repeated keys."""
-    c = F.regexp_replace(c, r"^\x{FEFF}", "")
-    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+def strict_value(c: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else, without repeated keys; else null.
+
+    The parser stops at the end of a value and overlooks what follows, so the text is read inside
+    brackets and inside an object, of which at least one then ends in the wrong place.
+    """
+    c = F.trim(c, F.lit("\ufeff"))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    return F.coalesce(listed.isNotNull() & keyed.isNotNull() & (js_trim(c) != ""), F.lit(False))
+    whole = (js_trim(c) != "") & keyed.isNotNull() & F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
+    return F.when(whole, F.try_variant_get(keyed, "$.v", "variant"))
+
+
+def strict(c: Column) -> Column:
+    return strict_value(c).isNotNull()
 
 
 def without_trailing_commas(c: Column) -> Column:
@@ -57,8 +69,7 @@ def without_trailing_commas(c: Column) -> Column:
 
 def parse_json_strict(c: Column) -> Column:
     """VARIANT of the text as it is, or without trailing commas; null if neither is strict JSON."""
-    fixed = without_trailing_commas(c)
-    return F.when(strict(c), F.try_parse_json(c)).when(strict(fixed), F.try_parse_json(fixed))
+    return F.coalesce(strict_value(c), F.when(c.rlike(r",\s*[}\]]"), strict_value(without_trailing_commas(c))))
 
 
 def _text(v: Column, path: str) -> Column:
@@ -83,18 +94,25 @@ def _real(v: Column, path: str) -> Column:
     return raw.isNotNull() & ~F.is_variant_null(raw)
 
 
-def variant_item(v: Column) -> Column:
-    """ITEM struct of one parsed item, by the aliases; a missing box side is null."""
-    box = v
-    for k in reversed(BOX_KEYS):
-        box = F.when(_real(v, f"$.{k}"), F.try_variant_get(v, f"$.{k}", "variant")).otherwise(box)
+def _boxed(v: Column) -> Column:
+    """An item and its box: the first that is there, or the item itself."""
+    box = F.coalesce(*[F.when(_real(v, f"$.{k}"), F.try_variant_get(v, f"$.{k}", "variant")) for k in BOX_KEYS], v)
+    return F.struct(v.alias("v"), box.alias("box"))
+
+
+def _sided(p: Column) -> Column:
+    box = p["box"]
     corners = _has(box, "$.x1") & _has(box, "$.y1") & _has(box, "$.x2") & _has(box, "$.y2")
-    n = lambda k: _number(box, f"$.{k}")
-    own = {k: F.when(_real(box, f"$.{a}"), n(a)).otherwise(n(b)) for k, (a, b) in SIDE_KEYS.items()}
-    sides = {"x": F.when(corners, n("x1")).otherwise(own["x"]), "y": F.when(corners, n("y1")).otherwise(own["y"]), "w": F.when(corners, n("x2") - n("x1")).otherwise(own["w"]), "h": F.when(corners, n("y2") - n("y1")).otherwise(own["h"])}
+    own = [F.when(_real(box, f"$.{a}"), _number(box, f"$.{a}")).otherwise(_number(box, f"$.{b}")).alias(a) for a, b in SIDE_KEYS.values()]
+    return F.struct(p["v"].alias("v"), F.when(corners, F.struct(*[_number(box, f"$.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")])).alias("c"), F.struct(*own).alias("own"))
+
+
+def variant_item(p: Column) -> Column:
+    """ITEM struct of one parsed item, by the aliases; a missing box side is null."""
+    v, c = p["v"], p["c"]
+    corner = {"x": c["x1"], "y": c["y1"], "w": c["x2"] - c["x1"], "h": c["y2"] - c["y1"]}
     first = lambda keys: F.coalesce(*[blank_to_null(_text(v, f"$.{k}")) for k in keys])
-    kind = F.coalesce(blank_to_null(_text(v, "$.type")), F.lit(DEFAULT_TYPE))
-    return F.struct(kind.alias("type"), *[c.alias(k) for k, c in sides.items()], F.coalesce(first(JP_KEYS), F.lit("")).alias("jp"), first(KO_KEYS).alias("ko"))
+    return _struct(_text(v, "$.type"), {k: F.when(c.isNotNull(), x).otherwise(p["own"][k]) for k, x in corner.items()}, first(JP_KEYS), first(KO_KEYS))
 
 
 def variant_items(v: Column) -> Column:
@@ -103,24 +121,100 @@ def variant_items(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.items", "array<variant>"), F.try_variant_get(v, "$.blocks", "array<variant>"), none)
 
 
-def line_parts(text: Column) -> Column:
-    """Records of a line reply, split at blank lines."""
-    return F.filter(F.transform(F.split(F.regexp_replace(js_trim(text), r"\r\n", "\n"), r"\n[ \t]*\n"), js_trim), lambda r: r != "")
+def json_items(v: Column) -> Column:
+    """Whole ITEMs of a parsed payload, read in steps so that a step's fields are found once."""
+    found = variant_items(v)
+    for step in (_boxed, _sided, variant_item):
+        found = F.transform(found, step)
+    return F.filter(found, whole_item)
+
+
+def whole_item(item: Column) -> Column:
+    """Whether an ITEM has a translation and a whole box."""
+    return item["ko"].isNotNull() & item["x"].isNotNull() & item["y"].isNotNull() & item["w"].isNotNull() & item["h"].isNotNull()
+
+
+def _struct(kind: Column, sides: dict[str, Column], jp: Column, ko: Column) -> Column:
+    return F.struct(F.coalesce(blank_to_null(kind), F.lit(DEFAULT_TYPE)).alias("type"), *[v.cast("double").alias(k) for k, v in sides.items()], F.coalesce(js_trim(jp), F.lit("")).alias("jp"), blank_to_null(ko).alias("ko"))
+
+
+def _last(found: Column) -> Column:
+    return F.try_element_at(found, F.lit(-1))
+
 
+def _first(*texts: Column) -> Column:
+    return F.get(F.filter(F.array(*texts), lambda x: x.isNotNull() & (js_trim(x) != "")), 0)
 
-def clean_lines(text: Column) -> Column:
-    """Whether every record has the clean grammar, and no text of one reads like a coordinate."""
-    good = lambda r: r.rlike(_RECORD) & ~F.regexp_extract(r, _RECORD, 6).rlike(_COORDINATE) & ~F.regexp_extract(r, _RECORD, 7).rlike(_COORDINATE)
-    return F.coalesce(F.forall(line_parts(text), good) & (F.size(line_parts(text)) > 0), F.lit(False))
 
+def _unescaped(c: Column) -> Column:
+    quoted = F.try_parse_json(F.concat(F.lit('"'), c, F.lit('"')))
+    return F.when(F.contains(c, F.lit("\\")), F.coalesce(F.try_variant_get(quoted, "$", "string"), c)).otherwise(c)
 
-def line_items(text: Column) -> Column:
-    """Array of ITEM structs of a clean line reply."""
-    def item(r: Column) -> Column:
-        g = lambda k: F.regexp_extract(r, _RECORD, k)
-        return F.struct(js_trim(g(1)).alias("type"), *[g(k).try_cast("double").alias(n) for k, n in zip((2, 3, 4, 5), "xywh")], js_trim(g(6)).alias("jp"), F.nullif(js_trim(g(7)), F.lit("")).alias("ko"))
 
-    return F.transform(line_parts(text), item)
+def broken_items(payload: Column) -> Column:
+    """Whole ITEMs of a JSON-like text that is no JSON: quotes, keys, braces or commas missing or odd.
+
+    Every object is read in steps, so that a step's fields are found once: its box, then all fields as texts, then values.
+    """
+    boxed = rf"(?is)[\"']?(?:{'|'.join(BOX_KEYS)})[\"']?\s*:\s*\{{([^}}]*)"
+    said = rf"(?i)[\"']?\b(?:{'|'.join((*JP_KEYS, *KO_KEYS))})[\"']?\s*:\s*(?:{_VALUE})"
+    sides = {**{k: (k, "a", other) if k == "x" else (k, other) for k, (k, other) in SIDE_KEYS.items()}, "x1": ("x1",), "y1": ("y1",), "x2": ("x2",), "y2": ("y2",)}
+
+    def parts(o: Column) -> Column:
+        return F.struct(o.alias("o"), F.regexp_extract(o, boxed, 1).alias("box"), F.regexp_replace(o, said, "").alias("rest"))
+
+    def fields(p: Column) -> Column:
+        text = lambda k: F.regexp_replace(js_trim(_last(F.regexp_extract_all(p["o"], F.lit(rf"(?i)(?:^|[{{,\n])\s*[\"']?{k}[\"']?\s*:\s*({_VALUE})"), F.lit(1)))), r"^[\"']|[\"']$", "")
+        box = F.when(p["box"] != "", p["box"]).otherwise(p["rest"])
+        number = lambda k: F.nullif(F.regexp_extract(box, rf"(?:^|[{{,\s\"'])[\"']?{k}[\"']?\s*:\s*[\"']?([^\s,\"'}}]+)", 1), F.lit("null"))
+        return F.struct(text("type").alias("type"), _first(*map(text, JP_KEYS)).alias("jp"), _first(*map(text, KO_KEYS)).alias("ko"), *[_first(*map(number, keys)).alias(k) for k, keys in sides.items()])
+
+    def numbers(f: Column) -> Column:
+        return F.struct(*[_unescaped(f[k]).alias(k) for k in ("type", "jp", "ko")], *[js_number(f[k]).alias(k) for k in sides])
+
+    def item(v: Column) -> Column:
+        corner = {"x": v["x1"], "y": v["y1"], "w": v["x2"] - v["x1"], "h": v["y2"] - v["y1"]}
+        return _struct(v["type"], {k: F.coalesce(v[k], c) for k, c in corner.items()}, v["jp"], v["ko"])
+
+    found = F.split(js_trim(F.regexp_replace(payload, _FENCE, "")), _OBJECT)
+    for step in (parts, fields, numbers, item):  # before the first object stands what holds them all
+        found = F.transform(F.slice(found, F.lit(2), F.size(found)) if step is parts else found, step)
+    return F.filter(found, whole_item)
+
+
+def line_items(text: Column, mode: str = "fixed") -> Column:
+    """Whole ITEMs of a reply in lines; a blank line or an id begins a record, the last line of a field counts.
+
+    A line of coordinates may hold several.  In mode "fixed" it must begin with one; in mode
+    "compat" any line that holds one is no text.
+    """
+    id_line = r"(?i)^\{?\s*\"?id[^:\"]*\"?\s*:\s*[\"']?[A-Za-z0-9_-]+"
+    rule = lambda key: rf"(?i)^\"?{key}[^:\"]*\"?\s*:\s*[\"']?(.+?)[\"']?,?$"
+    coordinates = r"[\"']?[xywha][\"']?\s*:\s*[0-9.]" if mode == "compat" else r"(?i)^[{\s\"']*(?:\"?bbox\"?\s*:\s*\{?\s*)?[\"']?[xywha][\"']?\s*:"
+    text = js_trim(F.regexp_replace(F.regexp_replace(text, _FENCE, ""), "\r\n", "\n"))
+
+    typed, placed = lambda x: x.rlike(rule("type")), lambda x: x.rlike(coordinates)
+
+    def lines(record: Column) -> Column:
+        return F.filter(F.transform(F.split(record, "\n"), js_trim), lambda x: (x != "") & ~x.rlike(id_line))
+
+    def sorted_(found: Column) -> Column:
+        kinds = F.transform(found, lambda x: F.struct(x.alias("x"), F.when(typed(x), "t").when(placed(x), "b").otherwise("s").alias("k")))
+        return F.struct(kinds.alias("a"))
+
+    def fields(p: Column) -> Column:
+        of = lambda kind: F.transform(F.filter(p["a"], lambda y: y["k"] == kind), lambda y: y["x"])
+        last = lambda key, kind: _last(F.filter(of(kind), lambda x: x.rlike(rule(key))))
+        return F.struct(F.array_join(of("b"), "\n").alias("box"), *[last(key, kind).alias(key) for key, kind in (("type", "t"), ("jp", "s"), ("ko", "s"))])
+
+    def item(f: Column) -> Column:
+        side = lambda k: _last(F.regexp_extract_all(f["box"], F.lit(rf"[\"']?{k}[\"']?\s*:\s*([0-9.]+)"), F.lit(1))).try_cast("double")
+        return _struct(F.regexp_extract(f["type"], rule("type"), 1), {k: side("[xa]" if k == "x" else k) for k in SIDE_KEYS}, *[F.regexp_extract(f[k], rule(k), 1) for k in ("jp", "ko")])
+
+    records = F.split(text, r"(?i)\n\s*\n|\n(?=[ \t]*\{?[ \t]*\"?id[^:\"\n]*\"?[ \t]*:[ \t]*[\"']?[A-Za-z0-9_-])")
+    for step in (lines, sorted_, fields, item):
+        records = F.transform(records, step)
+    return F.filter(records, whole_item)
 
 
 def normalize_items(items: DataFrame, key: str = "reply_id") -> DataFrame:
@@ -130,42 +224,35 @@ def normalize_items(items: DataFrame, key: str = "reply_id") -> DataFrame:
     return whole.select(key, n.alias("id"), "type", bbox(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("bbox"), "jp", "ko")
 
 
-def _exploded(df: DataFrame, key: str, items: Column) -> DataFrame:
-    return df.select(key, F.posexplode(items).alias("pos", "i")).select(key, "pos", "i.*")
-
-
-def _lenient(mode: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for key, text in zip(rows.iloc[:, 0], rows["text"]):
-                items, error = lenient.parse(text, mode)
-                out += [(key, k, *item, None) for k, item in enumerate(items)]
-                if error:
-                    out.append((key, -1, *[None] * 7, error))
-            yield pd.DataFrame(out, columns=[rows.columns[0], "pos", "type", "x", "y", "w", "h", "jp", "ko", "error"])
-
-    return run
+def parsed(replies: DataFrame, key: str = "reply_id", mode: str = "fixed") -> DataFrame:
+    """(key, text) -> (key, items: whole ITEMs or null, error): one row per reply, each text read once."""
+    some = lambda c: F.when(F.size(c) > 0, F.col(c) if isinstance(c, str) else c)
+    rows = replies.select(key, js_trim(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = rows.withColumn("payload", extract_payload(F.col("t")))
+    in_lines = F.col("t").rlike(_START) & ~F.col("t").rlike(r"^[{\[]") & ~F.col("t").rlike(_JSON_LIKE) if mode == "fixed" else F.lit(False)
+    rows = rows.withColumn("lines", F.when(in_lines | F.col("payload").isNull(), line_items(F.col("t"), mode)))
+    rows = rows.withColumn("lines", some("lines"))
+    rows = rows.withColumn("v", F.when(F.col("lines").isNull(), parse_json_strict(F.col("payload"))))
+    rows = rows.withColumn("items", F.coalesce("lines", F.when(F.col("v").isNotNull(), json_items(F.col("v")))))
+    rows = rows.withColumn("mended", F.when(F.col("items").isNull() & F.col("payload").isNotNull(), broken_items(F.col("payload"))))
+    rows = rows.withColumn("late", F.when(F.size("mended") == 0, line_items(F.col("payload"), mode)))
+    items = F.coalesce("items", some("mended"), some("late"))
+    rows = rows.select(key, "payload", items.alias("items"))
+    return rows.select(key, "items", F.when(F.col("items").isNull(), F.when(F.col("payload").isNull(), NO_PAYLOAD).otherwise(NOT_JSON)).alias("error"))
 
 
 def parse_replies(replies: DataFrame, key: str = "reply_id", mode: str = "fixed") -> tuple[DataFrame, DataFrame]:
     """(key, text) -> (records: key, id, type, bbox, jp, ko; errors: key, error).
 
     mode "compat" reads line replies as a marker-hijacked slice would be; "fixed" reads them whole.
-    A null text is an empty reply and an error.
+    A null text is an empty reply and an error.  Records are numbered from 1 inside their reply, so nothing is shuffled.
     """
-    rows = replies.select(key, F.coalesce("text", F.lit("")).alias("text"))
-    lines = ~js_trim(F.col("text")).rlike(r"^[{\[]") & F.col("text").rlike(_START) & clean_lines(F.col("text"))
-    if mode == "compat":
-        lines = lines & extract_payload(F.col("text")).isNull()
-    rows = rows.withColumn("payload", extract_payload(F.col("text")))
-    sorted_ = rows.withColumn("route", F.when(lines, F.lit("lines")).when(strict(F.col("payload")) | strict(without_trailing_commas(F.col("payload"))), F.when(F.lit(mode == "fixed") & ~js_trim(F.col("text")).rlike(r"^[{\[]") & F.col("text").rlike(_START), F.lit("lenient")).otherwise(F.lit("json"))).otherwise(F.lit("lenient")))
-    by_lines = _exploded(sorted_.where("route = 'lines'"), key, line_items(F.col("text")))
-    by_json = _exploded(sorted_.where("route = 'json'"), key, F.transform(variant_items(parse_json_strict(F.col("payload"))), variant_item))
-    kind = replies.schema[key].dataType.simpleString()
-    hard = sorted_.where("route = 'lenient'").select(key, "text").mapInPandas(_lenient(mode), f"{key} {kind}, pos int, type string, x double, y double, w double, h double, jp string, ko string, error string")
-    items = by_lines.unionByName(by_json).unionByName(hard.where("error IS NULL").drop("error"))
-    return normalize_items(items, key), hard.where("error IS NOT NULL").select(key, "error")
+    read = parsed(replies, key, mode)
+    rows = read.select(key, F.posexplode(F.coalesce("items", F.expr(f"cast(array() as array<{ITEM}>)"))).alias("pos", "i"))
+    i = F.col("i")
+    records = rows.select(key, (F.col("pos") + 1).alias("id"), i["type"].alias("type"), bbox(i["x"], i["y"], i["w"], i["h"]).alias("bbox"), i["jp"].alias("jp"), i["ko"].alias("ko"))
+    # An error is exploded, not filtered for: a filter would be pushed below the reading and repeat it.
+    return records, read.select(key, F.explode(F.array_compact(F.array("error"))).alias("error"))
 
 
 def response_text(raw: Column) -> Column:

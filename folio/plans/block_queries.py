@@ -31,12 +31,27 @@ def _records(b):
     return rep.parse_replies(rep.render_line_replies(b.b_items), "page_id")[0]
 
 
+def _broken_item(page: str = "page_id"):
+    """An item's JSON, broken: half-quoted keys, bare keys and texts, a box without key, half-quoted sides, an odd x and commas, torn lines."""
+    f = lambda form: F.format_string(form, *[F.col(c) for c in ("item_ord", "type", "x", "y", "w", "h", "jp", "ko")])
+    forms = [
+        """{"id: %s, "type": '%s', "bbox": {"x": %s, "y": %s, "w": %s, "h": %s}, "jp": "%s", "ko": "%s"}""",
+        "{id: %s, type: %s, bbox: {x: %s, y: %s, w: %s, h: %s}, jp: %s, ko: %s}",
+        """{"id": i%s, "type": "%s",\n"x": %s, "y": %s, "w": %s, "h": %s },\n"jp": "%s",\n"ko": "%s"}""",
+        """{"id": %s, 'type': '%s', "bbox": { "x": %s, "y": %s, "w: %s, "h: %s }, "jp": '%s', "ko: "%s"}""",
+        """{"id": %s, "type": "%s", "bbox": {a: %s, "y": %s, "w": %s, "h": %s,}, "jp": "%s", "ko": "%s",}""",
+        """{\n"id": %s,\n"type": "%s",\n"bbox": {"x": %s, "y": %s, "w": %s, "h": %s},\n"jp": "%s",\n"ko: %s"\n}""",
+    ]
+    out = f(forms[0])
+    for k, form in enumerate(forms[1:], 1):
+        out = F.when((F.col(page) + F.col("item_ord")) % len(forms) == k, f(form)).otherwise(out)
+    return out
+
+
 def _json_replies(b, route: str):
-    """JSON replies of every page's items in one form: plain, fenced with a trailing comma, or with broken quotes."""
-    s = lambda c: F.col(c).cast("string")
-    box = F.concat(F.lit('"bbox": {"x": '), s("x"), F.lit(', "y": '), s("y"), F.lit(', "w": '), s("w"), F.lit(', "h": '), s("h"), F.lit("}"))
-    key = '"id: ' if route == "broken" else '"id": '
-    item = F.concat(F.lit("{" + key), s("item_ord"), F.lit(', "type": "'), F.col("type"), F.lit('", '), box, F.lit(', "jp": "'), F.col("jp"), F.lit('", "ko": "'), F.col("ko"), F.lit('"}'))
+    """JSON replies of every page's items in one form: plain, fenced with a trailing comma, or broken in several ways."""
+    form = """{"id": %s, "type": "%s", "bbox": {"x": %s, "y": %s, "w": %s, "h": %s}, "jp": "%s", "ko": "%s"}"""
+    item = _broken_item() if route == "broken" else F.format_string(form, *[F.col(c) for c in ("item_ord", "type", "x", "y", "w", "h", "jp", "ko")])
     rows = b.b_items.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_ord", item.alias("t")))), lambda x: x["t"]), ",\n").alias("t"))
     wrap = {"plain": F.concat(F.lit('{"items": ['), F.col("t"), F.lit("]}")), "comma": F.concat(F.lit("Sure:\n```json\n["), F.col("t"), F.lit(",]\n```\n")), "broken": F.concat(F.lit('{"items": ['), F.col("t"), F.lit(",]}"))}
     return rows.select("page_id", wrap[route].alias("text"))
@@ -56,8 +71,9 @@ def c2_parse_json_strict(b):
     return rows.select("part_id", F.try_variant_get(rep.parse_json_strict(text), "$.id", "bigint").alias("id"))
 
 
-@query(_ITEM_COLS, f"SELECT * FROM ({_ITEMS}) i WHERE page_id % 3 = 2")
+@query(_ITEM_COLS, _ITEMS)
 def c3_repair_json(b):
+    """All pages; the items of a reply are broken in six ways, each by its number."""
     return _flat(rep.parse_replies(_json_replies(b, "broken"), "page_id")[0])
 
 
@@ -66,7 +82,7 @@ def c4_line_records(b):
     return _flat(_records(b))
 
 
-@query(_ITEM_COLS, f"SELECT * FROM ({_ITEMS}) i WHERE page_id % 3 = 0")
+@query(_ITEM_COLS, _ITEMS)
 def c5_normalize_items(b):
     return _flat(rep.parse_replies(_json_replies(b, "plain"), "page_id")[0])
 
@@ -79,7 +95,7 @@ def c6_parse_replies(b):
     return _flat(rep.parse_replies(texts, "page_id")[0])
 
 
-@query("page_id bigint, error string", "SELECT DISTINCT page_id, 'Failed to find a parseable structured payload in the model output.' AS error FROM b_items WHERE page_id % 3 = 0")
+@query("page_id bigint, error string", "SELECT DISTINCT page_id, 'Failed to find a parseable structured payload in the model output.' AS error FROM b_items")
 def c6_parse_errors(b):
     return rep.parse_replies(b("SELECT DISTINCT page_id, 'no answer here' AS text FROM b_items"), "page_id")[1]
 
@@ -160,14 +176,16 @@ def b3_requests(b):
     return b.b_pages.select("page_id", imp.request_body(lit("sys"), lit("first"), lit("again"), F.array(F.struct(lit("page").alias("label"), F.col("name").alias("uri"))), F.col("page_ord"), lit("m"), lit(900)).alias("body"))
 
 
-@query("block_id string, x double, y double, w double, h double, translated_text string", """SELECT CAST(page_id AS VARCHAR) || '-' || CAST(id AS VARCHAR) || sfx AS block_id, CASE WHEN sfx = '' THEN bx ELSE least(1000.0, bx + 16) END AS x, CASE WHEN sfx = '' THEN by_ ELSE least(1000.0, by_ + 16) END AS y, CASE WHEN sfx = '' THEN bw ELSE least(1000.0 - least(1000.0, bx + 16), greatest(1.0, bw)) END AS w, CASE WHEN sfx = '' THEN bh ELSE least(1000.0 - least(1000.0, by_ + 16), greatest(1.0, bh)) END AS h, CASE WHEN id % 2 = 0 THEN 'edited' ELSE ko END AS translated_text
-FROM (SELECT e.*, s.sfx FROM (SELECT i.page_id, i.id, i.ko, """ + _CLAMP + """ FROM (SELECT page_id, id, ko, CASE WHEN id % 2 = 0 THEN 100.0 ELSE x END AS x, CASE WHEN id % 2 = 0 THEN 200.0 ELSE y END AS y, CASE WHEN id % 2 = 0 THEN 2000.0 ELSE w END AS w, CASE WHEN id % 2 = 0 THEN 50.0 ELSE h END AS h FROM (""" + _ITEMS + """) i0 WHERE id % 5 <> 0) i) e CROSS JOIN (SELECT '' AS sfx UNION ALL SELECT '-copy') s WHERE s.sfx = '' OR e.id % 3 = 0) z""")
+@query("block_id string, x double, y double, w double, h double, translated_text string, type string, font_size_px double, text_color string", """SELECT CAST(page_id AS VARCHAR) || '-' || CAST(id AS VARCHAR) || CASE WHEN sfx = '' THEN '' ELSE '-copy-' || CAST(last + place AS VARCHAR) END AS block_id, CASE WHEN sfx = '' THEN bx ELSE least(1000.0, bx + 16) END AS x, CASE WHEN sfx = '' THEN by_ ELSE least(1000.0, by_ + 16) END AS y, CASE WHEN sfx = '' THEN bw ELSE least(1000.0 - least(1000.0, bx + 16), greatest(1.0, bw)) END AS w, CASE WHEN sfx = '' THEN bh ELSE least(1000.0 - least(1000.0, by_ + 16), greatest(1.0, bh)) END AS h, CASE WHEN id % 2 = 0 THEN 'edited' ELSE ko END AS translated_text, CASE WHEN id % 2 = 0 THEN 'sfx' ELSE type END AS type, CASE WHEN id % 4 = 0 THEN 30.0 WHEN id % 2 = 0 THEN 31.0 ELSE 20.0 END AS font_size_px, CASE WHEN id % 2 = 0 THEN '#00ff00' ELSE '#111111' END AS text_color
+FROM (SELECT e.*, s.sfx, max(id) OVER (PARTITION BY page_id) AS last, row_number() OVER (PARTITION BY page_id, sfx ORDER BY id) AS place FROM (SELECT i.page_id, i.id, i.ko, i.type, """ + _CLAMP + """ FROM (SELECT page_id, id, ko, type, CASE WHEN id % 2 = 0 THEN 100.0 ELSE x END AS x, CASE WHEN id % 2 = 0 THEN 200.0 ELSE y END AS y, CASE WHEN id % 2 = 0 THEN 2000.0 ELSE w END AS w, CASE WHEN id % 2 = 0 THEN 50.0 ELSE h END AS h FROM (""" + _ITEMS + """) i0 WHERE id % 5 <> 0) i) e CROSS JOIN (SELECT '' AS sfx UNION ALL SELECT '-copy') s WHERE s.sfx = '' OR e.id % 3 = 0) z""")
 def f12_edit_blocks(b):
     """Even blocks are edited, every fifth is deleted, every third of the rest duplicated."""
     i = b(_ITEMS.replace("row_number() OVER", "CAST(row_number() OVER").replace("ORDER BY item_ord) AS id", "ORDER BY item_ord) AS INT) AS id"))
     box = g.clamp_bbox(g.bbox(*[F.col(k) for k in "xywh"]))
-    rows = i.select("page_id", F.col("id").alias("block_ord"), F.concat(F.col("page_id").cast("string"), F.lit("-"), F.col("id").cast("string")).alias("block_id"), F.col("ko").alias("translated_text"), F.lit("horizontal").alias("render_direction"), box.alias("bbox"), F.lit(None).cast("struct<x:double,y:double,w:double,h:double>").alias("render_bbox"))
-    patch = rows.where("block_ord % 2 = 0").select("block_id", F.lit("edited").alias("translated_text"), F.lit(None).cast("string").alias("render_direction"), g.bbox(*[F.lit(v) for v in (100, 200, 2000, 50)]).alias("bbox"), F.lit(1).alias("patch_ord"))
+    rows = i.select("page_id", F.col("id").alias("block_ord"), F.concat(F.col("page_id").cast("string"), F.lit("-"), F.col("id").cast("string")).alias("block_id"), F.col("ko").alias("translated_text"), F.lit("horizontal").alias("render_direction"), box.alias("bbox"), F.lit(None).cast("struct<x:double,y:double,w:double,h:double>").alias("render_bbox"), "type", F.lit(20.0).alias("font_size_px"), F.lit("#111111").alias("text_color"))
+    even = rows.where("block_ord % 2 = 0")
+    patch = even.select("block_id", F.lit("edited").alias("translated_text"), F.lit(None).cast("string").alias("render_direction"), g.bbox(*[F.lit(v) for v in (100, 200, 2000, 50)]).alias("bbox"), F.lit("sfx").alias("type"), F.lit(31.0).alias("font_size_px"), F.lit("#00ff00").alias("text_color"), F.lit(1).alias("patch_ord"))
+    patch = patch.unionByName(even.where("block_ord % 4 = 0").select("block_id", F.lit(30.0).alias("font_size_px"), F.lit(2).alias("patch_ord")), allowMissingColumns=True)
     out = blk.delete_blocks(blk.edit_blocks(rows, patch), rows.where("block_ord % 5 = 0"))
     return _flat(blk.duplicate_blocks(out, out.where("block_ord % 3 = 0")))
 

@@ -12,7 +12,7 @@ from folio.functions import text as tx
 from folio.operators import blocks as blk
 from folio.operators import catalogue as cat
 from folio.operators import imports as imp
-from folio.operators import jobs, layout, lenient
+from folio.operators import jobs, layout
 from folio.operators import replies as rep
 
 
@@ -78,18 +78,109 @@ BROKEN = '''Sure.
 LINES = "id: 1\ntype: dialogue\nx: 1\ny: 2\nw: 3\nh: 4\njp: a\nko: b\n\nid: 2\ntype: sfx\nx: 5 y: 6 w: 7 h: 8\njp: [?]\nko: c [?]"
 
 
-def test_lenient():
-    items, error = lenient.parse(BROKEN)
-    assert error is None and [i[-1] for i in items] == ["가", "나", "다", "라"] and items[2][1:5] == (420, 600, 160, 150) and items[1][0] == "sfx"
-    items, _ = lenient.parse(LINES)
-    assert [(i[0], i[-1]) for i in items] == [("dialogue", "b"), ("sfx", "c [?]")]
-    assert lenient.parse(LINES, "compat")[0] == []  # the marks take over the slice
-    assert [i[-1] for i in lenient.line_records("id: 1\nx: 1\ny: 2\nw: 3\nh: 4\n\nko: lost\n\nid: 2\nx: 1\ny: 2\nw: 3\nh: 4\nko: kept")] == ["kept"]
-    assert lenient.line_records("id: 1\nx: 1\ny: -2\nw: 3\nh: 4\nko: a") == []
+def read(spark, *texts, mode="fixed"):
+    """(items as (type, x, y, w, h, jp, ko), error) of each reply."""
+    df = spark.createDataFrame(list(enumerate(texts)), "reply_id int, text string")
+    return [([tuple(i) for i in r["items"] or []], r.error) for r in rep.parsed(df, mode=mode).orderBy("reply_id").collect()]
+
+
+#: Two replies with the breakages that models make: quotes that open before the key or never close, ids without quotes, a box without its key.
+TORN = [
+    """```json
+{
+  "items": [
+    {
+      "id": 1,
+      "type": "dialogue",
+      "bbox": { "x": 80, "y": 50, "w": 150, "h": 250 },
+      "jp": "同じ、流れ？",
+      "ko: 이거, 같은 흐름 아닌가?"
+    },
+    {
+      "id": a,
+      "type": "sign",
+      "bbox": { "x": 420, "y": 600, "w: 160, h: 150 },
+      "jp": "…どうか",
+      "ko: ...어떤가"
+    },
+    {
+      "id: c,
+      "type": "dialogue",
+       a: 430, y: 610, w: 170, h: 140 },
+      "jp": "ないか？",
+      "ko: 없고?"
+    }
+  ]
+}
+```""",
+    """```json
+{
+  "items": [
+    {
+      "id": 1,
+      "type": "dialogue",
+      "bbox": { "x": 820, "y": 50, "w": 180, "h": 320 },
+      "jp": "部屋…か",
+      "ko: "방인가..."
+    },
+    {
+      "id": 2,
+      "bbox": { "x": 180, "y": 40, "w: 120, "h: 140 },
+      "jp": "!",
+      "ko: '!'
+    },
+    {
+       a: 5,
+      "type": "name",
+      "bbox": { "x": 340, "y": 870, "w": 100, "h": 120 },
+      "jp": "あ",
+      "ko: "say \\"아\\"..."
+    }
+  ]
+}
+```""",
+]
+
+
+def test_broken_replies(spark):
+    (a, error_a), (b, error_b), (c, error_c) = read(spark, *TORN, BROKEN)
+    assert error_a is error_b is error_c is None
+    assert a == [("dialogue", 80, 50, 150, 250, "同じ、流れ？", "이거, 같은 흐름 아닌가?"), ("sign", 420, 600, 160, 150, "…どうか", "...어떤가"), ("dialogue", 430, 610, 170, 140, "ないか？", "없고?")]
+    assert b == [("dialogue", 820, 50, 180, 320, "部屋…か", "방인가..."), ("dialogue", 180, 40, 120, 140, "!", "!"), ("name", 340, 870, 100, 120, "あ", 'say "아"...')]
+    assert [i[-1] for i in c] == ["가", "나", "다", "라"] and c[1] == ("sfx", 1, 2, 3, 4, "い", "나") and c[2][1:5] == (420, 600, 160, 150)
+
+
+@pytest.mark.parametrize(("torn", "whole"), [
+    ("[{'id': 1, 'x': 1, 'y': 2, 'w': 3, 'h': 4, 'ko': 'k'},]", ("dialogue", 1, 2, 3, 4, "", "k")),
+    ('[{"id": 1, "x": "1", "y": 2, "w": 3, "h": 4, "korean": "k, l" "jp": "q"}', None),
+    ('[{"left": 1, "top": 2, "width": 3, "height": 4, type: SFX, "korean": k}', ("SFX", 1, 2, 3, 4, "", "k")),
+    ('{"blocks": [{"rect": {x1: 1, y1: 2, x2: 11, y2: 22}, "source": "s", "translation": "t",}]}', ("dialogue", 1, 2, 10, 20, "s", "t")),
+    ('[{ID: 7, "Bbox": {"x": 1, "y": 2, "w": 3, "h": 4}, "KO": "k }, l"}', ("dialogue", 1, 2, 3, 4, "", "k }, l")),
+    ('[{id: x, "x": 1, "y": 2, "w": 3, "h": 4, "ko": "k", "jp": "x: 9, y: 9"}', ("dialogue", 1, 2, 3, 4, "x: 9, y: 9", "k")),
+    ('[{"x": 1, "y": 2, "w": 3, "h": NaN, "ko": "k"}]', None), ('[{"x": null, "left": 1, "y": 2, "w": 3, "h": 4, ko: k}]', ("dialogue", 1, 2, 3, 4, "", "k")),
+])
+def test_breakages(spark, torn, whole):
+    (items, _), = read(spark, torn)
+    assert whole is None and len(items) <= 1 or items == [whole]
+
+
+def test_line_replies(spark):
     hurt = "id: 1\nx: 1\ny: 2\nw: 3\nh: 4\nko: say max: 3"
-    assert lenient.line_records(hurt, "compat") == [] and lenient.line_records(hurt, "fixed")[0][-1] == "say max: 3"
-    assert lenient.parse('[{"ko": "k", "x": NaN, "y": 1, "w": 1, "h": 1}]')[0] == [] and lenient.parse("nothing")[1] == rep.NO_PAYLOAD
-    assert lenient.parse('{"ko": }')[1] == rep.NOT_JSON
+    texts = [LINES, "id: 1\nx: 1\ny: 2\nw: 3\nh: 4\n\nko: lost\n\nid: 2\nx: 1\ny: 2\nw: 3\nh: 4\nko: kept", "id: 1\nx: 1\ny: -2\nw: 3\nh: 4\nko: a", hurt, "x: 1 y: 2, w: 3 h: 4\r\n\"ko\": \"a\",\nid: 2\nbbox: {a: 5, y: 6, w: 7, h: 8}\nko: b\nko: c", "nothing", '{"ko": }', None]
+    got = read(spark, *texts)
+    assert [(i[0], i[-1]) for i in got[0][0]] == [("dialogue", "b"), ("sfx", "c [?]")]
+    assert [i[-1] for i in got[1][0]] == ["kept"] and got[2][0] == [] and [i[-1] for i in got[3][0]] == ["say max: 3"]
+    assert [(*i[1:5], i[-1]) for i in got[4][0]] == [(1, 2, 3, 4, "a"), (5, 6, 7, 8, "c")]
+    assert [e for _, e in got[5:]] == [rep.NO_PAYLOAD, rep.NOT_JSON, rep.NO_PAYLOAD]
+    compat = read(spark, LINES, hurt, mode="compat")
+    assert compat[0][0] == [] and compat[1][0] == []  # the marks take over the slice; a coordinate beats the text
+
+
+def test_replies_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([(1, LINES)], "reply_id int, text string")
+    for part in rep.parse_replies(df):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
 def test_parse_replies_routes(spark):
