@@ -117,11 +117,21 @@ def finalize_running(pages: DataFrame, ids: DataFrame, status: str, error: str |
 
 
 def merge_live_local(live: DataFrame, local: DataFrame, dirty: DataFrame) -> DataFrame:
-    """live pages, but the local one where it is dirty and both are completed; kept_local says which."""
-    mine = _flagged(local, dirty).where("_hit AND analysis_status = 'completed'").select("page_id", F.col("name").alias("_name"))
-    rows = live.join(mine, "page_id", "left")
-    keep = F.col("_name").isNotNull() & (F.col("analysis_status") == "completed")
-    return rows.withColumn("name", F.when(keep, F.col("_name")).otherwise(F.col("name"))).withColumn("kept_local", keep).drop("_name")
+    """live pages, but the whole local page where it is dirty and both are completed; kept_local says which.
+
+    Of a kept page every column that local has is taken, but for last_error, which stays the live one's.
+    """
+    mine = [c for c in live.columns if c in local.columns and c not in ("page_id", "last_error")]
+    kept = _flagged(local, dirty).where("_hit AND analysis_status = 'completed'").select("page_id", F.struct(*mine).alias("_mine"))
+    rows = live.join(kept, "page_id", "left").withColumn("kept_local", F.col("_mine").isNotNull() & (F.col("analysis_status") == "completed"))
+    chosen = [F.when(F.col("kept_local"), F.col(f"_mine.{c}")).otherwise(F.col(c)).alias(c) if c in mine else F.col(c) for c in live.columns]
+    return rows.select(*chosen, "kept_local")
+
+
+def merge_live_local_blocks(live: DataFrame, local: DataFrame, merged: DataFrame) -> DataFrame:
+    """Blocks of merged pages (from merge_live_local): the local ones of pages kept as local, else the live ones."""
+    kept = merged.where("kept_local").select("page_id")
+    return live.join(kept, "page_id", "left_anti").unionByName(local.join(kept, "page_id", "left_semi"), allowMissingColumns=True)
 
 
 def repair_references(marks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -141,10 +151,18 @@ def renumber(rows: DataFrame, group: str, ordinal: str) -> DataFrame:
     return rows.withColumn(ordinal, F.row_number().over(Window.partitionBy(group).orderBy(ordinal)))
 
 
-def rename(rows: DataFrame, patches: DataFrame, key: str, fallback: str) -> DataFrame:
-    """rows with the sanitised titles of patches (key, title, patch_ord), the last of a key."""
-    last = patches.groupBy(key).agg(F.max_by("title", "patch_ord").alias("_t"), F.lit(True).alias("_hit"))
-    return rows.join(last, key, "left").withColumn("title", F.when(F.col("_hit"), sanitize_title(F.coalesce("_t", F.lit("")), fallback)).otherwise(F.col("title"))).drop("_t", "_hit")
+def rename(rows: DataFrame, patches: DataFrame, key: str, fallback: str, within: str | None = None) -> DataFrame:
+    """rows with the sanitised titles of patches (key, title, patch_ord), the last of a key.
+
+    With within (a work's id, for chapters) a new title that another row of the group has gets a number, in order of patch_ord.
+    """
+    last = patches.groupBy(key).agg(F.max_by("title", "patch_ord").alias("_t"), F.max("patch_ord").alias("_p"), F.lit(True).alias("_hit"))
+    out = rows.join(last, key, "left").withColumn("title", F.when(F.col("_hit"), sanitize_title(F.coalesce("_t", F.lit("")), fallback)).otherwise(F.col("title")))
+    if within is not None:
+        old, new = out.where("_hit IS NULL").select(within, "title"), out.where("_hit").select(within, F.col(key).alias("chapter_id"), "title", F.col("_p").alias("arrival"))
+        given = unique_titles(old, new, within).select(F.col("chapter_id").alias(key), F.col("title").alias("_u"))
+        out = out.join(given, key, "left").withColumn("title", F.coalesce("_u", "title")).drop("_u")
+    return out.drop("_t", "_p", "_hit")
 
 
 def touch(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
@@ -189,6 +207,9 @@ def unique_title(existing: DataFrame, new: DataFrame, key: str = "work_id") -> D
     return new.join(state.withColumnRenamed("_n", "title"), [key, "title"], "left").select(key, F.when(F.coalesce("hit", F.lit(False)), F.concat("title", F.lit(" ("), free.cast("string"), F.lit(")"))).otherwise(F.col("title")).alias("title"))
 
 
+_NUMBERED = r"( \(\d+\))+$"
+
+
 def _titles(pdf: pd.DataFrame) -> pd.DataFrame:
     taken, nexts, out = set(pdf.title[pdf.is_old]), {}, []
     for row in pdf[~pdf.is_old].sort_values(["arrival", "chapter_id"], kind="stable").itertuples():
@@ -207,12 +228,22 @@ def _titles(pdf: pd.DataFrame) -> pd.DataFrame:
 def unique_titles(existing: DataFrame, new: DataFrame, key: str = "work_id") -> DataFrame:
     """(key, chapter_id, title, arrival) -> (chapter_id, title): many new titles per group, each sees those before it.
 
-    Sequential by definition, so one group (titles of one work, no payload) is one task's; only
-    groups that get more than one new title or a collision come here.
+    A number only ever makes ` (k)` of a title, so titles that differ without such endings never
+    meet: a family is a group's titles that are alike without them.  Where no title of a family has
+    an ending, a new one's number is its place, counted in the JVM; only families with endings of
+    their own, in which a number may be taken already, are numbered one by one.
     """
-    old = existing.select(key, F.lit(None).cast(new.schema["chapter_id"].dataType).alias("chapter_id"), "title", F.lit(None).cast("long").alias("arrival"), F.lit(True).alias("is_old"))
+    kind = new.schema["chapter_id"].dataType
+    old = existing.select(key, F.lit(None).cast(kind).alias("chapter_id"), "title", F.lit(None).cast("long").alias("arrival"), F.lit(True).alias("is_old"))
     rows = old.unionByName(new.select(key, "chapter_id", "title", F.col("arrival").cast("long").alias("arrival"), F.lit(False).alias("is_old")))
-    return rows.groupBy(key).applyInPandas(_titles, f"chapter_id {new.schema['chapter_id'].dataType.simpleString()}, title string")
+    rows = rows.withColumn("stem", F.regexp_replace("title", _NUMBERED, ""))
+    family = rows.groupBy(key, "stem").agg(F.bool_or(F.col("title") != F.col("stem")).alias("odd"), F.bool_or("is_old").alias("met"))
+    rows = rows.join(family.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")) & rows["stem"].eqNullSafe(family["stem"])).drop("_k", family["stem"])
+    place = F.row_number().over(Window.partitionBy(key, "stem").orderBy("arrival", "chapter_id")) + F.col("met").cast("int")
+    plain = rows.where("NOT odd AND NOT is_old").withColumn("n", place)
+    plain = plain.select("chapter_id", F.when(F.col("n") == 1, F.col("title")).otherwise(F.concat("title", F.lit(" ("), (F.col("n") - 1).cast("string"), F.lit(")"))).alias("title"))
+    hard = rows.where("odd").groupBy(key, "stem").applyInPandas(_titles, f"chapter_id {kind.simpleString()}, title string")
+    return plain.unionByName(hard)
 
 
 def append_chapters(chapters: DataFrame, new: DataFrame) -> DataFrame:

@@ -17,11 +17,12 @@ VIEWS = {
     "b_sizes": "SELECT o_orderkey AS page_id, CAST(600 + o_orderkey % 50 * 20 AS INT) AS width, CAST(900 + o_orderkey % 50 * 20 AS INT) AS height FROM orders",
     "b_events": "SELECT user_id AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq, ts, CASE event_type WHEN 'signup' THEN 'booting' WHEN 'view' THEN 'page_running' WHEN 'click' THEN 'page_retry' WHEN 'purchase' THEN 'page_done' ELSE 'page_skipped' END AS phase, CASE WHEN value < 60 THEN NULL ELSE CAST(floor(value) AS INT) END AS progress_current, CASE WHEN event_type = 'signup' THEN NULL ELSE 100 END AS progress_total FROM events",
     "b_attempts": "SELECT page_id, attempt, ok, message FROM (SELECT user_id * 100 + day(ts) AS page_id, CAST(row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) AS INT) AS attempt, event_type = 'purchase' AS ok, CASE event_type WHEN 'error' THEN 'Gemma request failed (500).' WHEN 'click' THEN 'Model returned an empty response.' WHEN 'view' THEN 'Gemma response JSON parse failed.' WHEN 'signup' THEN 'Timed out while waiting for server' ELSE NULL END AS message FROM events) q WHERE attempt <= 5",
-    "b_local": "SELECT page_id, chapter_id, concat('edited-', name) AS name, CASE WHEN page_id % 4 = 0 THEN 'idle' ELSE 'completed' END AS analysis_status FROM b_pages WHERE page_id % 3 <> 0",
+    "b_page_items": "SELECT p.page_id, i.item_ord, i.type, i.x, i.y, i.w, i.h, i.jp, i.ko FROM b_pages p JOIN b_items i ON i.page_id = p.chapter_id AND (i.item_ord + p.page_ord) % 3 = 0",
+    "b_local": "SELECT page_id, chapter_id, page_ord + 100 AS page_ord, concat('edited-', name) AS name, width + 7 AS width, height + 9 AS height, CASE WHEN page_id % 4 = 0 THEN 'idle' ELSE 'completed' END AS analysis_status FROM b_pages WHERE page_id % 3 <> 0",
     "b_dirty": "SELECT page_id FROM b_pages WHERE page_id % 7 = 0",
     "b_order": "SELECT chapter_id, page_id, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY page_id % 11, page_id) AS INT) AS order_pos FROM b_pages WHERE page_id % 5 <> 0",
     "b_results": "SELECT page_id, r AS res_ord, CASE WHEN (page_id + r) % 4 = 0 THEN 'failed' ELSE 'completed' END AS new_status FROM b_pages CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2 AS r) v WHERE page_id % 2 = 0 AND (r = 1 OR page_id % 6 = 0)",
-    "b_files": "SELECT page_id AS file_id, concat(split_part(url, '?', 1), '_', CAST(page_id AS STRING), CASE page_id % 5 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.webp' ELSE '.txt' END) AS path, page_id % 7 AS container_id FROM pages",
+    "b_files": "SELECT page_id AS file_id, concat(split_part(url, '?', 1), '_', CAST(page_id AS STRING), CASE page_id % 5 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.webp' ELSE '.txt' END) AS path, CAST(floor(page_id / 50) AS BIGINT) AS container_id FROM pages",
     "b_drafts": "SELECT p_partkey AS draft_id, p_name AS title, p_size AS page_count FROM part",
     "b_selections": "SELECT p_partkey AS draft_id, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE upper(p_name) END AS title, p_partkey % 4 <> 0 AS enabled FROM part WHERE p_partkey % 9 <> 0",
     "b_edits": "SELECT event_id AS version, user_id AS chapter_id, ts, event_type AS snapshot FROM events",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folio.functions import geometry as g
 from folio.operators import catalogue as cat
 from folio.operators import imports as imp
 from folio.plans.spec import query
@@ -18,7 +19,7 @@ def f1_list_library(b):
     return cat.list_library(b.b_works, b.b_chapters, b.b_pages)
 
 
-@query("chapter_id bigint, work_id bigint", "SELECT chapter_id, min(work_id) AS work_id FROM (SELECT chapter_id, work_id FROM b_chapters UNION ALL SELECT chapter_id, work_id + 1 FROM b_chapters WHERE chapter_id % 3 = 0 AND work_id + 1 IN (SELECT work_id FROM b_works)) x WHERE chapter_id % 2 = 0 GROUP BY chapter_id")
+@query("chapter_id bigint, work_id bigint", "SELECT chapter_id, min(work_id) AS work_id FROM (SELECT chapter_id, work_id FROM b_chapters UNION ALL SELECT chapter_id, work_id + 1 FROM b_chapters WHERE chapter_id % 3 = 0 AND work_id + 1 IN (SELECT work_id FROM b_works)) x GROUP BY chapter_id")
 def f2_locate_chapters(b):
     places = b("SELECT chapter_id, work_id FROM b_chapters UNION ALL SELECT chapter_id, work_id + 1 FROM b_chapters WHERE chapter_id % 3 = 0")
     works = b.b_works.join(places.groupBy("work_id").agg(F.collect_list("chapter_id").alias("chapter_order")), "work_id")
@@ -73,12 +74,21 @@ def f8_finalize_running(b):
     return cat.finalize_running(_with_error(b), b("SELECT page_id FROM b_results"), "failed", "stopped")
 
 
-_MERGE = "SELECT p.page_id, CASE WHEN l.page_id IS NOT NULL AND p.analysis_status = 'completed' THEN l.name ELSE p.name END AS name, p.analysis_status, coalesce(l.page_id IS NOT NULL AND p.analysis_status = 'completed', false) AS kept_local FROM b_pages p LEFT JOIN (SELECT l.page_id, l.name FROM b_local l WHERE l.analysis_status = 'completed' AND l.page_id IN (SELECT page_id FROM b_dirty)) l ON l.page_id = p.page_id"
+_KEPT = "SELECT p.*, 'live' AS last_error, l.name AS l_name, l.width AS l_width, l.height AS l_height, l.page_ord AS l_ord, l.page_id IS NOT NULL AND p.analysis_status = 'completed' AS kept_local FROM b_pages p LEFT JOIN (SELECT * FROM b_local WHERE analysis_status = 'completed' AND page_id IN (SELECT page_id FROM b_dirty)) l ON l.page_id = p.page_id"
 
 
-@query("page_id bigint, name string, analysis_status string, kept_local boolean", _MERGE)
+@query("page_id bigint, chapter_id bigint, page_ord bigint, name string, width bigint, height bigint, analysis_status string, last_error string, kept_local boolean",
+       f"SELECT page_id, chapter_id, CASE WHEN kept_local THEN l_ord ELSE page_ord END AS page_ord, CASE WHEN kept_local THEN l_name ELSE name END AS name, CASE WHEN kept_local THEN l_width ELSE width END AS width, CASE WHEN kept_local THEN l_height ELSE height END AS height, analysis_status, last_error, kept_local FROM ({_KEPT}) k")
 def f9_merge_live_local(b):
-    return cat.merge_live_local(b.b_pages, b.b_local, b.b_dirty)
+    return cat.merge_live_local(b("SELECT *, 'live' AS last_error FROM b_pages"), b("SELECT *, 'local' AS last_error FROM b_local"), b.b_dirty)
+
+
+_LOCAL_BLOCKS = "SELECT page_id, item_ord, concat('edited ', ko) AS ko, x + 1 AS x FROM b_page_items WHERE item_ord % 2 = 0"
+
+
+@query("page_id bigint, item_ord bigint, ko string, x bigint", f"SELECT i.page_id, i.item_ord, i.ko, i.x FROM b_page_items i JOIN ({_KEPT}) k ON k.page_id = i.page_id WHERE NOT k.kept_local UNION ALL SELECT i.page_id, i.item_ord, i.ko, i.x FROM ({_LOCAL_BLOCKS}) i JOIN ({_KEPT}) k ON k.page_id = i.page_id WHERE k.kept_local")
+def f9_merge_blocks(b):
+    return cat.merge_live_local_blocks(b("SELECT page_id, item_ord, ko, x FROM b_page_items"), b(_LOCAL_BLOCKS), f9_merge_live_local(b))
 
 
 @query("mark_id bigint, chapter_id bigint, page_id bigint, kept boolean",
@@ -183,6 +193,90 @@ def h4_unique_titles(b):
     return cat.unique_titles(b("SELECT work_id, title FROM b_chapters WHERE 1 = 0"), b("SELECT work_id, chapter_id, title, chapter_ord AS arrival FROM b_chapters"))
 
 
+_TAKEN = "SELECT chapter_id, CASE WHEN k + o = 1 THEN title ELSE title || ' (' || CAST(k + o - 1 AS VARCHAR) || ')' END AS title FROM (SELECT n.*, row_number() OVER (PARTITION BY n.work_id, n.title ORDER BY chapter_ord) AS k, CASE WHEN o.title IS NULL THEN 0 ELSE 1 END AS o FROM ({0}) n LEFT JOIN (SELECT DISTINCT work_id, title FROM b_chapters WHERE chapter_ord % 3 = 0) o ON o.work_id = n.work_id AND o.title = n.title) x"
+
+
+@query("chapter_id bigint, title string", _TAKEN.format("SELECT * FROM b_chapters WHERE chapter_ord % 3 <> 0"))
+def h4_unique_titles_taken(b):
+    """Every third chapter is there already, the others arrive."""
+    return cat.unique_titles(b("SELECT work_id, title FROM b_chapters WHERE chapter_ord % 3 = 0"), b("SELECT work_id, chapter_id, title, chapter_ord AS arrival FROM b_chapters WHERE chapter_ord % 3 <> 0"))
+
+
+@query("chapter_id bigint, title string", _TAKEN.format("SELECT chapter_id, work_id, chapter_ord, '1-URGENT' AS title FROM b_chapters WHERE chapter_ord % 3 <> 0") + " UNION ALL SELECT chapter_id, title FROM b_chapters WHERE chapter_ord % 3 = 0")
+def f13_rename_chapters(b):
+    """All but every third chapter get one and the same title, made unique inside their work."""
+    patches = b("SELECT chapter_id, ' 1-URGENT ' AS title, chapter_ord AS patch_ord FROM b_chapters WHERE chapter_ord % 3 <> 0")
+    return cat.rename(b.b_chapters, patches, "chapter_id", "Untitled", "work_id")
+
+
+def _library(b):
+    """The catalogue as read_library gives it: text ids, zero-based ordinals."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    day = F.col("created_at").cast("timestamp")
+    works = b.b_works.select(text("work_id"), "title", F.col("work_ord").cast("int").alias("work_ord"), F.lit("2020-01-02 03:04:05").cast("timestamp").alias("created_at"), F.lit("2021-01-02 03:04:05.678").cast("timestamp").alias("updated_at"))
+    chapters = b.b_chapters.select(text("chapter_id"), text("work_id"), "title", (F.col("chapter_ord") - 1).alias("chapter_ord"), F.lit("images").alias("source_kind"), F.lit("idle").alias("status"), day.alias("created_at"), day.alias("updated_at"))
+    none = F.lit(None).cast("string")
+    pages = b.b_pages.select(text("page_id"), text("chapter_id"), "name", none.alias("image_path"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "analysis_status", none.alias("last_error"), (F.col("page_ord") - 1).alias("page_ord"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+    from folio.sources.library import BLOCK, BLOCK_COLUMNS
+
+    kinds = {f.name: f.dataType for f in F_struct(BLOCK)}
+    box = g.bbox(*[F.col(k).cast("double") for k in "xywh"])
+    have = {"type": F.col("type"), "bbox": box, "source_text": F.col("jp"), "translated_text": F.col("ko"), "auto_fit_text": F.lit(True)}
+    blocks = b.b_page_items.select(F.concat(F.col("page_id").cast("string"), F.lit("-"), F.col("item_ord").cast("string")).alias("block_id"), text("page_id"), (F.col("item_ord") - 1).alias("block_ord"), *[have.get(new, F.lit(None)).cast(kinds[old]).alias(new) for old, new in BLOCK_COLUMNS.items()])
+    return {"works": works, "chapters": chapters, "pages": pages, "blocks": blocks}
+
+
+def F_struct(ddl: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(f"v {ddl}")["v"].dataType
+
+
+def _folder(b) -> str:
+    import uuid
+
+    from folio.streaming.session import shared_folder
+
+    return f"{shared_folder(b.spark)}/library-{uuid.uuid4().hex}"
+
+
+_SHELF = "SELECT p.page_id, p.chapter_id, c.work_id, p.name, p.page_ord - 1 AS page_ord, c.chapter_ord - 1 AS chapter_ord, w.work_ord, w.title AS work_title, p.width, p.analysis_status, coalesce(k.n, 0) AS n_blocks, coalesce(k.s, 0) AS sum_x, 1609556645678 AS work_updated FROM b_pages p JOIN b_chapters c ON c.chapter_id = p.chapter_id JOIN b_works w ON w.work_id = c.work_id LEFT JOIN (SELECT page_id, count(*) AS n, sum(x) AS s FROM b_page_items GROUP BY 1) k ON k.page_id = p.page_id"
+_SHELF_COLS = "page_id bigint, chapter_id bigint, work_id bigint, name string, page_ord bigint, chapter_ord bigint, work_ord bigint, work_title string, width bigint, analysis_status string, n_blocks bigint, sum_x bigint, work_updated bigint"
+
+
+def _shelf(lib):
+    per = lib["blocks"].groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.sum("bbox.x").alias("sum_x"))
+    works = lib["works"].select("work_id", F.col("title").alias("work_title"), "work_ord", F.unix_millis("updated_at").alias("work_updated"))
+    return lib["pages"].join(lib["chapters"].select("chapter_id", "chapter_ord"), "chapter_id").join(works, "work_id").join(per, "page_id", "left").na.fill(0, ["n_blocks", "sum_x"])
+
+
+@query(_SHELF_COLS, _SHELF)
+def b1_write_library(b):
+    """The catalogue written and read again, as Parquet."""
+    from folio.sources import library as lib
+
+    at = _folder(b)
+    lib.write_library(_library(b), at)
+    return _shelf(lib.read_library(b.spark, at, "parquet"))
+
+
+@query(_SHELF_COLS, _SHELF)
+def a1_read_library(b):
+    """The catalogue as nested JSON files, several works and chapters to a file, read flat."""
+    from folio.sources import library as lib
+
+    at, own = _folder(b), _library(b)
+    chapters = lib.nested_chapters(own["chapters"], own["pages"], own["blocks"])
+    order = own["chapters"].groupBy("work_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chapter_ord", "chapter_id"))), lambda x: x["chapter_id"]).alias("chapterOrder"))
+    works = own["works"].join(order, "work_id", "left").select(F.col("work_id").alias("id"), "title", "chapterOrder", lib._stamp(F.col("created_at")).alias("createdAt"), lib._stamp(F.col("updated_at")).alias("updatedAt"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("work_ord", "work_id"))), lambda x: x["work_id"])
+    own["works"].agg(F.to_json(F.struct(listed.alias("workOrder"))).alias("value")).write.text(f"{at}/index.json")
+    for rows, key, path in ((works, "id", "works/all/work.json"), (chapters, "workId", "works/all/chapters/all/chapter.json")):
+        many = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(64))).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).select("value")
+        many.repartition(8).write.option("maxRecordsPerFile", 1).text(f"{at}/{path}")
+    return _shelf(lib.read_library(b.spark, at))
+
+
 @query("batch_id bigint, ord bigint, status string", f"SELECT batch_id, ord, status FROM (SELECT *, coalesce(bool_and(status = 'completed') OVER (PARTITION BY batch_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fine FROM (SELECT c.work_id AS batch_id, c.chapter_ord AS ord, g.status FROM b_chapters c JOIN ({_G1.replace('c.chapter_id, CASE', 'c.chapter_id AS chapter_id, CASE')}) g ON g.chapter_id = c.chapter_id) y) z WHERE fine")
 def h9_batch_run_prefix(b):
     from folio.operators.jobs import batch_run_prefix

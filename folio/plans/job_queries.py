@@ -159,6 +159,26 @@ def n6_coalesce_edits(b):
     return streams.coalesce_edits(rows, "6 hours").withColumn("started", F.unix_millis("burst_start"))
 
 
+_JOBS = "SELECT chapter_id, min(ts) + INTERVAL 2 DAY AS started, min(ts) + INTERVAL 6 DAY AS ended FROM b_edits GROUP BY chapter_id"
+_HELD = f"SELECT e.version, e.chapter_id, e.snapshot, coalesce(j.ended, e.ts) AS ts FROM b_edits e LEFT JOIN ({_JOBS}) j ON j.chapter_id = e.chapter_id AND e.ts >= j.started AND e.ts < j.ended"
+
+
+@query("chapter_id bigint, started bigint, snapshot string, version bigint, edits bigint", f"SELECT chapter_id, epoch_us(s) // 1000 AS started, snapshot, version, edits FROM ({_BURST.replace('FROM b_edits', f'FROM ({_HELD}) h')}) x")
+def n6_held_edits(b):
+    """Edits made while a chapter's job runs are saved at its end."""
+    rows = b.b_edits.withColumn("ts", F.col("ts").cast("timestamp"))
+    jobs = b(_JOBS).withColumns({k: F.col(k).cast("timestamp") for k in ("started", "ended")})
+    return streams.coalesce_edits(rows, "6 hours", jobs).withColumn("started", F.unix_millis("burst_start"))
+
+
+@query("chapter_id bigint, started bigint, snapshot string, version bigint, edits bigint", f"SELECT chapter_id, epoch_us(s) // 1000 AS started, snapshot, version, edits FROM ({_BURST}) x")
+def n6_stream_edits(b):
+    """The same bursts from a stream; a row far ahead of the others, left out again, lets the last ones end."""
+    rows = b("SELECT version, chapter_id, ts, snapshot FROM b_edits UNION ALL SELECT -1, -1, max(ts) + INTERVAL 2 DAY, '' FROM b_edits").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _streamed(b, rows, lambda edits: streams.coalesce_edits(edits, "6 hours")).where("chapter_id >= 0")
+    return out.withColumn("started", F.unix_millis("burst_start"))
+
+
 def _streamed(b, rows_of, transform, key: list[str] | None = None):
     """Runs a stream over a written copy of the rows to its end; with a key, what its last micro-batch said of it."""
     from folio.streaming.session import shared_folder, use_state_store
@@ -220,16 +240,12 @@ def n4_stream_page_results(b):
     at = f"{shared_folder(b.spark)}/stream-{uuid.uuid4().hex}"
     events = b("SELECT page_id, res_ord, new_status, 'page_done' AS phase FROM b_results UNION ALL SELECT page_id, 9 AS res_ord, 'running' AS new_status, 'page_running' AS phase FROM b_results")
     events.write.parquet(f"{at}/in")
-    b("SELECT *, CAST(NULL AS STRING) AS last_error FROM b_pages").write.parquet(f"{at}/pages-0")
-
-    state = {"now": f"{at}/pages-0"}
 
     def apply(batch, n: int) -> None:
-        new = f"{at}/pages-{n + 1}"
-        pages = b.spark.read.parquet(f"{at}/pages-{n}")
-        apply_page_results(pages, batch.withColumn("error", F.lit(None).cast("string"))).write.mode("overwrite").parquet(new)
-        state["now"] = new
+        """A batch's results, written under its number, so a repeated batch replaces itself; pages are merged when read."""
+        batch.withColumn("error", F.lit(None).cast("string")).write.mode("overwrite").parquet(f"{at}/results/batch={n}")
 
     source = b.spark.readStream.schema(events.schema).parquet(f"{at}/in")
     streams.stream_page_results(source, apply, f"{at}/checkpoint").awaitTermination()
-    return b.spark.read.parquet(state["now"])
+    pages = b("SELECT *, CAST(NULL AS STRING) AS last_error FROM b_pages")
+    return apply_page_results(pages, b.spark.read.parquet(f"{at}/results"))

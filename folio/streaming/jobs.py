@@ -77,19 +77,25 @@ def stream_job_state(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 
 class StatusFeed(_Kept):
-    """Labels that differ from the one before, newest first, at most FEED."""
+    """Labels that differ from the one before, newest first, at most FEED; late events find their place by seq.
+
+    The state holds the events of the newest FEED + 1 runs of equal labels, since a late event can split a run.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.feed = handle.getListState("feed", "seq int, label string", self.ttl)
+        self.events = handle.getListState("events", "seq int, label string", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        feed = [tuple(x) for x in self.feed.get()] if self.feed.exists() else []
-        for r in _sorted(rows, "seq").itertuples():
-            if r.label and r.label.strip() and (not feed or feed[-1][1] != r.label):
-                feed.append((int(r.seq), r.label))
-        feed = feed[-FEED:]
-        if feed:
-            self.feed.put(feed)
+        known = [tuple(x) for x in self.events.get()] if self.events.exists() else []
+        for part in rows:
+            known += [(int(s), t) for s, t in zip(part["seq"], part["label"]) if isinstance(t, str) and t.strip()]
+            known.sort()
+            begins = [k for k in range(len(known)) if k == 0 or known[k - 1][1] != known[k][1]]
+            if len(begins) > FEED + 1:
+                known = known[begins[-FEED - 1] :]
+        feed = [e for k, e in enumerate(known) if k == 0 or known[k - 1][1] != e[1]][-FEED:]
+        if known:
+            self.events.put(known)
         yield pd.DataFrame({"job_id": key[0], "place": range(1, len(feed) + 1), "seq": [s for s, _ in feed[::-1]], "label": [t for _, t in feed[::-1]]})
 
 
@@ -179,11 +185,27 @@ def stream_attempts(attempts: DataFrame, most: int = MAX_ATTEMPTS, ttl_ms: int |
     return attempts.groupBy("page_id").transformWithStateInPandas(Attempts(most, ttl_ms), "page_id long, status string, last_error string", "Append", _mode(ttl_ms))
 
 
-def coalesce_edits(edits: DataFrame, gap: str = EDIT_GAP) -> DataFrame:
-    """(chapter_id, ts, version, snapshot): one row per burst with its last snapshot; batch or stream."""
+def held_edits(edits: DataFrame, jobs: DataFrame) -> DataFrame:
+    """edits (chapter_id, ts, ...) with saved_from: ts, or the end of the chapter's job that runs at that time.
+
+    jobs (chapter_id, started, ended) of one chapter do not overlap, so an edit is held by one job at most.
+    """
+    spans = jobs.select(F.col("chapter_id").alias("_c"), F.col("started").alias("_s"), F.col("ended").alias("_e"))
+    hit = (F.col("chapter_id") == F.col("_c")) & (F.col("ts") >= F.col("_s")) & (F.col("ts") < F.col("_e"))
+    return edits.join(spans, hit, "left").withColumn("saved_from", F.coalesce("_e", "ts")).drop("_c", "_s", "_e")
+
+
+def coalesce_edits(edits: DataFrame, gap: str = EDIT_GAP, jobs: DataFrame | None = None) -> DataFrame:
+    """(chapter_id, ts, version, snapshot): one row per burst with its last snapshot; batch or stream.
+
+    With jobs (a static table), edits made while the chapter's job runs wait for its end and are saved with what follows it.
+    """
+    at = "ts"
+    if jobs is not None:
+        edits, at = held_edits(edits, jobs), "saved_from"
     if edits.isStreaming:
-        edits = edits.withWatermark("ts", WATERMARK)
-    return edits.groupBy("chapter_id", F.session_window("ts", gap).alias("w")).agg(F.max_by("snapshot", "version").alias("snapshot"), F.max("version").alias("version"), F.count("*").alias("edits")).select("chapter_id", F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "snapshot", "version", "edits")
+        edits = edits.withWatermark(at, WATERMARK)
+    return edits.groupBy("chapter_id", F.session_window(at, gap).alias("w")).agg(F.max_by("snapshot", "version").alias("snapshot"), F.max("version").alias("version"), F.count("*").alias("edits")).select("chapter_id", F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "snapshot", "version", "edits")
 
 
 def upsert_stream(rows: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
