@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
     once = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     sample = once.select("toxic", "text", "doc_id").mapInArrow(_extract, "toxic int, features binary, doc_id long").toPandas().sort_values("doc_id")
-    return fit(sample.toxic.to_numpy(), [np.frombuffer(x, np.int32).astype(np.int64) for x in sample.features]) if len(sample) else None
+    return fit(sample.toxic.to_numpy(), [np.frombuffer(x, np.int32) for x in sample.features]) if len(sample) else None
 
 
 def severity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
