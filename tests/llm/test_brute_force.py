@@ -238,8 +238,8 @@ def test_quality_by_hand(spark):
             parts.insert(rng.randrange(len(parts) + 1), rng.choice(parts) + rng.choice(["", " x"]))
         data.append((k, rng.choice(["\n", " ", "\n\n"]).join(parts)))
     for k in range(150, 170):  # short lines that repeat make no window of five words
-        parts = [prose(rng, 12) for _ in range(12)]
-        for i in range(0, 20, 2):
+        parts = [prose(rng, 4, 5000) for _ in range(12)]
+        for i in range(0, 24, 2):
             parts.insert(i, "one short line")
         data.append((k, "\n".join(parts)))
     verdicts = collections.Counter()
