@@ -259,17 +259,24 @@ def k11_vertical_fit(b):
 
 
 _QA = f"SELECT *, greatest(1.0, greatest(1.0, rw - pad * 2 - 2) - 20) AS iw, greatest(1.0, greatest(1.0, rh - pad * 2 - 2) - 20) AS ih FROM (SELECT *, {_PAD} AS pad FROM ({_RECT}) r) r2"
-_FITS = "greatest(1, ceil(length(ko) / greatest(1, floor(ih / greatest(f, f * 1.18e0))))) * (f * 1.15e0) <= iw"
+def _fits_vertical(f: str) -> str:
+    return f"greatest(1, ceil(length(ko) / greatest(1, floor(ih / greatest({f}, {f} * 1.18e0))))) * ({f} * 1.15e0) <= iw"
 
 
-def _bisection() -> str:
+def _fits_horizontal(f: str) -> str:
+    """The texts of this query have no spaces, so a line takes as many glyphs as fit beside each other."""
+    per = f"greatest(1, floor(iw / (0.95e0 * {f}) + 1e-9))"
+    return f"(ceil(length(ko) / {per}) * {f} * 1.18e0 <= ih AND least(length(ko), {per}) * 0.95e0 * {f} <= iw + 1e-9)"
+
+
+def _bisection(fits) -> str:
     sql = f"SELECT CAST(page_id AS VARCHAR) || '-' || CAST(id AS VARCHAR) AS block_id, ko, iw, ih, pad, CAST(2 AS BIGINT) AS lo, CAST(greatest(2, floor(least(256.0, greatest(greatest(2.0, iw), greatest(ih, floor(20 * least(800.0 / width, 1200.0 / height))))))) AS BIGINT) AS hi, CAST(2 AS BIGINT) AS best FROM ({_QA}) r3"
     for _ in range(8):
-        sql = f"SELECT block_id, ko, iw, ih, pad, CASE WHEN lo <= hi AND ok THEN f + 1 ELSE lo END AS lo, CASE WHEN lo <= hi AND NOT ok THEN f - 1 ELSE hi END AS hi, CASE WHEN lo <= hi AND ok THEN f ELSE best END AS best FROM (SELECT *, {_FITS} AS ok FROM (SELECT *, (lo + hi) // 2 AS f FROM ({sql}) a) b) c"
-    return f"SELECT block_id, best AS font_px, NOT {_FITS.replace('f *', 'best *').replace('greatest(f,', 'greatest(best,')} AS overflow, pad AS padding FROM ({sql}) q"
+        sql = f"SELECT block_id, ko, iw, ih, pad, CASE WHEN lo <= hi AND ok THEN f + 1 ELSE lo END AS lo, CASE WHEN lo <= hi AND NOT ok THEN f - 1 ELSE hi END AS hi, CASE WHEN lo <= hi AND ok THEN f ELSE best END AS best FROM (SELECT *, {fits('f')} AS ok FROM (SELECT *, (lo + hi) // 2 AS f FROM ({sql}) a) b) c"
+    return f"SELECT block_id, best AS font_px, NOT ({fits('best')}) AS overflow, pad AS padding FROM ({sql}) q"
 
 
-@query("block_id string, font_px bigint, overflow boolean, padding bigint", _bisection())
+@query("block_id string, font_px bigint, overflow boolean, padding bigint", _bisection(_fits_vertical))
 def k12_layout_vertical(b):
     """Fit is not monotone in the font (columns are whole), so the SQL takes the same eight steps."""
     return layout.layout_qa(_qa_blocks(b, "vertical"), 800, 1200)
@@ -279,7 +286,7 @@ def _qa_blocks(b, direction: str):
     return _boxes(b).select(F.concat(F.col("page_id").cast("string"), F.lit("-"), F.col("id").cast("string")).alias("block_id"), F.col("ko").alias("text"), "bbox", F.lit(None).cast("struct<x:double,y:double,w:double,h:double>").alias("render_bbox"), "width", "height", F.lit(direction).alias("render_direction"), F.lit(20.0).alias("font_size_px"), F.lit(1.18).alias("line_height"), F.lit(True).alias("auto_fit_text"))
 
 
-@query("block_id string, font_px bigint, overflow boolean, padding bigint")
+@query("block_id string, font_px bigint, overflow boolean, padding bigint", _bisection(_fits_horizontal))
 def k12_layout_horizontal(b):
     return layout.layout_qa(_qa_blocks(b, "horizontal"), 800, 1200)
 

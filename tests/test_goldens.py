@@ -269,11 +269,128 @@ def test_layout(spark):
     assert layout.wrap("aa  bb", 2 * 0.95 * 10, 10) == [2, 2] and layout.wrap("", 10, 10) == [0]
 
 
+def test_horizontal_fit_by_hand(spark):
+    """Lines laid word by word, glyph by glyph, and every step of the bisection against them."""
+    import random
+    import re as regex
+
+    def lines(text, width, font):
+        per, out = max(1, math.floor(width / (0.95 * font) + 1e-9)), []
+        for part in text.replace("\r", "").split("\n"):
+            rest = regex.sub(r"\s+", " ", part).strip()
+            out += [0] if not rest else []
+            while rest:
+                out.append(len(rest[:per].rstrip()))
+                rest = rest[per:]
+                rest = rest[1:] if rest[:1] == " " else rest
+        return out
+
+    def fits(text, font, w, h):
+        laid = lines(text, w, font)
+        return len(laid) * font * 1.18 <= h and max(laid) * 0.95 * font <= w + 1e-9
+
+    rng, rows = random.Random(31), []
+    for k in range(120):
+        text = "".join(rng.choice("ab 가나 \n😀 ") for _ in range(rng.randrange(1, 60)))
+        rows.append((str(k), text, float(rng.randrange(20, 600)), float(rng.randrange(20, 600))))
+    df = spark.createDataFrame(rows, "block_id string, text string, w double, h double").withColumns({"bbox": g.bbox(F.lit(0.0), F.lit(0.0), F.col("w"), F.col("h")), "render_bbox": F.lit(None).cast("struct<x:double,y:double,w:double,h:double>"), "width": F.lit(1000), "height": F.lit(1000), "render_direction": F.lit("horizontal"), "font_size_px": F.lit(20.0), "line_height": F.lit(1.18), "auto_fit_text": F.lit(True)})
+    for r in layout.layout_qa(df, 1000, 1000).collect():
+        _, text, w, h = rows[int(r.block_id)]
+        w, h = (max(1.0, max(1.0, v - r.padding * 2 - 2) - 20) for v in (w, h))
+        cap = int(min(256, max(2, 20, w, h)))
+        if not text.strip():
+            assert (r.font_px, r.overflow) == (cap, False)
+            continue
+        lo, hi, best = 2, cap, 2
+        while lo <= hi:
+            mid = (lo + hi) // 2
+            lo, hi, best = (mid + 1, hi, mid) if fits(text, mid, w, h) else (lo, mid - 1, best)
+        assert (r.font_px, r.overflow) == (best, not fits(text, best, w, h))
+
+
 def test_edits(spark):
     b = spark.createDataFrame([("x", 1, 1, "t", "horizontal")], "block_id string, page_id int, block_ord int, translated_text string, render_direction string").withColumns({"bbox": box(1, 2, 3, 4), "render_bbox": box(9, 9, 9, 9)})
     patch = spark.createDataFrame([("x", "new", "odd", 1)], "block_id string, translated_text string, render_direction string, patch_ord int").withColumn("bbox", box(990, 0, 50, 50))
     r = blk.edit_blocks(b, patch).first()
     assert (r.translated_text, r.render_direction, tuple(r.bbox), tuple(r.render_bbox)) == ("new", "horizontal", (1, 2, 3, 4), (990, 0, 10, 50))
+    more = b.withColumns({"type": F.lit("speech"), "font_size_px": F.lit(20.0), "text_color": F.lit("#111111"), "opacity": F.lit(0.5)})
+    patches = spark.createDataFrame([("x", "sfx", 31.0, None, 1), ("x", None, 30.0, "#00ff00", 2)], "block_id string, type string, font_size_px double, text_color string, patch_ord int")
+    r = blk.edit_blocks(more, patches.withColumn("render_bbox", box(5, 5, 2000, 5))).first()
+    assert (r.type, r.font_size_px, r.text_color, r.opacity, r.translated_text, tuple(r.bbox), tuple(r.render_bbox)) == ("sfx", 30.0, "#00ff00", 0.5, "t", (1, 2, 3, 4), (5, 5, 995, 5))
+    twice = blk.duplicate_blocks(blk.duplicate_blocks(b, b), b)
+    assert sorted(x.block_id for x in twice.collect()) == ["x", "x-copy-2", "x-copy-3"]
+
+
+def test_titles_stay_unique(spark):
+    """Families of titles, plain and numbered, against one title after the other."""
+    import random
+
+    rng = random.Random(32)
+    names = ["A", "A (1)", "A (2)", "A (1) (1)", "B", "C", "C (7)", "(1)", ""]
+    old = [(w, rng.choice(names)) for w in range(6) for _ in range(rng.randrange(4))]
+    new = [(w, 100 * w + k, rng.choice(names), rng.randrange(5)) for w in range(6) for k in range(rng.randrange(9))]
+    expected = {}
+    for w in range(6):
+        taken = {t for v, t in old if v == w}
+        for _, c, t, _ in sorted((x for x in new if x[0] == w), key=lambda x: (x[3], x[1])):
+            k, name = 1, t
+            while name in taken:
+                name, k = f"{t} ({k})", k + 1
+            taken.add(name)
+            expected[c] = name
+    got = cat.unique_titles(spark.createDataFrame(old, "work_id int, title string"), spark.createDataFrame(new, "work_id int, chapter_id int, title string, arrival int"))
+    assert {r.chapter_id: r.title for r in got.collect()} == expected
+    chapters = spark.createDataFrame([(1, 1, "A"), (2, 1, "B"), (3, 1, "C"), (4, 2, "A")], "chapter_id int, work_id int, title string")
+    patches = spark.createDataFrame([(2, " A ", 1), (3, "A", 2), (3, "x/y", 0)], "chapter_id int, title string, patch_ord int")
+    out = cat.rename(chapters, patches, "chapter_id", "Untitled", "work_id")
+    assert {r.chapter_id: r.title for r in out.collect()} == {1: "A", 2: "A (1)", 3: "A (2)", 4: "A"} and out.columns == chapters.columns
+
+
+def test_whole_pages_merge(spark):
+    live = spark.createDataFrame([(1, "a", 10, "completed", "e1"), (2, "b", 10, "completed", None), (3, "c", 10, "running", None)], "page_id int, name string, width int, analysis_status string, last_error string")
+    local = spark.createDataFrame([(1, "mine", 99, "completed", "old"), (2, "mine", 99, "failed", None), (3, "mine", 99, "completed", None)], live.schema)
+    merged = cat.merge_live_local(live, local, spark.createDataFrame([(1,), (2,), (3,)], "page_id int"))
+    assert {tuple(r) for r in merged.collect()} == {(1, "mine", 99, "completed", "e1", True), (2, "b", 10, "completed", None, False), (3, "c", 10, "running", None, False)}
+    blocks = lambda t: spark.createDataFrame([(k, t) for k in (1, 2, 3)], "page_id int, text string")
+    assert {tuple(r) for r in cat.merge_live_local_blocks(blocks("live"), blocks("local"), merged).collect()} == {(1, "local"), (2, "live"), (3, "live")}
+
+
+def test_feed_takes_late_events(spark, tmp_path):
+    """Events that cross micro-batches out of order, against the batch twin."""
+    import random
+
+    from folio.streaming import session
+    from folio.streaming.jobs import stream_status_feed
+
+    rng = random.Random(33)
+    rows = [(j, k, rng.choice(["booting", "page_running", "page_done", "page_retry"])) for j in range(5) for k in range(60)]
+    rng.shuffle(rows)
+    schema = "job_id long, seq int, phase string"
+    for n in range(6):
+        spark.createDataFrame(rows[n::6], schema).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    session.use_state_store(spark)
+    try:
+        source = spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        keep = lambda batch, n: batch.write.parquet(f"{tmp_path}/out/batch={n}")
+        stream_status_feed(source).writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    out = out.join(out.groupBy("job_id").agg(F.max("batch").alias("batch")), ["job_id", "batch"])
+    twin = jobs.status_feed(spark.createDataFrame(rows, schema))
+    names = [c for c in ("job_id", "seq", "label") if c in twin.columns]
+    assert sorted(map(tuple, out.select(*names).collect())) == sorted(map(tuple, twin.select(*names).collect()))
+
+
+def test_edits_wait_for_jobs(spark):
+    from folio.streaming.jobs import coalesce_edits
+
+    at = lambda s: F.timestamp_seconds(s)
+    edits = spark.createDataFrame([(1, 10, 1, "a"), (1, 20, 2, "b"), (1, 25, 3, "c"), (1, 60, 4, "d"), (2, 22, 5, "x")], "chapter_id int, s int, version int, snapshot string").withColumn("ts", at("s"))
+    spans = spark.createDataFrame([(1, 15, 59)], "chapter_id int, a int, b int").select("chapter_id", at("a").alias("started"), at("b").alias("ended"))
+    got = {(r.chapter_id, r.burst_start.timestamp(), r.snapshot, r.edits) for r in coalesce_edits(edits, "2 seconds", spans).collect()}
+    assert got == {(1, 10.0, "a", 1), (1, 59.0, "d", 3), (2, 22.0, "x", 1)}
 
 
 def test_imports(spark):
