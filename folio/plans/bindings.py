@@ -16,7 +16,7 @@ VIEWS = {
     "b_items": "SELECT l_orderkey AS page_id, pos AS item_ord, CASE l_partkey % 5 WHEN 0 THEN 'dialogue' WHEN 1 THEN 'narration' WHEN 2 THEN 'name' WHEN 3 THEN 'sfx' ELSE 'sign' END AS type, l_partkey % 1100 AS x, (l_suppkey * 37) % 1100 AS y, CAST(l_quantity AS INT) * 25 AS w, (l_partkey % 97) * 15 AS h, CASE WHEN l_partkey % 13 = 0 THEN '' WHEN l_partkey % 17 = 0 THEN concat('J', CAST(l_partkey AS STRING), '[?]') ELSE concat('J', CAST(l_partkey AS STRING)) END AS jp, CASE WHEN l_partkey % 19 = 0 THEN '' ELSE concat('K', CAST(l_suppkey AS STRING)) END AS ko FROM b_lines",
     "b_sizes": "SELECT o_orderkey AS page_id, CAST(600 + o_orderkey % 50 * 20 AS INT) AS width, CAST(900 + o_orderkey % 50 * 20 AS INT) AS height FROM orders",
     "b_events": "SELECT user_id AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq, ts, CASE event_type WHEN 'signup' THEN 'booting' WHEN 'view' THEN 'page_running' WHEN 'click' THEN 'page_retry' WHEN 'purchase' THEN 'page_done' ELSE 'page_skipped' END AS phase, CASE WHEN value < 60 THEN NULL ELSE CAST(floor(value) AS INT) END AS progress_current, CASE WHEN event_type = 'signup' THEN NULL ELSE 100 END AS progress_total FROM events",
-    "b_attempts": "SELECT page_id, attempt, ok, message FROM (SELECT user_id * 100 + day(ts) AS page_id, CAST(row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) AS INT) AS attempt, event_type = 'purchase' AS ok, CASE event_type WHEN 'error' THEN 'Gemma request failed (500).' WHEN 'click' THEN 'Model returned an empty response.' WHEN 'view' THEN 'Gemma response JSON parse failed.' WHEN 'signup' THEN 'Timed out while waiting for server' ELSE NULL END AS message FROM events) q WHERE attempt <= 5",
+    "b_attempts": "SELECT user_id * 100 + day(ts) AS page_id, CAST(row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) AS INT) AS attempt, event_type = 'purchase' AS ok, CASE event_type WHEN 'error' THEN 'Gemma request failed (500).' WHEN 'click' THEN 'Model returned an empty response.' WHEN 'view' THEN 'Gemma response JSON parse failed.' WHEN 'signup' THEN 'Timed out while waiting for server' ELSE NULL END AS message FROM events",
     "b_page_items": "SELECT p.page_id, i.item_ord, i.type, i.x, i.y, i.w, i.h, i.jp, i.ko FROM b_pages p JOIN b_items i ON i.page_id = p.chapter_id AND (i.item_ord + p.page_ord) % 3 = 0",
     "b_local": "SELECT page_id, chapter_id, page_ord + 100 AS page_ord, concat('edited-', name) AS name, width + 7 AS width, height + 9 AS height, CASE WHEN page_id % 4 = 0 THEN 'idle' ELSE 'completed' END AS analysis_status FROM b_pages WHERE page_id % 3 <> 0",
     "b_dirty": "SELECT page_id FROM b_pages WHERE page_id % 7 = 0",

@@ -18,7 +18,7 @@ _CARRY = "last_value(progress_current IGNORE NULLS) OVER (PARTITION BY job_id OR
 _STATE = f"SELECT * FROM (SELECT job_id, seq, phase, {_CARRY} AS progress_current, {_CARRY.replace('progress_current', 'progress_total')} AS progress_total, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS k FROM b_events) s WHERE k = 1"
 _FEED = f"SELECT job_id, seq, label, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS place FROM (SELECT *, lag(label) OVER (PARTITION BY job_id ORDER BY seq) AS before FROM (SELECT job_id, seq, {_LABEL} AS label FROM b_events) l0) l1 WHERE before IS NULL OR before <> label"
 _ERRORS = "CASE message WHEN 'Gemma request failed (500).' THEN 'model-request' WHEN 'Model returned an empty response.' THEN 'empty-model-response' WHEN 'Gemma response JSON parse failed.' THEN 'response-json-parse' WHEN 'Timed out while waiting for server' THEN 'server-startup' ELSE 'unknown' END"
-_OUTCOME = "SELECT page_id, CASE WHEN won IS NOT NULL THEN 'completed' WHEN n >= 5 THEN 'failed' ELSE 'open' END AS status, won AS won_at, n AS n_attempts, CASE WHEN won IS NULL THEN msg END AS last_error FROM (SELECT page_id, min(attempt) FILTER (WHERE ok) AS won, count(*) AS n, arg_max(message, attempt) AS msg FROM b_attempts GROUP BY 1) a"
+_OUTCOME = "SELECT page_id, CASE WHEN won IS NOT NULL THEN 'completed' WHEN n >= 5 THEN 'failed' ELSE 'open' END AS status, won AS won_at, n AS n_attempts, CASE WHEN won IS NULL THEN msg END AS last_error FROM (SELECT page_id, min(attempt) FILTER (WHERE ok) AS won, count(*) AS n, arg_max(message, attempt) AS msg FROM b_attempts WHERE attempt <= 5 GROUP BY 1) a"
 
 
 @query("job_id bigint, seq bigint, label string", f"SELECT job_id, seq, {_LABEL} AS label FROM b_events")

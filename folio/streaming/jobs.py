@@ -58,15 +58,15 @@ class JobState(_Kept):
         self.state = handle.getValueState("job", _STATE, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _sorted(rows, "seq")
         now = list(self.state.get()) if self.state.exists() else [-1, None, None, None, -1, None, -1]
-        for r in new.itertuples():
-            if r.seq > now[0]:
-                now[:3] = [int(r.seq), r.ts, r.phase]
-            for k, c in ((3, "progress_current"), (5, "progress_total")):
-                v = _or_none(getattr(r, c))
-                if v is not None and r.seq > now[k + 1]:
-                    now[k : k + 2] = [int(v), int(r.seq)]
+        for part in rows:
+            for r in part.itertuples():
+                if r.seq > now[0]:
+                    now[:3] = [int(r.seq), r.ts, r.phase]
+                for k, c in ((3, "progress_current"), (5, "progress_total")):
+                    v = _or_none(getattr(r, c))
+                    if v is not None and r.seq > now[k + 1]:
+                        now[k : k + 2] = [int(v), int(r.seq)]
         self.state.update(tuple(now))
         yield pd.DataFrame({"job_id": [key[0]], "seq": [now[0]], "ts": [now[1]], "phase": [now[2]], "progress_current": pd.array([now[3]], "Int32"), "progress_total": pd.array([now[5]], "Int32")})
 
