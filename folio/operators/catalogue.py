@@ -59,6 +59,11 @@ def reorder_records(records: DataFrame, order: DataFrame, group: str, key: str,
     return records.join(first, [group, key], "left").withColumn("_new", n).drop(ordinal, "_pos").withColumnRenamed("_new", ordinal)
 
 
+def split_by_ids(rows: DataFrame, ids: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose keys are among ids, the rest)."""
+    return rows.join(ids, keys, "left_semi"), rows.join(ids, keys, "left_anti")
+
+
 def move_before_target(order: Column, moved: Column, target: Column) -> Column:
     """The array with moved taken out and put at the place that target had before; unknown ids change nothing."""
     at = F.array_position(order, target).cast("int")

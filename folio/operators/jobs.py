@@ -52,6 +52,12 @@ def latest_job_state(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(*newest, *carried)
 
 
+def most_recent(rows: DataFrame, group: str, order: str, most: int = FEED) -> DataFrame:
+    """The newest rows of each group by order, at most `most`."""
+    n = F.row_number().over(Window.partitionBy(group).orderBy(F.col(order).desc()))
+    return rows.withColumn("place", n).where(F.col("place") <= most)
+
+
 def _labelled(events: DataFrame) -> DataFrame:
     has = lambda c, kind="int": F.col(c) if c in events.columns else F.lit(None).cast(kind)
     return events.withColumn("label", job_label(has("phase", "string"), has("status", "string"), has("page_index"), has("page_total"), has("attempt"), has("attempt_total")))

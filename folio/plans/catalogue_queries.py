@@ -320,8 +320,8 @@ def j1_all_drafts(b):
 
 @query("chapter_id bigint, page_id bigint, side string", "SELECT p.chapter_id, p.page_id, CASE WHEN o.page_id IS NULL THEN 'rest' ELSE 'both' END AS side FROM b_pages p LEFT JOIN b_order o ON o.page_id = p.page_id AND o.chapter_id = p.chapter_id")
 def j2_id_sets(b):
-    both = b.b_pages.join(b.b_order, ["chapter_id", "page_id"], "left_semi").withColumn("side", F.lit("both"))
-    return both.unionByName(b.b_pages.join(b.b_order, ["chapter_id", "page_id"], "left_anti").withColumn("side", F.lit("rest")))
+    both, rest = cat.split_by_ids(b.b_pages, b.b_order, ["chapter_id", "page_id"])
+    return both.withColumn("side", F.lit("both")).unionByName(rest.withColumn("side", F.lit("rest")))
 
 
 @query("chapter_id bigint, work_id bigint, chapter_ord bigint", "SELECT chapter_id, work_id, chapter_ord FROM b_chapters UNION ALL SELECT -n.chapter_id, n.work_id, coalesce(m.last, 0) + row_number() OVER (PARTITION BY n.work_id ORDER BY n.chapter_id) FROM (SELECT chapter_id, work_id FROM b_chapters WHERE chapter_id % 4 = 0) n LEFT JOIN (SELECT work_id, max(chapter_ord) AS last FROM b_chapters GROUP BY 1) m ON m.work_id = n.work_id")

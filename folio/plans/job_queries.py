@@ -79,10 +79,7 @@ def h6_status_feed(b):
 
 @query("job_id bigint, seq bigint", "SELECT job_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS k FROM b_events) x WHERE k <= 16")
 def i3_top_recent(b):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("job_id").orderBy(F.col("seq").desc()))
-    return b.b_events.withColumn("k", n).where("k <= 16")
+    return jobs.most_recent(b.b_events, "job_id", "seq")
 
 
 @query("job_id bigint, mode string, current bigint, total bigint, ratio double", f"SELECT job_id, mode, CASE WHEN mode = 'determinate' THEN least(t, greatest(0, progress_current)) END AS current, CASE WHEN mode = 'determinate' THEN t END AS total, CASE WHEN mode = 'determinate' THEN least(t, greatest(0, progress_current)) / CAST(t AS DOUBLE) END AS ratio FROM (SELECT *, progress_total AS t, CASE WHEN phase = 'booting' THEN 'indeterminate' WHEN progress_current IS NOT NULL AND progress_total > 0 THEN 'determinate' END AS mode FROM ({_STATE}) s0) s1")
