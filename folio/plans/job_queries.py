@@ -178,9 +178,8 @@ def n6_stream_edits(b):
 
 def _streamed(b, rows_of, transform, key: list[str] | None = None):
     """Runs a stream over a written copy of the rows to its end; with a key, what its last micro-batch said of it."""
-    from folio.streaming.session import shared_folder, use_state_store
+    from folio.streaming.session import shared_folder, state_store
 
-    use_state_store(b.spark)
     at = f"{shared_folder(b.spark)}/stream-{uuid.uuid4().hex}"
     rows_of.write.parquet(f"{at}/in")
     source = b.spark.readStream.schema(rows_of.schema).parquet(f"{at}/in")
@@ -189,7 +188,8 @@ def _streamed(b, rows_of, transform, key: list[str] | None = None):
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
 
     writer = transform(source).writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").outputMode("update" if key else "append")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    with state_store(b.spark):
+        writer.trigger(availableNow=True).start().awaitTermination()
     out = b.spark.read.parquet(f"{at}/out")
     return out.join(out.groupBy(*key).agg(F.max("batch").alias("batch")), [*key, "batch"]) if key else out
 

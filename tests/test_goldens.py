@@ -14,6 +14,7 @@ from folio.operators import catalogue as cat
 from folio.operators import imports as imp
 from folio.operators import jobs, layout
 from folio.operators import replies as rep
+from folio.streaming.session import state_store
 
 
 def one(spark, **cols):
@@ -218,12 +219,8 @@ def test_responses_streamed(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
     out = stream_assemble_response(source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c")
-    with_rocks = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(with_rocks, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with state_store(spark):
         out.trigger(availableNow=True).start().awaitTermination(100)
-    finally:
-        spark.conf.unset(with_rocks)
     both = [{r.response_id: (r.text, r.n_events, r.error) for r in x.collect()} for x in (rep.assemble_response(events), spark.read.parquet(f"{tmp_path}/out"))]
     assert both[0] == both[1] == {1: ("a b", 3, None), 2: ("late", 1, None), 3: ("ab \nc", 3, None)}
 
@@ -359,7 +356,6 @@ def test_feed_takes_late_events(spark, tmp_path):
     """Events that cross micro-batches out of order, against the batch twin."""
     import random
 
-    from folio.streaming import session
     from folio.streaming.jobs import stream_status_feed
 
     rng = random.Random(33)
@@ -368,14 +364,10 @@ def test_feed_takes_late_events(spark, tmp_path):
     schema = "job_id long, seq int, phase string"
     for n in range(6):
         spark.createDataFrame(rows[n::6], schema).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    session.use_state_store(spark)
-    try:
+    with state_store(spark):
         source = spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
         keep = lambda batch, n: batch.write.parquet(f"{tmp_path}/out/batch={n}")
         stream_status_feed(source).writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.unset(key)
     out = spark.read.parquet(f"{tmp_path}/out")
     out = out.join(out.groupBy("job_id").agg(F.max("batch").alias("batch")), ["job_id", "batch"])
     twin = jobs.status_feed(spark.createDataFrame(rows, schema))

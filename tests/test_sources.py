@@ -79,9 +79,8 @@ def test_streams_over_several_batches(spark, tmp_path):
     """The folded state does not depend on how events fall into micro-batches."""
     from folio.operators.jobs import latest_job_state
     from folio.streaming.jobs import stream_job_state
-    from folio.streaming.session import use_state_store
+    from folio.streaming.session import state_store
 
-    use_state_store(spark)
     rows = [(k % 3, k // 3, "page_running" if k % 2 else "booting", k if k % 4 == 0 else None, None) for k in range(40)]
     df = spark.createDataFrame(rows, "job_id long, seq int, phase string, progress_current int, progress_total int").withColumn("ts", F.to_timestamp(F.lit("2024-01-01")) + F.make_interval(secs=F.col("seq")))
     df = df.select("job_id", "seq", "ts", "phase", "progress_current", "progress_total")
@@ -93,6 +92,7 @@ def test_streams_over_several_batches(spark, tmp_path):
         out.update({r.job_id: r for r in batch.collect()})
 
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream_job_state(source).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        stream_job_state(source).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     batch = {r.job_id: r for r in latest_job_state(df).collect()}
     assert {k: (r.seq, r.phase, r.progress_current) for k, r in out.items()} == {k: (r.seq, r.phase, r.progress_current) for k, r in batch.items()}
