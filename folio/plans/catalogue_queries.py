@@ -219,14 +219,14 @@ def _library(b):
     pages = b.b_pages.select(text("page_id"), text("chapter_id"), "name", none.alias("image_path"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "analysis_status", none.alias("last_error"), (F.col("page_ord") - 1).alias("page_ord"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
     from folio.sources.library import BLOCK, BLOCK_COLUMNS
 
-    kinds = {f.name: f.dataType for f in F_struct(BLOCK)}
+    kinds = {f.name: f.dataType for f in _fields(BLOCK)}
     box = g.bbox(*[F.col(k).cast("double") for k in "xywh"])
     have = {"type": F.col("type"), "bbox": box, "source_text": F.col("jp"), "translated_text": F.col("ko"), "auto_fit_text": F.lit(True)}
     blocks = b.b_page_items.select(F.concat(F.col("page_id").cast("string"), F.lit("-"), F.col("item_ord").cast("string")).alias("block_id"), text("page_id"), (F.col("item_ord") - 1).alias("block_ord"), *[have.get(new, F.lit(None)).cast(kinds[old]).alias(new) for old, new in BLOCK_COLUMNS.items()])
     return {"works": works, "chapters": chapters, "pages": pages, "blocks": blocks}
 
 
-def F_struct(ddl: str):
+def _fields(ddl: str):
     from pyspark.sql.types import StructType
 
     return StructType.fromDDL(f"v {ddl}")["v"].dataType
@@ -303,6 +303,37 @@ def g8_import_preview(b):
     return imp.import_preview(b.b_files, "container_id", "file_id").withColumn("pages", F.array_join("pages", "|"))
 
 
+@query("title string, page_count bigint, pages string", f"SELECT regexp_extract(path, '^(.*)/[^/]+$', 1) AS title, count(*) AS page_count, string_agg(regexp_extract(path, '([^/]*)$', 1), '|' ORDER BY {_RUNS.replace('lower(path)', "lower(regexp_extract(path, '([^/]*)$', 1))")}, regexp_extract(path, '([^/]*)$', 1)) AS pages FROM b_files WHERE NOT ends_with(path, '.txt') GROUP BY 1")
+def a3_nested_folders(b):
+    """The folders of the page addresses, each with its images."""
+    from folio.functions.text import basename
+    from folio.sources.files import nested_folders
+
+    rows = imp.image_files(b.b_files).select(F.col("path").alias("rel_path"), basename(F.col("path")).alias("name"))
+    return nested_folders(rows).withColumn("pages", F.array_join("pages", "|"))
+
+
+@query("archive bigint, entry string, page_ord bigint, error string", f"SELECT container_id AS archive, path AS entry, row_number() OVER (PARTITION BY container_id ORDER BY {_RUNS}, path) AS page_ord, NULL AS error FROM b_files WHERE NOT ends_with(path, '.txt') AND container_id % 5 <> 0 UNION ALL SELECT DISTINCT container_id, NULL, NULL, 'File is not a zip file' FROM b_files WHERE container_id % 5 = 0")
+def a4_archive_pages(b):
+    """Containers as archives, whose entries are listed with backslashes; every fifth archive is broken."""
+    from folio.sources.files import archive_pages
+
+    entries = b("SELECT DISTINCT container_id AS path, CASE WHEN container_id % 5 <> 0 THEN replace(path, '/', '\\\\') END AS zip_entry_name, CAST(1 AS BIGINT) AS size, CASE WHEN container_id % 5 = 0 THEN 'File is not a zip file' END AS error FROM b_files")
+    return archive_pages(entries).select(F.col("path").alias("archive"), F.col("zip_entry_name").alias("entry"), "page_ord", "error")
+
+
+@query("run_id string, page_id bigint, attempt bigint, ok boolean, error_message string, n_items bigint", "SELECT 'run/' || CAST(page_id % 7 AS VARCHAR) AS run_id, page_id, attempt, ok, message AS error_message, CASE WHEN ok THEN 1 END AS n_items FROM b_attempts")
+def a5_attempts(b):
+    """Attempts written, a folder per run, and read again."""
+    from folio.sources import attempts as att
+
+    item = "CASE WHEN ok THEN array(named_struct('id', 1, 'type', 'sfx', 'bbox', named_struct('x', 1D, 'y', 2D, 'w', 3D, 'h', 4D), 'jp', '', 'ko', message)) END"
+    rows = b(f"SELECT concat('run/', CAST(page_id % 7 AS STRING)) AS run_id, CAST(page_id AS STRING) AS page_id, attempt, message AS output_text, message AS error_message, CAST(NULL AS TIMESTAMP) AS created_at, named_struct('model', 'm', 'promptVariant', 'p', 'maxTokens', 900, 'temperature', 0D) AS settings, {item} AS items FROM b_attempts")
+    at = _folder(b)
+    att.write_attempts(rows, at)
+    return att.read_attempts(b.spark, at).withColumn("n_items", F.when(F.col("ok"), F.size("items")))
+
+
 @query("file_id bigint", "SELECT file_id FROM b_files WHERE NOT ends_with(path, '.txt')")
 def a2_image_files(b):
     return imp.image_files(b.b_files)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RESULT_SCHEMA = "createdAt string, outputText string, errorMessage string, settings struct<model:string,promptVariant:string,maxTokens:int,temperature:double>"
 ITEMS_SCHEMA = "items array<struct<id:int,type:string,bbox:struct<x:double,y:double,w:double,h:double>,jp:string,ko:string>>"
@@ -30,6 +31,18 @@ def scan_attempts(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("run_id", "page_id", "attempt", F.col("items").isNotNull().alias("ok"), F.col("outputText").alias("output_text"), F.col("errorMessage").alias("error_message"), F.try_to_timestamp("createdAt").alias("created_at"), "settings", "items")
 
 
+def write_attempts(attempts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Attempts (run_id, page_id, attempt, output_text, error_message, created_at, settings, items) as JSON lines, a folder per run."""
+    attempts.write.partitionBy("run_id").mode(mode).json(path)
+
+
+def read_attempts(spark: SparkSession, path: str) -> DataFrame:
+    """What write_attempts wrote, as scan_attempts gives it."""
+    parts = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(f"{RESULT_SCHEMA}, {ITEMS_SCHEMA}")}
+    schema = f"run_id string, page_id string, attempt int, output_text string, error_message string, created_at timestamp, settings {parts['settings']}, items {parts['items']}"
+    return spark.read.schema(schema).json(path).select("run_id", "page_id", "attempt", F.col("items").isNotNull().alias("ok"), "output_text", "error_message", "created_at", "settings", "items")
+
+
 def overlay_documents(items: DataFrame, key: str = "page_id", order: str = "id") -> DataFrame:
     """(key, json) with {"items": [...]} in order, one per page attempt."""
     item = F.struct(F.col(order).alias("id"), "type", "bbox", "jp", "ko")

@@ -24,12 +24,16 @@ def scan_images(spark: SparkSession, root: str, recursive: bool = True) -> DataF
     return rows.where(is_image(F.col("path"))).withColumns({"name": basename(F.col("path")), "ext": extension(F.col("path"))})
 
 
-def scan_nested_folders(spark: SparkSession, root: str) -> DataFrame:
-    """(title, page_count, pages) of every folder below root that holds an image itself, in natural order of titles."""
-    rows = scan_images(spark, root).withColumn("title", F.regexp_extract("rel_path", r"^(.*)/[^/]+$", 1)).where("title <> ''")
+def nested_folders(files: DataFrame) -> DataFrame:
+    """(rel_path, name) of image files -> (title, page_count, pages) of every folder that holds one itself, pages in natural order."""
+    rows = files.withColumn("title", F.regexp_extract("rel_path", r"^(.*)/[^/]+$", 1)).where("title <> ''")
     page = F.struct(natural_key(F.col("name")).alias("k"), F.col("name").alias("n"))
-    out = rows.groupBy("title").agg(F.count("*").alias("page_count"), F.transform(F.array_sort(F.collect_list(page)), lambda x: x["n"]).alias("pages"))
-    return out.orderBy(natural_key(F.col("title")), "title")
+    return rows.groupBy("title").agg(F.count("*").alias("page_count"), F.transform(F.array_sort(F.collect_list(page)), lambda x: x["n"]).alias("pages"))
+
+
+def scan_nested_folders(spark: SparkSession, root: str) -> DataFrame:
+    """nested_folders of the images below root, in natural order of titles."""
+    return nested_folders(scan_images(spark, root)).orderBy(natural_key(F.col("title")), "title")
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,10 +48,14 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "zip_entry_name", "size", "error"])
 
 
+def archive_pages(entries: DataFrame) -> DataFrame:
+    """(path, zip_entry_name, size, error) -> the images of each archive with page_ord in natural order; a broken archive stays one error row."""
+    good = entries.where("error IS NULL").withColumn("zip_entry_name", slash_norm(F.col("zip_entry_name"))).where(is_image(F.col("zip_entry_name")))
+    good = import_ordinals(good.withColumnsRenamed({"path": "archive", "zip_entry_name": "path"}), "archive", "path").withColumnsRenamed({"path": "zip_entry_name", "archive": "path"})
+    return good.unionByName(entries.where("error IS NOT NULL").withColumn("page_ord", F.lit(None).cast("int")))
+
+
 def scan_zip_entries(spark: SparkSession, paths: str) -> DataFrame:
-    """(path, zip_entry_name, size, page_ord, error) of images in archives, natural order inside each; a broken archive is one error row."""
+    """archive_pages of the archives below a path.  An archive is read as one value, so it may not exceed 2 GB."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(paths).select("path", "content")
-    rows = raw.mapInPandas(_entries, "path string, zip_entry_name string, size long, error string")
-    good = rows.where("error IS NULL").withColumn("zip_entry_name", slash_norm(F.col("zip_entry_name"))).where(is_image(F.col("zip_entry_name")))
-    good = import_ordinals(good.withColumnsRenamed({"path": "archive", "zip_entry_name": "path"}), "archive", "path").withColumnsRenamed({"path": "zip_entry_name", "archive": "path"})
-    return good.unionByName(rows.where("error IS NOT NULL").withColumn("page_ord", F.lit(None).cast("int")))
+    return archive_pages(raw.mapInPandas(_entries, "path string, zip_entry_name string, size long, error string"))
