@@ -452,3 +452,18 @@ def test_language_trains_on_whole_texts(spark, monkeypatch):
     assert langs == ["ee"] * len(ids)
     whole = langid.ngrams(text)
     assert all(np.array_equal(at, whole[0]) and np.array_equal(n, whole[1]) for at, n in bags)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from folio.llm._text import shared_folder
+
+    def session(master, named=None, kept={}):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: kept.get(master), setCheckpointDir=lambda d: kept.update({master: d}))
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: named))
+
+    with pytest.raises(RuntimeError):
+        shared_folder(session("yarn"))
+    assert shared_folder(session("spark://x:7077", "hdfs:///shared")) == "hdfs:///shared"
+    assert "folio-checkpoint" in shared_folder(session("local[4]"))
