@@ -30,6 +30,8 @@ from folio.llm._graph import components
 BANDS, ROWS = 56, 7
 #: log2 of the ring's size. Places that two shingles share only cost a needless confirmation.
 RING_BITS = 21
+#: Sizes up to this ratio apart are about the same.
+SIZE_STEP = 1.1
 
 _ring: dict[tuple[int, int], np.ndarray] = {}
 
@@ -204,11 +206,26 @@ def telling(met: DataFrame, percent: int) -> DataFrame:
     return tx.narrow(tokens.join(about, ["head", "doc"]).withColumn("place", place).where("place <= most - least + 1").drop("df", "place", "least"))
 
 
-def stars(index: DataFrame) -> DataFrame:
-    """One pair (u, v) for each member that shares telling shingles: with the first member of most of its shingles' groups."""
-    first = index.groupBy("head", "shingle").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("u"))).alias("f")).select("head", "shingle", "f.u")
-    met = index.join(first, ["head", "shingle"]).where("doc <> u").groupBy("doc", "u").agg(F.count("*").alias("c"))
-    return met.groupBy("doc").agg(F.max(F.struct("c", (-F.col("u")).alias("d"))).alias("b")).select((-F.col("b.d")).alias("u"), F.col("doc").alias("v"))
+def contained(met: DataFrame, percent: int) -> DataFrame:
+    """Members that their head contains most of, and that are shorter: two of them can be linked without a shingle that the head lacks."""
+    return met.where(f"100 * shared >= {percent} * n AND n < n_head")
+
+
+def stars(index: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that join most of what belongs together before members are compared with each other, linear in them.
+
+    Each member meets the first member of most of its telling shingles' groups; a contained one
+    meets the first of its head and about its size, and that one the first of the next sizes.
+    """
+    first = F.min(F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("u"), F.col("component").alias("cu"))).alias("f")
+    heads = index.groupBy("head", "shingle").agg(first).select("head", "shingle", "f.u", "f.cu")
+    shared = index.join(heads, ["head", "shingle"]).where("component <> cu").groupBy("doc", "u").agg(F.count("*").alias("c"))
+    shared = shared.groupBy("doc").agg(F.max(F.struct("c", (-F.col("u")).alias("d"))).alias("b")).select((-F.col("b.d")).alias("u"), F.col("doc").alias("v"))
+    sized = contained(met, percent).withColumn("step", F.floor(F.log("n") / F.lit(np.log(SIZE_STEP))))
+    heads = tx.narrow(sized.groupBy("head", "step").agg(first).select("head", "step", "f.u", "f.cu"))
+    alike = sized.join(heads, ["head", "step"]).where("component <> cu").select("u", F.col("doc").alias("v"))
+    shorter = heads.select("head", (F.col("step") + 1).alias("step"), F.col("u").alias("v"), F.col("cu").alias("cv"))
+    return shared.unionByName(alike).unionByName(heads.join(shorter, ["head", "step"]).where("cu <> cv").select("u", "v"))
 
 
 def _sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
@@ -220,8 +237,7 @@ def crossing(index: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     left, right = _sides(index, "shingle")
     may = f"least(shared_u, shared_v) + least(most_u, most_v) >= {needed(percent, 'n_u', 'n_v')}"
     by_own = left.join(right, ["head", "shingle"]).where("u < v AND component_u <> component_v").where(may).select("u", "v")
-    within = met.where(f"100 * shared >= {percent} * n AND n < n_head")
-    left, right = _sides(within)
+    left, right = _sides(contained(met, percent))
     inside = left.join(right, "head").where("u < v AND component_u <> component_v").where(f"least(shared_u, shared_v) >= {needed(percent, 'n_u', 'n_v')}").select("u", "v")
     return by_own.unionByName(inside).distinct()
 
@@ -243,14 +259,16 @@ def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFra
     near = met.where(f"doc <> head AND 100 * shared >= {percent} * (n + n_head - shared)").select(F.least("head", "doc").alias("u"), F.greatest("head", "doc").alias("v"))
     links = tx.narrow(links.unionByName(near).distinct())
     met = named(met, labels(links))
-    index = telling(still_open(met, "head"), percent)
-    if not index.isEmpty():
-        fresh = tx.narrow(stars(index).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
+    met = still_open(met, "head")
+    index, narrow = telling(met, percent), met.drop("own")
+    fresh = stars(index, narrow, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    fresh = tx.narrow(fresh.join(tried, ["u", "v"], "left_anti"))
+    if not fresh.isEmpty():
         tried = tried.unionByName(fresh)
         links = tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))
         label = labels(links)
-        index, met = named(index, label), named(met, label)
-    fresh = tx.narrow(crossing(index, met.drop("own"), percent).join(tried, ["u", "v"], "left_anti"))
+        index, narrow = named(index, label), named(narrow, label)
+    fresh = tx.narrow(crossing(index, narrow, percent).join(tried, ["u", "v"], "left_anti"))
     if fresh.isEmpty():
         return links
     return tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))

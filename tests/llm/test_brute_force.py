@@ -92,6 +92,36 @@ def test_minhash_in_one_large_group(spark):
     assert got == truth
 
 
+def test_minhash_of_cut_copies(spark):
+    """800 copies of one text cut to 30 to 100 %, some with a word changed: most share nothing but what the whole text has."""
+    from folio.llm import minhash
+
+    rng = random.Random(30)
+    base = prose(rng, 300, 5000).split()
+    data = [(0, " ".join(base))]
+    for k in range(1, 800):
+        n = rng.randrange(90, 300)
+        at = rng.choice([0, 0, 0, 300 - n, rng.randrange(301 - n)])
+        v = base[at : at + n]
+        if k % 3 == 0:
+            v[rng.randrange(n)] = f"new{k}"
+        data.append((k, " ".join(v)))
+    truth, links = linked({i: shingles(t) for i, t in data})
+    pairs, real = [], minhash.crossing
+
+    def counted(*a):
+        out = real(*a)
+        pairs.append(out.count())
+        return out
+
+    minhash.crossing = counted
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), shingle_words=4).collect()}
+    finally:
+        minhash.crossing = real
+    assert links > 50_000 and got == truth and sum(pairs) < links / 5
+
+
 def test_severity_by_hand(spark):
     from folio.llm import _text as tx
     from folio.llm import toxicity as t
