@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text handled at once in a task. Spark itself bounds the bytes of an Arrow batch.
+#: Rows of an Arrow batch where memory is short; Spark itself bounds its bytes (64 MB unless set otherwise).
+TEXT_BATCH_ROWS = 500
+#: Bytes of text handled at once in a task.
 CHUNK_BYTES = 1 << 20
 #: Rows of a few numbers each that one task takes on: rounds over small tables need few tasks and files.
 ROWS_PER_TASK = 200_000
@@ -136,12 +139,6 @@ def rolling(h: np.ndarray):
     return of
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
-
 def whole(h: np.ndarray) -> np.ndarray:
     """One hash for a whole (short) sequence."""
     return mix(np.array([(h * WEIGHTS[: len(h)]).sum(dtype=U64) + U64(len(h))], U64))
@@ -152,6 +149,18 @@ def char_counts(data: np.ndarray) -> np.ndarray:
     return (data & 0xC0) != 0x80
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most TEXT_BATCH_ROWS rows for what runs inside, several Python stages in a row; the session's own number comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where none is named, as in tests, a new one, but on one machine only."""
     sc = spark.sparkContext

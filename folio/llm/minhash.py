@@ -69,7 +69,7 @@ def _sign(width: int, bands: int, rows: int, bits: int):
     scale = tx.WEIGHTS[:rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.pieces(batches):
+        for batch in batches:
             n, fp, keys = [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
@@ -286,6 +286,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     back to them are plain sort-merge joins that AQE splits on hot keys.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with tx.small_batches(docs.sparkSession):  # every Python stage is run and checkpointed in here
+        return _components(docs, shingle_words, percent, bands, rows, ring_bits)
+
+
+def _components(docs: DataFrame, shingle_words: int, percent: int, bands: int, rows: int, ring_bits: int) -> DataFrame:
     signed = tx.kept_safe(docs.mapInArrow(_sign(shingle_words, bands, rows, ring_bits), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"))
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = tx.kept_safe(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")))
