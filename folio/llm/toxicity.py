@@ -148,7 +148,7 @@ def _score(model: Model):
             s = np.concatenate(sums) if sums else np.zeros(0)
             p = _sigmoid(s[:, None] - bounds) * (np.concatenate(words) if words else np.zeros(0))[:, None]
             cols = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p > cut).sum(axis=1).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, *range(2, batch.num_columns))), *cols], [*(batch.schema.names[k] for k in (0, *range(2, batch.num_columns))), "severity", "p_toxic", "grade"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "severity", "p_toxic", "grade"])
 
     return run
 
@@ -174,11 +174,18 @@ def severity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """docs without the rows that the model finds toxic, all columns as they were; decided row by row, nothing is joined."""
+    """docs without the rows that the model finds toxic, all columns as they were; only texts go to Python, and nothing is joined."""
     model = train(docs, labels, max_train)
     if model is None:
         return docs
-    names = docs.columns
-    renamed = docs.select(F.struct(*names).alias("row")).select(F.lit(0).cast("long").alias("none"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("t"), "row")
-    schema = f"none long, row {renamed.schema['row'].dataType.simpleString()}, severity double, p_toxic double, grade int"
-    return renamed.mapInArrow(_score(model), schema).where(F.col("p_toxic") <= model.cut).select("row.*")
+    run = _score(model)
+
+    @F.arrow_udf("double")
+    def p_toxic(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rows = (pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), t], ["doc_id", "t"]) for t in texts)
+        for out in run(rows):
+            yield out.column(2)
+
+    p = tx.free("_p_toxic", docs.columns)
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.withColumn(p, p_toxic(text)).where(F.col(p) <= model.cut).drop(p)
