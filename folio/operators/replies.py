@@ -152,7 +152,7 @@ def _unescaped(c: Column) -> Column:
 
 
 def broken_items(payload: Column) -> Column:
-    """Whole ITEMs of a JSON-like text that is no JSON: quotes, keys, braces or commas missing or odd.
+    """ITEMs, whole or not, of a JSON-like text that is no JSON: quotes, keys, braces or commas missing or odd.
 
     Every object is read in steps, so that a step's fields are found once: its box, then all fields as texts, then values.
     """
@@ -179,7 +179,7 @@ def broken_items(payload: Column) -> Column:
     found = F.split(js_trim(F.regexp_replace(payload, _FENCE, "")), _OBJECT)
     for step in (parts, fields, numbers, item):  # before the first object stands what holds them all
         found = F.transform(F.slice(found, F.lit(2), F.size(found)) if step is parts else found, step)
-    return F.filter(found, whole_item)
+    return F.filter(found, lambda i: i["ko"].isNotNull() | i["x"].isNotNull() | i["y"].isNotNull() | i["w"].isNotNull() | i["h"].isNotNull())
 
 
 def line_items(text: Column, mode: str = "fixed") -> Column:
@@ -236,7 +236,7 @@ def parsed(replies: DataFrame, key: str = "reply_id", mode: str = "fixed") -> Da
     rows = rows.withColumn("items", F.coalesce("lines", F.when(F.col("v").isNotNull(), json_items(F.col("v")))))
     rows = rows.withColumn("mended", F.when(F.col("items").isNull() & F.col("payload").isNotNull(), broken_items(F.col("payload"))))
     rows = rows.withColumn("late", F.when(F.size("mended") == 0, line_items(F.col("payload"), mode)))
-    items = F.coalesce("items", some("mended"), some("late"))
+    items = F.coalesce("items", F.when(F.size("mended") > 0, F.filter("mended", whole_item)), some("late"))
     rows = rows.select(key, "payload", items.alias("items"))
     return rows.select(key, "items", F.when(F.col("items").isNull(), F.when(F.col("payload").isNull(), NO_PAYLOAD).otherwise(NOT_JSON)).alias("error"))
 

@@ -165,6 +165,12 @@ def test_breakages(spark, torn, whole):
     assert whole is None and len(items) <= 1 or items == [whole]
 
 
+def test_broken_reply_without_a_whole_item(spark):
+    """What is JSON, if broken, is not read as lines, even if no item is whole."""
+    torn = '{"items": [{\n"id": 1,\n"type": "sfx",\n"bbox": {"x": 1, "y": 2, "w": 3, "h": 4},\n"jp": "J",\n"ko: "\n},]}'
+    assert read(spark, torn) == [([], None)]
+
+
 def test_line_replies(spark):
     hurt = "id: 1\nx: 1\ny: 2\nw: 3\nh: 4\nko: say max: 3"
     texts = [LINES, "id: 1\nx: 1\ny: 2\nw: 3\nh: 4\n\nko: lost\n\nid: 2\nx: 1\ny: 2\nw: 3\nh: 4\nko: kept", "id: 1\nx: 1\ny: -2\nw: 3\nh: 4\nko: a", hurt, "x: 1 y: 2, w: 3 h: 4\r\n\"ko\": \"a\",\nid: 2\nbbox: {a: 5, y: 6, w: 7, h: 8}\nko: b\nko: c", "nothing", '{"ko": }', None]
