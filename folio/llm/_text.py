@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch where memory is short; Spark itself bounds its bytes (64 MB unless set otherwise).
 TEXT_BATCH_ROWS = 500
 #: Bytes of text handled at once in a task.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows of a few numbers each that one task takes on: rounds over small tables need few tasks and files.
 ROWS_PER_TASK = 200_000
 #: A broadcast is only made of at most so many 8-byte ids, after counting them.

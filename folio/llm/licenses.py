@@ -12,7 +12,7 @@ of the template's first words on is aligned by itself.  Of places that overlap t
 
 Defined results: null or wordless text holds no license; of equal coverages the longer template
 wins, then the earlier place; every row stands alone, repeated rows repeat the result; a very long
-text is read whole, about 1 MB at a time with shorter ones; an empty table gives an empty one;
+text is read whole, shorter ones together by the chunk; an empty table gives an empty one;
 extra columns are ignored.
 """
 
