@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +75,34 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_licenses, op4_sharding, op5_quality, op6_chat, op7_mixing, op8_tokens, op9_decontamination, op10_langid)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folio.llm._text import kept_safe
+    from folio.llm.align import align, weighed
+
+    a, b = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    aligned = align(_table(spark, sf_dir, "documents"), a, b)
+    return weighed(kept_safe(aligned.withColumn("groups_sha256", digest).drop("groups")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.fim import fill_in_middle, restored
+
+    rows = restored(fill_in_middle(_table(spark, sf_dir, "documents")))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.topk import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), k=10, every=100).drop("query_no")
+
+
+_OPERATORS = (op1_minhash, op2_toxicity, op3_licenses, op4_sharding, op5_quality, op6_chat, op7_mixing, op8_tokens, op9_decontamination, op10_langid, op11_alignment, op12_fill_in_middle, op13_topk)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 # The same escape without look-ahead: control strings never overlap, so taking one whole is alike.
 _ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(/?(?:INST\]|SYS\]|TURN\]|s>)|\+\]|:\])', '\1\\\2', 'g')"
 _BY = "PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text"
