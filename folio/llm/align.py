@@ -72,6 +72,7 @@ class Encoders:
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.digits = _digits(max(len(self.a_bytes), len(self.b_bytes)))
 
     def encode(self, texts: list[str]) -> tuple[Tokens, Tokens]:
         """Tokens of the texts; none on either side for a text that one side does not give back."""
@@ -99,6 +100,9 @@ def _flat(rows: list, sizes: np.ndarray) -> Tokens:
 
 def cuts(a_ends: np.ndarray, b_ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Ends of groups, ascending, as places in a_ends: of intervals first[k]:last[k] of A tokens, both of whose bounds are common ends."""
+    if not len(a_ends):
+        return np.zeros(0, np.int64)
+    common = b_ends[np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)] == a_ends
     full = first < last
     lo, hi = first[full], last[full]
     leaves = [hi - 1]  # the end of each interval is common
@@ -117,8 +121,8 @@ def cuts(a_ends: np.ndarray, b_ends: np.ndarray, first: np.ndarray, last: np.nda
                 n = np.maximum(b - a + 1, 0)
                 place = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 of = np.repeat(np.arange(len(todo_)), n)
-                common = b_ends[np.minimum(np.searchsorted(b_ends, a_ends[place]), len(b_ends) - 1)] == a_ends[place]
-                place, of = place[common], of[common]
+                hit = common[place]
+                place, of = place[hit], of[hit]
                 if len(of):  # the one nearest to the middle
                     edge = np.diff(of, prepend=-1) > 0 if sign > 0 else np.diff(of, append=len(todo_)) > 0
                     found[todo_[of[edge]]] = place[edge]
@@ -140,34 +144,40 @@ def links(a: Tokens, b: Tokens, a_sizes: np.ndarray, b_sizes: np.ndarray) -> tup
     return np.repeat(np.arange(len(lo)), n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _marked(ids: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """A row of 12 bytes for each id: its decimal digits and the byte that follows them, the rest 0."""
-    out, n = np.zeros((len(ids), 12), np.uint8), np.ones(len(ids), np.int64)
-    for k in range(1, 11):
-        n += ids >= 10**k
-    for k in range(int(n.max(initial=0))):
-        has = n > k
-        out[has, k] = 48 + ids[has] // 10 ** (n[has] - k - 1) % 10
-    out[np.arange(len(ids)), n] = mark
-    return out
+def _digits(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of each id below size (at most 7) as bytes of one integer, first digit lowest, and how many they are."""
+    ids, n = np.arange(size, dtype=np.uint64), np.ones(size, np.uint64)
+    for k in range(1, 7):
+        n += (ids >= 10**k).astype(np.uint64)
+    packed = np.zeros(size, np.uint64)
+    for _ in range(7):  # the last digit first, each moved up by the ones before it
+        todo = (ids > 0) | (packed == 0)
+        packed = np.where(todo, packed << np.uint64(8) | ids % np.uint64(10) + np.uint64(48), packed)
+        ids //= np.uint64(10)
+    return packed, n * np.uint64(8)
 
 
-def group_strings(a: Tokens, b: Tokens, ends: np.ndarray) -> list[bytes]:
-    """`a1,a2|b1;a3|b2,b3` of each text, from its tokens and the places in a where groups end."""
+def group_strings(a: Tokens, b: Tokens, ends: np.ndarray, digits: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """`a1,a2|b1;a3|b2,b3` of each text, from its tokens and the places in a where groups end.
+
+    A token is 8 bytes, its digits and the mark that follows them, put at its place in the output; then the zero bytes go.
+    """
     if not len(ends):
         return [b""] * (len(a.ptr) - 1)
     b_ends = np.searchsorted(b.ends, a.ends[ends])
     a_group = np.searchsorted(ends, np.arange(len(a.ids)))
     b_group = np.searchsorted(b_ends, np.arange(len(b.ids)))
-    a_mark, b_mark = np.full(len(a.ids), ord(","), np.uint8), np.full(len(b.ids), ord(","), np.uint8)
+    a_mark, b_mark = (np.full(len(t.ids), ord(","), np.uint64) for t in (a, b))
     a_mark[ends], b_mark[b_ends] = ord("|"), ord(";")
     b_mark[b.ptr[1:][np.diff(b.ptr) > 0] - 1] = 0  # nothing after the last group of a text
     at_b_before = np.concatenate([[0], b_ends + 1])[a_group]
-    rows = np.empty((len(a.ids) + len(b.ids), 12), np.uint8)
-    rows[np.arange(len(a.ids)) + at_b_before] = _marked(a.ids, a_mark)
-    rows[np.arange(len(b.ids)) + ends[b_group] + 1] = _marked(b.ids, b_mark)
-    filled = rows != 0
-    size = np.concatenate([[0], np.cumsum(filled.sum(axis=1))])[a.ptr + b.ptr]
+    text, bits = digits
+    rows = np.empty(len(a.ids) + len(b.ids), "<u8")
+    for t, mark, place in ((a, a_mark, at_b_before), (b, b_mark, ends[b_group] + 1)):
+        rows[np.arange(len(t.ids)) + place] = text[t.ids] | mark << bits[t.ids]
+    rows = rows.view(np.uint8)
+    filled = np.flatnonzero(rows)
+    size = np.searchsorted(filled, 8 * (a.ptr + b.ptr))
     flat = rows[filled].tobytes()
     return [flat[i:j] for i, j in zip(size[:-1].tolist(), size[1:].tolist())]
 
@@ -199,7 +209,7 @@ def _block(enc: Encoders, block: int, ids: pa.Array, texts: pa.Array) -> pa.Reco
     pairs = pa.StructArray.from_arrays([pa.array(keys >> 32, pa.int32()), pa.array(keys & 0xFFFFFFFF, pa.int32()), pa.array(times, pa.int64())], ["a", "b", "n"])
     lists = pa.ListArray.from_arrays(pa.array([0, *[len(keys)] * n], pa.int32()), pairs)  # all with the block's first row
     counts = (np.diff(x) for x in (a.ptr, b.ptr, np.searchsorted(ends, a.ptr), ptr))
-    strings = pa.array([s.decode() for s in group_strings(a, b, ends)], pa.string())
+    strings = pa.array([s.decode() for s in group_strings(a, b, ends, enc.digits)], pa.string())
     packed = pa.array([place[s:e].tobytes() for s, e in zip(ptr[:-1].tolist(), ptr[1:].tolist())], pa.binary())
     arrays = [pa.array(np.full(n, block)), ids.cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), strings, packed, lists]
     return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _SCHEMA.split(", ")])
