@@ -199,27 +199,40 @@ def _align(a_path: str, b_path: str):
     return run
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Numbers in any order, small: sorted, their steps laid out byte by byte and compressed."""
+    steps = np.diff(np.sort(places), prepend=0).astype("<i4")
+    return pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) if len(steps) else b""
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    raw = pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<i4").ravel(), dtype=np.int64)
+
+
 def _block(enc: Encoders, block: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     n = len(ids)
     a, b = enc.encode(texts.fill_null("").to_pylist())
     ends = cuts(a.ends, b.ends, a.ptr[:-1], a.ptr[1:])
     of_a, of_b = links(a, b, enc.a_sizes, enc.b_sizes)
     keys, place, times = np.unique(a.ids[of_a] << 32 | b.ids[of_b], return_inverse=True, return_counts=True)
-    place, ptr = place.astype(np.int32), np.searchsorted(of_a, a.ptr)
+    ptr = np.searchsorted(of_a, a.ptr)
     pairs = pa.StructArray.from_arrays([pa.array(keys >> 32, pa.int32()), pa.array(keys & 0xFFFFFFFF, pa.int32()), pa.array(times, pa.int64())], ["a", "b", "n"])
     lists = pa.ListArray.from_arrays(pa.array([0, *[len(keys)] * n], pa.int32()), pairs)  # all with the block's first row
     counts = (np.diff(x) for x in (a.ptr, b.ptr, np.searchsorted(ends, a.ptr), ptr))
     strings = pa.array([s.decode() for s in group_strings(a, b, ends, enc.digits)], pa.string())
-    packed = pa.array([place[s:e].tobytes() for s, e in zip(ptr[:-1].tolist(), ptr[1:].tolist())], pa.binary())
-    arrays = [pa.array(np.full(n, block)), ids.cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), strings, packed, lists]
+    places = pa.array([packed(place[s:e]) for s, e in zip(ptr[:-1].tolist(), ptr[1:].tolist())], pa.binary())
+    arrays = [pa.array(np.full(n, block)), ids.cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), strings, places, lists]
     return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _SCHEMA.split(", ")])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per row of docs: doc_id, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3` in ids), and its block, links and pairs.
 
-    links packs, as int32, the place of each link's pair in the block's list of pairs, which the
-    first row of a block holds.  Both files must be at their paths on every executor.
+    links packs (see `packed`) the places of the document's links in the block's list of pairs,
+    which the first row of the block holds.  Both files must be at their paths on every executor.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_align(a_path, b_path), _SCHEMA)
@@ -241,7 +254,7 @@ def _weigh(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     count, best = np.zeros(len(pairs) + 1, np.int64), np.zeros(len(pairs) + 1, np.int64)
     pos = pairs["pos"].to_numpy()
     count[pos], best[pos] = pairs["n"].to_numpy(), pairs["best"].to_numpy().astype(np.int64)
-    at = [np.frombuffer(x.as_buffer(), np.int32) for x in docs["links"]]
+    at = [unpacked(x, n) for x, n in zip(docs["links"].to_pylist(), docs["n_links"].to_pylist())]
     for name, value in (("n_best", best), ("count_sum", count)):
         docs = docs.append_column(name, pa.array([int(value[x].sum()) for x in at], pa.int64()))
     return docs.drop_columns(["block", "links"])
