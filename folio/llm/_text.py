@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,14 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_SEED, _STEP = _rng.integers(1, 1 << 63, 2, dtype=np.int64).astype(U64) | U64(1)
+_BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 WEIGHTS = _rng.integers(1, 1 << 63, 64, dtype=np.int64).astype(U64) | U64(1)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Of the 8 bytes read at a place, those that belong to a span with k bytes to go.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes from which a span is hashed by xxhash; a longer one would take a round of all spans for every 8 of its bytes.
+_LONG_SPAN = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,15 +49,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i (mod 2**64) for i < n at least."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, b in enumerate((_BASE, _UNBASE)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: 8 bytes at a time are mixed into all spans' states together.
+
+    The state goes through a full mix at every step, so unlike with sums of powers no repetitive
+    pattern makes different spans alike.
+    """
+    size = ends - starts
+    h = _SEED + size.astype(U64) * _STEP
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at8 = np.lib.stride_tricks.as_strided(padded.view("<u1")[:8].view("<u8"), (len(data) + 1,), (1,))
+    todo, k = np.flatnonzero(size < _LONG_SPAN), 0
+    while len(todo := todo[size[todo] > k]):
+        part = at8[starts[todo] + k] & _KEPT[np.minimum(size[todo] - k, 8)]
+        h[todo] = mix((h[todo] ^ part) * _STEP)
+        k += 8
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size >= _LONG_SPAN).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], seed=int(_SEED))
+    return mix(h)
 
 
 class Words(NamedTuple):
@@ -64,12 +78,10 @@ class Words(NamedTuple):
     ends: np.ndarray
     hashes: np.ndarray
     ptr: np.ndarray
-    total: np.ndarray
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of other byte spans of the chunk."""
-        h = (self.total[ends] - self.total[starts]) * powers(len(self.total))[1][starts]
-        return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return hashed(self.data, starts, ends)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +120,7 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False, gaps: np.ndarr
     first = inner[:-1] & (~solid[:-2] | edge[:-1]) if n else np.zeros(0, bool)
     last = solid[1:-1] & (~solid[2:] | edge[1:]) if n else np.zeros(0, bool)
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    w = Words(data, starts, ends, starts, np.searchsorted(starts, off), total)
-    return w._replace(hashes=w.spans(starts, ends))
+    return Words(data, starts, ends, hashed(data, starts, ends), np.searchsorted(starts, off))
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -127,8 +135,11 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def rolling(h: np.ndarray):
-    """Function of a width that gives the hash of each run of so many neighbouring hashes, rolled over one running sum."""
-    up, down = powers(len(h) + 1)
+    """Function of a width that gives the hash of each run of so many neighbouring hashes, rolled over one running sum.
+
+    A sum of so few mixed hashes has no repetitive pattern to cancel, as one of bytes could.
+    """
+    up, down = (np.multiply.accumulate(np.concatenate([[U64(1)], np.full(len(h), b, U64)])) for b in (_BASE, _UNBASE))
     total = np.zeros(len(h) + 1, U64)
     np.cumsum(h * up[: len(h)], out=total[1:])
 

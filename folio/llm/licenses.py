@@ -126,18 +126,20 @@ class Matcher:
         doc = np.repeat(np.arange(len(off) - 1), np.diff(w.ptr))
         found: list[list[tuple]] = [[] for _ in range(len(off) - 1)]
         for n, template in enumerate(self.ids):
-            size = len(template)
-            often = np.bincount(template, minlength=len(self.vocab) + 1)
+            size, words = len(template), len(self.vocab) + 1
+            often = np.bincount(template, minlength=words)
             hit = np.flatnonzero(often[ids])
-            block = (hit - w.ptr[doc[hit]]) // size
-            # (text, stretch, word): a word of block k lies in the stretches that begin at blocks k - SPAN + 1 to k
-            key = np.concatenate([doc[hit] << 40 | (block + SPAN - k) << 12 for k in range(1, SPAN + 1)]) | np.tile(ids[hit], SPAN)
+            # stretches are numbered text by text; a word of block k lies in those that begin at blocks k - SPAN + 1 to k
+            base = np.concatenate([[0], np.cumsum(np.diff(w.ptr) // size + SPAN)])
+            last = base[doc[hit]] + (hit - w.ptr[doc[hit]]) // size
+            key = np.concatenate([last + k for k in range(SPAN)]) * words + np.tile(ids[hit], SPAN)
             key, count = np.unique(key, return_counts=True)
-            stretch, first = np.unique(key >> 12, return_index=True)
-            bound = np.add.reduceat(np.minimum(count, often[key & 0xFFF]), first) if len(key) else first
+            stretch, first = np.unique(key // words, return_index=True)
+            bound = np.add.reduceat(np.minimum(count, often[key % words]), first) if len(key) else first
             places: dict[int, set[tuple]] = {}
             for s in stretch[bound >= MIN_COVERAGE * size].tolist():
-                d, begin = s >> 28, ((s & ((1 << 28) - 1)) - SPAN + 1) * size
+                d = int(np.searchsorted(base, s, "right")) - 1
+                begin = (s - int(base[d]) - SPAN + 1) * size
                 lo, hi = int(w.ptr[d]) + max(0, begin), min(int(w.ptr[d + 1]), int(w.ptr[d]) + begin + SPAN * size)
                 for place in self.places(template.tolist(), ids[lo:hi].tolist()):
                     places.setdefault(d, set()).add((-place[0], lo + place[1], lo + place[2]))

@@ -32,7 +32,16 @@ BANDS, ROWS = 56, 7
 RING_BITS = 21
 #: Sizes up to this ratio apart are about the same.
 SIZE_STEP = 1.1
-
+#: Members outside a group's largest component up to which the group is compared by shared differences alone: so many times its size of pairs at most.
+FEW = 64
+#: Bands at most, and chance to miss a pair, where differences are signed.
+DIFF_BANDS, DIFF_MISS = 4096, 1e-6
+#: Least ratios of a pair's differences to what a link allows, one signature for each; pairs below the first share so few
+#: differences that they are only found one by one.
+DIFF_RATIOS = (1.8, 2.2, 2.7, 3.3, 4.0, 5.0, 7.0)
+
+#: Ring entries that a signature looks at together.
+_AT_ONCE = 400_000
 _ring: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -47,8 +56,9 @@ def ring(bits: int, width: int) -> np.ndarray:
 def signature(shingles: np.ndarray, bits: int, width: int) -> np.ndarray:
     view, out = ring(bits, width), np.full(width, 1 << bits, np.uint32)
     place = (tx.mix(shingles) >> tx.U64(64 - bits)).astype(np.int64)
-    for i in range(0, len(place), 1024):
-        np.minimum(out, view[place[i : i + 1024]].min(axis=0), out=out)
+    step = max(1, _AT_ONCE // width)
+    for i in range(0, len(place), step):
+        np.minimum(out, view[place[i : i + step]].min(axis=0), out=out)
     return out
 
 
@@ -121,22 +131,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 
 def _against():
-    """(head, doc, sets of both) -> shared shingles of the two and the doc's own, those that the head lacks."""
+    """(head, doc, sets of both) -> sizes, and the differences: shingles that one of the two has and the other lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, n_head, inter, own = [], [], [], []
+            n, n_head, diff = [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 head, doc = np.frombuffer(x.as_buffer(), tx.U64), np.frombuffer(y.as_buffer(), tx.U64)
-                rest = np.setdiff1d(doc, head, assume_unique=True)
                 n.append(len(doc))
                 n_head.append(len(head))
-                inter.append(len(doc) - len(rest))
-                own.append(rest.view(np.int64))
-            ptr = np.cumsum([0, *map(len, own)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(ptr, np.concatenate([*own, np.zeros(0, np.int64)]))
-            ints = (pa.array(x, pa.int64()) for x in (n, n_head, inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ints, lists], ["head", "doc", "n", "n_head", "shared", "own"])
+                diff.append(np.setxor1d(doc, head, assume_unique=True).view(np.int64))
+            ptr = np.cumsum([0, *map(len, diff)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ptr, np.concatenate([*diff, np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(n_head, pa.int64()), lists], ["head", "doc", "n", "n_head", "diff"])
 
     return run
 
@@ -175,100 +182,165 @@ def named(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.drop("component").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
-def still_open(rows: DataFrame, group: str) -> DataFrame:
+def open_rows(rows: DataFrame, group: list[str]) -> DataFrame:
     """Rows of the groups that hold more than one component."""
-    split = rows.groupBy(group).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(group)
-    return tx.narrow(rows.join(split, group))
+    split = rows.groupBy(*group).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*group)
+    return rows.join(split, group)
+
+
+def still_open(rows: DataFrame, group: list[str]) -> DataFrame:
+    return tx.narrow(open_rows(rows, group))
 
 
-def needed(percent: int, n: str, other: str) -> str:
-    """SQL: shingles that sets of these sizes share at least if they are similar enough."""
-    return f"({percent} * ({n} + {other}) + {99 + percent}) div {100 + percent}"
+def with_excess(met: DataFrame, percent: int) -> DataFrame:
+    """met with excess, which tells by two members' sums whether and how they can be linked.
+
+    Taking a set's differences from the head keeps distances: two members differ from each other in
+    the differences that one has and the other lacks.  They are linked if these are at most
+    (100 - percent) / (100 + percent) of both sizes together, so with d differences each they share
+    at least (excess_u + excess_v) / (2 * (100 + percent)), excess being
+    (100 + percent) * d - (100 - percent) * n.  If that sum is not above 0 both are linked to the
+    head; so for members of different components it is, and they share at least one difference.
+    """
+    return met.withColumn("d", F.size("diff").cast("long")).withColumn("excess", F.expr(f"{100 + percent} * d - {100 - percent} * n"))
+
+
+def least_shared(percent: int, excess: str, other: str) -> str:
+    """SQL: differences that members of these excesses share at least if they are linked and of different components."""
+    return f"greatest(1, cast(ceil(({excess} + {other}) / {2 * (100 + percent)}D) as bigint))"
 
 
 def telling(met: DataFrame, percent: int) -> DataFrame:
-    """(head, shingle, doc, n, shared, most, component): the few own shingles by which a member's links can be found.
+    """(head, shingle, doc, n, d, excess, most, component): the few differences by which a member's links can be found.
 
-    Two members share of the head's shingles at most what either shares with it, so a link needs
-    some of the members' own shingles in common: for a member at least `least` of the `most` that
-    another member of the group has too.  Among the rarest most - least + 1 of each there is then
-    one that both have; members that have too few own shingles in common with anyone leave.
+    Of the `most` differences that others of the group have too a member shares at least `least`
+    with whatever it is linked to, so both have one among the rarest most - least + 1 of each;
+    members that have too few in common with anyone leave.
     """
-    tokens = met.select("head", "doc", F.explode("own").alias("shingle"))
+    tokens = met.select("head", "doc", F.explode("diff").alias("shingle"))
     common = tokens.groupBy("head", "shingle").agg(F.count("*").alias("df")).where("df > 1")
     tokens = tx.narrow(tokens.join(common, ["head", "shingle"]))
     most = tokens.groupBy("head", "doc").agg(F.count("*").alias("most"))
-    fewest = met.groupBy("head").agg(F.min("n").alias("fewest"))
-    other = f"greatest(fewest, ({percent} * n + 99) div 100)"
-    about = met.drop("own").join(most, ["head", "doc"]).join(fewest, "head").withColumn("least", F.expr(f"greatest(1, {needed(percent, 'n', other)} - shared)"))
-    about = tx.narrow(about.where("most >= least").select("head", "doc", "n", "shared", "most", "least", "component"))
+    lowest = met.groupBy("head").agg(F.min("excess").alias("lowest"))
+    about = met.drop("diff").join(most, ["head", "doc"]).join(lowest, "head").withColumn("least", F.expr(least_shared(percent, "excess", "lowest")))
+    about = tx.narrow(about.where("most >= least").select("head", "doc", "n", "d", "excess", "most", "least", "component"))
     place = F.row_number().over(Window.partitionBy("head", "doc").orderBy("df", "shingle"))
     return tx.narrow(tokens.join(about, ["head", "doc"]).withColumn("place", place).where("place <= most - least + 1").drop("df", "place", "least"))
 
 
-def contained(met: DataFrame, percent: int) -> DataFrame:
-    """Members that their head contains most of, and that are shorter: two of them can be linked without a shingle that the head lacks."""
-    return met.where(f"100 * shared >= {percent} * n AND n < n_head")
-
-
-def stars(index: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+def stars(index: DataFrame, met: DataFrame) -> DataFrame:
     """Pairs (u, v) that join most of what belongs together before members are compared with each other, linear in them.
 
-    Each member meets the first member of most of its telling shingles' groups; a contained one
-    meets the first of its head and about its size, and that one the first of the next sizes.
+    Each member meets the first member of most of its telling differences' groups, and the first of
+    its head and about its size; that one meets the first of the next sizes.
     """
     first = F.min(F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("u"), F.col("component").alias("cu"))).alias("f")
     heads = index.groupBy("head", "shingle").agg(first).select("head", "shingle", "f.u", "f.cu")
     shared = index.join(heads, ["head", "shingle"]).where("component <> cu").groupBy("doc", "u").agg(F.count("*").alias("c"))
     shared = shared.groupBy("doc").agg(F.max(F.struct("c", (-F.col("u")).alias("d"))).alias("b")).select((-F.col("b.d")).alias("u"), F.col("doc").alias("v"))
-    sized = contained(met, percent).withColumn("step", F.floor(F.log("n") / F.lit(np.log(SIZE_STEP))))
+    sized = met.withColumn("step", F.floor(F.log("n") / F.lit(np.log(SIZE_STEP))))
     heads = tx.narrow(sized.groupBy("head", "step").agg(first).select("head", "step", "f.u", "f.cu"))
     alike = sized.join(heads, ["head", "step"]).where("component <> cu").select("u", F.col("doc").alias("v"))
     shorter = heads.select("head", (F.col("step") + 1).alias("step"), F.col("u").alias("v"), F.col("cu").alias("cv"))
     return shared.unionByName(alike).unionByName(heads.join(shorter, ["head", "step"]).where("cu <> cv").select("u", "v"))
 
 
-def _sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(rows.select("head", *more, F.col("doc").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "shared", "most", "component") if c in rows.columns]) for k in "uv")
+def diff_plans() -> list[tuple[int, int]]:
+    """(rows, bands) of each of DIFF_RATIOS: a pair there shares at least (ratio - 1) / (ratio + 1) of its differences."""
+    out = []
+    for ratio in DIFF_RATIOS:
+        share = (ratio - 1) / (ratio + 1)
+        rows = max(1, int(np.log(-np.log(DIFF_MISS) / DIFF_BANDS) / np.log(share)))
+        out.append((rows, int(np.ceil(np.log(DIFF_MISS) / np.log1p(-(share**rows))))))
+    return out
 
 
-def crossing(index: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u < v) of different components that may be linked: by a telling shingle, or because the head contains most of both."""
-    left, right = _sides(index, "shingle")
-    may = f"least(shared_u, shared_v) + least(most_u, most_v) >= {needed(percent, 'n_u', 'n_v')}"
-    by_own = left.join(right, ["head", "shingle"]).where("u < v AND component_u <> component_v").where(may).select("u", "v")
-    left, right = _sides(contained(met, percent))
-    inside = left.join(right, "head").where("u < v AND component_u <> component_v").where(f"least(shared_u, shared_v) >= {needed(percent, 'n_u', 'n_v')}").select("u", "v")
-    return by_own.unionByName(inside).distinct()
+def _sign_diffs(bits: int):
+    """(head, doc, low, high, diff) -> (head, doc, plan, key), a row a band of each plan that pairs of ratios low to high fall into."""
+    plans, edges = diff_plans(), np.array([*DIFF_RATIOS[1:], np.inf])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for head, doc, low, high, diff in zip(*(batch.column(k) for k in range(5))):
+                shingles = diff.values.to_numpy().view(tx.U64)
+                for k, (rows, bands) in enumerate(plans):
+                    if high.as_py() < DIFF_RATIOS[k] or low.as_py() >= edges[k]:
+                        continue
+                    sig = signature(shingles, bits, rows * bands).astype(tx.U64).reshape(bands, rows)
+                    key = tx.mix((sig * tx.WEIGHTS[:rows]).sum(axis=1, dtype=tx.U64) + np.arange(1, bands + 1, dtype=np.uint64) * tx.WEIGHTS[-1])
+                    arrays = [np.full(bands, x) for x in (head.as_py(), doc.as_py(), k)] + [key.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["head", "doc", "plan", "key"])
+
+    return run
+
+
+def _sides(rows: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select(*key, F.col("doc").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "d", "excess", "most", "component") if c in rows.columns]) for k in "uv")
 
-def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+
+def ratio_of(percent: int, d: str, n: str) -> str:
+    """SQL: differences in relation to what a link allows; of two members by their sums."""
+    return f"{100 + percent} * ({d}) / ({100 - percent}D * greatest(1, {n}))"
+
+
+def crossing(index: DataFrame, met: DataFrame, percent: int, ring_bits: int) -> DataFrame:
+    """Pairs (u < v) of different components that may be linked.
+
+    In a group nearly all of which is one component, and where a link needs but few shared
+    differences, pairs are those that share a telling difference.  In other groups, where a
+    difference can be common to very many members, the others are found by signatures of the differences, made as those of
+    whole sets are but with so many rows a band that only pairs near a link agree.
+    """
+    ratio, first = ratio_of(percent, "d_u + d_v", "n_u + n_v"), DIFF_RATIOS[0]
+    apart = "u < v AND component_u <> component_v"
+    index = still_open(index, ["head"])
+    about = tx.narrow(index.groupBy("head", "doc").agg(*[F.first(c).alias(c) for c in ("n", "d", "component")]))
+    parts = about.groupBy("head", "component").agg(F.count("*").alias("c")).groupBy("head").agg((F.sum("c") - F.max("c") <= FEW).alias("few"))
+    left, right = _sides(still_open(index, ["head", "shingle"]).join(parts, "head"), "head", "shingle", "few")
+    may = f"least(most_u, most_v) >= {least_shared(percent, 'excess_u', 'excess_v')}"
+    by_token = left.join(right.drop("few"), ["head", "shingle"]).where(f"{apart} AND {may} AND (few OR {ratio} < {first})").select("u", "v")
+
+    many = tx.narrow(about.join(parts.where("NOT few").select("head"), "head"))
+    if many.isEmpty():
+        return by_token.distinct()
+    own = F.expr(ratio_of(percent, "d", "n"))
+    bounds = many.groupBy("head").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    diffs = met.select("head", "doc", "diff").join(many.join(bounds, "head"), ["head", "doc"]).select("head", "doc", F.least(own, "lo").alias("low"), F.greatest(own, "hi").alias("high"), "diff")
+    signed = tx.kept_safe(diffs.repartition(F.xxhash64("head", "doc")).mapInArrow(_sign_diffs(ring_bits), "head long, doc long, plan long, key long"))
+    key = ["head", "plan", "key"]
+    both = signed.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    bands = still_open(signed.join(both, key).join(many, ["head", "doc"]), key)
+    left, right = _sides(bands, *key)
+    steps = F.array(*map(F.lit, [*DIFF_RATIOS, float("inf")]))
+    here = (F.expr(ratio) >= F.get(steps, F.col("plan").cast("int"))) & (F.expr(ratio) < F.get(steps, F.col("plan").cast("int") + 1))
+    return by_token.unionByName(left.join(right, key).where(apart).where(here).select("u", "v")).distinct()
+
+
+def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int, ring_bits: int) -> DataFrame:
     """links and those among members that connect what was not connected yet.
 
-    Members of a candidate group are described by what they share with its head (the text that
-    the others are versions of), so two of them are only looked at together when they share
-    shingles that the head lacks, or when the head contains most of both.
+    Members of a candidate group are described by their differences from its head (the text that
+    the others are versions of), so two of them are only looked at together when they have
+    differences in common, as many as a link needs.
     """
-    rest = still_open(named(members, labels(links)), "band")
+    rest = still_open(named(members, labels(links)), ["band"])
     if rest.isEmpty():
         return links
     heads = rest.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc")).alias("d"))).alias("h")).select("band", (-F.col("h.d")).alias("u"))
     pairs = tx.narrow(rest.select("band", F.col("doc").alias("v")).join(heads, "band").select("u", "v").distinct())
-    schema = "head long, doc long, n long, n_head long, shared long, own array<long>"
-    met = tx.kept_safe(with_sets(pairs, docs, width).mapInArrow(_against(), schema))
-    near = met.where(f"doc <> head AND 100 * shared >= {percent} * (n + n_head - shared)").select(F.least("head", "doc").alias("u"), F.greatest("head", "doc").alias("v"))
+    schema = "head long, doc long, n long, n_head long, diff array<long>"
+    met = tx.kept_safe(with_sets(pairs, docs, width).mapInArrow(_against(), schema).where("doc <> head"))
+    near = met.where(f"{100 + percent} * size(diff) <= {100 - percent} * (n + n_head)").select(F.least("head", "doc").alias("u"), F.greatest("head", "doc").alias("v"))
     links = tx.narrow(links.unionByName(near).distinct())
-    met = named(met, labels(links))
-    met = still_open(met, "head")
-    index, narrow = telling(met, percent), met.drop("own")
-    fresh = stars(index, narrow, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    met = tx.kept_safe(open_rows(named(with_excess(met, percent), labels(links)), ["head"]))
+    index, narrow = telling(met, percent), met.drop("diff")
+    fresh = stars(index, narrow).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     fresh = tx.narrow(fresh.join(tried, ["u", "v"], "left_anti"))
     if not fresh.isEmpty():
         tried = tried.unionByName(fresh)
         links = tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))
-        label = labels(links)
-        index, narrow = named(index, label), named(narrow, label)
-    fresh = tx.narrow(crossing(index, narrow, percent).join(tried, ["u", "v"], "left_anti"))
+        index = named(index, labels(links))
+    fresh = tx.narrow(crossing(index, met, percent, ring_bits).join(tried, ["u", "v"], "left_anti"))
     if fresh.isEmpty():
         return links
     return tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))
@@ -281,8 +353,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     reachable over links of Jaccard similarity of percent/100 or more.
 
     In a candidate group every member meets its head; two others are only compared when they share
-    shingles that the head lacks (see `telling`), so a group of versions never becomes all its
-    pairs.  Groups and classes are found by aggregates that combine before the shuffle; the joins
+    so many of their differences from it as a link needs (see `crossing`), so a group of versions
+    does not become all its pairs.  Groups and classes are found by aggregates that combine before the shuffle; the joins
     back to them are plain sort-merge joins that AQE splits on hot keys.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -300,7 +372,7 @@ def _components(docs: DataFrame, shingle_words: int, percent: int, bands: int, r
     pairs = first_pairs(members, percent)
     pairs = tx.narrow(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     links = confirmed(pairs, docs, shingle_words, percent)
-    links = settle(members, links, pairs, docs, shingle_words, percent)
+    links = settle(members, links, pairs, docs, shingle_words, percent, ring_bits)
 
     label = components(links).select(F.col("node").alias("class_id"), "component")
     named = classes.select("fp1", "fp2", "n_shingles", "class_id").join(label, "class_id", "left")

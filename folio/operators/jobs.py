@@ -14,9 +14,9 @@ REFRESHING = ("page_done", "page_skipped")
 
 
 def attempt_outcome(attempts: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
-    """One row per page: its first success, or failed with the last message once `most` attempts failed; else open."""
+    """One row per page: its first success, or failed with the last message once `most` attempts failed; else open.  An attempt that is there twice counts once."""
     a = attempts.where(F.col("attempt") <= max(1, most)).groupBy("page_id").agg(
-        F.min(F.when(F.col("ok"), F.col("attempt"))).alias("won_at"), F.count("*").alias("n_attempts"), F.max_by("message", "attempt").alias("last_message"))
+        F.min(F.when(F.col("ok"), F.col("attempt"))).alias("won_at"), F.size(F.collect_set("attempt")).alias("n_attempts"), F.max_by("message", "attempt").alias("last_message"))
     status = F.when(F.col("won_at").isNotNull(), "completed").when(F.col("n_attempts") >= max(1, most), "failed").otherwise("open")
     return a.select("page_id", status.alias("status"), "won_at", "n_attempts", F.when(F.col("won_at").isNull(), F.col("last_message")).alias("last_error"))
 

@@ -297,13 +297,13 @@ def event_text(events: DataFrame) -> Column:
 
 
 def assemble_response(events: DataFrame, key: str = "response_id") -> DataFrame:
-    """(key, pos, type, delta, response, nested) -> (key, text, n_events, response, error), parts joined in order of pos."""
-    part = event_text(events)
-    delta = F.when(part.isNotNull(), F.struct("pos", part.alias("d")))
+    """(key, pos, type, delta, response, nested) -> (key, text, n_events, response, error), parts joined in order of pos; an event that is there twice counts once."""
+    heard = F.array_sort(F.collect_set(F.struct("pos", event_text(events).alias("d"))))
     ended = F.col("type").isin(*ENDS)
-    out = events.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(delta)), lambda x: x["d"]), "").alias("joined"), F.count("*").alias("n_events"), F.max_by(F.when(ended, F.col("response")), F.when(ended, F.col("pos"))).alias("response"))
+    out = events.groupBy(key).agg(heard.alias("heard"), F.max_by(F.when(ended, F.col("response")), F.when(ended, F.col("pos"))).alias("response"))
+    out = out.withColumn("joined", F.array_join(F.transform("heard", lambda x: x["d"]), ""))
     said = F.coalesce(blank_to_null(F.col("joined")), F.nullif(response_text(F.col("response")), F.lit("")))
-    return out.select(key, F.coalesce(said, F.lit("")).alias("text"), "n_events", "response", F.when(said.isNull(), F.lit("Model returned an empty response.")).alias("error"))
+    return out.select(key, F.coalesce(said, F.lit("")).alias("text"), F.size("heard").cast("long").alias("n_events"), "response", F.when(said.isNull(), F.lit("Model returned an empty response.")).alias("error"))
 
 
 def render_line_replies(items: DataFrame, key: str = "page_id", order: str = "item_ord") -> DataFrame:

@@ -172,22 +172,55 @@ def n6_held_edits(b):
 def n6_stream_edits(b):
     """The same bursts from a stream; a row far ahead of the others, left out again, lets the last ones end."""
     rows = b("SELECT version, chapter_id, ts, snapshot FROM b_edits UNION ALL SELECT -1, -1, max(ts) + INTERVAL 2 DAY, '' FROM b_edits").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _streamed(b, rows, lambda edits: streams.coalesce_edits(edits, "6 hours")).where("chapter_id >= 0")
+    out = _streamed(b, [_by_time(rows)], lambda edits: streams.coalesce_edits(edits, "6 hours")).where("chapter_id >= 0")
     return out.withColumn("started", F.unix_millis("burst_start"))
 
 
-def _streamed(b, rows_of, transform, key: list[str] | None = None):
-    """Runs a stream over a written copy of the rows to its end; with a key, what its last micro-batch said of it."""
+@query("chapter_id bigint, started bigint, snapshot string, version bigint, edits bigint", f"SELECT chapter_id, epoch_us(s) // 1000 AS started, snapshot, version, edits FROM ({_BURST.replace('FROM b_edits', f'FROM ({_HELD}) h')}) x")
+def n6_stream_held_edits(b):
+    """Held edits where jobs come as a stream of their own, beside the edits."""
+    far = "max(ts) + INTERVAL 12 DAY"
+    edits = b(f"SELECT version, chapter_id, ts, snapshot FROM b_edits UNION ALL SELECT -1, -1, {far}, '' FROM b_edits")
+    marks = b(f"SELECT chapter_id, started AS ts, true AS running FROM ({_JOBS}) x UNION ALL SELECT chapter_id, ended, false FROM ({_JOBS}) y UNION ALL SELECT -1, {far}, false FROM b_edits")
+    low, high = edits.agg(F.min("ts"), F.max("ts")).first()
+    rows = [_by_time(r.withColumn("ts", F.col("ts").cast("timestamp")), (low, high)) for r in (edits, marks)]
+    out = _streamed(b, rows, lambda e, m: streams.coalesce_edits(e, "6 hours", m)).where("chapter_id >= 0")
+    return out.withColumn("started", F.unix_millis("burst_start"))
+
+
+#: Files, and so micro-batches, that a streamed query's rows come in.
+_FILES = 3
+
+
+def _by_time(rows, bounds=None):
+    """rows with the number of their file, which follow one another in time."""
+    low, high = bounds or rows.agg(F.min("ts"), F.max("ts")).first()
+    span = F.unix_micros(F.lit(high).cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp")) + 1
+    place = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(low).cast("timestamp"))) * _FILES / span)
+    return rows.withColumn("_file", F.greatest(F.lit(0), F.least(F.lit(_FILES - 1), place)))
+
+
+def _mixed_up(rows, *key: str):
+    """rows dealt to files without order, every third of them delivered again with a later or an earlier one."""
+    n = F.pmod(F.xxhash64(*key), F.lit(3 * _FILES))
+    return rows.withColumn("_file", F.floor(n / 3)).unionByName(rows.where(n % 3 == 0).withColumn("_file", F.pmod(F.floor(n / 3) + 1 + n % 2, F.lit(_FILES))))
+
+
+def _streamed(b, rows: list, transform, key: list[str] | None = None):
+    """Runs a stream over written copies of the rows, a file a micro-batch, to its end; with a key, what its last micro-batch said of it."""
     from folio.streaming.session import shared_folder, state_store
 
-    at = f"{shared_folder(b.spark)}/stream-{uuid.uuid4().hex}"
-    rows_of.write.parquet(f"{at}/in")
-    source = b.spark.readStream.schema(rows_of.schema).parquet(f"{at}/in")
+    at, sources = f"{shared_folder(b.spark)}/stream-{uuid.uuid4().hex}", []
+    for k, r in enumerate(rows):
+        for file in range(_FILES):
+            r.where(F.col("_file") == file).drop("_file").coalesce(1).write.mode("append").parquet(f"{at}/in{k}")
+        plain = r.drop("_file").schema
+        sources.append(b.spark.readStream.schema(plain).option("maxFilesPerTrigger", 1).parquet(f"{at}/in{k}"))
 
     def keep(batch, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
 
-    writer = transform(source).writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").outputMode("update" if key else "append")
+    writer = transform(*sources).writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").outputMode("update" if key else "append")
     with state_store(b.spark):
         writer.trigger(availableNow=True).start().awaitTermination()
     out = b.spark.read.parquet(f"{at}/out")
@@ -197,34 +230,37 @@ def _streamed(b, rows_of, transform, key: list[str] | None = None):
 @query("job_id bigint, seq bigint, phase string, progress_current bigint, progress_total bigint", _STATE)
 def n2_stream_job_state(b):
     rows = b.b_events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return _streamed(b, rows, streams.stream_job_state, ["job_id"])
+    return _streamed(b, [_by_time(rows)], streams.stream_job_state, ["job_id"])
 
 
 @query("job_id bigint, place bigint, seq bigint, label string", f"SELECT * FROM ({_FEED}) f WHERE place <= 16")
 def n3_stream_status_feed(b):
     rows = b.b_events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return _streamed(b, rows, streams.stream_status_feed, ["job_id"])
+    return _streamed(b, [_by_time(rows)], streams.stream_status_feed, ["job_id"])
 
 
 @query("page_id bigint, status string, last_error string", f"SELECT page_id, status, last_error FROM ({_OUTCOME}) o WHERE status <> 'open'")
 def n8_stream_attempts(b):
-    return _streamed(b, b.b_attempts, streams.stream_attempts)
+    """Attempts in no order, some of them told twice."""
+    return _streamed(b, [_mixed_up(b.b_attempts, "page_id", "attempt")], streams.stream_attempts)
 
 
 @query("response_id bigint, text string, n_events bigint", "SELECT conv_id AS response_id, trim(string_agg(text, '' ORDER BY turn)) AS text, count(*) + 1 AS n_events FROM conversations GROUP BY 1")
 def n7_stream_assemble_response(b):
+    """Events in no order, some of them told twice."""
     from folio.operators.replies import parse_sse
     from folio.plans.block_queries import _sse
 
     rows = parse_sse(_sse(b)).select("response_id", "pos", "type", "delta", "response", "nested")
-    return _streamed(b, rows, streams.stream_assemble_response)
+    return _streamed(b, [_mixed_up(rows, "response_id", "pos")], streams.stream_assemble_response)
 
 
 @query("job_id bigint, at bigint, level string, message string", "SELECT job_id, epoch_us(ts) // 1000 AS at, 'INFO' AS level, phase AS message FROM b_events")
 def n1_stream_log(b):
     rows = b.b_events
     line = F.concat(F.lit("["), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("] [INFO] "), "phase", F.lit(" "), F.to_json(F.struct("job_id")))
-    out = _streamed(b, rows.select(line.alias("value")), log_rows)
+    rows = _by_time(rows.select(F.col("ts").cast("timestamp").alias("ts"), line.alias("value")))
+    out = _streamed(b, [rows.drop("ts")], log_rows)
     return out.select(F.try_variant_get(F.try_parse_json("detail_json"), "$.job_id", "bigint").alias("job_id"), F.unix_millis("ts").alias("at"), "level", "message")
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import basename, extension, is_image, natural_key, slash_norm
 from folio.operators.imports import import_ordinals
+from folio.sources.storage import opened
 
 
 def scan_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -39,11 +41,11 @@ def scan_nested_folders(spark: SparkSession, root: str) -> DataFrame:
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         out = []
-        for path, content in zip(rows["path"], rows["content"]):
+        for path in rows["path"]:
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                with opened(unquote(path)) as f, zipfile.ZipFile(f) as z:
                     out += [(path, e.filename, e.file_size, None) for e in z.infolist() if not e.is_dir()]
-            except zipfile.BadZipFile as e:
+            except (zipfile.BadZipFile, OSError, pa.ArrowException, NotImplementedError) as e:
                 out.append((path, None, None, str(e)))
         yield pd.DataFrame(out, columns=["path", "zip_entry_name", "size", "error"])
 
@@ -56,6 +58,11 @@ def archive_pages(entries: DataFrame) -> DataFrame:
 
 
 def scan_zip_entries(spark: SparkSession, paths: str) -> DataFrame:
-    """archive_pages of the archives below a path.  An archive is read as one value, so it may not exceed 2 GB."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(paths).select("path", "content")
-    return archive_pages(raw.mapInPandas(_entries, "path string, zip_entry_name string, size long, error string"))
+    """archive_pages of the archives below a path.
+
+    Spark lists the archives; a task opens each and reads its end record and its directory alone, by seeking, so an archive may be of any size
+    (beyond 4 GB by its Zip64 records).  One that cannot be opened or is no archive is an error row.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(paths).select("path")
+    spread = listed.repartition(spark.sparkContext.defaultParallelism, "path")
+    return archive_pages(spread.mapInPandas(_entries, "path string, zip_entry_name string, size long, error string"))

@@ -1,7 +1,4 @@
-"""Log files as rows, in batch or as a stream.
-
-A file stream sees new files, not bytes appended to a file it has read, so logs must be rolled.
-"""
+"""Log files as rows, in batch or as a stream, of whole new files or of the lines appended to growing ones."""
 
 from __future__ import annotations
 
@@ -23,4 +20,14 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_log(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of rolled logs: each file is read once, when it appears."""
     return log_rows(spark.readStream.text(path).where("trim(value) <> ''"))
+
+
+def tail_log(spark: SparkSession, path: str, from_end: bool = False, **options: str) -> DataFrame:
+    """Rows of logs that grow: what is appended to any file below a path, from its first line or (from_end) from now on; a file cut short begins again."""
+    from folio.sources.tail import TailSource
+
+    spark.dataSource.register(TailSource)
+    lines = spark.readStream.format("appended_lines").option("startingPosition", "end" if from_end else "begin").options(**options).load(path)
+    return log_rows(lines.where("trim(value) <> ''"))
