@@ -211,7 +211,7 @@ def least_shared(percent: int, excess: str, other: str) -> str:
 
 
 def telling(met: DataFrame, percent: int) -> DataFrame:
-    """(head, shingle, doc, n, d, excess, most, component): the few differences by which a member's links can be found.
+    """(head, shingle, doc, n, d, excess, most, component, top): the few differences by which a member's links can be found.
 
     Of the `most` differences that others of the group have too a member shares at least `least`
     with whatever it is linked to, so both have one among the rarest most - least + 1 of each;
@@ -223,7 +223,7 @@ def telling(met: DataFrame, percent: int) -> DataFrame:
     most = tokens.groupBy("head", "doc").agg(F.count("*").alias("most"))
     lowest = met.groupBy("head").agg(F.min("excess").alias("lowest"))
     about = met.drop("diff").join(most, ["head", "doc"]).join(lowest, "head").withColumn("least", F.expr(least_shared(percent, "excess", "lowest")))
-    about = tx.narrow(about.where("most >= least").select("head", "doc", "n", "d", "excess", "most", "least", "component"))
+    about = tx.narrow(about.where("most >= least").select("head", "doc", "n", "d", "excess", "most", "least", "component", "top"))
     place = F.row_number().over(Window.partitionBy("head", "doc").orderBy("df", "shingle"))
     return tx.narrow(tokens.join(about, ["head", "doc"]).withColumn("place", place).where("place <= most - least + 1").drop("df", "place", "least"))
 
@@ -275,7 +275,7 @@ def _sign_diffs(bits: int):
 
 
 def _sides(rows: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(rows.select(*key, F.col("doc").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "d", "excess", "most", "component") if c in rows.columns]) for k in "uv")
+    return tuple(rows.select(*key, F.col("doc").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "d", "excess", "most", "component", "top") if c in rows.columns]) for k in "uv")
 
 
 def ratio_of(percent: int, d: str, n: str) -> str:
@@ -292,9 +292,9 @@ def crossing(index: DataFrame, met: DataFrame, percent: int, ring_bits: int) ->
     whole sets are but with so many rows a band that only pairs near a link agree.
     """
     ratio, first = ratio_of(percent, "d_u + d_v", "n_u + n_v"), DIFF_RATIOS[0]
-    apart = "u < v AND component_u <> component_v"
+    apart = "u < v AND component_u <> component_v AND (top_u <> top_v OR top_u = head)"  # else they meet under their top
     index = still_open(index, ["head"])
-    about = tx.narrow(index.groupBy("head", "doc").agg(*[F.first(c).alias(c) for c in ("n", "d", "component")]))
+    about = tx.narrow(index.groupBy("head", "doc").agg(*[F.first(c).alias(c) for c in ("n", "d", "component", "top")]))
     parts = about.groupBy("head", "component").agg(F.count("*").alias("c")).groupBy("head").agg((F.sum("c") - F.max("c") <= FEW).alias("few"))
     left, right = _sides(still_open(index, ["head", "shingle"]).join(parts, "head"), "head", "shingle", "few")
     may = f"least(most_u, most_v) >= {least_shared(percent, 'excess_u', 'excess_v')}"
@@ -316,23 +316,39 @@ def crossing(index: DataFrame, met: DataFrame, percent: int, ring_bits: int) ->
     return by_token.unionByName(left.join(right, key).where(apart).where(here).select("u", "v")).distinct()
 
 
+def described_by(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v): the heads u from which a member v of open groups is described; and (doc, top): the first of them.
+
+    That is the heaviest text of all its groups, or that one's own heaviest, so versions of one text
+    have one description each, whichever of them meet without it; and, in groups whose members
+    have different ones, the group's own heaviest.  So whoever shares a group shares a head.
+    """
+    heads = rest.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc")).alias("d"))).alias("h"))
+    met = rest.select("band", F.col("doc").alias("v")).join(heads, "band")
+    top = tx.narrow(met.groupBy("v").agg(F.max("h").alias("t")).select("v", (-F.col("t.d")).alias("u")))
+    over = top.select(F.col("v").alias("u"), F.col("u").alias("w"))
+    top = tx.narrow(top.join(over, "u").select("v", F.col("w").alias("u")))
+    mixed = met.join(top, "v").groupBy("band").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo < hi").select("band")
+    pairs = top.select("u", "v").unionByName(met.join(mixed, "band").select((-F.col("h.d")).alias("u"), "v")).distinct()
+    return tx.narrow(pairs), top.select(F.col("v").alias("doc"), F.col("u").alias("top"))
+
+
 def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int, ring_bits: int) -> DataFrame:
     """links and those among members that connect what was not connected yet.
 
-    Members of a candidate group are described by their differences from its head (the text that
+    Members of candidate groups are described by their differences from a head (the text that
     the others are versions of), so two of them are only looked at together when they have
     differences in common, as many as a link needs.
     """
     rest = still_open(named(members, labels(links)), ["band"])
     if rest.isEmpty():
         return links
-    heads = rest.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc")).alias("d"))).alias("h")).select("band", (-F.col("h.d")).alias("u"))
-    pairs = tx.narrow(rest.select("band", F.col("doc").alias("v")).join(heads, "band").select("u", "v").distinct())
+    pairs, top = described_by(rest)
     schema = "head long, doc long, n long, n_head long, diff array<long>"
     met = tx.kept_safe(with_sets(pairs, docs, width).mapInArrow(_against(), schema).where("doc <> head"))
     near = met.where(f"{100 + percent} * size(diff) <= {100 - percent} * (n + n_head)").select(F.least("head", "doc").alias("u"), F.greatest("head", "doc").alias("v"))
     links = tx.narrow(links.unionByName(near).distinct())
-    met = tx.kept_safe(open_rows(named(with_excess(met, percent), labels(links)), ["head"]))
+    met = tx.kept_safe(open_rows(named(with_excess(met.join(top, "doc"), percent), labels(links)), ["head"]))
     index, narrow = telling(met, percent), met.drop("diff")
     fresh = stars(index, narrow).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     fresh = tx.narrow(fresh.join(tried, ["u", "v"], "left_anti"))

@@ -16,11 +16,3 @@ def test_vocabulary_has_no_limit(spark):
         r = got[k]
         assert (r.license_id, r.coverage, r.word_start, r.word_end, r.n_found) == (f"L{k}", 1.0, 300, 2800, 1)
     assert got[9].license_id is None and (got[10].license_id, got[10].matched_words) == ("L3", 2100) and got[11].license_id is None
-
-
-def test_repetitive_template_words_overlap(spark):
-    """A template of few words that come often, among texts in which they are everywhere."""
-    template = "the a of the a of to the of a in the of a to and the of to a " * 30
-    rows = [(1, f"x {template} y"), (2, "the of a to " * 400), (3, None), (4, "")]
-    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), {"T": template}).collect()}
-    assert got[1].license_id == "T" and got[1].coverage == 1.0 and got[3].license_id is None and got[4].n_found == 0
