@@ -35,7 +35,7 @@ SIZE_STEP = 1.1
 #: Members outside a group's largest component up to which the group is compared by shared differences alone: so many times its size of pairs at most.
 FEW = 64
 #: Bands at most, and chance to miss a pair, where differences are signed.
-DIFF_BANDS, DIFF_MISS = 4096, 1e-6
+DIFF_BANDS, DIFF_MISS = 2048, 1e-6
 #: Least ratios of a pair's differences to what a link allows, one signature for each; pairs below the first share so few
 #: differences that they are only found one by one.
 DIFF_RATIOS = (1.8, 2.2, 2.7, 3.3, 4.0, 5.0, 7.0)
@@ -130,20 +130,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return tx.narrow(with_sets(pairs, docs, width).mapInArrow(_confirm(percent), "u long, v long"))
 
 
-def _against():
-    """(head, doc, sets of both) -> sizes, and the differences: shingles that one of the two has and the other lacks."""
+def _against(percent: int):
+    """(head, doc, sets of both) -> sizes, shared shingles, the doc's own (that the head lacks), and, if the head holds so much of it that it may not need own ones, what the doc lacks of the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, n_head, diff = [], [], []
+            n, n_head, shared, own, lacks = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 head, doc = np.frombuffer(x.as_buffer(), tx.U64), np.frombuffer(y.as_buffer(), tx.U64)
+                own.append(np.setdiff1d(doc, head, assume_unique=True).view(np.int64))
                 n.append(len(doc))
                 n_head.append(len(head))
-                diff.append(np.setxor1d(doc, head, assume_unique=True).view(np.int64))
-            ptr = np.cumsum([0, *map(len, diff)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(ptr, np.concatenate([*diff, np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(n_head, pa.int64()), lists], ["head", "doc", "n", "n_head", "diff"])
+                shared.append(len(doc) - len(own[-1]))
+                inside = 100 * shared[-1] >= percent * n[-1]
+                lacks.append(np.setdiff1d(head, doc, assume_unique=True).view(np.int64) if inside else np.zeros(0, np.int64))
+            ints = (pa.array(x, pa.int64()) for x in (n, n_head, shared))
+            lists = (pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate([*x, np.zeros(0, np.int64)])) for x in (own, lacks))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ints, *lists], ["head", "doc", "n", "n_head", "shared", "own", "lacks"])
 
     return run
 
@@ -192,53 +195,68 @@ def still_open(rows: DataFrame, group: list[str]) -> DataFrame:
     return tx.narrow(open_rows(rows, group))
 
 
-def with_excess(met: DataFrame, percent: int) -> DataFrame:
-    """met with excess, which tells by two members' sums whether and how they can be linked.
-
-    Taking a set's differences from the head keeps distances: two members differ from each other in
-    the differences that one has and the other lacks.  They are linked if these are at most
-    (100 - percent) / (100 + percent) of both sizes together, so with d differences each they share
-    at least (excess_u + excess_v) / (2 * (100 + percent)), excess being
-    (100 + percent) * d - (100 - percent) * n.  If that sum is not above 0 both are linked to the
-    head; so for members of different components it is, and they share at least one difference.
-    """
-    return met.withColumn("d", F.size("diff").cast("long")).withColumn("excess", F.expr(f"{100 + percent} * d - {100 - percent} * n"))
-
-
-def least_shared(percent: int, excess: str, other: str) -> str:
-    """SQL: differences that members of these excesses share at least if they are linked and of different components."""
-    return f"greatest(1, cast(ceil(({excess} + {other}) / {2 * (100 + percent)}D) as bigint))"
+def needed(percent: int, n: str, other: str) -> str:
+    """SQL: shingles that sets of these sizes share at least if they are similar enough."""
+    return f"({percent} * ({n} + {other}) + {99 + percent}) div {100 + percent}"
 
 
-def telling(met: DataFrame, percent: int) -> DataFrame:
-    """(head, shingle, doc, n, d, excess, most, component, top): the few differences by which a member's links can be found.
+def telling(met: DataFrame, shingles: str, least: str) -> DataFrame:
+    """met with a row for each of the few shingles of a column by which a member's links can be found, and `most`.
 
-    Of the `most` differences that others of the group have too a member shares at least `least`
-    with whatever it is linked to, so both have one among the rarest most - least + 1 of each;
-    members that have too few in common with anyone leave.
+    Of the `most` that others of the group have too, a member shares at least `least` (SQL, from 1) with
+    whatever it is linked to; so both have one among the rarest most - least + 1 of each.  Members
+    that have too few in common with anyone leave.
     """
-    tokens = met.select("head", "doc", F.explode("diff").alias("shingle"))
+    tokens = met.select("head", "doc", F.explode(shingles).alias("shingle"))
     common = tokens.groupBy("head", "shingle").agg(F.count("*").alias("df")).where("df > 1")
     tokens = tx.narrow(tokens.join(common, ["head", "shingle"]))
     most = tokens.groupBy("head", "doc").agg(F.count("*").alias("most"))
-    lowest = met.groupBy("head").agg(F.min("excess").alias("lowest"))
-    about = met.drop("diff").join(most, ["head", "doc"]).join(lowest, "head").withColumn("least", F.expr(least_shared(percent, "excess", "lowest")))
-    about = tx.narrow(about.where("most >= least").select("head", "doc", "n", "d", "excess", "most", "least", "component", "top"))
+    about = met.drop("own", "lacks", "diff").join(most, ["head", "doc"]).withColumn("least", F.expr(f"greatest(1, {least})"))
+    about = tx.narrow(about.where("most >= least"))
     place = F.row_number().over(Window.partitionBy("head", "doc").orderBy("df", "shingle"))
     return tx.narrow(tokens.join(about, ["head", "doc"]).withColumn("place", place).where("place <= most - least + 1").drop("df", "place", "least"))
 
 
-def stars(index: DataFrame, met: DataFrame) -> DataFrame:
+def by_own(met: DataFrame, percent: int) -> DataFrame:
+    """Index of members whose links need shingles that the head lacks: of the head's, two members share at most what either shares with it."""
+    other = f"greatest(fewest, ({percent} * n + 99) div 100)"
+    return telling(met, "own", f"{needed(percent, 'n', other)} - shared")
+
+
+def inside(met: DataFrame, percent: int) -> DataFrame:
+    """Members that the head holds so much of that two of them can be linked without a shingle of their own, with `diff`, d and excess.
+
+    diff is what one of member and head has and the other lacks.  That keeps distances: two members
+    differ from each other in what is in one's diff only.  They are linked if that is at most
+    (100 - percent) / (100 + percent) of both sizes together, so with d differences each they share
+    at least (excess_u + excess_v) / (2 * (100 + percent)) of them, excess being
+    (100 + percent) * d - (100 - percent) * n.  If that sum is not above 0 both are linked to the
+    head; so for members of different components it is, and they share at least one difference.
+    """
+    other = f"greatest(fewest, ({percent} * n + 99) div 100)"
+    held = met.where(f"shared >= {needed(percent, 'n', other)}").withColumn("diff", F.concat("own", "lacks"))
+    held = held.withColumn("d", F.size("diff").cast("long")).withColumn("excess", F.expr(f"{100 + percent} * d - {100 - percent} * n"))
+    held = tx.kept_safe(open_rows(held, ["head"]))
+    return held.join(held.groupBy("head").agg(F.min("excess").alias("lowest")), "head")
+
+
+def least_shared(percent: int, excess: str, other: str) -> str:
+    """SQL: differences that members of these excesses share at least if they are linked and of different components."""
+    return f"cast(ceil(({excess} + {other}) / {2 * (100 + percent)}D) as bigint)"
+
+
+def stars(index: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs (u, v) that join most of what belongs together before members are compared with each other, linear in them.
 
-    Each member meets the first member of most of its telling differences' groups, and the first of
-    its head and about its size; that one meets the first of the next sizes.
+    Each member meets the first member of most of its telling shingles' groups; one that the head
+    holds most of meets the first of its head and about its size, and that one the first of the
+    next sizes.
     """
     first = F.min(F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("u"), F.col("component").alias("cu"))).alias("f")
     heads = index.groupBy("head", "shingle").agg(first).select("head", "shingle", "f.u", "f.cu")
     shared = index.join(heads, ["head", "shingle"]).where("component <> cu").groupBy("doc", "u").agg(F.count("*").alias("c"))
     shared = shared.groupBy("doc").agg(F.max(F.struct("c", (-F.col("u")).alias("d"))).alias("b")).select((-F.col("b.d")).alias("u"), F.col("doc").alias("v"))
-    sized = met.withColumn("step", F.floor(F.log("n") / F.lit(np.log(SIZE_STEP))))
+    sized = held.withColumn("step", F.floor(F.log("n") / F.lit(np.log(SIZE_STEP))))
     heads = tx.narrow(sized.groupBy("head", "step").agg(first).select("head", "step", "f.u", "f.cu"))
     alike = sized.join(heads, ["head", "step"]).where("component <> cu").select("u", F.col("doc").alias("v"))
     shorter = heads.select("head", (F.col("step") + 1).alias("step"), F.col("u").alias("v"), F.col("cu").alias("cv"))
@@ -275,7 +293,7 @@ def _sign_diffs(bits: int):
 
 
 def _sides(rows: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(rows.select(*key, F.col("doc").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "d", "excess", "most", "component", "top") if c in rows.columns]) for k in "uv")
+    return tuple(rows.select(*key, F.col("doc").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "d", "shared", "excess", "most", "component", "top") if c in rows.columns]) for k in "uv")
 
 
 def ratio_of(percent: int, d: str, n: str) -> str:
@@ -283,8 +301,20 @@ def ratio_of(percent: int, d: str, n: str) -> str:
     return f"{100 + percent} * ({d}) / ({100 - percent}D * greatest(1, {n}))"
 
 
-def crossing(index: DataFrame, met: DataFrame, percent: int, ring_bits: int) -> DataFrame:
-    """Pairs (u < v) of different components that may be linked.
+#: Pairs of different components; pairs of one top head meet under it alone.
+_APART = "u < v AND component_u <> component_v AND (top_u <> top_v OR top_u = head)"
+
+
+def crossing_own(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u < v) of different components that may be linked, but only by shingles of their own, and share a telling one."""
+    left, right = _sides(still_open(index, ["head", "shingle"]), "head", "shingle")
+    need = needed(percent, "n_u", "n_v")
+    may = f"least(shared_u, shared_v) < {need} AND least(shared_u, shared_v) + least(most_u, most_v) >= {need}"
+    return left.join(right, ["head", "shingle"]).where(f"{_APART} AND {may}").select("u", "v")
+
+
+def crossing(held: DataFrame, percent: int, ring_bits: int) -> DataFrame:
+    """Pairs (u < v) of different components among members that their head holds most of (see `inside`), if they may be linked.
 
     In a group nearly all of which is one component, and where a link needs but few shared
     differences, pairs are those that share a telling difference.  In other groups, where a
@@ -292,12 +322,12 @@ def crossing(index: DataFrame, met: DataFrame, percent: int, ring_bits: int) ->
     whole sets are but with so many rows a band that only pairs near a link agree.
     """
     ratio, first = ratio_of(percent, "d_u + d_v", "n_u + n_v"), DIFF_RATIOS[0]
-    apart = "u < v AND component_u <> component_v AND (top_u <> top_v OR top_u = head)"  # else they meet under their top
-    index = still_open(index, ["head"])
-    about = tx.narrow(index.groupBy("head", "doc").agg(*[F.first(c).alias(c) for c in ("n", "d", "component", "top")]))
+    apart = f"{_APART} AND least(shared_u, shared_v) >= {needed(percent, 'n_u', 'n_v')}"
+    index = telling(tx.kept_safe(open_rows(held, ["head"])), "diff", least_shared(percent, "excess", "lowest"))
+    about = tx.narrow(index.groupBy("head", "doc").agg(*[F.first(c).alias(c) for c in ("n", "d", "shared", "component", "top")]))
     parts = about.groupBy("head", "component").agg(F.count("*").alias("c")).groupBy("head").agg((F.sum("c") - F.max("c") <= FEW).alias("few"))
     left, right = _sides(still_open(index, ["head", "shingle"]).join(parts, "head"), "head", "shingle", "few")
-    may = f"least(most_u, most_v) >= {least_shared(percent, 'excess_u', 'excess_v')}"
+    may = f"least(most_u, most_v) >= greatest(1, {least_shared(percent, 'excess_u', 'excess_v')})"
     by_token = left.join(right.drop("few"), ["head", "shingle"]).where(f"{apart} AND {may} AND (few OR {ratio} < {first})").select("u", "v")
 
     many = tx.narrow(about.join(parts.where("NOT few").select("head"), "head"))
@@ -305,7 +335,7 @@ def crossing(index: DataFrame, met: DataFrame, percent: int, ring_bits: int) ->
         return by_token.distinct()
     own = F.expr(ratio_of(percent, "d", "n"))
     bounds = many.groupBy("head").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
-    diffs = met.select("head", "doc", "diff").join(many.join(bounds, "head"), ["head", "doc"]).select("head", "doc", F.least(own, "lo").alias("low"), F.greatest(own, "hi").alias("high"), "diff")
+    diffs = held.select("head", "doc", "diff").join(many.join(bounds, "head"), ["head", "doc"]).select("head", "doc", F.least(own, "lo").alias("low"), F.greatest(own, "hi").alias("high"), "diff")
     signed = tx.kept_safe(diffs.repartition(F.xxhash64("head", "doc")).mapInArrow(_sign_diffs(ring_bits), "head long, doc long, plan long, key long"))
     key = ["head", "plan", "key"]
     both = signed.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").drop("c")
@@ -336,27 +366,30 @@ def described_by(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
 def settle(members: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, width: int, percent: int, ring_bits: int) -> DataFrame:
     """links and those among members that connect what was not connected yet.
 
-    Members of candidate groups are described by their differences from a head (the text that
-    the others are versions of), so two of them are only looked at together when they have
-    differences in common, as many as a link needs.
+    Members of candidate groups are described by what they share with a head (the text that the
+    others are versions of), so two of them are only looked at together when they share shingles
+    that it lacks, or so many of their differences from it as a link needs.
     """
     rest = still_open(named(members, labels(links)), ["band"])
     if rest.isEmpty():
         return links
     pairs, top = described_by(rest)
-    schema = "head long, doc long, n long, n_head long, diff array<long>"
-    met = tx.kept_safe(with_sets(pairs, docs, width).mapInArrow(_against(), schema).where("doc <> head"))
-    near = met.where(f"{100 + percent} * size(diff) <= {100 - percent} * (n + n_head)").select(F.least("head", "doc").alias("u"), F.greatest("head", "doc").alias("v"))
+    schema = "head long, doc long, n long, n_head long, shared long, own array<long>, lacks array<long>"
+    met = tx.kept_safe(with_sets(pairs, docs, width).mapInArrow(_against(percent), schema).where("doc <> head"))
+    near = met.where(f"100 * shared >= {percent} * (n + n_head - shared)").select(F.least("head", "doc").alias("u"), F.greatest("head", "doc").alias("v"))
     links = tx.narrow(links.unionByName(near).distinct())
-    met = tx.kept_safe(open_rows(named(with_excess(met.join(top, "doc"), percent), labels(links)), ["head"]))
-    index, narrow = telling(met, percent), met.drop("diff")
-    fresh = stars(index, narrow).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    met = open_rows(named(met.join(top, "doc"), labels(links)), ["head"])
+    met = tx.kept_safe(met.join(met.groupBy("head").agg(F.min("n").alias("fewest")), "head"))
+    index, held = by_own(met, percent), inside(met, percent)
+    fresh = stars(index, held.drop("own", "lacks", "diff")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     fresh = tx.narrow(fresh.join(tried, ["u", "v"], "left_anti"))
     if not fresh.isEmpty():
         tried = tried.unionByName(fresh)
         links = tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))
-        index = named(index, labels(links))
-    fresh = tx.narrow(crossing(index, met, percent, ring_bits).join(tried, ["u", "v"], "left_anti"))
+        label = labels(links)
+        index, held = named(index, label), named(held, label)
+    fresh = crossing_own(index, percent).unionByName(crossing(held, percent, ring_bits)).distinct()
+    fresh = tx.narrow(fresh.join(tried, ["u", "v"], "left_anti"))
     if fresh.isEmpty():
         return links
     return tx.narrow(links.unionByName(confirmed(fresh, docs, width, percent)))
