@@ -117,22 +117,19 @@ def js_number(c: Column) -> Column:
     return F.when(t == "", F.lit(0.0)).otherwise(F.coalesce(hexed, plain))
 
 
-# Latin letters with accents and their base letters.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_BASE = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 def natural_key(c: Column) -> Column:
-    """Sort key for numeric-aware, case- and accent-blind order: an array that orders as it should.
+    """Sort key for numeric-aware, case- and accent-blind order in any script: an array that orders as it should.
 
-    Digit runs become their length and digits without leading zeros; order by this and then by an
-    input ordinal, since different texts can have one key.
+    Runs of other characters than digits carry the root collation of Unicode without case and
+    accents; digit runs become their length and digits without leading zeros.  Order by this and
+    then by an input ordinal, since different texts can have one key.
     """
-    runs = F.regexp_extract_all(F.translate(F.lower(c), _ACCENTED, _BASE), F.lit(r"\d+|\D+"), F.lit(0))
+    runs = F.regexp_extract_all(c, F.lit(r"\d+|\D+"), F.lit(0))
 
     def part(x: Column) -> Column:
         digits = F.regexp_replace(x, "^0+(?=.)", "")
-        return F.when(x.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(F.concat(F.lit("1"), x))
+        key = F.when(x.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(F.concat(F.lit("1"), x))
+        return F.collate(key, "UNICODE_CI_AI")
 
     return F.transform(runs, part)
 

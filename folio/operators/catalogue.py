@@ -48,8 +48,13 @@ def locate_chapters(works: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def reorder_ids(current: Column, following: Column) -> Column:
-    """What following lists of current, in its order (repeats stay), then the rest of current."""
-    return F.concat(F.filter(following, lambda x: F.array_contains(current, x)), F.filter(current, lambda x: ~F.array_contains(following, x)))
+    """What following lists of current, in its order (repeats stay), then the rest of current.
+
+    Set functions, which hash, serve arrays without repeats; only with repeats, which they would drop, each id is looked up in the other array.
+    """
+    once = (F.size(F.array_distinct(current)) == F.size(current)) & (F.size(F.array_distinct(following)) == F.size(following))
+    looked_up = F.concat(F.filter(following, lambda x: F.array_contains(current, x)), F.filter(current, lambda x: ~F.array_contains(following, x)))
+    return F.when(once, F.concat(F.array_intersect(following, current), F.array_except(current, following))).otherwise(looked_up)
 
 
 def reorder_records(records: DataFrame, order: DataFrame, group: str, key: str, ordinal: str) -> DataFrame:
@@ -184,10 +189,11 @@ def adjacent_pages(pages: DataFrame) -> DataFrame:
 def repoint_deleted(marks: DataFrame, pages: DataFrame, gone: DataFrame) -> DataFrame:
     """(mark_id, page_id): a mark on a deleted page moves to the next survivor, else the previous, else null."""
     dead = gone.select("page_id").distinct().withColumn("_gone", F.lit(True))
-    w = Window.partitionBy("chapter_id").orderBy("page_ord", "page_id")
+    chapter, so_far = Window.partitionBy("chapter_id"), (Window.unboundedPreceding, -1)
     alive = F.when(F.col("_gone").isNull(), F.col("page_id"))
-    after = F.first(alive, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last(alive, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    nearest = F.last(alive, ignorenulls=True)  # in both directions over a frame that only grows, so a chapter takes linear time
+    before = nearest.over(chapter.orderBy("page_ord", "page_id").rowsBetween(*so_far))
+    after = nearest.over(chapter.orderBy(F.desc("page_ord"), F.desc("page_id")).rowsBetween(*so_far))
     to = pages.select("chapter_id", "page_id", "page_ord").join(dead, "page_id", "left").select("page_id", F.coalesce(alive, after, before).alias("_to"))
     return marks.join(to, "page_id", "left").select("mark_id", F.col("_to").alias("page_id"))
 

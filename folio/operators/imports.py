@@ -58,10 +58,23 @@ def latest_complete_snapshot(snapshots: DataFrame) -> DataFrame:
     return newest_first(snapshots.where("has_model AND companion_rank IS NOT NULL"), "repo").where("place = 1").select("repo", "snapshot", "companion_rank")
 
 
-def request_body(system: Column, prompt: Column, retry_prompt: Column, images: Column, attempt: Column, model: Column, most: Column, kind: str = "chat") -> Column:
-    """JSON of one model request: text, labelled image references, and the prompt of the attempt.
+# Labels of a page's pictures in a request.
+ORIGINAL = "the original full manga page."
+ENHANCED = "the same full manga page rendered as grayscale/high-contrast assist view."
 
-    kind is "chat" or "responses"; images is an array of (label, uri).
+
+def image_labels(images: Column) -> Column:
+    """(role, uri) pictures as (label, uri), numbered from 1."""
+    said = lambda x: F.when(x["role"] == "enhanced", ENHANCED).otherwise(ORIGINAL)
+    return F.transform(images, lambda x, k: F.struct(F.concat(F.lit("Image "), (k + 1).cast("string"), F.lit(": "), said(x)).alias("label"), x["uri"].alias("uri")))
+
+
+def request_body(system: Column, prompt: Column, retry_prompt: Column, images: Column, attempt: Column, model: Column, most: Column, kind: str = "chat", hosted: bool = False, sampling: dict[str, Column] | None = None, effort: Column | None = None) -> Column:
+    """JSON of one model request: text, labelled image references, the prompt of the attempt, and the options that its provider takes.
+
+    kind is "chat" or "responses" (which only a hosted provider has); images is an array of (label, uri).
+    A model run by oneself takes sampling (temperature, top_p, top_k) and is told not to reason; a
+    hosted one takes an effort.
     """
     said = F.when(attempt > 1, retry_prompt).otherwise(prompt)
     if kind == "chat":
@@ -71,7 +84,14 @@ def request_body(system: Column, prompt: Column, retry_prompt: Column, images: C
     none = F.lit(None).cast("string")
     shown = F.flatten(F.transform(images, lambda i: F.array(part(i["label"], none), part(none, i["uri"]))))
     content = F.concat(shown, F.array(part(said, none)))
-    if kind == "chat":
-        system_turn = F.struct(F.lit("system").alias("role"), F.array(part(system, none)).alias("content"))
-        return F.to_json(F.struct(model.alias("model"), F.array(system_turn, F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("messages"), most.alias("max_tokens"), F.lit(False).alias("stream")))
-    return F.to_json(F.struct(model.alias("model"), system.alias("instructions"), F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("input"), F.lit(True).alias("stream")))
+    user = F.struct(F.lit("user").alias("role"), content.alias("content"))
+    if kind != "chat":
+        options = {"model": model, "instructions": system, "input": F.array(user), "reasoning": F.struct((none if effort is None else effort).alias("effort")), "stream": F.lit(True), "store": F.lit(False)}
+    else:
+        messages = F.array(F.struct(F.lit("system").alias("role"), F.array(part(system, none)).alias("content")), user)
+        if hosted:
+            options = {"model": model, "max_tokens": most, "reasoning_effort": none if effort is None else effort, "messages": messages}
+        else:
+            still = {k: F.lit(0) for k in ("presence_penalty", "frequency_penalty")}
+            options = {"model": model, **(sampling or {}), **still, "max_tokens": most, "reasoning_budget": F.lit(0), "enable_thinking": F.lit(False), "messages": messages}
+    return F.to_json(F.struct(*[c.alias(k) for k, c in options.items()]))

@@ -170,10 +170,29 @@ def b2_overlay_documents(b):
     return overlay_documents(_records(b))
 
 
-@query("page_id bigint, body string", """SELECT page_id, '{"model":"m","messages":[{"role":"system","content":[{"type":"text","text":"sys"}]},{"role":"user","content":[{"type":"text","text":"page"},{"type":"image_url","image_url":{"url":"' || name || '"}},{"type":"text","text":"' || CASE WHEN page_ord > 1 THEN 'again' ELSE 'first' END || '"}]}],"max_tokens":900,"stream":false}' AS body FROM b_pages""")
-def b3_requests(b):
+_SAID = "CASE WHEN page_ord > 1 THEN 'again' ELSE 'first' END"
+_CHAT = """[{"role":"system","content":[{"type":"text","text":"sys"}]},{"role":"user","content":[{"type":"text","text":"Image 1: the original full manga page."},{"type":"image_url","image_url":{"url":"' || name || '"}},{"type":"text","text":"Image 2: the same full manga page rendered as grayscale/high-contrast assist view."},{"type":"image_url","image_url":{"url":"gray-' || name || '"}},{"type":"text","text":"' || """ + _SAID + """ || '"}]}]"""
+
+
+def _request(b, **options):
+    images = F.array(*[F.struct(F.lit(role).alias("role"), F.concat(F.lit(before), "name").alias("uri")) for role, before in (("original", ""), ("enhanced", "gray-"))])
     lit = F.lit
-    return b.b_pages.select("page_id", imp.request_body(lit("sys"), lit("first"), lit("again"), F.array(F.struct(lit("page").alias("label"), F.col("name").alias("uri"))), F.col("page_ord"), lit("m"), lit(900)).alias("body"))
+    return b.b_pages.select("page_id", imp.request_body(lit("sys"), lit("first"), lit("again"), imp.image_labels(images), F.col("page_ord"), lit("m"), lit(900), **options).alias("body"))
+
+
+@query("page_id bigint, body string", """SELECT page_id, '{"model":"m","temperature":0.2,"top_p":0.9,"top_k":40,"presence_penalty":0,"frequency_penalty":0,"max_tokens":900,"reasoning_budget":0,"enable_thinking":false,"messages":""" + _CHAT + """}' AS body FROM b_pages""")
+def b3_requests(b):
+    return _request(b, sampling={"temperature": F.lit(0.2), "top_p": F.lit(0.9), "top_k": F.lit(40)})
+
+
+@query("page_id bigint, body string", """SELECT page_id, '{"model":"m","max_tokens":900,"reasoning_effort":"' || CASE WHEN width > 1000 THEN 'high' ELSE 'low' END || '","messages":""" + _CHAT + """}' AS body FROM b_pages""")
+def b3_requests_hosted(b):
+    return _request(b, hosted=True, effort=F.when(F.col("width") > 1000, "high").otherwise("low"))
+
+
+@query("page_id bigint, body string", """SELECT page_id, '{"model":"m","instructions":"sys","input":[{"role":"user","content":[{"type":"input_text","text":"Image 1: the original full manga page."},{"type":"input_image","image_url":"' || name || '"},{"type":"input_text","text":"Image 2: the same full manga page rendered as grayscale/high-contrast assist view."},{"type":"input_image","image_url":"gray-' || name || '"},{"type":"input_text","text":"' || """ + _SAID + """ || '"}]}],"reasoning":{"effort":"low"},"stream":true,"store":false}' AS body FROM b_pages""")
+def b3_responses_requests(b):
+    return _request(b, kind="responses", effort=F.lit("low"))
 
 
 @query("block_id string, x double, y double, w double, h double, translated_text string, type string, font_size_px double, text_color string", """SELECT CAST(page_id AS VARCHAR) || '-' || CAST(id AS VARCHAR) || CASE WHEN sfx = '' THEN '' ELSE '-copy-' || CAST(last + place AS VARCHAR) END AS block_id, CASE WHEN sfx = '' THEN bx ELSE least(1000.0, bx + 16) END AS x, CASE WHEN sfx = '' THEN by_ ELSE least(1000.0, by_ + 16) END AS y, CASE WHEN sfx = '' THEN bw ELSE least(1000.0 - least(1000.0, bx + 16), greatest(1.0, bw)) END AS w, CASE WHEN sfx = '' THEN bh ELSE least(1000.0 - least(1000.0, by_ + 16), greatest(1.0, bh)) END AS h, CASE WHEN id % 2 = 0 THEN 'edited' ELSE ko END AS translated_text, CASE WHEN id % 2 = 0 THEN 'sfx' ELSE type END AS type, CASE WHEN id % 4 = 0 THEN 30.0 WHEN id % 2 = 0 THEN 31.0 ELSE 20.0 END AS font_size_px, CASE WHEN id % 2 = 0 THEN '#00ff00' ELSE '#111111' END AS text_color

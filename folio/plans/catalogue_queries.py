@@ -285,7 +285,7 @@ def h9_batch_run_prefix(b):
     return batch_run_prefix(runs)
 
 
-_RUNS = r"list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' || lpad(CAST(length(regexp_replace(x, '^0+(.)', '\1')) AS VARCHAR), 6, '0') || regexp_replace(x, '^0+(.)', '\1') ELSE '1' || x END)"
+_RUNS = r"list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' || lpad(CAST(length(regexp_replace(x, '^0+(.)', '\1')) AS VARCHAR), 6, '0') || regexp_replace(x, '^0+(.)', '\1') ELSE '1' || icu_sort_key(strip_accents(x), 'und') END)"
 
 
 @query("file_id bigint, page_ord bigint", f"SELECT file_id, row_number() OVER (PARTITION BY container_id ORDER BY {_RUNS}, file_id) AS page_ord FROM b_files")
@@ -322,6 +322,57 @@ def a4_archive_pages(b):
     return archive_pages(entries).select(F.col("path").alias("archive"), F.col("zip_entry_name").alias("entry"), "page_ord", "error")
 
 
+def _write_archives(batches):
+    """Rows (archive, container_id, path) of one archive after the other -> zip files, one for each."""
+    import zipfile
+
+    from folio.sources.storage import located
+
+    at, out, z = None, None, None
+    for rows in batches:
+        for r in rows.itertuples():
+            if r.archive != at:
+                for x in (z, out):
+                    x and x.close()
+                store, place = located(r.archive)
+                at, out = r.archive, store.open_output_stream(place)
+                z = None if r.container_id % 5 == 0 else zipfile.ZipFile(out, "w")
+                yield rows.iloc[:1][["container_id"]].assign(container_id=r.container_id)
+            z.writestr(r.path.replace("/", "\\"), r.path) if z else out.write(b"no archive")
+    for x in (z, out):
+        x and x.close()
+
+
+@query("archive bigint, entry string, page_ord bigint, size bigint, broken boolean", f"SELECT container_id AS archive, path AS entry, row_number() OVER (PARTITION BY container_id ORDER BY {_RUNS}, path) AS page_ord, strlen(path) AS size, false AS broken FROM b_files WHERE NOT ends_with(path, '.txt') AND container_id % 5 <> 0 UNION ALL SELECT DISTINCT container_id, NULL, NULL, NULL, true FROM b_files WHERE container_id % 5 = 0")
+def a4_scan_archives(b):
+    """Containers written as archives (every fifth is none) and listed again by their directories."""
+    from folio.sources.files import scan_zip_entries
+    from folio.sources.storage import located
+
+    at = _folder(b)
+    store, place = located(at)
+    store.create_dir(place, recursive=True)
+    rows = b.b_files.select(F.concat(F.lit(f"{at}/"), F.col("container_id").cast("string"), F.lit(".zip")).alias("archive"), "container_id", "path")
+    rows.repartition("archive").sortWithinPartitions("archive").mapInPandas(_write_archives, "container_id long").count()
+    out = scan_zip_entries(b.spark, at)
+    return out.select(F.regexp_extract("path", r"([0-9]+)\.zip$", 1).alias("archive"), F.col("zip_entry_name").alias("entry"), "page_ord", "size", F.col("error").isNotNull().alias("broken"))
+
+
+@query("page_id bigint, width bigint, height bigint, size_known boolean", "SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 1000 ELSE width END AS width, CASE WHEN page_id % 11 = 0 THEN 1400 ELSE height END AS height, page_id % 11 <> 0 AS size_known FROM b_pages")
+def t19_image_sizes(b):
+    """Pages' pictures as heads of PNG, JPEG and WebP files in turn; of every eleventh only some bytes are there."""
+    from folio.sources.images import with_header_sizes
+
+    hexed = lambda c, n: F.lpad(F.hex(F.col(c).cast("long")), 2 * n, "0")
+    little = lambda c: F.concat(*[F.substring(F.lpad(F.hex(F.col(c).cast("long") - 1), 6, "0"), k, 2) for k in (5, 3, 1)])
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed("width", 4), hexed("height", 4))
+    jpeg = F.concat(F.lit("FFD8FFE000044A46FFC0000B08"), hexed("height", 2), hexed("width", 2), F.lit("03"))
+    webp = F.concat(F.lit("524946460000000057454250565038580A00000000000000"), little("width"), little("height"))
+    n = F.col("page_id")
+    content = F.unhex(F.when(n % 3 == 0, png).when(n % 3 == 1, jpeg).otherwise(webp))
+    return with_header_sizes(b.b_pages.select("page_id", F.when(n % 11 == 0, F.substring(content, 1, 9)).otherwise(content).alias("content")))
+
+
 @query("run_id string, page_id bigint, attempt bigint, ok boolean, error_message string, n_items bigint", "SELECT 'run/' || CAST(page_id % 7 AS VARCHAR) AS run_id, page_id, attempt, ok, message AS error_message, CASE WHEN ok THEN 1 END AS n_items FROM b_attempts")
 def a5_attempts(b):
     """Attempts written, a folder per run, and read again."""

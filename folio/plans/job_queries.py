@@ -264,6 +264,40 @@ def n1_stream_log(b):
     return out.select(F.try_variant_get(F.try_parse_json("detail_json"), "$.job_id", "bigint").alias("job_id"), F.unix_millis("ts").alias("at"), "level", "message")
 
 
+def _append_lines(batches):
+    """Rows (file, line), those of a file together, are appended to their files."""
+    from folio.sources.storage import located
+
+    for rows in batches:
+        for file, part in rows.groupby("file", sort=False):
+            store, place = located(file)
+            with store.open_append_stream(place) as f:
+                f.write("".join(f"{x}\n" for x in part["line"]).encode())
+        yield rows[["file"]]
+
+
+@query("job_id bigint, seq bigint, level string, message string", "SELECT job_id, seq, 'INFO' AS level, phase AS message FROM b_events")
+def n1_tail_log(b):
+    """A log file for every hundredth of the jobs, which grows twice while a stream follows it."""
+    from folio.sources.logs import tail_log
+    from folio.sources.storage import located
+    from folio.streaming.session import shared_folder
+
+    at = f"{shared_folder(b.spark)}/stream-{uuid.uuid4().hex}"
+    store, place = located(f"{at}/logs")
+    store.create_dir(place, recursive=True)
+    line = F.concat(F.lit("["), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("] [INFO] "), "phase", F.lit(" "), F.to_json(F.struct("job_id", "seq")))
+    file = F.concat(F.lit(f"{at}/logs/"), F.pmod("job_id", F.lit(100)).cast("string"), F.lit(".log"))
+    rows = b.b_events.select(file.alias("file"), line.alias("line"), (F.col("seq") % 2).alias("half"))
+    for half in (0, 1):
+        part = rows.where(F.col("half") == half).drop("half").repartition("file").sortWithinPartitions("file")
+        part.mapInPandas(_append_lines, "file string").count()
+        keep = lambda batch, n, half=half: batch.write.mode("overwrite").parquet(f"{at}/out/half={half}/batch={n}")
+        tail_log(b.spark, f"{at}/logs").writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    v = F.try_parse_json("detail_json")
+    return b.spark.read.parquet(f"{at}/out").select(F.try_variant_get(v, "$.job_id", "bigint").alias("job_id"), F.try_variant_get(v, "$.seq", "bigint").alias("seq"), "level", "message")
+
+
 @query("page_id bigint, analysis_status string", "SELECT p.page_id, coalesce(r.new_status, p.analysis_status) AS analysis_status FROM b_pages p LEFT JOIN (SELECT page_id, new_status, row_number() OVER (PARTITION BY page_id ORDER BY res_ord DESC) AS k FROM b_results) r ON r.page_id = p.page_id AND r.k = 1")
 def n4_stream_page_results(b):
     """Results arrive as a stream of events and are applied to the catalogue, batch by batch."""
