@@ -223,6 +223,18 @@ def by_own(met: DataFrame, percent: int) -> DataFrame:
     return telling(met, "own", f"{needed(percent, 'n', other)} - shared")
 
 
+def partnered(held: DataFrame, percent: int) -> DataFrame:
+    """Members for whom their head has one of another component whose size allows a link without own shingles: what a member shares with the head bounds its partner's size."""
+    step = lambda n: F.floor(F.log(n) / F.lit(np.log(SIZE_STEP)))
+    low = F.expr(f"({percent} * n + 99) div 100")
+    high = F.expr(f"least((100 * n) div {percent}, ({100 + percent} * shared) div {percent} - n)")
+    sizes = held.groupBy("head", step(F.col("n")).alias("step")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    asked = held.select("head", "doc", "component", low.alias("low"), high.alias("high")).where("high >= low")
+    asked = asked.withColumn("step", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))))
+    found = asked.join(sizes, ["head", "step"]).where("most_n >= low AND least_n <= high AND (lo <> component OR hi <> component)").select("head", "doc").distinct()
+    return held.join(found, ["head", "doc"], "left_semi")
+
+
 def inside(met: DataFrame, percent: int) -> DataFrame:
     """Members that the head holds so much of that two of them can be linked without a shingle of their own, with `diff`, d and excess.
 
@@ -236,7 +248,7 @@ def inside(met: DataFrame, percent: int) -> DataFrame:
     other = f"greatest(fewest, ({percent} * n + 99) div 100)"
     held = met.where(f"shared >= {needed(percent, 'n', other)}").withColumn("diff", F.concat("own", "lacks"))
     held = held.withColumn("d", F.size("diff").cast("long")).withColumn("excess", F.expr(f"{100 + percent} * d - {100 - percent} * n"))
-    held = tx.kept_safe(open_rows(held, ["head"]))
+    held = tx.kept_safe(partnered(tx.kept_safe(open_rows(held, ["head"])), percent))
     return held.join(held.groupBy("head").agg(F.min("excess").alias("lowest")), "head")
 
 
@@ -323,7 +335,7 @@ def crossing(held: DataFrame, percent: int, ring_bits: int) -> DataFrame:
     """
     ratio, first = ratio_of(percent, "d_u + d_v", "n_u + n_v"), DIFF_RATIOS[0]
     apart = f"{_APART} AND least(shared_u, shared_v) >= {needed(percent, 'n_u', 'n_v')}"
-    index = telling(tx.kept_safe(open_rows(held, ["head"])), "diff", least_shared(percent, "excess", "lowest"))
+    index = telling(tx.kept_safe(partnered(held, percent)), "diff", least_shared(percent, "excess", "lowest"))
     about = tx.narrow(index.groupBy("head", "doc").agg(*[F.first(c).alias(c) for c in ("n", "d", "shared", "component", "top")]))
     parts = about.groupBy("head", "component").agg(F.count("*").alias("c")).groupBy("head").agg((F.sum("c") - F.max("c") <= FEW).alias("few"))
     left, right = _sides(still_open(index, ["head", "shingle"]).join(parts, "head"), "head", "shingle", "few")
@@ -333,9 +345,10 @@ def crossing(held: DataFrame, percent: int, ring_bits: int) -> DataFrame:
     many = tx.narrow(about.join(parts.where("NOT few").select("head"), "head"))
     if many.isEmpty():
         return by_token.distinct()
-    own = F.expr(ratio_of(percent, "d", "n"))
+    own, part = F.expr(ratio_of(percent, "d", "n")), percent / (100 + percent)
+    pair_ratio = [(part * own + (1 - part) * F.col(c)).alias(k) for c, k in (("lo", "low"), ("hi", "high"))]  # a member has this part of a pair's size at least
     bounds = many.groupBy("head").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
-    diffs = held.select("head", "doc", "diff").join(many.join(bounds, "head"), ["head", "doc"]).select("head", "doc", F.least(own, "lo").alias("low"), F.greatest(own, "hi").alias("high"), "diff")
+    diffs = held.select("head", "doc", "diff").join(many.join(bounds, "head"), ["head", "doc"]).select("head", "doc", *pair_ratio, "diff")
     signed = tx.kept_safe(diffs.repartition(F.xxhash64("head", "doc")).mapInArrow(_sign_diffs(ring_bits), "head long, doc long, plan long, key long"))
     key = ["head", "plan", "key"]
     both = signed.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").drop("c")
