@@ -141,6 +141,16 @@ def e1_search_work_titles(b):
     return cat.search_catalogue(b.b_works, b.b_chapters, "00012")
 
 
+@query("work_id bigint, chapter_id bigint", "SELECT c.work_id, c.chapter_id FROM b_chapters c JOIN b_works w ON w.work_id = c.work_id WHERE contains(lower(w.title), 'high') OR contains(lower(c.title), 'high')")
+def e1_search_indexed(b):
+    """The same search by an index, built first."""
+    from folio.sources.title_index import catalogue_titles, search_indexed, write_title_index
+
+    at = _folder(b)
+    write_title_index(catalogue_titles(b.b_works, b.b_chapters), at)
+    return search_indexed(b.b_works, b.b_chapters, at, "  HIGH ")
+
+
 @query("page_id bigint", "SELECT page_id FROM b_pages WHERE analysis_status <> 'completed'")
 def e2_select_pages_for_run(b):
     return cat.select_pages_for_run(b.b_pages, "pending")

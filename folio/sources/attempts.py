@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,9 +24,9 @@ def scan_attempts(spark: SparkSession, root: str) -> DataFrame:
     results = read(RESULT_SCHEMA, "result.json")
     try:
         items = read(ITEMS_SCHEMA, "overlay-items.json")
-    except Exception as e:  # no attempt has got as far as items
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # else no attempt has got as far as items
         items = spark.createDataFrame([], f"run_id string, page_id string, attempt int, {ITEMS_SCHEMA}")
     rows = results.join(items, ["run_id", "page_id", "attempt"], "left")
     return rows.select("run_id", "page_id", "attempt", F.col("items").isNotNull().alias("ok"), F.col("outputText").alias("output_text"), F.col("errorMessage").alias("error_message"), F.try_to_timestamp("createdAt").alias("created_at"), "settings", "items")
