@@ -7,8 +7,9 @@ doubled, so no text can open or close a block and reading back gives every row a
 
 Defined results: null text and null role count as empty; rows are ordered by turn (null first),
 then role, then text; repeated rows stay; a role other than system, user and assistant has a
-block that names it; an empty table gives an empty one; extra columns are ignored.  One
-conversation is one row of output, so its size bounds what a task gathers.
+block that names it; an empty table gives an empty one; extra columns are ignored; a very long
+text is escaped and kept whole.  One conversation is one row of output, so its size bounds what a
+task gathers.
 """
 
 from __future__ import annotations

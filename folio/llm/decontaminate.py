@@ -14,7 +14,8 @@ Defined results: null or short texts match nothing; items shorter than a window
 their own length if they have WINDOW - 2 words, else nothing; repeated rows share their doc_id's
 result; rows without doc_id are not reported and `drop_contaminated` keeps them; an empty
 benchmark matches nothing, and an empty table gives an empty one; a very long text is cut into
-windows whole; where an item matches at several places, its words covered at any of them count;
+windows whole; where an item matches at several places, its words covered at any of them count; of items that match
+alike each is reported;
 extra columns are ignored by `leaks` and kept by `drop_contaminated`.
 """
 
