@@ -8,7 +8,7 @@ texts take each step together.
 
 Every pair of an A and a B token that share bytes is a link.  `align` gives groups and links per
 document, `pair_counts` the links of each pair of ids over the corpus, `weighed` what a document's
-links count there.  Documents are handled in blocks of about BLOCK_BYTES, within which a pair is
+links count there.  Documents are handled in blocks of about BLOCK_BYTES (which bound the memory of a task), within which a pair is
 counted once before anything is shuffled, so a pair that is everywhere is one row per block.
 
 Defined results: a text that is null or empty, or whose tokens of A or of B do not give back its
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from folio.llm import _text as tx
 
 #: Bytes of text to a block, and to one call of a tokenizer, whose own objects take some hundred bytes a token.
-BLOCK_BYTES, CALL_BYTES = 1 << 22, 1 << 18
+BLOCK_BYTES, CALL_BYTES = 1 << 20, 1 << 17
 _SCHEMA = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links binary, pairs array<struct<a:int,b:int,n:long>>"
 
 
