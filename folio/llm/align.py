@@ -20,6 +20,7 @@ kept; an empty table gives an empty one; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from folio.llm import _text as tx
 
-#: Bytes of text to a block, and to one call of a tokenizer, whose own objects take some hundred bytes a token.
-BLOCK_BYTES, CALL_BYTES = 1 << 20, 1 << 17
+#: Bytes of text to a block, and to one call of a tokenizer, which takes longer a byte for a longer text.
+BLOCK_BYTES, CALL_BYTES = 1 << 20, 1 << 12
 _SCHEMA = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links binary, pairs array<struct<a:int,b:int,n:long>>"
 
 
@@ -52,6 +53,13 @@ class Tokens(NamedTuple):
     ptr: np.ndarray
 
 
+class Rows(NamedTuple):
+    """Rows of ids, one after another, and how many each has."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+
+
 class Encoders:
     """Both tokenizers, and the bytes of each id."""
 
@@ -72,30 +80,104 @@ class Encoders:
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # Cuts hold where A's tokens stay within words and the space before them, and no piece of B has a mark after another character.
+        kind = json.loads(self.a.to_str())
+        before = kind["pre_tokenizer"] or {}
+        words_only = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True and not before.get("add_prefix_space")
+        self.apart = words_only and not any("▁" in p.lstrip("▁") for _, p in pieces)
         self.digits = _digits(max(len(self.a_bytes), len(self.b_bytes)))
 
-    def encode(self, texts: list[str]) -> tuple[Tokens, Tokens]:
-        """Tokens of the texts; none on either side for a text that one side does not give back."""
-        a, b = [], []
-        sizes = np.cumsum([len(t) for t in texts])
-        i = 0
-        while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + CALL_BYTES)))
-            part = texts[i:j]
-            a += [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in part], add_special_tokens=False)]
-            b += self.b.encode(part, num_threads=1)
-            i = j
-        for k, t in enumerate(texts):
-            want = f" {t}".encode()
-            if not t or b"".join(map(self.a_bytes.__getitem__, a[k])) != want or b"".join(map(self.b_bytes.__getitem__, b[k])) != want:
-                a[k], b[k] = (), ()
-        return _flat(a, self.a_sizes), _flat(b, self.b_sizes)
-
-
-def _flat(rows: list, sizes: np.ndarray) -> Tokens:
-    ptr = np.cumsum([0, *map(len, rows)])
-    ids = np.fromiter((i for r in rows for i in r), np.int64, int(ptr[-1]))
-    return Tokens(ids, np.cumsum(sizes[ids]), ptr)
+    def each(self, texts: list[str]) -> list[Rows]:
+        """Ids of A and of B for each text; a length of -1 on both sides where one side does not give it back."""
+        a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        back = [self._back(x, y, f" {t}".encode()) for x, y, t in zip(a, b, texts)]
+        return [Rows(np.array([i for r, ok in zip(side, back) if ok for i in r], np.int64), np.array([len(r) if ok else -1 for r, ok in zip(side, back)], np.int64)) for side in (a, b)]
+
+    def together(self, texts: list[str]) -> list[Rows]:
+        """As `each`, of texts that no token can span: encoded as one, and cut at their bounds."""
+        whole = " ".join(texts)
+        a, b = self.a.encode_batch_fast([f" {whole}"], add_special_tokens=False)[0].ids, self.b.encode(whole)
+        bounds = np.cumsum([len(t.encode()) + 1 for t in texts])
+        rows, back = [], self._back(a, b, f" {whole}".encode())
+        for ids, sizes in ((a, self.a_sizes), (b, self.b_sizes)):
+            flat = np.array(ids, np.int64)
+            ends = np.cumsum(sizes[flat])
+            at = np.searchsorted(ends, bounds)
+            back = back and bool((ends[at] == bounds).all())
+            rows.append(Rows(flat, np.diff(at, prepend=-1)))
+        return rows if back else self.each(texts)
+
+    def _back(self, a: list[int], b: list[int], want: bytes) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[Tokens, Tokens]:
+        """Tokens of a block's texts, given as bytes and bounds; none on either side for a text that one side does not give back.
+
+        Texts are cut into stretches (see `stretches`) where neither vocabulary has a token across,
+        and each different stretch of the block is encoded once, many in one call.
+        """
+        starts, ends = stretches(data, off, self.apart)
+        _, first, of = np.unique(tx.hashed(data, starts, ends), return_index=True, return_inverse=True)
+        alone = ~_solid(data)[ends[first] - 1] | (not self.apart)
+        order = np.argsort(alone, kind="stable")
+        of = np.argsort(order)[of]
+        first, n_shared = first[order], int((~alone).sum())
+        raw = data.tobytes()
+        got = _calls(self.together, raw, starts[first[:n_shared]], ends[first[:n_shared]]) + _calls(self.each, raw, starts[first[n_shared:]], ends[first[n_shared:]])
+        ptr = np.searchsorted(starts, off)
+        lost = np.concatenate([a.sizes for a, _ in got]) < 0 if got else np.zeros(0, bool)
+        if lost.any():  # these texts are encoded whole: that tells, whatever a stretch says
+            texts = np.unique(np.searchsorted(ptr, np.flatnonzero(lost[of]), "right") - 1)
+            nothing = np.flatnonzero(lost)[0]
+            got += _calls(self.each, raw, off[texts], off[texts + 1])
+            for n, k in enumerate(texts.tolist()):
+                of[ptr[k] : ptr[k + 1]] = nothing
+                of[ptr[k]] = len(lost) + n
+        return _laid([a for a, _ in got], self.a_sizes, of, ptr), _laid([b for _, b in got], self.b_sizes, of, ptr)
+
+
+def _calls(encode, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[list[Rows]]:
+    """What encode makes of these spans, about CALL_BYTES at a time."""
+    off = np.concatenate([[0], np.cumsum(ends - starts)])
+    spans = list(zip(starts.tolist(), ends.tolist()))
+    return [encode([raw[s:e].decode() for s, e in spans[i:j]]) for i, j in tx.chunks(off, CALL_BYTES)]
+
+
+#: Bytes of printable ASCII.
+_SHOWN = np.isin(np.arange(256), np.arange(0x21, 0x7F))
+
+
+def _solid(data: np.ndarray) -> np.ndarray:
+    """Places of bytes that end a character that is no space for sure: printable ASCII, or two bytes from U+00C0 on."""
+    solid = _SHOWN[data]
+    solid[1:] |= (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
+    return solid
+
+
+def stretches(data: np.ndarray, off: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the stretches of each text; not apart, texts are one each.
+
+    A stretch ends before a space that follows a character that is none.  Its own bounds leave out
+    that space, which begins the next: at a text's start, the one that both vocabularies see there.
+    """
+    some = off[:-1] < off[1:]
+    cut = (data == 32) & apart
+    cut[1:] &= _solid(data)[:-1]
+    cut[off[:-1][some]] = False
+    cut[off[1:][some] - 1] = False  # a stretch holds something
+    at = np.flatnonzero(cut)
+    return np.sort(np.concatenate([off[:-1][some], at + 1])), np.sort(np.concatenate([at, off[1:][some]]))
+
+
+def _laid(rows: list[Rows], sizes: np.ndarray, of: np.ndarray, ptr: np.ndarray) -> Tokens:
+    """Tokens of a block from rows of ids, the row of each stretch and each text's first stretch."""
+    n = np.maximum(np.concatenate([np.zeros(0, np.int64), *(r.sizes for r in rows)]), 0)
+    flat = np.concatenate([np.zeros(0, np.int64), *(r.ids for r in rows)])
+    begin, long = (np.cumsum(n) - n)[of], n[of]
+    total = np.cumsum(np.concatenate([[0], long]))
+    ids = flat[np.repeat(begin - total[:-1], long) + np.arange(total[-1])]
+    return Tokens(ids, np.cumsum(sizes[ids]), total[ptr])
 
 
 def cuts(a_ends: np.ndarray, b_ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -191,9 +273,9 @@ def _align(a_path: str, b_path: str):
             _loaded[a_path, b_path] = Encoders(a_path, b_path)
         enc, block = _loaded[a_path, b_path], TaskContext.get().partitionId() << 32
         for batch in batches:
-            _, off = tx.buffers(batch.column(1))
+            data, off = tx.buffers(batch.column(1))
             for i, j in tx.chunks(off, BLOCK_BYTES):
-                yield _block(enc, block, batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i))
+                yield _block(enc, block, batch.column(0).slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i])
                 block += 1
 
     return run
@@ -212,9 +294,9 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<i4").ravel(), dtype=np.int64)
 
 
-def _block(enc: Encoders, block: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+def _block(enc: Encoders, block: int, ids: pa.Array, data: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
     n = len(ids)
-    a, b = enc.encode(texts.fill_null("").to_pylist())
+    a, b = enc.encode(data, off)
     ends = cuts(a.ends, b.ends, a.ptr[:-1], a.ptr[1:])
     of_a, of_b = links(a, b, enc.a_sizes, enc.b_sizes)
     keys, place, times = np.unique(a.ids[of_a] << 32 | b.ids[of_b], return_inverse=True, return_counts=True)

@@ -97,6 +97,39 @@ def test_random_texts_in_small_blocks(spark, monkeypatch):
     assert op11(spark, [(k, t, None) for k, t in enumerate(texts)]) == dict(enumerate(plain(texts)))
 
 
+ALPHABET = [" ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u0085", "\u3000", "\u2003", "\u200b", "\u0000", "a", "Ab", "é", "ñ", "ß", "Ж", "а", "東", "🚀", "\u0301", "▁", "'s", "'ll", ")", "();", "{", "42", "<s>", "<|endoftext|>", "_", "½"]
+
+
+@pytest.fixture(scope="module")
+def encoders():
+    return al.Encoders(*PATHS)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_stretches_give_the_tokens_of_whole_texts(encoders, monkeypatch, seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(60))) for _ in range(60)] + ["", " ", "x"]
+    monkeypatch.setattr(al, "CALL_BYTES", rng.choice((1, 50, 4096)))
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    sides = encoders.encode(np.frombuffer("".join(texts).encode(), np.uint8), off)
+    a = [encoders.a.encode(f" {t}", add_special_tokens=False).ids if t else [] for t in texts]
+    b = [encoders.b.encode(t) for t in texts]
+    for k, t in enumerate(texts):
+        want, whole = f" {t}".encode(), (encoders.a_bytes, encoders.b_bytes)
+        good = t and all(b"".join(x[i] for i in r) == want for x, r in zip(whole, (a[k], b[k])))
+        for side, ids in zip(sides, (a[k], b[k])):
+            assert side.ids[side.ptr[k] : side.ptr[k + 1]].tolist() == (ids if good else []), t
+
+
+def test_each_different_stretch_is_encoded_once(encoders, monkeypatch):
+    seen = []
+    real = al.Encoders.together
+    monkeypatch.setattr(al.Encoders, "together", lambda self, texts: seen.extend(texts) or real(self, texts))
+    text = b"the cat saw the dog and the cat saw \xc3\xa9t\xc3\xa9 the dog"
+    encoders.encode(np.frombuffer(text * 3, np.uint8), len(text) * np.arange(4))
+    assert sorted(seen) == ["and", "cat", "dog", "saw", "the", "été"]
+
+
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b"), (4, "a b"), (4, "a b")], "doc_id long, text string")
     rows = al.weighed(kept_safe(al.align(df, *PATHS).drop("groups"))).collect()
