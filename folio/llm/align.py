@@ -5,6 +5,7 @@ Text is encoded by a byte-level vocabulary A (a space and the text) and a piece
 for a common end near its middle, by bisecting B's ends for A's, outward in rings of doubling
 width, and is cut there; an interval without one is a leaf, a group.  All intervals of a block of
 texts take each step together.
+Before, each different stretch of a block between spaces is encoded once (see `Encoders.encode`).
 
 Every pair of an A and a B token that share bytes is a link.  `align` gives groups and links per
 document, `pair_counts` the links of each pair of ids over the corpus, `weighed` what a document's
