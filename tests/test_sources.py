@@ -4,6 +4,7 @@ import json
 import zipfile
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folio.sources import attempts, files, library, logs
 
@@ -96,3 +97,37 @@ def test_streams_over_several_batches(spark, tmp_path):
         stream_job_state(source).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     batch = {r.job_id: r for r in latest_job_state(df).collect()}
     assert {k: (r.seq, r.phase, r.progress_current) for k, r in out.items()} == {k: (r.seq, r.phase, r.progress_current) for k, r in batch.items()}
+
+
+def _wide_library(spark, works, chapters, pages):
+    none = F.lit(None)
+    w = spark.range(works).select(F.col("id").cast("string").alias("work_id"), F.concat(F.lit("W"), "id").alias("title"), F.col("id").cast("int").alias("work_ord"))
+    c = w.select("work_id", F.explode(F.sequence(F.lit(1), F.lit(chapters))).alias("k")).select(F.concat_ws(".", "work_id", "k").alias("chapter_id"), "work_id", F.lit("C").alias("title"), (F.col("k") - 1).alias("chapter_ord"), F.lit("images").alias("source_kind"), none.cast("timestamp").alias("created_at"), none.cast("timestamp").alias("updated_at"))
+    p = c.select("chapter_id", F.explode(F.sequence(F.lit(1), F.lit(pages))).alias("k")).select(F.concat_ws("-", "chapter_id", "k").alias("page_id"), "chapter_id", F.lit("n").alias("name"), none.cast("string").alias("image_path"), F.lit(1).alias("width"), F.lit(2).alias("height"), F.when(F.col("k") == 1, "completed").otherwise("failed").alias("analysis_status"), none.cast("string").alias("last_error"), (pages - F.col("k")).alias("page_ord"), none.cast("timestamp").alias("created_at"), none.cast("timestamp").alias("updated_at"))
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(f"v {library.BLOCK}")["v"].dataType}
+    b = p.where("page_ord > 0").select("page_id", F.explode(F.array(F.lit(1), F.lit(0))).alias("block_ord")).select(F.concat_ws("/", "page_id", "block_ord").alias("block_id"), "page_id", "block_ord", *[(F.lit("t") if new == "source_text" else none).cast(kinds[old]).alias(new) for old, new in library.BLOCK_COLUMNS.items()])
+    return {"works": w, "chapters": c, "pages": p, "blocks": b}
+
+
+def test_library_files_hold_few_chapters_each(spark, tmp_path):
+    """No file, and so no task, grows with the library: works of many chapters too, and the index."""
+    own = _wide_library(spark, 7, 40, 2)
+    library.write_library_files(own, str(tmp_path), per=3)
+    for path, most in (("works/all/chapters/all/chapter.json", 20), ("works/all/work.json", 7)):
+        held = [len(json.loads(f.read_text())) for f in (tmp_path / path).glob("part-*") if f.stat().st_size]
+        assert len(held) > 1 and max(held) <= most
+    parts = [json.loads(f.read_text()) for f in (tmp_path / "index.json").glob("part-*") if f.stat().st_size]
+    assert sorted((x["first"], len(x["workOrder"])) for x in parts) == [(0, 3), (3, 3), (6, 1)]
+    back = library.read_library(spark, str(tmp_path))
+    assert sorted((r.work_id, r.work_ord) for r in back["works"].collect()) == [(str(k), k) for k in range(7)]
+    assert {r.status for r in back["chapters"].collect()} == {"partial"} and back["chapters"].count() == 280
+    places = lambda lib: sorted((r.page_id, r.page_ord) for r in lib["pages"].collect())
+    texts = lambda lib: sorted((r.block_id, r.page_id, r.block_ord, r.source_text) for r in lib["blocks"].collect())
+    assert places(back) == places(own) and texts(back) == texts(own)
+
+
+def test_nested_chapters_are_shuffled_flat(spark):
+    own = _wide_library(spark, 2, 2, 2)
+    own["blocks"] = own["blocks"].withColumn("chapter_id", F.split("page_id", "-")[0])
+    plan = library.nested_chapters(own["chapters"], own["pages"], own["blocks"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
