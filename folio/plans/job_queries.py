@@ -207,22 +207,29 @@ def _mixed_up(rows, *key: str):
 
 
 def _streamed(b, rows: list, transform, key: list[str] | None = None):
-    """Runs a stream over written copies of the rows, a file a micro-batch, to its end; with a key, what its last micro-batch said of it."""
+    """Runs a stream over written copies of the rows, which arrive file by file, and goes on from its checkpoint for each; with a key, what its last micro-batch said of it.
+
+    A file has as many parts as Spark's tasks write, and all of them make one micro-batch, so none is read or written by one task.
+    """
     from folio.streaming.session import shared_folder, state_store
 
-    at, sources = f"{shared_folder(b.spark)}/stream-{uuid.uuid4().hex}", []
+    at, schemas = f"{shared_folder(b.spark)}/stream-{uuid.uuid4().hex}", [r.schema for r in rows]
     for k, r in enumerate(rows):
-        for file in range(_FILES):
-            r.where(F.col("_file") == file).drop("_file").coalesce(1).write.mode("append").parquet(f"{at}/in{k}")
-        plain = r.drop("_file").schema
-        sources.append(b.spark.readStream.schema(plain).option("maxFilesPerTrigger", 1).parquet(f"{at}/in{k}"))
+        r.write.partitionBy("_file").parquet(f"{at}/all{k}")
+
+    def arrive(file: int) -> None:
+        for k, schema in enumerate(schemas):
+            b.spark.read.schema(schema).parquet(f"{at}/all{k}").where(F.col("_file") == file).drop("_file").write.mode("append").parquet(f"{at}/in{k}")
 
     def keep(batch, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
 
-    writer = transform(*sources).writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").outputMode("update" if key else "append")
-    with state_store(b.spark):
-        writer.trigger(availableNow=True).start().awaitTermination()
+    for file in range(_FILES):
+        arrive(file)
+        sources = [b.spark.readStream.schema(r.drop("_file").schema).parquet(f"{at}/in{k}") for k, r in enumerate(rows)]
+        writer = transform(*sources).writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").outputMode("update" if key else "append")
+        with state_store(b.spark):
+            writer.trigger(availableNow=True).start().awaitTermination()
     out = b.spark.read.parquet(f"{at}/out")
     return out.join(out.groupBy(*key).agg(F.max("batch").alias("batch")), [*key, "batch"]) if key else out
 
