@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -193,7 +193,10 @@ def stream_assemble_response(events: DataFrame, patience_ms: int | None = None)
 
 
 class Attempts(_Kept):
-    """A page's outcome, once: at its first success or when all its attempts have failed; attempts are known by number, so order and repeats do not matter."""
+    """A page's outcome, once: at its first success or when all its attempts have failed; attempts are known by number, so order and repeats do not matter.
+
+    A page has few attempts and there are many pages, so its rows come as they are, without a pandas frame for each.
+    """
 
     def __init__(self, most: int, ttl_ms: int | None = None):
         super().__init__(ttl_ms)
@@ -202,30 +205,30 @@ class Attempts(_Kept):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "failed array<int>, message string, done boolean", self.ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        failed, message, done = self.seen.get() if self.seen.exists() else ([], None, False)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        failed, message, done = self.seen.get() or ([], None, False)
         if done:
             return
         failed, out = set(failed), None
-        for r in _sorted(rows, "attempt").itertuples():
+        for r in sorted(rows, key=lambda r: r.attempt):
             if r.ok:
                 out = ("completed", None)
                 break
-            if int(r.attempt) >= max(failed, default=r.attempt):
-                message = _or_none(r.message)
-            failed.add(int(r.attempt))
+            if r.attempt >= max(failed, default=r.attempt):
+                message = r.message
+            failed.add(r.attempt)
         if out is None and len(failed) >= self.most:
             out = ("failed", message)
         self.seen.update(([], None, True) if out else (sorted(failed), message, False))
         if out:
-            yield pd.DataFrame([(key[0], *out)], columns=["page_id", "status", "last_error"])
+            yield Row(page_id=key[0], status=out[0], last_error=out[1])
 
 
 def stream_attempts(attempts: DataFrame, most: int = MAX_ATTEMPTS, ttl_ms: int | None = None) -> DataFrame:
     """(page_id, attempt, ok, message) -> settled pages (twin: attempt_outcome)."""
     most = max(1, most)
     rows = attempts.where(F.col("attempt") <= most).withColumn("ok", F.coalesce("ok", F.lit(False)))
-    return rows.groupBy("page_id").transformWithStateInPandas(Attempts(most, ttl_ms), "page_id long, status string, last_error string", "Append", _mode(ttl_ms))
+    return rows.groupBy("page_id").transformWithState(Attempts(most, ttl_ms), "page_id long, status string, last_error string", "Append", _mode(ttl_ms))
 
 
 def held_edits(edits: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from folio.operators import jobs
@@ -146,3 +148,36 @@ def test_an_edit_held_for_days_holds_no_other_chapter(spark, tmp_path):
     marks, spans = [(1, at(30), True), (1, at(4 * day), False)], [(1, at(30), at(4 * day))]
     got, twin = held(spark, tmp_path, edits, marks, spans, "400 milliseconds", [at(x) for x in (0, 1000, day, 3 * day, 10**7)])
     assert got == twin and [r[3] for r in got] == ["held", "free", "free again"]
+
+
+def test_streamed_rows_are_read_and_written_by_many_tasks(spark):
+    from pathlib import Path
+
+    from folio.plans import job_queries
+    from folio.streaming.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("stream-*"))
+    rows = spark.range(0, 900, 1, 4).withColumn("_file", F.col("id") % 3)
+    out = job_queries._streamed(SimpleNamespace(spark=spark), [rows], lambda s: s)
+    assert out.count() == 900 and out.select("batch").distinct().count() == 3
+    (at,) = set(folder.glob("stream-*")) - before
+    assert len(list((at / "in0").glob("*.parquet"))) > 3
+
+
+def test_attempts_take_rows_without_frames():
+    class Seen:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value = v
+
+    processor = st.Attempts(3)
+    processor.init(SimpleNamespace(getValueState=lambda *a: Seen()))
+    tell = lambda *rows: list(processor.handleInputRows((7,), iter([Row(attempt=a, ok=ok, message=m) for a, ok, m in rows]), None))
+    assert tell((2, False, "m2"), (1, False, "m1")) == []
+    assert tell((3, False, None), (2, False, "m2")) == [Row(page_id=7, status="failed", last_error=None)]
+    assert tell((1, True, None)) == []
