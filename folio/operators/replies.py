@@ -19,6 +19,7 @@ KO_KEYS = ("ko", "korean", "translation", "translated", "text_ko")
 JP_KEYS = ("jp", "japanese", "source", "ocr", "text_jp")
 BOX_KEYS = ("bbox", "box", "rect", "region")
 SIDE_KEYS = {"x": ("x", "left"), "y": ("y", "top"), "w": ("w", "width"), "h": ("h", "height")}
+CORNERS = ("x1", "y1", "x2", "y2")
 DEFAULT_TYPE = "dialogue"
 ITEM = "struct<type:string,x:double,y:double,w:double,h:double,jp:string,ko:string>"
 NO_PAYLOAD, NOT_JSON = "Failed to find a parseable structured payload in the model output.", "Failed to parse model output as JSON."
@@ -55,7 +56,7 @@ def strict_value(c: Column) -> Column:
     """
     c = F.trim(c, F.lit("\ufeff"))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    whole = (js_trim(c) != "") & keyed.isNotNull() & F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
+    whole = keyed.isNotNull() & F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
     return F.when(whole, F.try_variant_get(keyed, "$.v", "variant"))
 
 
@@ -77,42 +78,56 @@ def _text(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def _number(v: Column, path: str) -> Column:
-    """Script-engine number of a member: null if it is missing or not a number."""
-    raw = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(raw)
-    return F.when(raw.isNull(), None).when(F.is_variant_null(raw), 0.0).when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("double")).when(kind == "STRING", js_number(F.try_variant_get(v, path, "string"))).otherwise(F.try_variant_get(v, path, "double"))
+def _members(v: Column, keys: tuple[str, ...]) -> Column:
+    """The members of an object by these keys, each as it is, found in one pass; null if they are missing or v is no object."""
+    return F.try_variant_get(v, "$", f"struct<{','.join(f'{k}:variant' for k in keys)}>")
 
 
-def _has(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant").isNotNull()
-
-
-def _real(v: Column, path: str) -> Column:
+def _real(raw: Column) -> Column:
     """Neither missing nor JSON null."""
-    raw = F.try_variant_get(v, path, "variant")
     return raw.isNotNull() & ~F.is_variant_null(raw)
 
 
-def _boxed(v: Column) -> Column:
-    """An item and its box: the first that is there, or the item itself."""
-    box = F.coalesce(*[F.when(_real(v, f"$.{k}"), F.try_variant_get(v, f"$.{k}", "variant")) for k in BOX_KEYS], v)
-    return F.struct(v.alias("v"), box.alias("box"))
+def _opened(v: Column) -> Column:
+    return F.struct(v.alias("v"), _members(v, ("type", *JP_KEYS, *KO_KEYS, *BOX_KEYS)).alias("m"))
+
+
+def _boxed(p: Column) -> Column:
+    """An item's texts, trimmed, null where a member is no string, and its box: the first that is there, or the item itself."""
+    m = p["m"]
+    texts = [F.when(F.schema_of_variant(m[k]) == "STRING", js_trim(F.try_variant_get(m[k], "$", "string"))).alias(k) for k in ("type", *JP_KEYS, *KO_KEYS)]
+    box = F.coalesce(*[F.when(_real(m[k]), m[k]) for k in BOX_KEYS], p["v"])
+    return F.struct(F.struct(*texts).alias("t"), _members(box, (*CORNERS, *(k for pair in SIDE_KEYS.values() for k in pair))).alias("b"))
 
 
 def _sided(p: Column) -> Column:
-    box = p["box"]
-    corners = _has(box, "$.x1") & _has(box, "$.y1") & _has(box, "$.x2") & _has(box, "$.y2")
-    own = [F.when(_real(box, f"$.{a}"), _number(box, f"$.{a}")).otherwise(_number(box, f"$.{b}")).alias(a) for a, b in SIDE_KEYS.values()]
-    return F.struct(p["v"].alias("v"), F.when(corners, F.struct(*[_number(box, f"$.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")])).alias("c"), F.struct(*own).alias("own"))
+    """Texts, whether the box has all corners, and its four values as they are: corners, or sides by either of their names."""
+    b = p["b"]
+    corners = b["x1"].isNotNull() & b["y1"].isNotNull() & b["x2"].isNotNull() & b["y2"].isNotNull()
+    own = {k: F.when(_real(b[a]), b[a]).otherwise(b[other]) for k, (a, other) in SIDE_KEYS.items()}
+    return F.struct(p["t"].alias("t"), corners.alias("corners"), *[F.when(corners, b[c]).otherwise(own[k]).alias(k) for c, k in zip(CORNERS, SIDE_KEYS)])
+
+
+def _kinds(p: Column) -> Column:
+    return F.struct(p["t"].alias("t"), p["corners"].alias("corners"), *[F.struct(p[k].alias("raw"), F.schema_of_variant(p[k]).alias("kind")).alias(k) for k in SIDE_KEYS])
+
+
+def _number(v: Column) -> Column:
+    """Script-engine number of a member and its kind: null if it is missing or not a number."""
+    raw, kind = v["raw"], v["kind"]
+    as_ = lambda t: F.try_variant_get(raw, "$", t)
+    return F.when(raw.isNull(), None).when(F.is_variant_null(raw), 0.0).when(kind == "BOOLEAN", as_("boolean").cast("double")).when(kind == "STRING", js_number(as_("string"))).otherwise(as_("double"))
+
+
+def _numbers(p: Column) -> Column:
+    return F.struct(p["t"].alias("t"), p["corners"].alias("corners"), *[_number(p[k]).alias(k) for k in SIDE_KEYS])
 
 
 def variant_item(p: Column) -> Column:
     """ITEM struct of one parsed item, by the aliases; a missing box side is null."""
-    v, c = p["v"], p["c"]
-    corner = {"x": c["x1"], "y": c["y1"], "w": c["x2"] - c["x1"], "h": c["y2"] - c["y1"]}
-    first = lambda keys: F.coalesce(*[blank_to_null(_text(v, f"$.{k}")) for k in keys])
-    return _struct(_text(v, "$.type"), {k: F.when(c.isNotNull(), x).otherwise(p["own"][k]) for k, x in corner.items()}, first(JP_KEYS), first(KO_KEYS))
+    t, size = p["t"], {k: F.when(p["corners"], p[k] - p[a]).otherwise(p[k]) for k, a in (("w", "x"), ("h", "y"))}
+    first = lambda keys: F.coalesce(*[F.when(t[k] != "", t[k]) for k in keys])
+    return F.struct(F.coalesce(first(("type",)), F.lit(DEFAULT_TYPE)).alias("type"), p["x"].alias("x"), p["y"].alias("y"), size["w"].alias("w"), size["h"].alias("h"), F.coalesce(first(JP_KEYS), F.lit("")).alias("jp"), first(KO_KEYS).alias("ko"))
 
 
 def variant_items(v: Column) -> Column:
@@ -124,7 +139,7 @@ def variant_items(v: Column) -> Column:
 def json_items(v: Column) -> Column:
     """Whole ITEMs of a parsed payload, read in steps so that a step's fields are found once."""
     found = variant_items(v)
-    for step in (_boxed, _sided, variant_item):
+    for step in (_opened, _boxed, _sided, _kinds, _numbers, variant_item):
         found = F.transform(found, step)
     return F.filter(found, whole_item)
 
