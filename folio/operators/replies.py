@@ -158,7 +158,9 @@ def _last(found: Column) -> Column:
 
 
 def _first(*texts: Column) -> Column:
-    return F.get(F.filter(F.array(*texts), lambda x: x.isNotNull() & (js_trim(x) != "")), 0)
+    """The first text that is not blank; those behind it are not looked for, and each is looked for once."""
+    said = lambda c: F.get(F.filter(F.array(c), lambda x: x.isNotNull() & (js_trim(x) != "")), 0)
+    return F.coalesce(*map(said, texts))
 
 
 def _unescaped(c: Column) -> Column:
@@ -173,26 +175,35 @@ def broken_items(payload: Column) -> Column:
     """
     boxed = rf"(?is)[\"']?(?:{'|'.join(BOX_KEYS)})[\"']?\s*:\s*\{{([^}}]*)"
     said = rf"(?i)[\"']?\b(?:{'|'.join((*JP_KEYS, *KO_KEYS))})[\"']?\s*:\s*(?:{_VALUE})"
-    sides = {**{k: (k, "a", other) if k == "x" else (k, other) for k, (k, other) in SIDE_KEYS.items()}, "x1": ("x1",), "y1": ("y1",), "x2": ("x2",), "y2": ("y2",)}
+    sides = {k: (k, "a", other) if k == "x" else (k, other) for k, (k, other) in SIDE_KEYS.items()}
+    number = lambda box, k: F.nullif(F.regexp_extract(box, rf"(?:^|[{{,\s\"'])[\"']?{k}[\"']?\s*:\s*[\"']?([^\s,\"'}}]+)", 1), F.lit("null"))
 
     def parts(o: Column) -> Column:
-        return F.struct(o.alias("o"), F.regexp_extract(o, boxed, 1).alias("box"), F.regexp_replace(o, said, "").alias("rest"))
+        return F.struct(o.alias("o"), F.regexp_extract(o, boxed, 1).alias("box"))
+
+    def placed(p: Column) -> Column:
+        return F.struct(p["o"].alias("o"), F.when(p["box"] != "", p["box"]).otherwise(F.regexp_replace(p["o"], said, "")).alias("box"))
 
     def fields(p: Column) -> Column:
         text = lambda k: F.regexp_replace(js_trim(_last(F.regexp_extract_all(p["o"], F.lit(rf"(?i)(?:^|[{{,\n])\s*[\"']?{k}[\"']?\s*:\s*({_VALUE})"), F.lit(1)))), r"^[\"']|[\"']$", "")
-        box = F.when(p["box"] != "", p["box"]).otherwise(p["rest"])
-        number = lambda k: F.nullif(F.regexp_extract(box, rf"(?:^|[{{,\s\"'])[\"']?{k}[\"']?\s*:\s*[\"']?([^\s,\"'}}]+)", 1), F.lit("null"))
-        return F.struct(text("type").alias("type"), _first(*map(text, JP_KEYS)).alias("jp"), _first(*map(text, KO_KEYS)).alias("ko"), *[_first(*map(number, keys)).alias(k) for k, keys in sides.items()])
+        own = [_first(*[number(p["box"], k) for k in keys]).alias(k) for k, keys in sides.items()]
+        return F.struct(text("type").alias("type"), _first(*map(text, JP_KEYS)).alias("jp"), _first(*map(text, KO_KEYS)).alias("ko"), *own, p["box"].alias("box"))
 
     def numbers(f: Column) -> Column:
-        return F.struct(*[_unescaped(f[k]).alias(k) for k in ("type", "jp", "ko")], *[js_number(f[k]).alias(k) for k in sides])
+        return F.struct(*[_unescaped(f[k]).alias(k) for k in ("type", "jp", "ko")], *[js_number(f[k]).alias(k) for k in sides], f["box"].alias("box"))
+
+    def cornered(v: Column) -> Column:
+        """Corners are looked for only where a side is missing."""
+        lacks = v["x"].isNull() | v["y"].isNull() | v["w"].isNull() | v["h"].isNull()
+        return F.struct(v.alias("v"), F.when(lacks, F.struct(*[js_number(_first(number(v["box"], k))).alias(k) for k in CORNERS])).alias("c"))
 
-    def item(v: Column) -> Column:
-        corner = {"x": v["x1"], "y": v["y1"], "w": v["x2"] - v["x1"], "h": v["y2"] - v["y1"]}
-        return _struct(v["type"], {k: F.coalesce(v[k], c) for k, c in corner.items()}, v["jp"], v["ko"])
+    def item(p: Column) -> Column:
+        v, c = p["v"], p["c"]
+        corner = {"x": c["x1"], "y": c["y1"], "w": c["x2"] - c["x1"], "h": c["y2"] - c["y1"]}
+        return _struct(v["type"], {k: F.coalesce(v[k], x) for k, x in corner.items()}, v["jp"], v["ko"])
 
     found = F.split(js_trim(F.regexp_replace(payload, _FENCE, "")), _OBJECT)
-    for step in (parts, fields, numbers, item):  # before the first object stands what holds them all
+    for step in (parts, placed, fields, numbers, cornered, item):  # before the first object stands what holds them all
         found = F.transform(F.slice(found, F.lit(2), F.size(found)) if step is parts else found, step)
     return F.filter(found, lambda i: i["ko"].isNotNull() | i["x"].isNotNull() | i["y"].isNotNull() | i["w"].isNotNull() | i["h"].isNotNull())
 
