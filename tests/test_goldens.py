@@ -1,6 +1,7 @@
 """Small fixed cases of the library: expected values from the survey's goldens and traps."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -398,3 +399,27 @@ def test_imports(spark):
     t = spark.createDataFrame([(1, " ", None), (2, "T", None), (3, "", 5), (4, "T", None)], "import_id int, new_title string, work_id int")
     s = spark.createDataFrame([(1, "a", True), (2, " ", True), (2, "b", False), (3, "c", True), (4, "d", True)], "import_id int, title string, enabled boolean")
     assert {r.import_id: r.valid for r in imp.valid_imports(s, t).collect()} == {1: False, 2: False, 3: True, 4: True}
+
+
+def test_first_text_is_not_followed_by_a_search_for_others(spark):
+    late = F.raise_error(F.lit("looked for")).cast("string")
+    assert one(spark, v=rep._first(F.lit(None).cast("string"), F.lit(" "), F.lit("a"), late)).v == "a"
+
+
+def test_broken_items_by_other_names_and_corners(spark):
+    text = """{"items": [{"id: 1, korean: "k", "source": "s", "rect": {"left": 1, "top": 2, "width": 3, "height": 4}},
+{id: 2, "ko": " ", "text_ko": "t", "box": {"x1": 10, "y1": 20, "x2": 15, "y2": 26}}, {id: 3, "ko": "u", "y": 2, "x2": 9, "w": null, "x": 4, "h": 5, "y1": 1, "x1": 4, "y2": 3}],}"""
+    rows = rep.parse_replies(spark.createDataFrame([(1, text)], "reply_id int, text string"))[0].orderBy("id").collect()
+    assert [(r.ko, r.jp, tuple(r.bbox)) for r in rows] == [("k", "s", (1, 2, 3, 4)), ("t", "", (10, 20, 5, 6)), ("u", "", (4, 2, 5, 5))]
+
+
+def test_lines_of_a_text_without_spaces_are_counted_unwrapped(monkeypatch):
+    from folio.operators import layout
+
+    rng, cases = random.Random(1), []
+    for _ in range(300):
+        text = "".join(rng.choice("ab가나😀") for _ in range(rng.randrange(1, 40)))
+        cases.append((text, rng.randrange(2, 60), rng.uniform(1, 300), rng.uniform(1, 300), 1.18))
+    wrapped = [layout._fits(*c) for c in cases]
+    monkeypatch.delattr(layout, "wrap")
+    assert [layout._fits(*c, len(c[0])) for c in cases] == wrapped and len(set(wrapped)) == 2
