@@ -20,6 +20,7 @@ from folio.functions.text import utf16_length
 # Fixed values of the fit.
 MIN_FONT, MAX_FONT, STEPS, GLYPH_EM = 2, 256, 8, 0.95
 BORDER, GUARD = 1, 10
+_SPACE = re.compile(r"\s")
 
 
 def wrap(text: str, width: float, font: float) -> list[int]:
@@ -40,9 +41,15 @@ def wrap(text: str, width: float, font: float) -> list[int]:
     return out
 
 
-def _fits(text: str, font: float, width: float, height: float, line_height: float) -> bool:
-    lines = wrap(text, width, font)
-    return len(lines) * font * line_height <= height and max(lines, default=0) * GLYPH_EM * font <= width + 1e-9
+def _fits(text: str, font: float, width: float, height: float, line_height: float, glyphs: int = 0) -> bool:
+    """Whether the wrapped text fits; a text of so many glyphs without white space need not be wrapped to know its lines."""
+    if glyphs:
+        per = max(1, math.floor(width / (GLYPH_EM * font) + 1e-9))
+        n, longest = -(-glyphs // per), min(per, glyphs)
+    else:
+        lines = wrap(text, width, font)
+        n, longest = len(lines), max(lines, default=0)
+    return n * font * line_height <= height and longest * GLYPH_EM * font <= width + 1e-9
 
 
 @F.pandas_udf(StructType([StructField("font", IntegerType()), StructField("overflow", BooleanType())]))
@@ -53,14 +60,15 @@ def _horizontal(text: pd.Series, cap: pd.Series, width: pd.Series, height: pd.Se
         if not t.strip():
             out.append((c, False))
             continue
+        glyphs = 0 if _SPACE.search(t) else len(t)
         lo, hi, best = MIN_FONT, c, MIN_FONT if fit else c
         while fit and lo <= hi:
             mid = (lo + hi) // 2
-            if _fits(t, mid, w, h, lh):
+            if _fits(t, mid, w, h, lh, glyphs):
                 best, lo = mid, mid + 1
             else:
                 hi = mid - 1
-        out.append((best, not _fits(t, best, w, h, lh)))
+        out.append((best, not _fits(t, best, w, h, lh, glyphs)))
     return pd.DataFrame(out, columns=["font", "overflow"])
 
 
