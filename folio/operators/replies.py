@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.geometry import bbox
-from folio.functions.text import blank_to_null, js_number, js_trim
+from folio.functions.text import BLANK, blank_to_null, js_number, js_trim
 
 # Accepted keys, in order of preference.
 KO_KEYS = ("ko", "korean", "translation", "translated", "text_ko")
@@ -25,7 +25,7 @@ ITEM = "struct<type:string,x:double,y:double,w:double,h:double,jp:string,ko:stri
 NO_PAYLOAD, NOT_JSON = "Failed to find a parseable structured payload in the model output.", "Failed to parse model output as JSON."
 _START = r"(?m)^\s*\"?id\"?\s*:"
 #: An object with a key that is no field's value: such a reply is JSON, however broken, and not lines.
-_JSON_LIKE = r"(?<!:\s{0,4})\{\s*[\"']?[A-Za-z_]+[\"']?\s*:"
+_JSON_LIKE = r"\{(?<!:\s{0,4}\{)\s*[\"']?[A-Za-z_]+[\"']?\s*:"
 _FENCE = r"(?i)```(?:json)?"
 #: An object begins at a brace with a key behind it, unless the brace is a field's value.
 _OBJECT = r"(?<=[\[,}])\s*(?=\{\s*[\"']?[A-Za-z_]+[\"']?\s*:?)"
@@ -35,11 +35,69 @@ _ENDS = rf"[\"']?\s*(?=,?\s*(?:\n|$)|,?\s*\}}\s*(?:[,\]}}]|$)|,\s*[\"']?(?:{_ANY
 #: A text value: between quotes of its own, or, where those are torn, up to what ends it.
 _VALUE = rf"(?:\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+')(?=\s*(?:[,}}\]\n]|$))|.*?{_ENDS}"
 
+#: Characters within a plain text: none that quotes, ends or escapes one, none that makes a key; at its ends neither blanks nor commas.
+_ODD = "\"'{}\\\\\\n\\r\\x0B\\f\\x85\\u2028\\u2029"
+
+
+def _plain_text(odd: str) -> str:
+    edge = f"[,{BLANK}]"
+    return f"(?!{edge})[^{odd}]+(?<!{edge})"
+
+
+def _plain_object() -> str:
+    """An object in the usual order (id, type, box or sides, texts) whose texts hold no quote, brace, colon or backslash.
+
+    One match gives its type, sides and texts as all rules of broken_items would: no key can be found inside such a text, and
+    where a quote is missing or doubled in a key or at a text's end does not matter to them.
+    """
+    key = lambda k: rf"[\"']?{k}[\"']?\s*+:\s*+"
+    text = rf"(?:{_plain_text(_ODD + ':')})?"
+    quoted = "|".join(rf"{q}(?={text}{q}\s*[,}}\]\n])" for q in "\"'")
+    said = lambda k: rf"{key(k)}(?:{quoted}|(?![\"']))({text}){_ENDS}"
+    number = r"[\"']?(-?[0-9]{1,15}(?:\.[0-9]{1,15})?)(?=[\s,\"'}])[\"']?\s*+"
+    sides = r",\s*+".join(key(k) + number for k in ("[xa]", "y", "w", "h"))
+    head = rf"(?:{key('id')}[\"']?[A-Za-z0-9_-]*[\"']?\s*+,\s*+)?(?:{said('type')},\s*+)?"
+    box = rf"(?:{key('bbox')}\{{\s*+)?{sides},?\s*+\}}?\s*+"
+    return rf"\A\{{\s*+{head}{box}(?:,\s*+(?:{said('jp')}|{said('ko')})){{0,4}},?\s*+\}}[\s,\]}}]*+\z"
+
+
+def _plain_record(mode: str) -> str:
+    """A record of lines with plain keys, in any order, the last line of a field counting, and plain texts; numbers are whole ones or decimals."""
+    key = lambda k: rf"\"?{k}\"?[ \t]*+:[ \t]*+"
+    text = _plain_text(_ODD + ":" if mode == "compat" else _ODD)
+    said = lambda k, empty: rf"{key(k)}(?:[\"']?({text})[\"']?,?{'|' if empty else ''})"
+    side = lambda k: rf"[\"']?{k}[\"']?[ \t]*+:[ \t]*+([0-9]{{1,15}}(?:\.[0-9]{{1,15}})?),?"
+    line = "|".join((said("type", False), *map(side, ("[xa]", "y", "w", "h")), said("jp", True), said("ko", True)))
+    return rf"\A(?:{key('id')}[\"']?[A-Za-z0-9_-][^\n]*+)?+(?:(?:\A|\n)[ \t]*+(?:{line})[ \t]*+){{1,16}}\z"
+
+
+def _plain(c: Column, pattern: str) -> Column:
+    """The text and, where the pattern matches it, its seven groups, each after a line break."""
+    return F.struct(c.alias("o"), F.regexp_replace(c, pattern, "".join(f"\n${k}" for k in range(1, 8))).alias("p"))
+
+
+def _plain_or(p: Column, rest) -> Column:
+    """ITEM of what _plain has found, else of the text by all rules; blank texts are missing, as are sides not found."""
+    f = F.split(p["p"], "\n")
+
+    def item(f: Column) -> Column:
+        said = lambda k: F.nullif(f[k], F.lit(""))
+        return F.struct(F.coalesce(said(1), F.lit(DEFAULT_TYPE)).alias("type"), *[f[k].try_cast("double").alias(side) for k, side in enumerate(SIDE_KEYS, 2)], f[6].alias("jp"), said(7).alias("ko"))
+
+    return F.when(p["p"].startswith("\n") & ~p["o"].startswith("\n"), F.get(F.transform(F.array(f), item), 0)).otherwise(F.get(rest(F.array(p["o"])), 0))
+
 
 def extract_payload(text: Column) -> Column:
     """The part of a reply that should be JSON; null if there is none."""
-    t = js_trim(text)
-    fenced = F.nullif(js_trim(F.regexp_extract(t, r"(?is)```(?:json)?\s*(.*?)```", 1)), F.lit(""))
+    return _payload(js_trim(text))
+
+
+def _unfenced(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit("```")), F.regexp_replace(c, _FENCE, "")).otherwise(c)
+
+
+def _payload(t: Column) -> Column:
+    fenced = F.when(F.contains(t, F.lit("```")), F.nullif(js_trim(F.regexp_extract(t, r"(?is)```(?:json)?\s*(.*?)```", 1)), F.lit("")))
 
     def between(a: str, b: str) -> Column:
         first, last = F.instr(t, a), F.length(t) - F.instr(F.reverse(t), b) + 1
@@ -202,9 +260,14 @@ def broken_items(payload: Column) -> Column:
         corner = {"x": c["x1"], "y": c["y1"], "w": c["x2"] - c["x1"], "h": c["y2"] - c["y1"]}
         return _struct(v["type"], {k: F.coalesce(v[k], x) for k, x in corner.items()}, v["jp"], v["ko"])
 
-    found = F.split(js_trim(F.regexp_replace(payload, _FENCE, "")), _OBJECT)
-    for step in (parts, placed, fields, numbers, cornered, item):  # before the first object stands what holds them all
-        found = F.transform(F.slice(found, F.lit(2), F.size(found)) if step is parts else found, step)
+    def read(found: Column) -> Column:
+        for step in (parts, placed, fields, numbers, cornered, item):
+            found = F.transform(found, step)
+        return found
+
+    found, pattern = F.split(js_trim(_unfenced(payload)), _OBJECT), _plain_object()
+    found = F.transform(F.slice(found, 2, 1 << 30), lambda o: _plain(o, pattern))  # before the first object stands what holds them all
+    found = F.transform(found, lambda p: _plain_or(p, read))
     return F.filter(found, lambda i: i["ko"].isNotNull() | i["x"].isNotNull() | i["y"].isNotNull() | i["w"].isNotNull() | i["h"].isNotNull())
 
 
@@ -217,7 +280,7 @@ def line_items(text: Column, mode: str = "fixed") -> Column:
     id_line = r"(?i)^\{?\s*\"?id[^:\"]*\"?\s*:\s*[\"']?[A-Za-z0-9_-]+"
     rule = lambda key: rf"(?i)^\"?{key}[^:\"]*\"?\s*:\s*[\"']?(.+?)[\"']?,?$"
     coordinates = r"[\"']?[xywha][\"']?\s*:\s*[0-9.]" if mode == "compat" else r"(?i)^[{\s\"']*(?:\"?bbox\"?\s*:\s*\{?\s*)?[\"']?[xywha][\"']?\s*:"
-    text = js_trim(F.regexp_replace(F.regexp_replace(text, _FENCE, ""), "\r\n", "\n"))
+    text = js_trim(F.replace(_unfenced(text), F.lit("\r\n"), F.lit("\n")))
 
     typed, placed = lambda x: x.rlike(rule("type")), lambda x: x.rlike(coordinates)
 
@@ -237,9 +300,15 @@ def line_items(text: Column, mode: str = "fixed") -> Column:
         side = lambda k: _last(F.regexp_extract_all(f["box"], F.lit(rf"[\"']?{k}[\"']?\s*:\s*([0-9.]+)"), F.lit(1))).try_cast("double")
         return _struct(F.regexp_extract(f["type"], rule("type"), 1), {k: side("[xa]" if k == "x" else k) for k in SIDE_KEYS}, *[F.regexp_extract(f[k], rule(k), 1) for k in ("jp", "ko")])
 
-    records = F.split(text, r"(?i)\n\s*\n|\n(?=[ \t]*\{?[ \t]*\"?id[^:\"\n]*\"?[ \t]*:[ \t]*[\"']?[A-Za-z0-9_-])")
-    for step in (lines, sorted_, fields, item):
-        records = F.transform(records, step)
+    records = F.split(text, r"(?i)\n(?:\s*\n|(?=[ \t]*\{?[ \t]*\"?id[^:\"\n]*\"?[ \t]*:[ \t]*[\"']?[A-Za-z0-9_-]))")
+
+    def read(found: Column) -> Column:
+        for step in (lines, sorted_, fields, item):
+            found = F.transform(found, step)
+        return found
+
+    pattern = _plain_record(mode)
+    records = F.transform(F.transform(records, lambda o: _plain(o, pattern)), lambda p: _plain_or(p, read))
     return F.filter(records, whole_item)
 
 
@@ -254,8 +323,8 @@ def parsed(replies: DataFrame, key: str = "reply_id", mode: str = "fixed") -> Da
     """(key, text) -> (key, items: whole ITEMs or null, error): one row per reply, each text read once."""
     some = lambda c: F.when(F.size(c) > 0, F.col(c) if isinstance(c, str) else c)
     rows = replies.select(key, js_trim(F.coalesce("text", F.lit(""))).alias("t"))
-    rows = rows.withColumn("payload", extract_payload(F.col("t")))
-    in_lines = F.col("t").rlike(_START) & ~F.col("t").rlike(r"^[{\[]") & ~F.col("t").rlike(_JSON_LIKE) if mode == "fixed" else F.lit(False)
+    rows = rows.withColumn("payload", _payload(F.col("t")))
+    in_lines = F.col("t").rlike(_START) & ~F.col("t").startswith("{") & ~F.col("t").startswith("[") & ~F.col("t").rlike(_JSON_LIKE) if mode == "fixed" else F.lit(False)
     rows = rows.withColumn("lines", F.when(in_lines | F.col("payload").isNull(), line_items(F.col("t"), mode)))
     rows = rows.withColumn("lines", some("lines"))
     rows = rows.withColumn("v", F.when(F.col("lines").isNull(), parse_json_strict(F.col("payload"))))
@@ -336,4 +405,4 @@ def render_line_replies(items: DataFrame, key: str = "page_id", order: str = "it
     """(key, order, type, x, y, w, h, jp, ko) -> (key, text): line replies, records in order."""
     shown = lambda c: F.col(c).cast("string")
     rec = F.concat(F.lit("id: "), shown(order), *[p for k in ("type", "x", "y", "w", "h", "jp", "ko") for p in (F.lit(f"\n{k}: "), shown(k))])
-    return items.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), rec.alias("r")))), lambda x: x["r"]), "\n\n").alias("text"))
+    return items.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), rec.alias("r")))), lambda x: x["r"]), "\n\n").alias("text"))

@@ -52,7 +52,7 @@ def _json_replies(b, route: str):
     """JSON replies of every page's items in one form: plain, fenced with a trailing comma, or broken in several ways."""
     form = """{"id": %s, "type": "%s", "bbox": {"x": %s, "y": %s, "w": %s, "h": %s}, "jp": "%s", "ko": "%s"}"""
     item = _broken_item() if route == "broken" else F.format_string(form, *[F.col(c) for c in ("item_ord", "type", "x", "y", "w", "h", "jp", "ko")])
-    rows = b.b_items.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_ord", item.alias("t")))), lambda x: x["t"]), ",\n").alias("t"))
+    rows = b.b_items.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_ord", item.alias("t")))), lambda x: x["t"]), ",\n").alias("t"))
     wrap = {"plain": F.concat(F.lit('{"items": ['), F.col("t"), F.lit("]}")), "comma": F.concat(F.lit("Sure:\n```json\n["), F.col("t"), F.lit(",]\n```\n")), "broken": F.concat(F.lit('{"items": ['), F.col("t"), F.lit(",]}"))}
     return rows.select("page_id", wrap[route].alias("text"))
 
