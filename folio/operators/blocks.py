@@ -76,9 +76,13 @@ def delete_blocks(blocks: DataFrame, ids: DataFrame) -> DataFrame:
 
 def duplicate_blocks(blocks: DataFrame, ids: DataFrame) -> DataFrame:
     """blocks and shifted copies of those in ids, each copy after the page's last block and named by its place there, so no id repeats."""
-    last = blocks.groupBy("page_id").agg(F.max("block_ord").alias("last"))
-    chosen = blocks.join(ids.select("block_id").distinct(), "block_id").join(last, "page_id")
-    n = F.row_number().over(Window.partitionBy("page_id").orderBy("block_ord", "block_id"))
-    shift = F.lit(COPY_SHIFT)
-    copies = chosen.withColumns({"block_ord": F.col("last") + n, "block_id": F.concat("block_id", F.lit("-copy-"), (F.col("last") + n).cast("string")), "bbox": offset_bbox(F.col("bbox"), shift, shift), "render_bbox": offset_bbox(F.col("render_bbox"), shift, shift)})
-    return blocks.unionByName(copies.select(*blocks.columns))
+    page, shift = Window.partitionBy("page_id"), F.lit(COPY_SHIFT)
+    rows = blocks.join(ids.select("block_id", F.lit(True).alias("_chosen")).distinct(), "block_id", "left")
+    chosen = F.coalesce(F.col("_chosen"), F.lit(False)) & F.col("page_id").isNotNull()
+    upto = page.orderBy("block_ord", "block_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.max("block_ord").over(page) + F.count(F.when(chosen, True)).over(upto)
+    rows = rows.withColumns({"_place": place, "_chosen": chosen})
+    new = {"block_ord": F.col("_place"), "block_id": F.concat("block_id", F.lit("-copy-"), F.col("_place").cast("string")), "bbox": offset_bbox(F.col("bbox"), shift, shift), "render_bbox": offset_bbox(F.col("render_bbox"), shift, shift)}
+    block = F.struct(*blocks.columns)
+    copy = F.struct(*[new.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in blocks.schema])
+    return rows.select(F.inline(F.when(F.col("_chosen"), F.array(block, copy)).otherwise(F.array(block))))
