@@ -14,8 +14,10 @@ from folio.functions.text import search_text, with_search_text
 
 #: Characters of the longest n-gram; shorter queries are n-grams themselves.
 WIDTH = 3
-#: Folders of an index, and tasks that write one, so that a common n-gram does not fall to one task.
+#: Folders of an index, and tasks at least that write one, so that a common n-gram does not fall to one task.
 BUCKETS, WRITERS = 32, 2
+#: Characters of titles for each further writer of a folder, so that a task sorts as much however many titles there are.
+WRITER_CHARS = 4_000_000
 POSTING = "bucket int, gram string, kind string, id long, pos int"
 
 
@@ -35,7 +37,9 @@ def postings(titles: DataFrame) -> DataFrame:
 
 def write_title_index(titles: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Index of titles (kind, id, title); ids are unique within a kind.  Further titles are added with mode append."""
-    dealt = postings(titles).repartition(BUCKETS * WRITERS, "bucket", F.pmod(F.xxhash64("id"), F.lit(WRITERS)))
+    chars = titles.agg(F.sum(F.length("title"))).first()[0] or 0
+    writers = max(WRITERS, -(-chars // WRITER_CHARS))
+    dealt = postings(titles).repartition(BUCKETS * writers, "bucket", F.pmod(F.xxhash64("id"), F.lit(writers)))
     dealt.sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").mode(mode).parquet(path)
 
 

@@ -37,3 +37,14 @@ def test_search_reads_few_files(spark, catalogue):
     assert len(hit.inputFiles()) * 4 < len(read.inputFiles()) or hit.select("bucket").distinct().count() == 1
     with pytest.raises(ValueError):
         ti.search_titles(spark, path, "  ")
+
+
+def test_writers_grow_with_titles(spark, tmp_path, monkeypatch):
+    titles = spark.range(4000).selectExpr("'work' AS kind", "id", "'a' AS title")  # one n-gram, so one bucket
+    files = []
+    for chars in (4000, 500):
+        monkeypatch.setattr(ti, "WRITER_CHARS", chars, raising=False)
+        ti.write_title_index(titles, str(tmp_path / str(chars)))
+        files.append(len(spark.read.parquet(str(tmp_path / str(chars))).inputFiles()))
+        assert ti.search_titles(spark, str(tmp_path / str(chars)), "a").count() == 4000
+    assert files[0] <= ti.WRITERS < files[1] <= 8
