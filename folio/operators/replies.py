@@ -39,6 +39,13 @@ _VALUE = rf"(?:\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+')(?=\s*(?:[,}}\]\
 _ODD = "\"'{}\\\\\\n\\r\\x0B\\f\\x85\\u2028\\u2029"
 
 
+#: The same without the line break, and that of fences, for replies that no pattern reads; and what ends no plain text, as code points.
+_ODD_CHARS = "\"'{}\\`\r\x0b\f\x85\u2028\u2029"
+_EDGES = tuple(map(ord, "," + BLANK))
+#: Fields of a record of lines in their usual order.
+RECORD = ("id", "type", *SIDE_KEYS, "jp", "ko")
+
+
 def _plain_text(odd: str) -> str:
     edge = f"[,{BLANK}]"
     return f"(?!{edge})[^{odd}]+(?<!{edge})"
@@ -71,6 +78,31 @@ def _plain_record(mode: str) -> str:
     return rf"\A(?:{key('id')}[\"']?[A-Za-z0-9_-][^\n]*+)?+(?:(?:\A|\n)[ \t]*+(?:{line})[ \t]*+){{1,16}}\z"
 
 
+def _usual_read(lines: Column) -> Column:
+    """(RECORD, id and sides as whole numbers) of every record of a reply of which eight lines and a blank one are a record; lines must be a column."""
+    after = lambda r, at, key: F.substring(F.get(lines, r + at), len(key) + 3, 1 << 30)
+    record = lambda r: F.struct(*[(after(r, at, k) if k in ("type", "jp", "ko") else after(r, at, k).try_cast("bigint")).alias(k) for at, k in enumerate(RECORD)])
+    upto = F.size(lines) - F.when(F.size(lines) % 9 == 0, 9).otherwise(8)
+    return F.when((F.size(lines) > 0) & (F.size(lines) % 9).isin(0, 8), F.transform(F.sequence(F.lit(0), upto, F.lit(9)), record))
+
+
+def _usual_items(text: Column, found: Column) -> Column:
+    """Whole ITEMs of a usual reply, null for others: one that its records, as _usual_read found them, give back to the letter.
+
+    Keys are in their usual order then, a line each; with plain texts and whole numbers all rules of mode "fixed" would read the
+    same.  Nothing is matched, since patterns cost many times as much as these comparisons.
+    """
+    inside = lambda c: ~F.ascii(c).isin(*_EDGES) & ~F.ascii(F.substring(c, -1, 1)).isin(*_EDGES)
+    shown = lambda p: F.concat(*[x for at, k in enumerate(RECORD) for x in (F.lit(f"{chr(10) if at else ''}{k}: "), p[k].cast("string"))])
+    item = lambda p: F.struct(p["type"].alias("type"), *[p[k].cast("double").alias(k) for k in SIDE_KEYS], p["jp"].alias("jp"), F.nullif(p["ko"], F.lit("")).alias("ko"))
+    usual = found.isNotNull()
+    for odd in (*_ODD_CHARS, ": -", "type: \n"):
+        usual = usual & ~F.contains(text, F.lit(odd))
+    back = F.array_join(F.transform(found, shown), "\n\n")  # a record with anything missing is left out, and so the text is not whole
+    usual = usual & text.startswith(back) & (F.octet_length(text) - F.octet_length(back) <= 1) & F.forall(found, lambda p: inside(p["type"]) & inside(p["jp"]) & inside(p["ko"]))
+    return F.when(usual, F.filter(F.transform(found, item), whole_item))
+
+
 def _plain(c: Column, pattern: str) -> Column:
     """The text and, where the pattern matches it, its seven groups, each after a line break."""
     return F.struct(c.alias("o"), F.regexp_replace(c, pattern, "".join(f"\n${k}" for k in range(1, 8))).alias("p"))
@@ -322,7 +354,11 @@ def normalize_items(items: DataFrame, key: str = "reply_id") -> DataFrame:
 def parsed(replies: DataFrame, key: str = "reply_id", mode: str = "fixed") -> DataFrame:
     """(key, text) -> (key, items: whole ITEMs or null, error): one row per reply, each text read once."""
     some = lambda c: F.when(F.size(c) > 0, F.col(c) if isinstance(c, str) else c)
-    rows = replies.select(key, js_trim(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = replies.select(key, "text", (F.split("text", "\n") if mode == "fixed" else F.lit(None).cast("array<string>")).alias("usual"))
+    rows = rows.withColumn("usual", _usual_read(F.col("usual")))
+    rows = rows.withColumn("usual", _usual_items(F.col("text"), F.col("usual")))
+    rows = rows.withColumn("usual", some("usual"))
+    rows = rows.select(key, "usual", F.when(F.col("usual").isNull(), js_trim(F.coalesce("text", F.lit("")))).alias("t"))  # null where nothing is left to read
     rows = rows.withColumn("payload", _payload(F.col("t")))
     in_lines = F.col("t").rlike(_START) & ~F.col("t").startswith("{") & ~F.col("t").startswith("[") & ~F.col("t").rlike(_JSON_LIKE) if mode == "fixed" else F.lit(False)
     rows = rows.withColumn("lines", F.when(in_lines | F.col("payload").isNull(), line_items(F.col("t"), mode)))
@@ -331,7 +367,7 @@ def parsed(replies: DataFrame, key: str = "reply_id", mode: str = "fixed") -> Da
     rows = rows.withColumn("items", F.coalesce("lines", F.when(F.col("v").isNotNull(), json_items(F.col("v")))))
     rows = rows.withColumn("mended", F.when(F.col("items").isNull() & F.col("payload").isNotNull(), broken_items(F.col("payload"))))
     rows = rows.withColumn("late", F.when(F.size("mended") == 0, line_items(F.col("payload"), mode)))
-    items = F.coalesce("items", F.when(F.size("mended") > 0, F.filter("mended", whole_item)), some("late"))
+    items = F.coalesce("usual", "items", F.when(F.size("mended") > 0, F.filter("mended", whole_item)), some("late"))
     rows = rows.select(key, "payload", items.alias("items"))
     return rows.select(key, "items", F.when(F.col("items").isNull(), F.when(F.col("payload").isNull(), NO_PAYLOAD).otherwise(NOT_JSON)).alias("error"))
 

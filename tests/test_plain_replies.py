@@ -81,3 +81,43 @@ def test_plain_pattern_bears_many_lines(spark):
     text = "id: 1\n" + "x: 1\n" * 20000 + "ko: K"
     assert spark.range(1).select(rep._plain(F.lit(text), rep._plain_record("fixed")).alias("p")).first().p.p == text
     assert re.compile(r"\n").split(text)[-1] == "ko: K"
+
+
+def _near_usual(rng: random.Random) -> str:
+    odd = lambda s, other: s if rng.random() < 0.985 else rng.choice(other)
+    said = lambda few: rng.choice(TEXTS[:few] if rng.random() < 0.95 else (*TEXTS, "\tt", "c\t", "x\x00", "`", "```json", "😀", "﻿b", "-", ",c", "c ,"))
+    number = lambda: rng.choice(("1", "20", "1250", "0") if rng.random() < 0.985 else (*NUMBERS, "+5", "-0", " 7", "7 ", "9007199254740993"))
+
+    def record(k: int) -> str:
+        lines = [f"id: {odd(str(k), ('i2', '007', '', ' 3', '-1', '+2'))}", f"type: {said(2)}", *[f"{odd(s, ('a', s.upper(), ' ' + s))}: {number()}" for s in "xywh"], f"jp: {said(5)}", f"ko: {said(4)}"]
+        if rng.random() < 0.02:
+            a, b = rng.sample(range(8), 2)
+            lines[a], lines[b] = lines[b], lines[a]
+        if rng.random() < 0.02:
+            lines[rng.randrange(8)] = rng.choice(("", "note: 1", "ko:", "jp:", "type:", "type: ", "x", "id: 5"))
+        return "\n".join(lines)
+
+    text = odd("\n\n", ("\n", "\n\n\n", "\n \n", "\r\n\r\n", "\nx\n")).join(record(k) for k in range(1, rng.randrange(2, 6)))
+    return odd("", ("\n", " ", "{")) + text + rng.choice(("", "", "", "", "\n", "\n\n", " ", "x", "\r\n"))
+
+
+def test_usual_replies_are_read_as_all_rules_read_them(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, _near_usual(rng)) for k in range(4000)]
+    texts = spark.createDataFrame([*rows, (4000, None), (4001, ""), (4002, "\n" * 8)], "page_id long, text string").repartition(4)
+    read = lambda: {r.page_id: (r["items"], r.error) for r in rep.parsed(texts, "page_id").collect()}
+    lines = texts.select("page_id", "text", F.split("text", "\n").alias("u")).withColumn("u", rep._usual_read(F.col("u")))
+    taken = lines.select(rep._usual_items(F.col("text"), F.col("u")).alias("i")).where("i IS NOT NULL").count()
+    assert 1000 < taken < 3900
+    got = read()
+    monkeypatch.setattr(rep, "_usual_read", lambda lines: F.lit(None).cast("array<struct<id:bigint,type:string,x:bigint,y:bigint,w:bigint,h:bigint,jp:string,ko:string>>"))
+    want = read()
+    odd = [(dict(rows).get(k), got[k], want[k]) for k in want if got[k] != want[k]]
+    assert len(got) == 4003 and not odd, f"{len(odd)}: {odd[0]}"
+
+
+def test_usual_reply_needs_no_pattern(spark):
+    text = "id: 1\ntype: sfx\nx: 1\ny: 2\nw: 3\nh: 4\njp: \nko: K, k: l\n\nid: 2\ntype: 말\nx: 5\ny: 6\nw: 7\nh: 8\njp: J[?]\nko: \n"
+    found = spark.createDataFrame([(text,)], "text string").withColumn("u", F.split("text", "\n")).withColumn("u", rep._usual_read(F.col("u")))
+    items = found.select(rep._usual_items(F.col("text"), F.col("u")).alias("i")).first().i
+    assert [tuple(i) for i in items] == [("sfx", 1.0, 2.0, 3.0, 4.0, "", "K, k: l")]
