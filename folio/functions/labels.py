@@ -41,10 +41,9 @@ def _word(c: Column) -> Column:
 
 
 def block_type(c: Column) -> Column:
-    w, out = _word(c), F.lit("other")
-    for kind, names in BLOCK_TYPES.items():
-        out = F.when(w.isin(*names), F.lit(kind)).otherwise(out)
-    return out
+    """Kind of a word; one that is written as in the table is found as it is, others trimmed and in lower case."""
+    found = lambda w: [F.when(w.isin(*names), F.lit(kind)) for kind, names in BLOCK_TYPES.items()]
+    return F.coalesce(*found(c.cast("string")), *found(_word(c)), F.lit("other"))
 
 
 def one_of(c: Column, allowed: tuple[str, ...], fallback: Column | str) -> Column:

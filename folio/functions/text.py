@@ -23,6 +23,12 @@ def js_trim(c: Column) -> Column:
     return F.trim(c, F.lit(BLANK))
 
 
+def trimmed(c: Column) -> Column:
+    """As js_trim, for a column at hand: trims only where an end is blank, which costs less where few are."""
+    ends = F.ascii(c).isin(*map(ord, BLANK)) | F.ascii(F.substring(c, -1, 1)).isin(*map(ord, BLANK))
+    return F.when(ends, js_trim(c)).otherwise(c)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(js_trim(c), F.lit(""))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.geometry import apply_bbox_edit, clamp_bbox, estimate_font_px, offset_bbox
 from folio.functions.labels import block_type, display_text, render_direction, uncertain
-from folio.functions.text import js_trim
+from folio.functions.text import trimmed
 
 # Fixed values of a new block.
 LINE_HEIGHT, ALIGN, TEXT_COLOR = 1.18, "center", "#111111"
@@ -20,7 +20,7 @@ def items_to_blocks(items: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_id, id, type, bbox, jp, ko) with (page_id, width, height) -> blocks."""
     kind = block_type(F.col("type"))
     rows = items.join(pages.select("page_id", "width", "height"), "page_id")
-    source, translated, box = js_trim(F.col("jp")), js_trim(F.col("ko")), clamp_bbox(F.col("bbox"))
+    source, translated, box = trimmed(F.col("jp")), trimmed(F.col("ko")), clamp_bbox(F.col("bbox"))
     sfx = F.col("block_type") == "sfx"
     rows = rows.select("page_id", F.col("id").alias("block_ord"), kind.alias("block_type"), box.alias("box"), source.alias("source_text"), translated.alias("translated_text"), "width", "height")
     return rows.select(
