@@ -45,9 +45,9 @@ def read_attempts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def overlay_documents(items: DataFrame, key: str = "page_id", order: str = "id") -> DataFrame:
-    """(key, json) with {"items": [...]} in order, one per page attempt."""
+    """(key, json) with {"items": [...]} in order (items of one number by their contents), one per page attempt."""
     item = F.struct(F.col(order).alias("id"), "type", "bbox", "jp", "ko")
-    return items.groupBy(key).agg(F.to_json(F.struct(F.array_sort(F.collect_list(item), lambda a, b: a["id"] - b["id"]).alias("items"))).alias("json"))
+    return items.groupBy(key).agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("items"))).alias("json"))
 
 
 def write_overlay_items(items: DataFrame, path: str, key: str = "page_id", order: str = "id") -> None:
