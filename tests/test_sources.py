@@ -1,7 +1,9 @@
 """Files, archives, library round trip, attempts, logs, streams."""
 
 import json
+import time
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -131,3 +133,43 @@ def test_nested_chapters_are_shuffled_flat(spark):
     own["blocks"] = own["blocks"].withColumn("chapter_id", F.split("page_id", "-")[0])
     plan = library.nested_chapters(own["chapters"], own["pages"], own["blocks"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def _kept(spark, skip=()):
+    return {f for f in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*") if f not in skip}
+
+
+def test_waves_write_the_whole_library_and_keep_no_shuffles(spark, tmp_path):
+    own, before = _wide_library(spark, 7, 40, 2), _kept(spark)
+    at = {k: spark.conf.get(k) for k in ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.execution.replaceHashWithSortAgg")}
+    n = library.cells(own["chapters"], 2)
+    assert library._waves(n) > 1
+    library.write_library_files(own, str(tmp_path / "files"), per=2)
+    library.write_library(own, str(tmp_path / "parquet"), n=n)
+    library.write_library(own, str(tmp_path / "once"), mode="ignore", n=n)
+    for _ in range(100):
+        if not _kept(spark, before):
+            break
+        time.sleep(0.1)
+    assert not _kept(spark, before) and at == {k: spark.conf.get(k) for k in at}
+    for name, fmt in (("files", "files"), ("parquet", "parquet"), ("once", "parquet")):
+        back = library.read_library(spark, str(tmp_path / name), fmt)
+        for table, columns in (("pages", ("page_id", "chapter_id", "page_ord", "analysis_status")), ("blocks", ("block_id", "page_id", "block_ord", "source_text")), ("chapters", ("chapter_id", "work_id", "chapter_ord"))):
+            rows = lambda lib: sorted(map(tuple, lib[table].select(*columns).collect()))  # noqa: B023, E731
+            assert rows(back) == rows(own)
+        assert {r.n for r in back["pages"].select(F.size("blocks").alias("n")).collect()} == {0, 2}
+
+
+def test_rows_dealt_before_are_not_shuffled_again(spark, tmp_path):
+    own = _wide_library(spark, 7, 40, 2)
+    n, k = library.cells(own["chapters"]), {x: F.col(x).cast("string").alias(x) for x in ("page_id", "chapter_id")}
+    own["chapters"] = library.dealt(own["chapters"], n)
+    own["pages"] = library.dealt(own["pages"].select(*[k.get(c, F.col(c)) for c in own["pages"].columns]), n)
+    own["blocks"] = own["blocks"].withColumn("chapter_id", F.split("page_id", "-")[0])
+    own["blocks"] = library.dealt(own["blocks"], n).join(own["pages"].select("cell", "chapter_id", "page_id"), ["cell", "chapter_id", "page_id"])
+    with library._writing(spark):
+        plan = library._dealt_chapters(own["chapters"], own["pages"], own["blocks"], n)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 4 and "ObjectHashAggregate" not in plan
+    library.write_library(own, str(tmp_path), n=n)
+    back = library.read_library(spark, str(tmp_path), "parquet")
+    assert back["pages"].count() == 560 and sorted(r.block_id for r in back["blocks"].collect()) == sorted(r.block_id for r in own["blocks"].collect())
