@@ -1,6 +1,7 @@
 """Files, archives, library round trip, attempts, logs, streams."""
 
 import json
+import re
 import time
 import zipfile
 from pathlib import Path
@@ -160,6 +161,18 @@ def test_waves_write_the_whole_library_and_keep_no_shuffles(spark, tmp_path):
         assert {r.n for r in back["pages"].select(F.size("blocks").alias("n")).collect()} == {0, 2}
 
 
+def test_chapter_files_are_parsed_once_for_pages_and_blocks(spark, tmp_path):
+    from folio.plans.catalogue_queries import _shelf
+
+    put(tmp_path / "index.json", {"workOrder": ["5"]})
+    put(tmp_path / "works/5/work.json", {"id": "5", "title": "W", "chapterOrder": ["8"], "updatedAt": "1970-01-01T00:00:01.000Z"})
+    block = lambda x: {"id": str(x), "bbox": {"x": x, "y": 0, "w": 1, "h": 1}}
+    put(tmp_path / "works/5/chapters/8/chapter.json", {"id": "8", "workId": "5", "pageOrder": ["1", "2", "3"], "pages": [{"id": "1", "blocks": [block(3), {"id": "n"}, block(4)]}, {"id": "2", "blocks": []}, {"id": "3"}]})
+    rows = _shelf(library.read_library(spark, str(tmp_path)))
+    assert len(re.findall(r"FileScan json \[[^]]*\bpages#", rows._jdf.queryExecution().executedPlan().toString())) == 1
+    assert sorted((r.page_id, r.n_blocks, r.sum_x, r.work_updated) for r in rows.collect()) == [(1, 3, 7, 1000), (2, 0, 0, 1000), (3, 0, 0, 1000)]
+
+
 def test_rows_dealt_before_are_not_shuffled_again(spark, tmp_path):
     own = _wide_library(spark, 7, 40, 2)
     n, k = library.cells(own["chapters"]), {x: F.col(x).cast("string").alias(x) for x in ("page_id", "chapter_id")}
